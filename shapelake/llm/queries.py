@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, tiff, token_counts, url_filter, warc
+from . import chat, decontaminate, mixing, tiff, token_counts, url_filter, warc
 from .common import Scratch, table
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules=URL_RULES)
 
@@ -46,6 +50,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_chat_format": op5_chat_format,
     "op7_warc": op7_warc,
@@ -63,6 +68,22 @@ def _any_term(terms: tuple[str, ...]) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    # Another way to the same windows: 10 of 12 equal tokens leave a run of at least 4.
+    "op1_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS dw FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS bw FROM benchmark),
+dp AS (SELECT doc_id, dw, unnest(range(0, len(dw) - 3)) AS p FROM d),
+dg AS (SELECT doc_id, p, array_to_string(dw[p + 1 : p + 4], ' ') AS gram FROM dp),
+bp AS (SELECT item_id, bw, unnest(range(0, len(bw) - 3)) AS q FROM b),
+bg AS (SELECT item_id, q, array_to_string(bw[q + 1 : q + 4], ' ') AS gram FROM bp),
+g AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM dg JOIN bg USING (gram)),
+w AS (SELECT doc_id, item_id, dw, bw, shift, unnest(range(0, len(bw) - 11)) AS q FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
+v AS (
+  SELECT doc_id, item_id, q + shift AS p, 12 - len(list_filter(range(1, 13), lambda k: dw[q + shift + k] = bw[q + k])) AS subs
+  FROM w WHERE q + shift >= 0 AND q + shift + 12 <= len(dw))
+SELECT doc_id, item_id, count(*) AS n_windows, CAST(min(p) AS INTEGER) AS first_token, CAST(max(p) + 12 AS INTEGER) AS end_token, CAST(min(subs) AS INTEGER) AS fewest_subs
+FROM v WHERE subs <= 2 GROUP BY doc_id, item_id
+""",
     "op4_url_filter": f"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url,
