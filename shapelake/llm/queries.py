@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, tiff, token_counts, url_filter, warc
-from .common import Scratch, table
+from . import chat, decontaminate, mixing, quality, tiff, token_counts, toxicity, url_filter, warc
+from .common import Scratch, fold, table
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,6 +18,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    found = quality.classify(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules=URL_RULES)
 
@@ -30,6 +36,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    found = toxicity.classify(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_tokens", F.coalesce(F.size("segments"), F.lit(0)).alias("n_passages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.refer(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     with Scratch(spark) as scratch:
@@ -51,8 +63,10 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
     "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
