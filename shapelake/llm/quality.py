@@ -123,16 +123,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6_000, id_col:
     return fit_nnpu(x[y == 1], x, min(max(ones / n, 1e-3), 1 - 1e-3))
 
 
-def score(docs: DataFrame, model: Model | float, *, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` and a score of each whole text, from 0 to 1; no shuffle."""
-    if isinstance(model, float):
-        return docs.withColumn(into, F.lit(model))
+def _scorer(model: Model):
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.concatenate([model.score(np.stack([features(t) for t in texts.iloc[k : k + 256]])) for k in range(0, len(texts), 256)]) if len(texts) else np.zeros(0))
 
-    return docs.withColumn(into, scored(F.col(text_col)))
+    return scored
+
+
+def score(docs: DataFrame, model: Model | float, *, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` and a score of each whole text, from 0 to 1; no shuffle."""
+    return docs.withColumn(into, F.lit(model) if isinstance(model, float) else _scorer(model)(F.col(text_col)))
+
+
+def keep_good(docs: DataFrame, model: Model | float, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` whose score reaches ``threshold``; all columns are kept."""
+    return docs.where((F.lit(model) if isinstance(model, float) else _scorer(model)(F.col(text_col))) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> DataFrame:

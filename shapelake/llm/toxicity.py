@@ -196,10 +196,11 @@ def fit(
 ) -> Model | float:
     """A model from labelled rows, or the constant score where there is nothing to learn.
 
-    Counts cover all labelled documents. Of their units, those that mark toxic
-    ones (``least`` documents, ``z`` deviations, log-odds of ``least_odds``) make the lexicon, ``size`` at
-    most. Units score their log-odds, ``cap`` at most; all other tokens score
-    ``other``. The extreme-value parameters come from how often clean documents
+    Learns from a sample of about ``label_rows`` labelled rows, by a hash of the
+    id. The sample goes to all tasks, so texts are not shuffled. Of the units of
+    its documents, those that mark toxic ones (``least`` documents, ``z``
+    deviations, log-odds of ``least_odds``) make the lexicon, ``size`` at most.
+    Units score their log-odds, ``cap`` at most; all other tokens ``other``. The extreme-value parameters come from how often clean documents
     hold the units. The step from evidence to probability is fitted on about
     ``sample_rows`` labelled rows.
     """
@@ -236,9 +237,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with evidence, n_tokens, segments (first and last token and
-    normalised score of each significant passage) and, given a model, score."""
+def _scorer(lexicon: Lexicon, model: Model | None):
     schema = "evidence double, n_tokens long, segments array<struct<first: int, end: int, score: double>>, score double"
 
     @F.pandas_udf(schema)
@@ -249,7 +248,13 @@ def scored(docs: DataFrame, lexicon: Lexicon, model: Model | None, *, text_col:
             total = np.array([o[0] for o in out], float)
             yield pd.DataFrame({"evidence": total, "n_tokens": [o[1] for o in out], "segments": [[{"first": a, "end": b, "score": s} for a, b, s in o[2]] for o in out], "score": model.probability(total) if model else total})
 
-    wide = docs.withColumn("__toxicity", run(F.col(text_col)))
+    return run
+
+
+def scored(docs: DataFrame, lexicon: Lexicon, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with evidence, n_tokens, segments (first and last token and
+    normalised score of each significant passage) and, given a model, score."""
+    wide = docs.withColumn("__toxicity", _scorer(lexicon, model)(F.col(text_col)))
     return wide.select(*(docs[c] for c in docs.columns), *(F.col(f"__toxicity.{c}").alias(c) for c in ("evidence", "n_tokens", "segments", "score")))
 
 
@@ -268,3 +273,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     else:
         found = scored(rows, model.lexicon, model)
     return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "segments")
+
+
+def keep_clean(docs: DataFrame, model: Model | float, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without those whose score reaches ``threshold``; all columns are kept."""
+    if isinstance(model, float):
+        return docs.where(F.lit(model < threshold))
+    scorer = _scorer(model.lexicon, model)
+    return docs.where(scorer(F.col(text_col))["score"] < threshold)
