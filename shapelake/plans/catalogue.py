@@ -1,4 +1,591 @@
-"""Registered queries over the given tables and the SQL each must equal."""
+"""Registered queries over the given tables and the SQL each must equal.
 
-QUERIES: dict = {}
+Shapes are the 21 landmarks that each row of ``embeddings`` carries; a strip of
+19 triangles joins them. Numbers are rounded so that the order of sums does not
+show.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import mesh, neighbors, pairing, points, registration, segmentation, shape_model
+from ..sources import bridge, readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+P = "p AS (SELECT vec_id AS specimen_id, label AS population, i AS pidx, embedding[3*i+1]::DOUBLE AS x, embedding[3*i+2]::DOUBLE AS y, embedding[3*i+3]::DOUBLE AS z FROM embeddings, (SELECT unnest(range(0, 21))::INTEGER AS i))"
+FACES = "f AS (SELECT i::INTEGER AS fid, i::INTEGER AS a, (i+1)::INTEGER AS b, (i+2)::INTEGER AS c FROM range(0, 19) t(i))"
+TRI = "t AS (SELECT p.specimen_id, fid, a, b, c, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM f JOIN p ON p.pidx = a JOIN p q ON q.pidx = b AND q.specimen_id = p.specimen_id JOIN p r ON r.pidx = c AND r.specimen_id = p.specimen_id)"
+NORMAL = "n0 AS (SELECT *, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS ux, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS uy, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS uz FROM t), n AS (SELECT specimen_id, fid, a, b, c, ux/(sqrt(ux*ux+uy*uy+uz*uz)+1e-12) AS nx, uy/(sqrt(ux*ux+uy*uy+uz*uz)+1e-12) AS ny, uz/(sqrt(ux*ux+uy*uy+uz*uz)+1e-12) AS nz, sqrt(ux*ux+uy*uy+uz*uz)/2 AS area FROM n0)"
+EDGES = "e0 AS (SELECT fid, a AS u, b AS v FROM f UNION ALL SELECT fid, b, c FROM f UNION ALL SELECT fid, c, a FROM f), e AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, count(*) AS n_faces FROM e0 GROUP BY 1, 2), adj AS (SELECT lo AS src, hi AS dst FROM e UNION ALL SELECT hi, lo FROM e)"
+BOX = "b AS (SELECT specimen_id, min(x) AS ix, min(y) AS iy, min(z) AS iz, max(x) AS mx, max(y) AS my, max(z) AS mz, sqrt((max(x)-min(x))*(max(x)-min(x))+(max(y)-min(y))*(max(y)-min(y))+(max(z)-min(z))*(max(z)-min(z))) AS diagonal FROM p GROUP BY 1)"
+D2 = "((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
+KNN = f"nn AS (SELECT p.specimen_id, p.pidx AS qidx, q.pidx AS tidx, {D2} AS d2, row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2}, q.pidx) AS rank FROM p JOIN p q ON p.specimen_id = q.specimen_id AND p.pidx <> q.pidx QUALIFY rank <= 6)"
+MATRIX = g.similarity_matrix([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], 1.5, [0.1, -0.2, 0.3])
+
+
+def query(name: str, sql: str | None):
+    """Register a query and its SQL; ``WITH`` and a list of shared parts come first."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, and minus zero as zero."""
+    return df.select(*(((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes))
+
+
+def r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({e}, {digits}) + 0.0 AS {n}" for n, _, e in (x.partition("=") for x in (n if "=" in n else f"{n}={n}" for n in names)))
+
+
+def vertices(spark: SparkSession, sf: str) -> DataFrame:
+    return bridge.points(spark, sf).select("specimen_id", F.col("pidx").alias("vid"), "x", "y", "z")
+
+
+# --- points -----------------------------------------------------------------
+
+
+@query("mean_shape", f"WITH {P} SELECT pidx, {r('x=avg(x)', 'y=avg(y)', 'z=avg(z)')} FROM p GROUP BY pidx")
+def _(spark, sf):
+    return rounded(points.mean_shape(bridge.points(spark, sf)))
+
+
+@query("mean_shape_by_label", f"WITH {P} SELECT population, pidx, {r('x=avg(x)', 'y=avg(y)', 'z=avg(z)')} FROM p GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(points.mean_shape(bridge.points(spark, sf), "population"))
+
+
+@query("centroid_by_specimen", f"WITH {P} SELECT specimen_id, {r('x=avg(x)', 'y=avg(y)', 'z=avg(z)')} FROM p GROUP BY 1")
+def _(spark, sf):
+    return rounded(points.centroid(bridge.points(spark, sf), "specimen_id"))
+
+
+@query("bbox_diagonal", f"WITH {P}, {BOX} SELECT specimen_id, {r('diagonal')} FROM b")
+def _(spark, sf):
+    return rounded(points.bounds(bridge.points(spark, sf), "specimen_id").select("specimen_id", "diagonal"))
+
+
+_CLOSEST = "m AS (SELECT {by} pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL), s AS (SELECT {pby} p.specimen_id, round(sum((p.x-m.x)*(p.x-m.x)+(p.y-m.y)*(p.y-m.y)+(p.z-m.z)*(p.z-m.z)), 9) AS ss FROM p JOIN m USING ({by} pidx) GROUP BY ALL)"
+
+
+@query("closest_to_mean", f"WITH {P}, {_CLOSEST.format(by='', pby='')} SELECT specimen_id, {r('ss')} FROM s ORDER BY s.ss, specimen_id LIMIT 1")
+def _(spark, sf):
+    return rounded(points.closest_to_mean(bridge.points(spark, sf)))
+
+
+@query("closest_to_mean_by_label", f"WITH {P}, {_CLOSEST.format(by='population,', pby='population,')} SELECT population, specimen_id, {r('ss')} FROM s QUALIFY row_number() OVER (PARTITION BY population ORDER BY s.ss, specimen_id) = 1")
+def _(spark, sf):
+    return rounded(points.closest_to_mean(bridge.points(spark, sf), "population"))
+
+
+@query("prescale_to_target", f"WITH {P}, d AS (SELECT population, sqrt((max(x)-min(x))*(max(x)-min(x))+(max(y)-min(y))*(max(y)-min(y))+(max(z)-min(z))*(max(z)-min(z))) AS d FROM p GROUP BY 1) SELECT {r('source_diagonal=a.d', 'target_diagonal=b.d', 'factor=b.d/0.5/a.d')} FROM d a, d b WHERE a.population = 0 AND b.population = 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(points.prescale(p.where("population = 0"), p.where("population = 1"), 0.5))
+
+
+@query("normalize_diag20", f"WITH {P}, {BOX} SELECT specimen_id, pidx, {r('x=x*(20.0/diagonal)', 'y=y*(20.0/diagonal)', 'z=z*(20.0/diagonal)', 'factor=20.0/diagonal')} FROM p JOIN b USING (specimen_id)")
+def _(spark, sf):
+    return rounded(points.scale_diagonal(bridge.points(spark, sf)))
+
+
+@query("unit_size", f"WITH {P}, {BOX}, s AS (SELECT *, greatest(mx-ix, my-iy, mz-iz) AS side FROM b) SELECT specimen_id, pidx, {r('x=(x-(mx+ix)/2)/side', 'y=(y-(my+iy)/2)/side', 'z=(z-(mz+iz)/2)/side')} FROM p JOIN s USING (specimen_id)")
+def _(spark, sf):
+    return rounded(points.unit_size(bridge.points(spark, sf)))
+
+
+@query("apply_similarity", f"WITH {P} SELECT specimen_id, population, pidx, {r('x=-1.5*y+0.1', 'y=1.5*x-0.2', 'z=1.5*z+0.3')} FROM p")
+def _(spark, sf):
+    return rounded(points.transform(bridge.points(spark, sf), MATRIX))
+
+
+@query("fixed_scale_shift", f"WITH {P}, c AS (SELECT population, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1) SELECT {r('x=b.x+a.y', 'y=b.y-a.x', 'z=b.z-a.z')} FROM c a, c b WHERE a.population = 0 AND b.population = 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(points.fixed_scale_shift(p.where("population = 0"), p.where("population = 1"), [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]))
+
+
+_VOX = "floor(x/0.1)::BIGINT AS kx, floor(y/0.1)::BIGINT AS ky, floor(z/0.1)::BIGINT AS kz"
+
+
+@query("voxel_representative", f"WITH {P} SELECT specimen_id, {_VOX}, min(pidx) AS pidx, count(*) AS n_points FROM p GROUP BY ALL")
+def _(spark, sf):
+    return points.voxel_representatives(bridge.points(spark, sf), 0.1, "specimen_id")
+
+
+@query("voxel_downsample", f"WITH {P} SELECT population, {_VOX}, {r('x=avg(x)', 'y=avg(y)', 'z=avg(z)')}, count(*) AS n_points FROM p GROUP BY population, floor(x/0.1), floor(y/0.1), floor(z/0.1)")
+def _(spark, sf):
+    return rounded(points.voxel_downsample(bridge.points(spark, sf), 0.1, "population"))
+
+
+@query("voxel_count", f"WITH {P} SELECT population, count(DISTINCT (floor(x/0.1), floor(y/0.1), floor(z/0.1))) AS n_voxels FROM p GROUP BY 1")
+def _(spark, sf):
+    return points.voxel_count(bridge.points(spark, sf), 0.1, "population")
+
+
+@query("finite_filter", f"WITH {P}, v AS (SELECT specimen_id, pidx, CASE WHEN abs(x) > 0.3 THEN 'nan'::DOUBLE ELSE x END AS x FROM p) SELECT specimen_id, count(*) AS n FROM v WHERE NOT isnan(x) GROUP BY 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf).withColumn("x", F.when(F.abs("x") > 0.3, F.lit(float("nan"))).otherwise(F.col("x")))
+    return points.finite_points(p).groupBy("specimen_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("non_finite_guard", f"WITH {P} SELECT population, count(*) AS n_points, count(*) FILTER (abs(x) > 0.3)::BIGINT AS n_bad FROM p GROUP BY 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf).withColumn("x", F.when(F.abs("x") > 0.3, F.lit(float("inf"))).otherwise(F.col("x")))
+    return points.non_finite_counts(p, "population")
+
+
+@query("count_consistency", f"WITH {P}, n AS (SELECT population, specimen_id, count(*) AS n FROM p WHERE x > -0.2 GROUP BY 1, 2) SELECT population, count(*) AS n_specimens, min(n) AS least, max(n) AS most, min(n) = max(n) AS consistent FROM n GROUP BY 1")
+def _(spark, sf):
+    return points.count_consistency(bridge.points(spark, sf).where("x > -0.2"), "population")
+
+
+@query("non_zero_shapes", f"WITH {P} SELECT specimen_id, {r('largest=max(greatest(abs(x), abs(y), abs(z)))')} FROM p GROUP BY 1 HAVING max(greatest(abs(x), abs(y), abs(z))) > 0")
+def _(spark, sf):
+    return rounded(points.non_zero_shapes(bridge.points(spark, sf)))
+
+
+@query("coordinate_flip", f"WITH {P} SELECT specimen_id, pidx, {r('x=CASE WHEN population % 2 = 0 THEN -x ELSE x END', 'y=CASE WHEN population % 2 = 0 THEN -y ELSE y END', 'z')} FROM p")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    flipped = g.to_ras(g.vector(), F.when(F.col("population") % 2 == 0, "LPS").otherwise("RAS"))
+    return rounded(p.select("specimen_id", "pidx", *(f.alias(c) for f, c in zip(flipped, "xyz", strict=True))))
+
+
+@query("principal_axis_moments", f"WITH {P} SELECT population, {', '.join(f'round(sum({a}*{b}) - sum({a})*sum({b})/count(*), 6) + 0.0 AS {a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM p GROUP BY 1")
+def _(spark, sf):
+    return rounded(points.principal_axis_moments(bridge.points(spark, sf), "population"))
+
+
+# --- shape models -----------------------------------------------------------
+
+
+@query("total_variance", f"WITH {P}, v AS (SELECT population, var_samp(x)+var_samp(y)+var_samp(z) AS v FROM p GROUP BY population, pidx) SELECT population, {r('variance=sum(v)')} FROM v GROUP BY 1")
+def _(spark, sf):
+    return rounded(shape_model.total_variance(bridge.points(spark, sf), "population"))
+
+
+@query("covariance", f"WITH {P}, l AS (SELECT specimen_id, 3*pidx AS k, x AS v FROM p UNION ALL SELECT specimen_id, 3*pidx+1, y FROM p UNION ALL SELECT specimen_id, 3*pidx+2, z FROM p) SELECT a.k::INTEGER AS i, b.k::INTEGER AS j, {r('cov=covar_samp(a.v, b.v)')} FROM l a JOIN l b ON a.specimen_id = b.specimen_id AND a.k <= b.k GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(shape_model.covariance(bridge.points(spark, sf)))
+
+
+_EIG = "g AS (SELECT pidx AS mode, var_samp(x) AS v FROM p GROUP BY 1)"
+
+
+@query("cumulative_variance", f"WITH {P}, {_EIG} SELECT mode, {r('v')}, row_number() OVER (ORDER BY g.v DESC, mode)::INTEGER AS rank, round(sum(g.v) OVER (ORDER BY g.v DESC, mode ROWS UNBOUNDED PRECEDING) / sum(g.v) OVER (), 6) AS share FROM g")
+def _(spark, sf):
+    eig = bridge.points(spark, sf).groupBy(F.col("pidx").alias("mode")).agg(F.var_samp("x").alias("v"))
+    return rounded(shape_model.explained(eig))
+
+
+@query("mode_count_95", f"WITH {P}, {_EIG}, c AS (SELECT row_number() OVER (ORDER BY v DESC, mode)::INTEGER AS rank, sum(v) OVER (ORDER BY v DESC, mode ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS share FROM g) SELECT min(rank) AS modes FROM c WHERE share >= 0.95")
+def _(spark, sf):
+    eig = bridge.points(spark, sf).groupBy(F.col("pidx").alias("mode")).agg(F.var_samp("x").alias("v"))
+    return shape_model.mode_count(eig, 0.95)
+
+
+_SAMPLE = "m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), u AS (SELECT population AS mode, pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1, 2), w AS (SELECT specimen_id AS sample, population AS mode, avg(x) AS b FROM p GROUP BY 1, 2), g AS (SELECT population AS mode, var_pop(x) AS v FROM p GROUP BY 1)"
+
+
+def _sampled(spark, sf, sigma):
+    p = bridge.points(spark, sf)
+    modes = points.mean_shape(p, "population").withColumnRenamed("population", "mode")
+    weights = p.groupBy(F.col("specimen_id").alias("sample"), F.col("population").alias("mode")).agg(F.avg("x").alias("b"))
+    eig = p.groupBy(F.col("population").alias("mode")).agg(F.var_pop("x").alias("v")) if sigma else None
+    return rounded(shape_model.sample(points.mean_shape(p), modes, weights, eig))
+
+
+@query("ssm_sample_native", f"WITH {P}, {_SAMPLE} SELECT sample, pidx, {r('x=m.x+b*u.x', 'y=m.y+b*u.y', 'z=m.z+b*u.z')} FROM w JOIN u USING (mode) JOIN m USING (pidx)")
+def _(spark, sf):
+    return _sampled(spark, sf, False)
+
+
+@query("ssm_sample_sigma", f"WITH {P}, {_SAMPLE} SELECT sample, pidx, {r(*(f'{c}=m.{c}+b*sqrt(greatest(v, 1e-10))*u.{c}' for c in 'xyz'))} FROM w JOIN u USING (mode) JOIN m USING (pidx) JOIN g USING (mode)")
+def _(spark, sf):
+    return _sampled(spark, sf, True)
+
+
+# --- neighbours -------------------------------------------------------------
+
+
+@query("knn_self", f"WITH {P}, {KNN} SELECT specimen_id, qidx::BIGINT AS qidx, tidx::BIGINT AS tidx, rank::INTEGER AS rank, {r('d2')} FROM nn")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(neighbors.k_nearest(p, p, 6, same=True))
+
+
+@query("nn_landmark_to_vertex", f"WITH {P} SELECT p.specimen_id, p.pidx::BIGINT AS qidx, q.pidx::BIGINT AS tidx, 1::INTEGER AS rank, {r(f'd2={D2}')} FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 QUALIFY row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2}, q.pidx) = 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(neighbors.k_nearest(p.where("pidx < 7"), p.where("pidx >= 7"), 1))
+
+
+@query("radius_neighbors", f"WITH {P} SELECT p.specimen_id, p.pidx AS qidx, q.pidx AS tidx, {r(f'd2={D2}')}, row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2}, q.pidx)::INTEGER AS rank FROM p JOIN p q ON p.specimen_id = q.specimen_id AND p.pidx <> q.pidx WHERE {D2} <= 0.15*0.15 QUALIFY rank <= 5")
+def _(spark, sf):
+    return rounded(neighbors.radius_neighbours(bridge.points(spark, sf), 0.15, 5))
+
+
+_SYM = "s AS (SELECT specimen_id, src, dst, w FROM d UNION ALL SELECT specimen_id, dst, src, w FROM d)"
+
+
+@query("knn_graph_segmentation", f"WITH {P}, {KNN}, h AS (SELECT specimen_id, median(sqrt(d2)) AS s FROM nn GROUP BY 1), d AS (SELECT specimen_id, qidx::BIGINT AS src, tidx::BIGINT AS dst, exp(-d2/(s*s)) AS w FROM nn JOIN h USING (specimen_id)), {_SYM} SELECT specimen_id, src, dst, {r('w=max(w)')} FROM s GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return rounded(neighbors.gaussian_graph(bridge.points(spark, sf), 6, "segmentation"))
+
+
+@query("knn_laplacian_projection", f"WITH {P}, {KNN}, h AS (SELECT specimen_id, median(sqrt(d2)) AS s FROM nn WHERE rank = 6 GROUP BY 1), d AS (SELECT specimen_id, qidx::BIGINT AS src, tidx::BIGINT AS dst, exp(-d2/(2*s*s)) AS w FROM nn JOIN h USING (specimen_id)), {_SYM} SELECT specimen_id, src, dst, {r('w=sum(w)/2')} FROM s GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return rounded(neighbors.gaussian_graph(bridge.points(spark, sf), 6, "projection"))
+
+
+@query("bandwidth_p75", f"WITH {P}, {KNN} SELECT specimen_id, {r('h=quantile_cont(sqrt(d2), 0.75) + 1e-9')} FROM nn GROUP BY 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(neighbors.k_nearest(p, p, 6, same=True).groupBy("specimen_id").agg((F.percentile(F.sqrt("d2"), F.lit(0.75)) + 1e-9).alias("h")))
+
+
+@query("rbf_deform", f"WITH {P}, m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), nn AS (SELECT p.specimen_id, p.pidx AS qidx, q.pidx AS tidx, {D2} AS d2, m.x-q.x AS dx, m.y-q.y AS dy, m.z-q.z AS dz FROM p JOIN p q ON p.specimen_id = q.specimen_id AND p.pidx >= 7 AND q.pidx < 7 JOIN m ON m.pidx = q.pidx), h AS (SELECT specimen_id, quantile_cont(sqrt(d2), 0.75) + 1e-9 AS h FROM nn GROUP BY 1), w AS (SELECT *, exp(-d2/(h*h)) AS w FROM nn JOIN h USING (specimen_id)), s AS (SELECT specimen_id, qidx, sum(w*dx)/sum(w) AS mx, sum(w*dy)/sum(w) AS my, sum(w*dz)/sum(w) AS mz FROM w GROUP BY 1, 2) SELECT specimen_id, pidx, {r('x=x+mx', 'y=y+my', 'z=z+mz')} FROM p JOIN s ON s.specimen_id = p.specimen_id AND qidx = pidx".replace("SELECT specimen_id, pidx, round(x+mx", "SELECT p.specimen_id, pidx, round(x+mx"))
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    mean = points.mean_shape(p).select("pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
+    moves = p.where("pidx < 7").join(mean, "pidx").select("specimen_id", "pidx", *((F.col(f"m{c}") - F.col(c)).alias(f"d{c}") for c in "xyz"))
+    return rounded(neighbors.rbf_deform(p.where("pidx >= 7"), p.where("pidx < 7"), moves))
+
+
+@query("registration_fitness", f"WITH {P}, nn AS (SELECT p.specimen_id, p.pidx, min({D2}) AS d2 FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 GROUP BY 1, 2) SELECT specimen_id, {r('fitness=avg((d2 <= 0.15*0.15)::INTEGER)', 'rmse=coalesce(sqrt(avg(d2) FILTER (d2 <= 0.15*0.15)), 0.0)')} FROM nn GROUP BY 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(neighbors.fitness(p.where("pidx < 7"), p.where("pidx >= 7"), 0.15))
+
+
+@query("project_labels", f"WITH {P} SELECT p.specimen_id, p.pidx::BIGINT AS vid, (q.pidx % 3)::INTEGER AS label FROM p JOIN p q ON p.specimen_id = q.specimen_id AND q.pidx < 7 QUALIFY row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2}, q.pidx) = 1")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    labels = p.where("pidx < 7").select("pidx", (F.col("pidx") % 3).cast("int").alias("label")).distinct()
+    return neighbors.project_labels(p, p.where("pidx < 7"), labels)
+
+
+@query("duplicate_constraints_avg", f"WITH {P}, nn AS (SELECT p.specimen_id, p.x, p.y, p.z, q.pidx AS vid FROM p JOIN p q ON p.specimen_id = q.specimen_id AND p.pidx >= 7 AND q.pidx < 7 QUALIFY row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2}, q.pidx) = 1) SELECT specimen_id, vid::BIGINT AS vid, {r('x=avg(x)', 'y=avg(y)', 'z=avg(z)')}, count(*) AS n FROM nn GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(registration.vertex_constraints(bridge.points(spark, sf).where("pidx >= 7"), bridge.points(spark, sf).where("pidx < 7")))
+
+
+# --- meshes -----------------------------------------------------------------
+
+
+@query("unique_edges", f"WITH {FACES}, {EDGES} SELECT lo, hi, n_faces, n FROM e, (SELECT count(*) AS n FROM embeddings)")
+def _(spark, sf):
+    n = bridge.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return mesh.unique_edges(bridge.faces(spark)).crossJoin(n)  # n is one row
+
+
+@query("face_normals", f"WITH {P}, {FACES}, {TRI}, {NORMAL} SELECT specimen_id, fid, {r('nx', 'ny', 'nz', 'area')} FROM n")
+def _(spark, sf):
+    return rounded(mesh.face_geometry(vertices(spark, sf), bridge.faces(spark)).drop("a", "b", "c"))
+
+
+@query("degenerate_triangles", f"WITH {P}, {FACES}, {TRI}, {NORMAL} SELECT specimen_id, fid, a, b, c FROM n WHERE area > 0.02")
+def _(spark, sf):
+    return mesh.non_degenerate(vertices(spark, sf), bridge.faces(spark), 0.02)
+
+
+@query("edge_lengths", f"WITH {P}, {BOX}, {FACES}, {EDGES}, l AS (SELECT p.specimen_id, avg(sqrt({D2})) AS m FROM e0 JOIN p ON p.pidx = u JOIN p q ON q.pidx = v AND q.specimen_id = p.specimen_id GROUP BY 1) SELECT specimen_id, {r('mean_edge=m', 'diagonal', 'share=m/diagonal')} FROM l JOIN b USING (specimen_id)")
+def _(spark, sf):
+    return rounded(mesh.edge_lengths(vertices(spark, sf), bridge.faces(spark)))
+
+
+@query("dense_mesh_warning", f"WITH {P}, {BOX}, {FACES}, {EDGES}, l AS (SELECT p.specimen_id, avg(sqrt({D2})) AS m FROM e0 JOIN p ON p.pidx = u JOIN p q ON q.pidx = v AND q.specimen_id = p.specimen_id GROUP BY 1) SELECT specimen_id, m / diagonal < 0.35 AS dense FROM l JOIN b USING (specimen_id)")
+def _(spark, sf):
+    sizes = mesh.edge_lengths(vertices(spark, sf), bridge.faces(spark)).withColumn("n_vertices", F.lit(bridge.N_POINTS)).withColumn("n_faces", F.lit(bridge.N_POINTS - 2))
+    return mesh.dense_mesh(sizes, share=0.35).select("specimen_id", "dense")
+
+
+@query("vertex_area", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, c3 AS (SELECT specimen_id, a AS vid, area FROM n UNION ALL SELECT specimen_id, b, area FROM n UNION ALL SELECT specimen_id, c, area FROM n) SELECT specimen_id, vid, {r('area=greatest(sum(area/3), 1e-12)')} FROM c3 GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(mesh.vertex_areas(vertices(spark, sf), bridge.faces(spark)))
+
+
+def _cot(i, j, o):
+    d = lambda a, b: [f"({a}x-{b}x)", f"({a}{'y_' if a == 'b' else 'y'}-{b}{'y_' if b == 'b' else 'y'})", f"({a}z-{b}z)"]
+    (ux, uy, uz), (vx, vy, vz) = d(i, o), d(j, o)
+    c = [f"({uy}*{vz}-{uz}*{vy})", f"({uz}*{vx}-{ux}*{vz})", f"({ux}*{vy}-{uy}*{vx})"]
+    return f"SELECT specimen_id, least({i}, {j}) AS lo, greatest({i}, {j}) AS hi, ({ux}*{vx}+{uy}*{vy}+{uz}*{vz})/greatest(sqrt({'+'.join(f'{x}*{x}' for x in c)}), 1e-12) AS cot FROM t"
+
+
+@query("cotangent_weights", f"WITH {P}, {FACES}, {TRI}, k AS ({_cot(*'abc')} UNION ALL {_cot(*'bca')} UNION ALL {_cot(*'cab')}) SELECT specimen_id, lo, hi, {r('w=sum(cot)/2', digits=4)} FROM k GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return rounded(mesh.cotangent_weights(vertices(spark, sf), bridge.faces(spark)), 4)
+
+
+@query("dihedral_vertex", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, {EDGES}, ef AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, min(fid) AS f1, max(fid) AS f2, count(*) AS k FROM e0 GROUP BY 1, 2), an AS (SELECT a.specimen_id, lo, hi, CASE WHEN k = 2 THEN acos(least(greatest(a.nx*c.nx+a.ny*c.ny+a.nz*c.nz, -1.0), 1.0)) ELSE 0.0 END AS angle FROM ef JOIN n a ON a.fid = f1 JOIN n c ON c.fid = f2 AND c.specimen_id = a.specimen_id), v AS (SELECT specimen_id, lo AS vid, angle FROM an UNION ALL SELECT specimen_id, hi, angle FROM an) SELECT specimen_id, vid, {r('dihedral=avg(angle)')} FROM v GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(mesh.mean_dihedral(vertices(spark, sf), bridge.faces(spark)))
+
+
+_VN = "v0 AS (SELECT specimen_id, a AS vid, nx*area AS x, ny*area AS y, nz*area AS z FROM n UNION ALL SELECT specimen_id, b, nx*area, ny*area, nz*area FROM n UNION ALL SELECT specimen_id, c, nx*area, ny*area, nz*area FROM n), v1 AS (SELECT specimen_id, vid, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM v0 GROUP BY 1, 2), vn AS (SELECT specimen_id, vid, x/(sqrt(x*x+y*y+z*z)+1e-12) AS nx, y/(sqrt(x*x+y*y+z*z)+1e-12) AS ny, z/(sqrt(x*x+y*y+z*z)+1e-12) AS nz FROM v1)"
+
+
+@query("normal_variation", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, {EDGES}, {_VN} SELECT a.specimen_id, a.vid, {r('variation=avg(acos(least(greatest(a.nx*c.nx+a.ny*c.ny+a.nz*c.nz, -1.0), 1.0)))')} FROM vn a JOIN adj ON src = a.vid JOIN vn c ON c.vid = dst AND c.specimen_id = a.specimen_id GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(mesh.normal_variation(vertices(spark, sf), bridge.faces(spark)))
+
+
+@query("outward_normals", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, {_VN}, m AS (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1) SELECT vn.specimen_id, vid, {r(*(f'n{c}=CASE WHEN nx*(p.x-m.x)+ny*(p.y-m.y)+nz*(p.z-m.z) < 0 THEN -n{c} ELSE n{c} END' for c in 'xyz'))} FROM vn JOIN p ON p.specimen_id = vn.specimen_id AND pidx = vid JOIN m ON m.specimen_id = vn.specimen_id")
+def _(spark, sf):
+    v = vertices(spark, sf)
+    return rounded(mesh.outward(v.join(mesh.vertex_normals(v, bridge.faces(spark)), ["specimen_id", "vid"])).drop("x", "y", "z"))
+
+
+@query("ring_pool_median", f"WITH {P}, {FACES}, {EDGES}, g AS (SELECT src, dst FROM adj UNION SELECT src, src FROM adj) SELECT specimen_id, src AS vid, 0 AS fidx, {r('v=median(x)')} FROM g JOIN p ON pidx = dst GROUP BY 1, 2")
+def _(spark, sf):
+    values = vertices(spark, sf).select("specimen_id", "vid", F.lit(0).alias("fidx"), F.col("x").alias("v"))
+    return rounded(mesh.pooled_median(values, bridge.faces(spark)))
+
+
+@query("mesh_smoothing", f"WITH {P}, {FACES}, {EDGES}, m AS (SELECT specimen_id, src, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM adj JOIN p ON pidx = dst GROUP BY 1, 2) SELECT p.specimen_id, pidx AS vid, {r(*(f'{c}=p.{c}+0.5*(m.{c}-p.{c})' for c in 'xyz'))} FROM p JOIN m ON m.specimen_id = p.specimen_id AND src = pidx")
+def _(spark, sf):
+    return rounded(mesh.smooth(vertices(spark, sf), bridge.faces(spark)))
+
+
+@query("shape_index", f"WITH {P}, k AS (SELECT specimen_id, pidx, x + sqrt(greatest(x*x-y, 0.0)) AS a, x - sqrt(greatest(x*x-y, 0.0)) AS b FROM p), o AS (SELECT specimen_id, pidx, CASE WHEN abs(a) >= abs(b) THEN a ELSE b END AS k1, CASE WHEN abs(a) >= abs(b) THEN b ELSE a END AS k2 FROM k) SELECT specimen_id, pidx, {r('k1', 'k2', 's=2.0/pi()*atan2(k1+k2, k1-k2+1e-12)', 'c=sqrt((k1*k1+k2*k2)/2)')} FROM o")
+def _(spark, sf):
+    k1, k2 = g.principal_curvatures(F.col("x"), F.col("y"))
+    p = bridge.points(spark, sf).select("specimen_id", "pidx", k1.alias("k1"), k2.alias("k2"))
+    return rounded(p.withColumn("s", g.shape_index(F.col("k1"), F.col("k2"))).withColumn("c", g.curvedness(F.col("k1"), F.col("k2"))))
+
+
+
+@query("barycentric", f"""WITH {P}, {FACES}, {TRI}, c0 AS (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1),
+u AS (SELECT t.specimen_id, fid, bx-ax AS ux, by_-ay AS uy, bz-az AS uz, cx-ax AS vx, cy-ay AS vy, cz-az AS vz, c0.x-ax AS wx, c0.y-ay AS wy, c0.z-az AS wz FROM t JOIN c0 USING (specimen_id)),
+d AS (SELECT specimen_id, fid, ux*ux+uy*uy+uz*uz AS uu, ux*vx+uy*vy+uz*vz AS uv, vx*vx+vy*vy+vz*vz AS vv, wx*ux+wy*uy+wz*uz AS wu, wx*vx+wy*vy+wz*vz AS wv FROM u),
+b AS (SELECT specimen_id, fid, CASE WHEN abs(uu*vv-uv*uv) <= 1e-12 THEN 0.0 ELSE (vv*wu-uv*wv)/(uu*vv-uv*uv) END AS beta, CASE WHEN abs(uu*vv-uv*uv) <= 1e-12 THEN 0.0 ELSE (uu*wv-uv*wu)/(uu*vv-uv*uv) END AS gamma FROM d)
+SELECT specimen_id, fid, {r('wa=1-beta-gamma', 'wb=beta', 'wc=gamma', digits=4)} FROM b""")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    mid = points.centroid(p, "specimen_id").select("specimen_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    tri = mesh.corners(vertices(spark, sf), bridge.faces(spark)).join(mid, "specimen_id")
+    w = g.barycentric(*(g.vector(c) for c in "pabc"))
+    return rounded(tri.select("specimen_id", "fid", *(x.alias(f"w{c}") for x, c in zip(w, "abc", strict=True))), 4)
+
+
+# --- segmentation -----------------------------------------------------------
+
+FEAT = "ft AS (SELECT specimen_id, pidx, 0 AS fidx, x AS v FROM p UNION ALL SELECT specimen_id, pidx, 1, y FROM p UNION ALL SELECT specimen_id, pidx, 2, z FROM p)"
+
+
+def features(spark, sf):
+    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("fidx"), F.col(c).alias("v")) for k, c in enumerate("xyz"))))
+    return bridge.points(spark, sf).select("specimen_id", "pidx", rows)
+
+
+@query("zscore_features", f"WITH {P}, {FEAT} SELECT specimen_id, pidx, fidx, {r('v=(v - avg(v) OVER (PARTITION BY specimen_id, fidx)) / (stddev_pop(v) OVER (PARTITION BY specimen_id, fidx) + 1e-8)')} FROM ft")
+def _(spark, sf):
+    return rounded(segmentation.z_scores(features(spark, sf)))
+
+
+@query("feature_cleaning", f"WITH {P}, {FEAT}, g AS (SELECT specimen_id, pidx, fidx, CASE WHEN v <= 0.3 THEN v END AS v FROM ft), m AS (SELECT fidx, median(v) AS m FROM g GROUP BY 1) SELECT specimen_id, pidx, fidx, {r('v=coalesce(v, m)')} FROM g JOIN m USING (fidx)")
+def _(spark, sf):
+    return rounded(segmentation.clean(features(spark, sf).withColumn("v", F.when(F.col("v") > 0.3, F.lit(float("nan"))).otherwise(F.col("v")))))
+
+
+_EF = "fd AS (SELECT lo AS src, hi AS dst, a.specimen_id, sum((a.v-b.v)*(a.v-b.v)) AS d2 FROM e JOIN ft a ON a.pidx = lo JOIN ft b ON b.pidx = hi AND b.specimen_id = a.specimen_id AND b.fidx = a.fidx GROUP BY 1, 2, 3), fe AS (SELECT src, dst, sqrt(median(d2) + 1e-12) AS df FROM fd GROUP BY 1, 2)"
+
+
+def _feature_edges(spark, sf):
+    edges = mesh.unique_edges(bridge.faces(spark)).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
+    return segmentation.edge_feature_median(features(spark, sf), edges)
+
+
+@query("edge_feature_median", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF} SELECT src, dst, {r('df')} FROM fe")
+def _(spark, sf):
+    return rounded(_feature_edges(spark, sf))
+
+
+_NS = "ns AS (SELECT node, median(df) AS sigma FROM (SELECT src AS node, df FROM fe UNION ALL SELECT dst, df FROM fe) GROUP BY 1)"
+
+
+@query("node_sigma", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS} SELECT node, {r('sigma')} FROM ns")
+def _(spark, sf):
+    return rounded(segmentation.node_sigma(_feature_edges(spark, sf)))
+
+
+_LK = "m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), ex AS (SELECT src, dst, df, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dx FROM fe JOIN m a ON a.pidx = src JOIN m b ON b.pidx = dst), lk AS (SELECT src, dst, 0.7*exp(-df*df/(i.sigma*j.sigma+1e-12)) + 0.3*exp(-dx*dx/((SELECT median(dx) FROM ex)*(SELECT median(dx) FROM ex))) AS w FROM ex JOIN ns i ON i.node = src JOIN ns j ON j.node = dst)"
+
+
+def _locus_edges(spark, sf):
+    mean = points.mean_shape(bridge.points(spark, sf))
+    ends = [mean.select(F.col("pidx").alias(n), *(F.col(c).alias(f"{n[0]}{c}") for c in "xyz")) for n in ("src", "dst")]
+    return _feature_edges(spark, sf).join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "df", g.norm(g.minus(g.vector("s"), g.vector("d"))).alias("dx"))
+
+
+@query("locus_kernel", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS}, {_LK} SELECT src, dst, {r('w')} FROM lk")
+def _(spark, sf):
+    return rounded(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7))
+
+
+def _both(edges):
+    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+_BW = "bw AS (SELECT src, dst, w FROM lk UNION ALL SELECT dst, src, w FROM lk)"
+
+
+@query("weighted_degree", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS}, {_LK}, {_BW} SELECT src, {r('degree=sum(w)')} FROM bw GROUP BY 1")
+def _(spark, sf):
+    return rounded(segmentation.weighted_degree(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7))))
+
+
+def _thirds(spark):
+    return spark.range(bridge.N_POINTS).select(F.col("id").cast("int").alias("pidx"), F.floor(F.col("id") / 7).cast("int").alias("label"))
+
+
+@query("modularity", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS}, {_LK}, {_BW}, c AS (SELECT src // 7 AS l, sum(CASE WHEN src // 7 = dst // 7 THEN w ELSE 0.0 END) AS i, sum(w) AS k FROM bw GROUP BY 1), tt AS (SELECT sum(w) AS t FROM bw) SELECT {r('modularity=sum(i/t - (k/t)*(k/t))')} FROM c, tt")
+def _(spark, sf):
+    return rounded(segmentation.modularity(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7)), _thirds(spark)))
+
+
+@query("majority_vote", f"WITH {P}, {KNN}, ed AS (SELECT DISTINCT qidx AS src, tidx AS dst FROM nn WHERE rank <= 2), v AS (SELECT src, dst % 3 AS label, count(*) AS n FROM ed GROUP BY 1, 2), w AS (SELECT src, label FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label) = 1) SELECT i::INTEGER AS pidx, coalesce(label, i % 3)::INTEGER AS label FROM range(0, 21) t(i) LEFT JOIN w ON src = i")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    edges = neighbors.k_nearest(p, p, 2, same=True).select(F.col("qidx").cast("int").alias("src"), F.col("tidx").cast("int").alias("dst"))
+    labels = spark.range(bridge.N_POINTS).select(F.col("id").cast("int").alias("pidx"), (F.col("id") % 3).cast("int").alias("label"))
+    return segmentation.majority_vote(edges, labels)
+
+
+# --- collections ------------------------------------------------------------
+
+
+@query("pair_specimens", "SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)")
+def _(spark, sf):
+    return pairing.pair(bridge.table(spark, sf, "documents").select("doc_id", "n_chars"), bridge.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("unpaired_specimens", "SELECT doc_id, n_chars FROM documents ANTI JOIN labels USING (doc_id)")
+def _(spark, sf):
+    return pairing.unpaired(bridge.table(spark, sf, "documents").select("doc_id", "n_chars"), bridge.table(spark, sf, "labels"), "doc_id")
+
+
+@query("lookup_optional", "SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    return pairing.with_optional(bridge.table(spark, sf, "documents").select("doc_id", "n_chars"), bridge.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("pair_readiness", "SELECT (SELECT count(*) FROM documents SEMI JOIN labels USING (doc_id)) AS both, (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS only_left, (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)) AS only_right")
+def _(spark, sf):
+    return pairing.readiness(bridge.table(spark, sf, "documents"), bridge.table(spark, sf, "labels"), "doc_id")
+
+
+@query("latest_complete_set", "SELECT source, max(doc_id) AS seq FROM documents WHERE lang IN ('de', 'en', 'es') GROUP BY 1 HAVING count(DISTINCT lang) = 3 ORDER BY seq DESC, source DESC LIMIT 1")
+def _(spark, sf):
+    return pairing.latest_complete(bridge.table(spark, sf, "documents"), "source", "lang", "doc_id", ["de", "en", "es"])
+
+
+@query("key_index", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS key, max(url) AS path, count(*) - 1 AS duplicates FROM pages GROUP BY 1")
+def _(spark, sf):
+    return pairing.unique_keys(bridge.table(spark, sf, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("key"), F.col("url").alias("path")), "key", "path")
+
+
+@query("key_normalize", "SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '[^/]*$') || CASE page_id % 3 WHEN 0 THEN '.PLY' WHEN 1 THEN '.mrk.json' ELSE '.fcsv' END), '(\\.(json|mrk|fcsv))+$', ''), '\\.(ply|stl|vtp|vtk|obj)$', '') AS key FROM pages")
+def _(spark, sf):
+    tail = F.when(F.col("page_id") % 3 == 0, ".PLY").when(F.col("page_id") % 3 == 1, ".mrk.json").otherwise(".fcsv")
+    return bridge.table(spark, sf, "pages").select("page_id", g.normalise_key(F.concat(F.regexp_extract("url", "[^/]*$", 0), tail)).alias("key"))
+
+
+@query("safe_name", "SELECT page_id, NOT regexp_matches(n, '[\\x00-\\x1f<>:\"/\\\\|?*]') AND NOT regexp_matches(n, '[. ]$') AND trim(n) <> '' AND upper(regexp_extract(n, '^([^.]*)', 1)) NOT IN ('CON', 'PRN', 'AUX', 'NUL') AS safe FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages)")
+def _(spark, sf):
+    return bridge.table(spark, sf, "pages").select("page_id", g.safe_name(F.regexp_extract("url", "[^/]*$", 0)).alias("safe"))
+
+
+@query("json_attributes", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def _(spark, sf):
+    return readers.json_attribute(bridge.table(spark, sf, "events"), "props", "k").select("event_id", F.col("value").alias("k"))
+
+
+@query("parameter_grid", f"WITH {P}, m AS (SELECT count(DISTINCT specimen_id) AS n FROM p), ks AS (SELECT unnest([8, 12, 15]) AS k), al AS (SELECT unnest([0.5, 0.7]) AS alpha) SELECT k::INTEGER AS k, alpha::DOUBLE AS alpha, n FROM ks, al, m")
+def _(spark, sf):
+    n = bridge.points(spark, sf).agg(F.countDistinct("specimen_id").alias("n"))
+    return segmentation.parameter_grid(spark, [8, 12, 15], [0.5, 0.7]).crossJoin(n)  # a short grid and one row
+
+
+# --- what SQL does not express ----------------------------------------------
+
+
+@query("similarity_align", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.align(p, points.mean_shape(p)))
+
+
+@query("procrustes_mean", None)
+def _(spark, sf):
+    return rounded(registration.procrustes_mean(bridge.points(spark, sf)), 4)
+
+
+@query("tps_warp", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.tps_warp(p, points.mean_shape(p).where("pidx < 12")))
+
+
+@query("biharmonic_warp", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.biharmonic_warp(p, points.mean_shape(p).where("pidx < 7"), bridge.faces(spark)))
+
+
+@query("farthest_point", None)
+def _(spark, sf):
+    return registration.farthest(bridge.points(spark, sf), 7)
+
+
+@query("target_count_sample", None)
+def _(spark, sf):
+    return registration.target_count_sample(bridge.points(spark, sf), 10)
+
+
+@query("ssm_build", None)
+def _(spark, sf):
+    _, modes, eig = shape_model.build(bridge.points(spark, sf))
+    return rounded(modes.join(eig, "mode"))
+
+
+@query("spectral_segments", None)
+def _(spark, sf):
+    return segmentation.spectral_labels(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7)), 4)
+
+
+@query("rigid_icp", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.register(p, points.mean_shape(p), "icp"))
+
+
+@query("cpd_register", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.register(p, points.mean_shape(p), "cpd"), 4)
+
+
+@query("batch_transfer", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.transfer(p, points.mean_shape(p), points.mean_shape(p).where("pidx % 3 = 0")), 4)
+
+
+@query("curvature", None)
+def _(spark, sf):
+    return rounded(mesh.curvature(vertices(spark, sf), bridge.faces(spark)), 4)
