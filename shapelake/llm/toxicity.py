@@ -189,6 +189,7 @@ def fit(
     size: int = 20_000,
     other: float = -0.5,
     cap: float = 8.0,
+    label_rows: int = 50_000,
     sample_rows: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -208,7 +209,13 @@ def fit(
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if ones in (0, n):
         return 0.0 if n == 0 else float(ones > 0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, "doc_id")
+    parts = 1 << 20
+    if n > label_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)) < int(label_rows / n * parts))
+        n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        if ones in (0, n):
+            return 0.0 if n == 0 else float(ones > 0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
     with Scratch(docs.sparkSession) as scratch:
         learned = log_odds(unit_counts(rows), ones, n - ones, prior_docs=prior_docs, least=least, z=z, least_odds=least_odds, size=size)
         found = scratch.write(learned, "lexicon").collect()  # size rows at most
@@ -220,7 +227,6 @@ def fit(
     total = sum(clean.values())
     lam, k = extreme_value([(p / max(1.0, total * 2), s) for s, p in sorted(clean.items())] or [(1e-6, cap)], other)
     lexicon = Lexicon(weight, other, lam, k)
-    parts = 1 << 20
     keep = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) < int(min(1.0, sample_rows / n) * parts)
     got = scored(rows.where(keep), lexicon, None).select("toxic", "evidence").toPandas().sort_values(["evidence", "toxic"])
     slope, bias = _logistic(got["evidence"].to_numpy(float), got["toxic"].to_numpy(float))
