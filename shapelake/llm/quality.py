@@ -68,7 +68,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     """Minimise the non-negative unbiased risk with the logistic loss.
 
     The risk of the negative class is that of the unlabelled less ``prior`` times
-    that of the positives; where it falls below zero its gradient is reversed.
+    that of the positives; where that falls below zero it counts as zero.
     """
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-2
@@ -81,7 +81,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # derivative with respect to z of each part's loss
         as_positive, p_negative, u_negative = -prior * sig(-zp) / len(p), prior * sig(zp) / len(p), sig(zu) / len(u)
-        gp, gu = (as_positive - p_negative, u_negative) if negative >= 0 else (p_negative, -u_negative)
+        gp, gu = (as_positive - p_negative, u_negative) if negative >= 0 else (as_positive, np.zeros(len(u)))
         grad = np.append(p.T @ gp + u.T @ gu + decay * weight, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * (0.5 * (1 + np.cos(np.pi * t / steps))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
