@@ -230,8 +230,10 @@ def _near(rule: Rule):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, small) -> DataFrame:
     """``pairs`` (u, v) and whether the two sets link, by the sets themselves."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = sets.join(small(ends), "node", "left_semi")  # the joins below move no others
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set")) for c in "uv")
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
@@ -292,19 +294,22 @@ def similar(
         concerned = met.select("node").distinct().join(nodes, "node").select(_or_least(F.col("least_id")).alias("wanted"))
         concerned = scratch.write(concerned.distinct(), "concerned")
         wanted = texts.join(small(concerned), _or_least(F.col("doc_id")) == F.col("wanted"), "left_semi").select("text")
-        sets = wanted.mapInArrow(_sets(rule), "node long, members array<long>, sketch binary").dropDuplicates(["node"])
-        sets = scratch.write(sets, "sets")
+        sets = scratch.write(wanted.mapInArrow(_sets(rule), "node long, members array<long>, sketch binary"), "sets")
+        rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+        if rows > distinct:  # ids that occur in several rows
+            sets = scratch.write(sets.dropDuplicates(["node"]), "distinct-sets")
 
         pairs = met.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-        tested = scratch.write(_verified(pairs, sets, rule), "tested-0")
+        tested = scratch.write(_verified(pairs, sets, rule, small), "tested-0")
         met = met.where("node <> hub").select("key", "node")  # the hub is done with: every node of the key was paired with it
         for turn in range(1, 1000):
             roots = scratch.write(connected_components(tested.where("link"), scratch), f"roots-{turn}")
-            asked = _asked(met, roots, nodes, sets, tested, rule, block)
-            pairs = scratch.write(asked.distinct(), f"asked-{turn}")
+            met = scratch.write(_open(met, roots), f"met-{turn}")
+            scratch.drop(f"met-{turn - 1}")
+            pairs = scratch.write(_asked(met, nodes, sets, tested, rule, block).distinct(), f"asked-{turn}")
             if pairs.isEmpty():
                 break
-            more = scratch.write(tested.unionByName(_verified(pairs, sets, rule)), f"tested-{turn}")
+            more = scratch.write(tested.unionByName(_verified(pairs, sets, rule, small)), f"tested-{turn}")
             scratch.drop(f"tested-{turn - 1}", f"asked-{turn}", f"roots-{turn}")
             tested = more
 
@@ -322,11 +327,17 @@ def _or_least(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(-(2**63)))
 
 
-def _asked(met: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the keys whose nodes are in several components. Others stay closed for good."""
+    now = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    return now.join(still, "key", "left_semi").select("key", "node", "root")
+
+
+def _asked(now: DataFrame, nodes: DataFrame, sets: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
     """Pairs (u, v) of nodes of one key, in different components, that may link and were not tested."""
-    now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all")).where("roots > 1")
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
     open_keys = open_keys.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / block).cast("int").alias("askers"), F.ceil(F.col("all") / block).cast("int").alias("others"))
     now = now.join(open_keys, "key").withColumn("asks", F.col("root") != F.col("main"))
     slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
