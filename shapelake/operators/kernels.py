@@ -126,14 +126,18 @@ def icp(source: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: flo
 
 
 def cpd_rigid(source: np.ndarray, target: np.ndarray, outliers: float = 0.1, rounds: int = 250, tolerance: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
-    """Coherent point drift for similarity transforms (Myronenko and Song 2010)."""
+    """Coherent point drift for similarity transforms (Myronenko and Song 2010).
+
+    Outliers are spread evenly over the target's box.
+    """
     m, n = len(source), len(target)
+    box = max(float(np.prod(np.ptp(target, axis=0))), 1e-12)
     s, r, t = 1.0, np.eye(3), np.zeros(3)
     sigma2 = ((target[:, None] - source[None]) ** 2).sum() / (3 * m * n)
     for _ in range(rounds):
         moved = s * source @ r.T + t
         p = np.exp(-((target[:, None] - moved[None]) ** 2).sum(-1) / (2 * sigma2))
-        p /= np.maximum(p.sum(1, keepdims=True) + (2 * np.pi * sigma2) ** 1.5 * outliers / (1 - outliers) * m / n, 1e-300)
+        p /= np.maximum(p.sum(1, keepdims=True) + (2 * np.pi * sigma2) ** 1.5 * outliers / (1 - outliers) * m / box, 1e-300)
         total, px, py = p.sum(), p.sum(1), p.sum(0)
         mx, my = px @ target / total, py @ source / total
         x, y = target - mx, source - my

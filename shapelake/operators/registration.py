@@ -41,7 +41,7 @@ def per_specimen(points: DataFrame, work: Callable[[np.ndarray, np.ndarray], dic
             for row in batch.itertuples(index=False):
                 got = pd.DataFrame(work(np.asarray(row.i), np.stack([row.x, row.y, row.z], 1)))
                 got.insert(0, "specimen_id", row.specimen_id)
-                parts.append(got[names])
+                parts.append(got[names].astype({"pidx": "Int32"} if "pidx" in names else {}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -164,6 +164,8 @@ POSE = "specimen_id long, scale double, r00 double, r01 double, r02 double, r10
 
 def _pose(p: np.ndarray, tp: np.ndarray, method: str) -> tuple[float, np.ndarray, np.ndarray]:
     """Template onto one specimen without using which point is which."""
+    if not np.isfinite(p).all():
+        raise ValueError("points are not finite")
     if method == "cpd":
         return kernels.cpd_rigid(tp, p)
     if method == "icp":
@@ -199,7 +201,7 @@ def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap:
 
     def work(index, p):
         try:
-            s, r, t = kernels.cpd_rigid(tp, p)
+            s, r, t = _pose(p, tp, "cpd")
             posed, marks = s * tp @ r.T + t, s * lp @ r.T + t
             near, _ = kernels.nearest(posed, p, 1)
             w, a = kernels.tps_fit(posed, p[near[:, 0]], smooth=1e-3)

@@ -25,7 +25,7 @@ def covariance(points: DataFrame) -> DataFrame:
     rows = long_form(points).groupBy("specimen_id").agg(values.alias("x")).select(F.posexplode("x").alias("i", "xi"), "x")
     pairs = rows.select("i", "xi", F.posexplode("x").alias("j", "xj")).where("i <= j")
     n = F.count(F.lit(1))
-    return pairs.groupBy("i", "j").agg(((F.sum(F.col("xi") * F.col("xj")) - F.sum("xi") * F.sum("xj") / n) / (n - 1)).alias("cov"))
+    return pairs.groupBy("i", "j").agg(F.when(n > 1, (F.sum(F.col("xi") * F.col("xj")) - F.sum("xi") * F.sum("xj") / n) / F.nullif(n - 1, F.lit(0))).alias("cov"))
 
 
 def total_variance(points: DataFrame, *by: str) -> DataFrame:
