@@ -151,3 +151,125 @@ def cpd_rigid(source: np.ndarray, target: np.ndarray, outliers: float = 0.1, rou
         if abs(before - sigma2) < tolerance * before:
             break
     return float(s), r, t
+
+
+def mode_count(eigenvalues: np.ndarray, share: float) -> int:
+    return int(np.searchsorted(np.cumsum(eigenvalues) / eigenvalues.sum(), share - 1e-12) + 1) if len(eigenvalues) else 0
+
+
+def ssm_drift(mean: np.ndarray, modes: np.ndarray, eigenvalues: np.ndarray, target: np.ndarray, outliers: float = 0.1, ridge: float = 0.01, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coherent point drift whose template bends along a shape model's modes (k x m x 3).
+
+    Each round matches softly, fits the pose to the expected targets, and then the
+    coefficients, held back by their variances. Returns the fitted points, the
+    coefficients and the scale.
+    """
+    m, n = len(mean), len(target)
+    box = max(float(np.prod(np.ptp(target, axis=0))), 1e-12)
+    b, shape = np.zeros(len(modes)), mean
+    s, r, t = 1.0, np.eye(3), target.mean(0) - mean.mean(0)
+    sigma2 = ((target[:, None] - (mean + t)[None]) ** 2).sum() / (3 * m * n)
+    for _ in range(rounds):
+        moved = s * shape @ r.T + t
+        p = np.exp(-((target[:, None] - moved[None]) ** 2).sum(-1) / (2 * sigma2))
+        p /= np.maximum(p.sum(1, keepdims=True) + (2 * np.pi * sigma2) ** 1.5 * outliers / (1 - outliers) * m / box, 1e-300)
+        weight = np.maximum(p.sum(0), 1e-12)
+        expected = (p.T @ target) / weight[:, None]
+        a, c = (weight @ shape) / weight.sum(), (weight @ expected) / weight.sum()
+        u, d, vt = np.linalg.svd((expected - c).T @ ((shape - a) * weight[:, None]))
+        sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
+        r = (u * sign) @ vt
+        s = float((d * sign).sum() / max((weight * ((shape - a) ** 2).sum(1)).sum(), 1e-300))
+        t = c - s * r @ a
+        if len(modes):
+            back = (expected - t) @ r / s - mean
+            flat, w3 = modes.reshape(len(modes), -1), np.repeat(weight, 3)
+            b = np.linalg.solve((flat * w3) @ flat.T + ridge * sigma2 / s**2 * np.diag(1 / np.maximum(eigenvalues, 1e-10)), (flat * w3) @ back.ravel())
+            shape = mean + np.tensordot(b, modes, 1)
+        moved = s * shape @ r.T + t
+        before, sigma2 = sigma2, max((p * ((target[:, None] - moved[None]) ** 2).sum(-1)).sum() / (3 * p.sum()), 1e-12)
+        if abs(before - sigma2) < tolerance * before:
+            break
+    return s * shape @ r.T + t, b, s
+
+
+def normals(points: np.ndarray, k: int) -> np.ndarray:
+    """Least principal axis of each point's ``k`` nearest, turned away from the centroid."""
+    near, _ = nearest(points, points, k)
+    around = points[near] - points[near].mean(1, keepdims=True)
+    n = np.linalg.eigh(np.einsum("pki,pkj->pij", around, around))[1][:, :, 0]
+    return n * np.where(((points - points.mean(0)) * n).sum(1) < 0, -1, 1)[:, None]
+
+
+def point_features(points: np.ndarray, n: np.ndarray, k: int, bins: int = 11) -> np.ndarray:
+    """Fast point feature histograms (Rusu 2009): angles of pairs, own and weighted by neighbours'."""
+    near, d2 = nearest(points, points, k, skip_self=True)
+    away = points[near] - points[:, None]
+    size = np.sqrt(np.maximum(d2, 1e-24))[..., None]
+    u = np.broadcast_to(n[:, None], away.shape)
+    v = np.cross(u, away / size)
+    v /= np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+    w = np.cross(u, v)
+    m = n[near]
+    angles = ((v * m).sum(-1), (u * away / size).sum(-1), np.arctan2((w * m).sum(-1), (u * m).sum(-1)) / np.pi)
+    own = np.zeros((len(points), 3 * bins))
+    for f, a in enumerate(angles):
+        cell = np.clip(((a + 1) / 2 * bins).astype(int), 0, bins - 1) + f * bins
+        np.add.at(own, (np.arange(len(points))[:, None], cell), 1.0 / max(1, near.shape[1]))
+    return own + (own[near] / size).mean(1) if near.shape[1] else own
+
+
+def ransac(source: np.ndarray, target: np.ndarray, pairs: np.ndarray, limit: float, iterations: int = 4_000, scaling: bool = False, edge: float = 0.9, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Best pose from triples of ``pairs`` (source, target indices) whose sides agree to
+    ``edge``, by the share of pairs within ``limit``; refitted to those."""
+    rng, best = np.random.default_rng(seed), (1.0, np.eye(3), target.mean(0) - source.mean(0), 0.0)
+    for _ in range(iterations):
+        pick = pairs[rng.choice(len(pairs), 3, replace=False)]
+        a, b = source[pick[:, 0]], target[pick[:, 1]]
+        da, db = (np.linalg.norm(q - np.roll(q, 1, 0), axis=1) for q in (a, b))
+        ratio = np.minimum(da, db) / np.maximum(np.maximum(da, db), 1e-12)
+        if not scaling and (ratio < edge).any():
+            continue
+        s, r, t = similarity_fit(a, b, scaling)
+        near = ((s * source[pairs[:, 0]] @ r.T + t - target[pairs[:, 1]]) ** 2).sum(1) <= limit**2
+        if near.mean() > best[3] and near.sum() >= 3:
+            kept = pairs[near]
+            best = (*similarity_fit(source[kept[:, 0]], target[kept[:, 1]], scaling), float(near.mean()))
+    return best
+
+
+def heat_signature(points: np.ndarray, faces: np.ndarray, times: int = 4, most: int = 40) -> np.ndarray:
+    """Heat kernel signature of each vertex at ``times`` scales, z-scored over the mesh."""
+    l = laplacian(points, faces)
+    area = np.full(len(points), 1e-12)
+    sides = np.cross(points[faces[:, 1]] - points[faces[:, 0]], points[faces[:, 2]] - points[faces[:, 0]])
+    for k in range(3):
+        np.add.at(area, faces[:, k], np.linalg.norm(sides, axis=1) / 6)
+    root = 1 / np.sqrt(area)
+    values, vectors = np.linalg.eigh(root[:, None] * l * root)
+    values, phi = np.maximum(values[:most], 0), (root[:, None] * vectors)[:, :most]
+    edge2 = np.median(((points[faces[:, 0]] - points[faces[:, 1]]) ** 2).sum(1))
+    out = np.stack([(phi**2) @ np.exp(-values * t) for t in np.geomspace(1, 100, times) * edge2], 1)
+    return (out - out.mean(0)) / (out.std(0) + 1e-8)
+
+
+def coherent_projection(marks: np.ndarray, onto: np.ndarray, k: int = 6, weight: float = 0.7, smooth: float = 2.0, near: float = 1e-3, most: float = np.inf) -> np.ndarray:
+    """Landmarks moved towards their closest surface points, together.
+
+    Marks already within ``near`` of the surface stay. The moves of the others are
+    smoothed over the graph of ``k`` neighbours, and none is longer than ``most``.
+    """
+    move = onto - marks
+    apart = np.linalg.norm(move, axis=1)
+    moving = apart > near
+    if not moving.any():
+        return marks.copy()
+    index, d2 = nearest(marks, marks, min(k, len(marks) - 1), skip_self=True)
+    w = np.zeros((len(marks), len(marks)))
+    sigma2 = max(np.median(d2[:, -1]) if d2.size else 1.0, 1e-12)
+    np.put_along_axis(w, index, np.exp(-d2 / (2 * sigma2)), 1)
+    w = (w + w.T) / 2
+    system = weight * np.diag(moving.astype(float)) + smooth * (np.diag(w.sum(1)) - w) + np.diag((~moving) * 1e6)
+    step = np.linalg.solve(system + 1e-9 * np.eye(len(marks)), weight * move * moving[:, None])
+    length = np.linalg.norm(step, axis=1, keepdims=True)
+    return marks + np.where(moving[:, None], step * np.minimum(1, most / np.maximum(length, 1e-12)), 0)

@@ -213,3 +213,149 @@ def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap:
             return {"pidx": [None], "x": [None], "y": [None], "z": [None], "error": [str(e)]}
 
     return per_specimen(points, work, f"{POINTS}, error string")
+
+
+def register_by_features(points: DataFrame, template: DataFrame, limit: float, *, k: int = 12, iterations: int = 4_000, fitness: float = 0.99, retries: int = 20, seed: int = 42) -> DataFrame:
+    """Pose of the template by matched point features and RANSAC, then closest points.
+
+    The first try is rigid; up to ``retries`` more allow scaling, with other
+    seeds, until the share of the template with a specimen's point within
+    ``limit`` reaches ``fitness``. The best try counts.
+    """
+    _, tp = template_arrays(template)
+    tf = kernels.point_features(tp, kernels.normals(tp, k), k)
+
+    def work(index, p):
+        try:
+            if not np.isfinite(p).all():
+                raise ValueError("points are not finite")
+            pf = kernels.point_features(p, kernels.normals(p, k), k)
+            match = ((tf[:, None] - pf[None]) ** 2).sum(-1)
+            pairs = np.stack([np.arange(len(tp)), match.argmin(1)], 1)
+            best = None
+            for n in range(1 + retries):
+                s, r, t, _ = kernels.ransac(tp, p, pairs, limit, iterations, scaling=n > 0, seed=seed + n)
+                s2, r2, t2, _ = kernels.icp(s * tp @ r.T + t, p)
+                s, r, t = s2 * s, r2 @ r, s2 * r2 @ t + t2
+                d2 = kernels.nearest(s * tp @ r.T + t, p, 1)[1][:, 0]
+                got = (float((d2 <= limit**2).mean()), -float(np.sqrt(d2.mean())), s, r, t)
+                best = got if best is None or got[:2] > best[:2] else best
+                if best[0] >= fitness:
+                    break
+            _, rmse, s, r, t = best
+            values = [s, *r.ravel(), *t, -rmse, None]
+        except (ValueError, np.linalg.LinAlgError) as e:
+            values = [*[None] * 14, str(e)]
+        return {f.split()[0]: [v] for f, v in zip(POSE.split(", ")[1:], values, strict=True)}
+
+    return per_specimen(points, work, POSE)
+
+
+def rotations(count: int, seed: int = 0) -> np.ndarray:
+    """The identity and ``count`` - 1 seeded rotations, even over all of them."""
+    q = np.random.default_rng(seed).normal(size=(count, 4))
+    q[0] = (1, 0, 0, 0)
+    w, x, y, z = (q / np.linalg.norm(q, axis=1, keepdims=True)).T
+    return np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], -1).reshape(-1, 3, 3)
+
+
+def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 24, rounds: int = 30, temperature: float = 1.0, seed: int = 0) -> DataFrame:
+    """Best of many starting rotations for each specimen, with how sure that is.
+
+    Every (specimen, rotation) is a row of its own and refined by itself, so one
+    specimen's hypotheses run side by side; scores meet in one aggregate. A score
+    is minus the mean squared distance over the template's own scale; ``margin``
+    is the gap to the second best, ``entropy`` that of the softmax over scores.
+    """
+    _, tp = template_arrays(template)
+    turns, spread = rotations(hypotheses, seed), float(((tp - tp.mean(0)) ** 2).sum(1).mean())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                p = np.stack([row.x, row.y, row.z], 1)
+                start = (tp - tp.mean(0)) @ turns[row.h].T + p.mean(0)
+                _, _, _, rms = kernels.icp(start, p, rounds)
+                back = kernels.nearest(p, start, 1)[1].mean()
+                out.append((row.specimen_id, row.h, -(rms**2 + 0.1 * back) / spread))
+            yield pd.DataFrame(out, columns=["specimen_id", "h", "score"])
+
+    rows = shapes(points).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    scores = rows.repartition("specimen_id", "h").mapInPandas(run, "specimen_id long, h int, score double")
+    top = scores.groupBy("specimen_id").agg(F.max(F.struct("score", (-F.col("h")).alias("neg"))).alias("best"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("two"), F.collect_list("score").alias("all"))
+    weights = F.transform("all", lambda s: F.exp((s - F.col("best.score")) / temperature))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    entropy = -F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.when(w > 0, w / total * F.log(w / total)).otherwise(0.0))
+    return top.select("specimen_id", (-F.col("best.neg")).alias("hypothesis"), F.col("best.score").alias("score"), (F.col("two")[0] - F.get("two", F.lit(1))).alias("margin"), entropy.alias("entropy"))
+
+
+def fit_model(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: DataFrame, share: float = 0.95, most: int = 10) -> DataFrame:
+    """A shape model bent and posed onto each specimen without correspondence:
+    fitted positions of the model's landmarks."""
+    mi, mp = template_arrays(mean)
+    values = np.array([r["v"] for r in eigenvalues.orderBy("mode").limit(MOST_POINTS).collect()])
+    table = modes.toPandas().sort_values(["mode", "pidx"])[["x", "y", "z"]].to_numpy().reshape(len(values), len(mi), 3)
+    k = min(most, kernels.mode_count(values, share))
+
+    def work(index, p):
+        return _placed(mi, kernels.ssm_drift(mp, table[:k], values[:k], p)[0])
+
+    return per_specimen(points, work, POINTS)
+
+
+def dense_correspondence(points: DataFrame, landmarks: list[int], base: DataFrame) -> DataFrame:
+    """For each vertex of ``base`` (one shape) the specimen's vertex that lies nearest
+    after a spline takes the specimen's landmarks to the base's."""
+    warped = tps_warp(points, base.where(F.col("pidx").isin(landmarks)))
+    ids = points.select("specimen_id").distinct()
+    everywhere = ids.crossJoin(base.select("pidx", "x", "y", "z"))  # one shape for each specimen: what the result holds
+    return k_nearest(everywhere, warped, 1).select("specimen_id", F.col("qidx").alias("pidx"), F.col("tidx").alias("vid"), "d2")
+
+
+def heat_signatures(points: DataFrame, faces: DataFrame, times: int = 4) -> DataFrame:
+    """Heat kernel signature of each landmark: fidx is the time scale."""
+    f = faces.select("a", "b", "c").toPandas().to_numpy()  # one topology
+
+    def work(index, p):
+        v = kernels.heat_signature(p, np.searchsorted(index, f), times)
+        return {"pidx": np.repeat(index, times).astype(np.int32), "fidx": np.tile(np.arange(times), len(index)), "v": v.ravel()}
+
+    return per_specimen(points, work, "specimen_id long, pidx int, fidx int, v double")
+
+
+def project(points: DataFrame, onto: DataFrame, **how) -> DataFrame:
+    """Landmarks moved coherently to their closest surface points (specimen_id, pidx, x, y, z)."""
+    near = onto.select("specimen_id", F.col("pidx").cast("int").alias("pidx"), *(F.col(c).alias(f"s{c}") for c in "xyz"))
+    rows = points.join(near, ["specimen_id", "pidx"]).groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("pidx", "x", "y", "z", "sx", "sy", "sz"))).alias("m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for row in batch.itertuples(index=False):
+                m = np.array([[r[k] for k in ("pidx", "x", "y", "z", "sx", "sy", "sz")] for r in row.m], float)
+                parts.append(pd.DataFrame({"specimen_id": row.specimen_id, **_placed(m[:, 0], kernels.coherent_projection(m[:, 1:4], m[:, 4:7], **how))}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return rows.mapInPandas(run, POINTS)
+
+
+def voxel_size_for(points: DataFrame, target: int, tolerance: float = 0.02, rounds: int = 40) -> tuple[float, int]:
+    """The voxel size of one cloud whose number of occupied cells is nearest to ``target``.
+
+    Each round counts cells by one aggregate; one number comes back.
+    """
+    from .points import bounds, voxel_count
+
+    box = bounds(points).first()
+    low = tuple(box[f"min_{c}"] for c in "xyz")
+    small, large, best = 1e-9 * box["diagonal"], box["diagonal"], (float("inf"), 0.0, 0)
+    for _ in range(rounds):
+        size = (small * large) ** 0.5
+        n = voxel_count(points, size, origin=low).first()["n_voxels"]
+        best = min(best, (abs(n - target), size, n))
+        if best[0] <= tolerance * target:
+            break
+        small, large = (size, large) if n > target else (small, size)
+    return best[1], best[2]

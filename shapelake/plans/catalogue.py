@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import mesh, neighbors, pairing, points, registration, segmentation, shape_model
+from ..operators import mesh, neighbors, pairing, points, registration, segmentation, shape_model, surfaces
 from ..sources import bridge, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,6 +521,43 @@ def _(spark, sf):
     return segmentation.parameter_grid(spark, [8, 12, 15], [0.5, 0.7]).crossJoin(n)  # a short grid and one row
 
 
+_IN = "(bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az) AS uu, (bx-ax)*(cx-ax)+(by_-ay)*(cy-ay)+(bz-az)*(cz-az) AS uv, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az) AS vv, (qx-ax)*(bx-ax)+(qy-ay)*(by_-ay)+(qz-az)*(bz-az) AS wu, (qx-ax)*(cx-ax)+(qy-ay)*(cy-ay)+(qz-az)*(cz-az) AS wv"
+
+
+def _edge(i, j):
+    y = {"a": "ay", "b": "by_", "c": "cy"}
+    e = [f"({j}x-{i}x)", f"({y[j]}-{y[i]})", f"({j}z-{i}z)"]
+    s = [f"(qx-{i}x)", f"(qy-{y[i]})", f"(qz-{i}z)"]
+    t = f"least(greatest(({'+'.join(f'{a}*{b}' for a, b in zip(s, e, strict=True))})/greatest({'+'.join(f'{a}*{a}' for a in e)}, 1e-300), 0.0), 1.0)"
+    return "+".join(f"({a}-{t}*{b})*({a}-{t}*{b})" for a, b in zip(s, e, strict=True))
+
+
+_CLOSEST_SQL = f"WITH {P}, {FACES}, {TRI}, k AS (SELECT t.*, p.pidx AS qidx, 0.5*p.x AS qx, 0.5*p.y AS qy, 0.5*p.z AS qz FROM t JOIN p USING (specimen_id)), i AS (SELECT *, {_IN} FROM k), w AS (SELECT *, (vv*wu-uv*wv)/(uu*vv-uv*uv) AS beta, (uu*wv-uv*wu)/(uu*vv-uv*uv) AS gamma FROM i), d AS (SELECT specimen_id, qidx, least({_edge('a', 'b')}, {_edge('b', 'c')}, {_edge('c', 'a')}, CASE WHEN beta >= 0 AND gamma >= 0 AND beta+gamma <= 1 THEN power(qx-ax-beta*(bx-ax)-gamma*(cx-ax), 2)+power(qy-ay-beta*(by_-ay)-gamma*(cy-ay), 2)+power(qz-az-beta*(bz-az)-gamma*(cz-az), 2) END) AS d2 FROM w), m AS (SELECT specimen_id, qidx, min(d2) AS d2 FROM d GROUP BY 1, 2)"
+
+
+def _shrunk(spark, sf):
+    return points.transform(bridge.points(spark, sf), g.similarity_matrix([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], 0.5, [0.0, 0.0, 0.0]))
+
+
+@query("closest_surface_point", f"{_CLOSEST_SQL} SELECT specimen_id, qidx::BIGINT AS qidx, {r('d2')} FROM m")
+def _(spark, sf):
+    return rounded(surfaces.closest_points(_shrunk(spark, sf), vertices(spark, sf), bridge.faces(spark)).select("specimen_id", "qidx", "d2"))
+
+
+@query("surface_distance", f"{_CLOSEST_SQL} SELECT specimen_id, {r('median_distance=median(sqrt(d2))')} FROM m GROUP BY 1")
+def _(spark, sf):
+    return rounded(surfaces.surface_distance(_shrunk(spark, sf), vertices(spark, sf), bridge.faces(spark)))
+
+
+@query("coordinate_check", f"WITH {P}, {BOX}, a AS (SELECT p.specimen_id, p.pidx, min({D2}) AS d2 FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 GROUP BY 1, 2), f AS (SELECT p.specimen_id, p.pidx, min((-p.x-q.x)*(-p.x-q.x)+(-p.y-q.y)*(-p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS d2 FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 GROUP BY 1, 2), x AS (SELECT specimen_id, median(sqrt(a.d2)) / any_value(diagonal) AS ratio, median(sqrt(f.d2)) / any_value(diagonal) AS flipped_ratio FROM a JOIN f USING (specimen_id, pidx) JOIN b USING (specimen_id) GROUP BY 1) SELECT specimen_id, {r('ratio', 'flipped_ratio')}, ratio > 0.2 AS failed, ratio > 0.2 AND flipped_ratio < 0.5 * ratio AND flipped_ratio < 0.2 AS hint_lps FROM x".replace(", ratio > 0.2 AS failed, ratio > 0.2 AND flipped_ratio < 0.5 * ratio AND flipped_ratio < 0.2", ", x.ratio > 0.2 AS failed, x.ratio > 0.2 AND x.flipped_ratio < 0.5 * x.ratio AND x.flipped_ratio < 0.2"))
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    marks, rest = p.where("pidx < 7"), p.where("pidx >= 7")
+    flipped = marks.withColumn("x", -F.col("x")).withColumn("y", -F.col("y"))
+    d = [neighbors.k_nearest(m, rest, 1).select("specimen_id", F.sqrt("d2").alias("d")) for m in (marks, flipped)]
+    return rounded(points.coordinate_check(*d, points.bounds(p, "specimen_id"), 0.2))
+
+
 # --- what SQL does not express ----------------------------------------------
 
 
@@ -589,3 +626,44 @@ def _(spark, sf):
 @query("curvature", None)
 def _(spark, sf):
     return rounded(mesh.curvature(vertices(spark, sf), bridge.faces(spark)), 4)
+
+
+@query("feature_ransac", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.register_by_features(p, points.mean_shape(p), 0.2, iterations=200, retries=1), 4)
+
+
+@query("pose_search", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.pose_search(p, points.mean_shape(p), hypotheses=8, rounds=10), 4)
+
+
+@query("model_fit", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.fit_model(p, *shape_model.build(p)), 4)
+
+
+@query("dense_correspondence", None)
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(registration.dense_correspondence(p, list(range(0, 21, 3)), points.mean_shape(p)), 4)
+
+
+@query("heat_signature", None)
+def _(spark, sf):
+    return rounded(registration.heat_signatures(bridge.points(spark, sf), bridge.faces(spark)), 3)
+
+
+@query("coherent_projection", None)
+def _(spark, sf):
+    v, f = vertices(spark, sf), bridge.faces(spark)
+    marks = _shrunk(spark, sf).select("specimen_id", "pidx", "x", "y", "z")
+    return rounded(registration.project(marks, surfaces.on_surface(surfaces.closest_points(marks, v, f), v, f)), 4)
+
+
+@query("cloud_normals", None)
+def _(spark, sf):
+    return rounded(surfaces.cloud_normals(bridge.points(spark, sf), 0.4), 3)

@@ -40,3 +40,19 @@ def wide_modes(modes: DataFrame, most: int = 1_000) -> DataFrame:
     names = [r[0] for r in modes.select("mode").distinct().orderBy("mode").limit(most).collect()]
     rows = modes.select("mode", coordinates).groupBy("axis").pivot("mode", names).agg(F.first("v"))
     return rows.select("axis", *(F.col(str(n)).alias(f"mode_{n}") for n in names))
+
+
+def list_models(spark: SparkSession, path: str) -> list[str]:
+    """Names of the databases under ``path``, sorted; those with a manifest."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").where("path LIKE '%/manifest/%'")
+    return sorted({r[0] for r in found.select(F.regexp_extract("path", "([^/]+)/manifest/", 1)).distinct().collect()})
+
+
+def write_segments(vertices: DataFrame, labels: DataFrame, path: str) -> None:
+    """Vertices with their labels, a folder for each segment."""
+    vertices.join(labels, ["specimen_id", "vid"]).write.partitionBy("label").mode("overwrite").parquet(path)
+
+
+def run_folder(root: str, kind: str, when: str) -> str:
+    """Where a run (``%Y_%m-%d_%H_%M_%S``) keeps results of a kind, such as atlas or alignedLMs."""
+    return f"{root}/run={when}/kind={kind}"
