@@ -1 +1 @@
-"""See the package docstring of ``shapelake``."""
+"""Column expressions."""

@@ -1 +1 @@
-"""See the package docstring of ``shapelake``."""
+"""Operators on points, meshes, models and collections."""

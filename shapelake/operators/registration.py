@@ -307,10 +307,16 @@ def fit_model(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues:
 def dense_correspondence(points: DataFrame, landmarks: list[int], base: DataFrame) -> DataFrame:
     """For each vertex of ``base`` (one shape) the specimen's vertex that lies nearest
     after a spline takes the specimen's landmarks to the base's."""
-    warped = tps_warp(points, base.where(F.col("pidx").isin(landmarks)))
-    ids = points.select("specimen_id").distinct()
-    everywhere = ids.crossJoin(base.select("pidx", "x", "y", "z"))  # one shape for each specimen: what the result holds
-    return k_nearest(everywhere, warped, 1).select("specimen_id", F.col("qidx").alias("pidx"), F.col("tidx").alias("vid"), "d2")
+    bi, bp = template_arrays(base)
+    fixed = np.isin(bi, landmarks)
+
+    def work(index, p):
+        at, to = np.isin(index, bi[fixed]), np.isin(bi, index) & fixed
+        w, a = kernels.tps_fit(p[at], bp[to])
+        near, d2 = kernels.nearest(bp, kernels.tps_apply(p, p[at], w, a), 1)
+        return {"pidx": bi.astype(np.int32), "vid": index[near[:, 0]], "d2": d2[:, 0]}
+
+    return per_specimen(points, work, "specimen_id long, pidx int, vid long, d2 double")
 
 
 def heat_signatures(points: DataFrame, faces: DataFrame, times: int = 4) -> DataFrame:

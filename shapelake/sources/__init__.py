@@ -1 +1 @@
-"""See the package docstring of ``shapelake``."""
+"""Readers, stores, and the bridge to the given tables."""

@@ -1 +1 @@
-"""See the package docstring of ``shapelake``."""
+"""Running results over arriving specimens."""
