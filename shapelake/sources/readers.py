@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import struct
+import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 MARKUPS = "markups array<struct<coordinateSystem: string, controlPoints: array<struct<label: string, description: string, position: array<double>>>>>"
-MESH_SUFFIXES = ("ply", "stl", "vtk", "obj")
+MESH_SUFFIXES = ("ply", "stl", "vtk", "vtp", "obj")
 
 
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -133,9 +136,57 @@ def _vtk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return v, _fan(polygons)
 
 
+_VTP_TYPES = {"Float32": "f4", "Float64": "f8", "Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Int64": "i8", "UInt64": "u8"}
+
+
+def _vtp(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """XML PolyData with its arrays as text, base64 or appended, stored or deflated."""
+    raw = re.search(rb"<AppendedData[^>]*encoding=\"(raw|base64)\"[^>]*>\s*_", data)
+    tail = data[raw.end() :] if raw else b""
+    if raw:
+        data = data[: raw.start()] + b"</VTKFile>"
+    root = ET.fromstring(data)
+    order = "<" if root.get("byte_order", "LittleEndian") == "LittleEndian" else ">"
+    head = np.dtype(order + _VTP_TYPES[root.get("header_type", "UInt32")])
+    packed = root.get("compressor") is not None
+
+    def plain(source: bytes, coded: bool) -> bytes:
+        """Bytes behind a header: one size, or block counts and sizes if deflated."""
+        take = lambda n: base64.b64decode(source[: -(-n // 3) * 4])[:n] if coded else source[:n]
+        if not packed:
+            n = int(np.frombuffer(take(head.itemsize), head)[0])
+            return take(head.itemsize + n)[head.itemsize :]
+        blocks = int(np.frombuffer(take(head.itemsize), head)[0])
+        lead = (3 + blocks) * head.itemsize
+        sizes = np.frombuffer(take(lead), head)[3:].astype(int)
+        skip = -(-lead // 3) * 4 if coded else lead  # the header is coded by itself
+        body = base64.b64decode(source[skip : skip + -(-int(sizes.sum()) // 3) * 4]) if coded else source[skip : skip + int(sizes.sum())]
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        return b"".join(zlib.decompress(body[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def values(node) -> np.ndarray:
+        if node is None:
+            return np.zeros(0)
+        kind = np.dtype(order + _VTP_TYPES[node.get("type")])
+        if node.get("format") == "ascii":
+            return np.array((node.text or "").split(), kind.newbyteorder("="))
+        if node.get("format") == "appended":
+            return np.frombuffer(plain(tail[int(node.get("offset")) :], raw[1] == b"base64"), kind)
+        return np.frombuffer(plain("".join((node.text or "").split()).encode(), True), kind)
+
+    v, polygons = [], []
+    for piece in root.iter("Piece"):
+        points = values(piece.find("Points/DataArray")).astype(float).reshape(-1, 3)
+        link, ends = (values(piece.find(f"Polys/DataArray[@Name='{n}']")).astype(int).tolist() for n in ("connectivity", "offsets"))
+        at = sum(map(len, v))
+        polygons += [[at + k for k in link[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        v.append(points)
+    return np.concatenate(v) if v else np.zeros((0, 3)), _fan(polygons)
+
+
 def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(key, vid, x, y, z) and (key, fid, a, b, c) of PLY, OBJ, STL and ASCII VTK files; polygons as fans of triangles."""
-    parsers = {"ply": _ply, "obj": _obj, "stl": _stl, "vtk": _vtk}
+    """(key, vid, x, y, z) and (key, fid, a, b, c) of PLY, OBJ, STL, ASCII VTK and VTP files; polygons as fans of triangles."""
+    parsers = {"ply": _ply, "obj": _obj, "stl": _stl, "vtk": _vtk, "vtp": _vtp}
 
     def parse(part: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

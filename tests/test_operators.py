@@ -1,7 +1,9 @@
 """Operators and readers by what must hold of their results."""
 
+import base64
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -200,9 +202,28 @@ def test_mesh_files(spark, tmp_path):
     (tmp_path / "c.obj").write_text("\n".join("v " + " ".join(map(str, p)) for p in v) + "\nf 1/1 2/1 3/1\nf -4 -2 -1\n")
     (tmp_path / "d.stl").write_bytes(b"\0" * 80 + struct.pack("<I", 2) + b"".join(struct.pack("<12fH", 0, 0, 0, *v[a], *v[b], *v[c], 0) for a, b, c in f))
     (tmp_path / "e.vtk").write_text("# vtk DataFile Version 3.0\nx\nASCII\nDATASET POLYDATA\nPOINTS 4 float\n" + "\n".join(" ".join(map(str, p)) for p in v) + "\nPOLYGONS 1 5\n4 0 1 2 3\n")
+    link, ends = np.array([0, 1, 2, 3], "<i8"), np.array([4], "<i8")
+    arrays_of = [("Float32", "", np.array(v, "<f4")), ("Int64", "connectivity", link), ("Int64", "offsets", ends)]
+
+    def vtp(form, packed, coded):
+        parts, tail = [], b""
+        for kind, name, values in arrays_of:
+            body = values.tobytes()
+            block = zlib.compress(body)
+            lead = struct.pack("<4I", 1, len(body), 0, len(block)) if packed else struct.pack("<I", len(body))
+            whole = (base64.b64encode(lead) + base64.b64encode(block) if packed else base64.b64encode(lead + body)) if coded else lead + (block if packed else body)
+            text = " ".join(map(str, values.ravel())) if form == "ascii" else whole.decode() if form == "binary" else ""
+            parts.append(f'<DataArray type="{kind}" Name="{name}" format="{form}" offset="{len(tail)}">{text}</DataArray>')
+            tail += whole if form == "appended" else b""
+        end = b'<AppendedData encoding="' + (b"base64" if coded else b"raw") + b'">_' + tail + b"</AppendedData></VTKFile>" if form == "appended" else b"</VTKFile>"
+        extra = ' compressor="vtkZLibDataCompressor"' if packed else ""
+        return f'<VTKFile type="PolyData" byte_order="LittleEndian" header_type="UInt32"{extra}><PolyData><Piece><Points>{parts[0]}</Points><Polys>{parts[1]}{parts[2]}</Polys></Piece></PolyData>'.encode() + end
+
+    for name, how in {"f": ("ascii", False, True), "g": ("binary", False, True), "h": ("binary", True, True), "i": ("appended", True, False), "j": ("appended", False, True)}.items():
+        (tmp_path / f"{name}.vtp").write_bytes(vtp(*how))
     vs, fs = readers.read_meshes(spark, str(tmp_path))
     tri = mesh.non_degenerate(vs.withColumnRenamed("key", "specimen_id"), fs.withColumnRenamed("key", "specimen_id"))
-    assert {r.specimen_id: r["count"] for r in tri.groupBy("specimen_id").count().collect()} == dict.fromkeys("abcde", 2)
+    assert {r.specimen_id: r["count"] for r in tri.groupBy("specimen_id").count().collect()} == dict.fromkeys("abcdefghij", 2)
 
 
 def test_names_and_transforms(spark):
