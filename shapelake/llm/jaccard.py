@@ -143,27 +143,78 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _keyed(rule: Rule):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies that one task reads give their keys once
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, sketches, keys = [], [], [], []
                 for text in part.column(1):
                     hashes = shingles(text.as_py(), rule.words)
+                    node = int(_signed(np.array([fingerprint(hashes)], _U))[0]) if len(hashes) else None
+                    fresh = node is not None and node not in seen
+                    if fresh:
+                        seen.add(node)
+                    if len(seen) > 500_000:
+                        seen.clear()
                     sizes.append(len(hashes))
-                    nodes.append(_signed(np.array([fingerprint(hashes)], _U))[0] if len(hashes) else None)
-                    keys.append(_signed(piece_keys(hashes, rule)) if len(hashes) else np.zeros(0, np.int64))
+                    nodes.append(node)
+                    sketches.append(parity_sketch(hashes) if fresh else None)
+                    keys.append(_signed(piece_keys(hashes, rule)) if fresh else np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), lists], schema=schema)
+
+    return run
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, hub) of keys that several nodes hold, from (key, node) rows
+    sorted by key. The hub is a key's first node; a key of any size streams by."""
+    last_key = last_hub = None
+    last_multi = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = (np.asarray(batch.column(k)) for k in (0, 1))
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        goes_on = last_key is not None and keys[0] == last_key
+        first = nodes[starts].copy()
+        if goes_on:
+            first[0] = last_hub
+        hubs = np.repeat(first, np.diff(np.append(starts, len(keys))))
+        multi = np.logical_or.reduceat(nodes != hubs, starts)
+        late = goes_on and not last_multi and bool(multi[0])  # its hub's own row was held back
+        if goes_on:
+            multi[0] |= last_multi
+        keep = np.repeat(multi, np.diff(np.append(starts, len(keys))))
+        out = [x[keep] for x in (keys, nodes, hubs)]
+        if late:
+            out = [np.append(x, v) for x, v in zip(out, (last_key, last_hub, last_hub), strict=True)]
+        last_key, last_hub, last_multi = keys[-1], first[-1], bool(multi[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "hub"])
+
+
+def _may_link(rule: Rule):
+    """Pairs whose sizes and parity sketches let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, un, vn = (np.asarray(batch.column(k)) for k in (0, 1, 2, 3))
+            keep = rule.den * np.minimum(un, vn) >= rule.num * np.maximum(un, vn)
+            most = rule.most_apart(un, vn)
+            for k in np.flatnonzero(keep):
+                two = _fold([batch.column(4)[k].as_py(), batch.column(5)[k].as_py()])
+                keep[k] = np.bitwise_count(two[0] ^ two[1]).sum(dtype=np.int64) <= most[k]
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
 
     return run
 
 
 def _sets(rule: Rule):
-    schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +224,7 @@ def _sets(rule: Rule):
                     ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets))))
                     nodes = _signed(np.array([fingerprint(s) for s in sets], _U))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), lists, pa.array([parity_sketch(s) for s in sets], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], schema=schema)
 
     return run
 
@@ -230,14 +281,24 @@ def _near(rule: Rule):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule, small) -> DataFrame:
-    """``pairs`` (u, v) and whether the two sets link, by the sets themselves."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = sets.join(small(ends), "node", "left_semi")  # the joins below move no others
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, rule: Rule, small, scratch: Scratch, tag: str) -> DataFrame:
+    """``pairs`` (u, v) and whether the two sets link, by the sets themselves, which
+    are made anew from one document of each node concerned."""
+    ends = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"ends-{tag}")
+    wanted = nodes.join(small(ends), "node", "left_semi").select(_or_least(F.col("least_id")).alias("wanted")).distinct()
+    wanted = scratch.write(wanted, f"wanted-{tag}")
+    found = texts.join(small(wanted), _or_least(F.col("doc_id")) == F.col("wanted"), "left_semi").select("text")
+    sets = scratch.write(found.mapInArrow(_sets(rule), "node long, members array<long>"), f"sets-{tag}")
+    rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+    if rows > distinct:  # ids that occur in several rows
+        sets = sets.dropDuplicates(["node"])
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set")) for c in "uv")
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
-    return both.select("u", "v", (rule.den * shared >= rule.num * (F.size("u_set") + F.size("v_set") - shared)).alias("link"))
+    both = both.select("u", "v", (rule.den * shared >= rule.num * (F.size("u_set") + F.size("v_set") - shared)).alias("link"))
+    both = scratch.write(both, f"tested-{tag}")
+    scratch.drop(f"ends-{tag}", f"wanted-{tag}", f"sets-{tag}")
+    return both
 
 
 def similar(
@@ -255,11 +316,12 @@ def similar(
     Two documents link when 100 * intersection >= percent * union of their sets
     of shingles. ``component_id`` is the smallest id that links lead to.
 
-    1. One pass over the texts gives each document its set's size, fingerprint
-       and piece keys. Documents of one fingerprint are one node from here on.
-    2. Keys that several nodes hold are kept, and each node of a key is paired
-       with the key's smallest node: as many pairs as rows, however hot the key.
-    3. Pairs are verified with the sets of the nodes concerned.
+    1. One pass over the texts gives each document its set's size, fingerprint,
+       parity sketch and piece keys. Documents of one fingerprint are one node from
+       here on, and copies that one task reads give their keys once.
+    2. Rows of a key stream by in order. Each node of a key that several hold is
+       paired with the key's first: as many pairs as rows, however hot the key.
+    3. Pairs that sizes and sketches let pass are verified by the sets.
     4. Where other nodes of a key are still in different components, those outside
        the largest one are compared with all of the key's, in blocks, by parity
        sketches. What may link is verified; this is repeated until nothing new
@@ -278,39 +340,30 @@ def similar(
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
     with Scratch(spark) as scratch:
-        keyed = scratch.write(texts.mapInArrow(_keyed(rule), "doc_id long, n_shingles long, node long, keys array<long>"), "keyed")
-        nodes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+        keyed = scratch.write(texts.mapInArrow(_keyed(rule), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"), "keyed")
+        nodes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch"))
         nodes = scratch.write(nodes, "nodes")
-
-        held = keyed.select(F.explode("keys").alias("key"), "node")
-        shared = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-        shared = scratch.write(shared, "shared")
-        met = held.join(small(shared), "key").select("key", "node", "hub").distinct()
-        met = scratch.write(met, "met")
+        held = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+        met = scratch.write(held.mapInArrow(_meeting, "key long, node long, hub long"), "met-0")
         kept = scratch.keep(keyed.select("doc_id", "n_shingles", "node"), "docs")
-        scratch.drop("keyed", "shared")
-
-        # Sets of the nodes that meet others, from the text of one document each.
-        concerned = met.select("node").distinct().join(nodes, "node").select(_or_least(F.col("least_id")).alias("wanted"))
-        concerned = scratch.write(concerned.distinct(), "concerned")
-        wanted = texts.join(small(concerned), _or_least(F.col("doc_id")) == F.col("wanted"), "left_semi").select("text")
-        sets = scratch.write(wanted.mapInArrow(_sets(rule), "node long, members array<long>, sketch binary"), "sets")
-        rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
-        if rows > distinct:  # ids that occur in several rows
-            sets = scratch.write(sets.dropDuplicates(["node"]), "distinct-sets")
-
-        pairs = met.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-        tested = scratch.write(_verified(pairs, sets, rule, small), "tested-0")
+        scratch.drop("keyed")
+
+        pairs = met.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        for c in "uv":
+            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")), c)
+        pairs = pairs.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(_may_link(rule), "u long, v long")
+        pairs = scratch.write(pairs, "pairs")
+        tested = _verified(pairs, texts, nodes, rule, small, scratch, "0")
         met = met.where("node <> hub").select("key", "node")  # the hub is done with: every node of the key was paired with it
         for turn in range(1, 1000):
             roots = scratch.write(connected_components(tested.where("link"), scratch), f"roots-{turn}")
             met = scratch.write(_open(met, roots), f"met-{turn}")
             scratch.drop(f"met-{turn - 1}")
-            pairs = scratch.write(_asked(met, nodes, sets, tested, rule, block).distinct(), f"asked-{turn}")
+            pairs = scratch.write(_asked(met, nodes, tested, rule, block).distinct(), f"asked-{turn}")
             if pairs.isEmpty():
                 break
-            more = scratch.write(tested.unionByName(_verified(pairs, sets, rule, small)), f"tested-{turn}")
-            scratch.drop(f"tested-{turn - 1}", f"asked-{turn}", f"roots-{turn}")
+            more = scratch.write(tested.unionByName(_verified(pairs, texts, nodes, rule, small, scratch, f"{turn}")), f"all-tested-{turn}")
+            scratch.drop(f"tested-{turn}", f"all-tested-{turn - 1}", f"asked-{turn}", f"roots-{turn}")
             tested = more
 
         # Only nodes with copies or links can have another id than their own.
@@ -334,7 +387,7 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
     return now.join(still, "key", "left_semi").select("key", "node", "root")
 
 
-def _asked(now: DataFrame, nodes: DataFrame, sets: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
+def _asked(now: DataFrame, nodes: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
     """Pairs (u, v) of nodes of one key, in different components, that may link and were not tested."""
     parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
@@ -348,7 +401,7 @@ def _asked(now: DataFrame, nodes: DataFrame, sets: DataFrame, tested: DataFrame,
     failed = tested.where("NOT link")
     failed = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v"), "link")).groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("failed"))
     rows = asking.join(failed, "node", "left").unionByName(asked.withColumn("failed", F.lit(None).cast("array<long>")))
-    rows = rows.join(nodes.select("node", "n"), "node").join(sets.select("node", "sketch"), "node")
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("asks"), "node")
     return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(rule), "u long, v long")
 

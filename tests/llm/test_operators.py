@@ -430,3 +430,17 @@ def test_tiff_digest(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
     assert got[4].asDict() | {"doc_id": 0} == got[6].asDict() | {"doc_id": 0}
     assert tiff.digest(tiff.texts_to_tiff(documents(spark, []))).count() == 0
+
+
+def test_keys_that_meet_stream_by_in_batches_of_any_size():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for size in (1, 2, 3, 7, 100):
+        rows = sorted((rng.randrange(12), rng.randrange(4)) for _ in range(60))
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[k : k + size]], pa.int64()) for c in (0, 1)], names=["key", "node"]) for k in range(0, len(rows), size)]
+        got = {tuple(r.values()) for b in jaccard._meeting(iter(batches)) for r in b.to_pylist()}
+        nodes = {}
+        for key, node in rows:
+            nodes.setdefault(key, []).append(node)
+        assert got == {(key, n, of[0]) for key, of in nodes.items() if len(set(of)) > 1 for n in of}
