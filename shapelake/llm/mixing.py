@@ -58,7 +58,7 @@ def mix(
     id: buckets below a threshold are taken once more whole, and those of the
     one bucket at the threshold by the part that is still missing. Only counts
     for each source and bucket are gathered, so a hot source costs no more than
-    others.
+    others; ranking the sources takes one row for each of them to one task.
 
     Returns id, size, source, source_size, target, repeats (whole), part (0 to 1,
     the fractional repetition) and taken (words, repeats counted).
