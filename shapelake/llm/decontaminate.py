@@ -8,6 +8,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Tokens are runs of letters, marks and digits, in lower case.
 NOT_TOKEN = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -98,10 +100,13 @@ def overlaps(
     return held.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("p").alias("first_token"), (F.max("p") + span).alias("end_token"), F.min("subs").alias("fewest_subs"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000, **how) -> DataFrame:
     """``docs`` without the documents that :func:`overlaps` finds; all columns are kept.
 
     Rows that share the id of such a document go with it, null ids too.
     """
     found = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("__found_id")).distinct()
+    found = Scratch(docs.sparkSession).keep(found, "contaminated")
+    if found.count() <= broadcast_ids:  # else the same join shuffles
+        found = F.broadcast(found)
     return docs.join(found, docs[id_col].eqNullSafe(found["__found_id"]), "left_anti")

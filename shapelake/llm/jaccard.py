@@ -229,29 +229,27 @@ def _sets(rule: Rule):
     return run
 
 
-def _block(rule: Rule, nodes, roots, sizes, asks, sketches: list[bytes], failed: list) -> list[tuple[int, int]]:
-    """Pairs within one block of a key that may link, as a forest: no pair is
-    named whose ends other named pairs already connect."""
-    if len(set(roots)) < 2:
-        return []
-    words, parent, out = _fold(sketches), {}, []
+#: Untested pairs that a node asks for in one block and turn, nearest first.
+TRIES = 8
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
+def _block(rule: Rule, nodes, roots, sizes, asks, sketches: list[bytes], failed: list) -> set[tuple[int, int]]:
+    """Pairs within one block of a key that may link: for each node that asks, the
+    nearest of those in other components that were not tested. Others wait for
+    the next turn, when most are in one component."""
+    if len(set(roots)) < 2:
+        return set()
+    words, out = _fold(sketches), set()
     for i in np.flatnonzero(asks):
         fits = (rule.den * np.minimum(sizes, sizes[i]) >= rule.num * np.maximum(sizes, sizes[i])) & (roots != roots[i])
-        if not fits.any():
-            continue
-        apart = np.bitwise_count(words ^ words[i]).sum(1, dtype=np.int64)
-        for j in np.flatnonzero(fits & (apart <= rule.most_apart(sizes, sizes[i]))):
-            a, b = find(int(roots[i])), find(int(roots[j]))
-            if a != b and (failed[i] is None or int(nodes[j]) not in failed[i]):
-                parent[a] = b
-                out.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+        if failed[i] is not None:
+            fits &= ~np.isin(nodes, failed[i])
+        if fits.any():
+            at = np.flatnonzero(fits)
+            apart = np.bitwise_count(words[at] ^ words[i]).sum(1, dtype=np.int64)
+            near = apart <= rule.most_apart(sizes[at], sizes[i])
+            for j in at[near][np.argsort(apart[near], kind="stable")[:TRIES]]:
+                out.add((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
     return out
 
 
@@ -261,10 +259,11 @@ def _near(rule: Rule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def blocks(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
             nodes, roots, sizes, asks = (rows[c].to_numpy() for c in ("node", "root", "n", "asks"))
-            sketches, failed, out = rows["sketch"].tolist(), [None if x is None else set(x) for x in rows["failed"]], set()
+            sketches, failed, out = rows["sketch"].tolist(), [None if x is None else np.asarray(x) for x in rows["failed"]], []
+            keys = rows["key"].to_numpy()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out.update(_block(rule, nodes[a:b], roots[a:b], sizes[a:b], asks[a:b], sketches[a:b], failed[a:b]))
-            return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+                out += [(int(keys[a]), u, v) for u, v in _block(rule, nodes[a:b], roots[a:b], sizes[a:b], asks[a:b], sketches[a:b], failed[a:b])]
+            return pd.DataFrame(out, columns=["key", "u", "v"], dtype="int64")
 
         rest = None
         for batch in batches:
@@ -358,12 +357,15 @@ def similar(
         for turn in range(1, 1000):
             roots = scratch.write(connected_components(tested.where("link"), scratch), f"roots-{turn}")
             met = scratch.write(_open(met, roots), f"met-{turn}")
-            scratch.drop(f"met-{turn - 1}")
-            pairs = scratch.write(_asked(met, nodes, tested, rule, block).distinct(), f"asked-{turn}")
-            if pairs.isEmpty():
+            scratch.drop(f"met-{turn - 1}", f"asked-{turn - 1}")
+            asked = scratch.write(_asked(met, nodes, tested, rule, block), f"asked-{turn}")
+            if asked.isEmpty():
                 break
+            # A key that asks nothing has no pair left that may link: components only grow.
+            met = met.join(asked.select("key").distinct(), "key", "left_semi")
+            pairs = scratch.write(asked.select("u", "v").distinct(), f"pairs-{turn}")
             more = scratch.write(tested.unionByName(_verified(pairs, texts, nodes, rule, small, scratch, f"{turn}")), f"all-tested-{turn}")
-            scratch.drop(f"tested-{turn}", f"all-tested-{turn - 1}", f"asked-{turn}", f"roots-{turn}")
+            scratch.drop(f"tested-{turn}", f"all-tested-{turn - 1}", f"pairs-{turn}", f"roots-{turn}")
             tested = more
 
         # Only nodes with copies or links can have another id than their own.
@@ -388,7 +390,7 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _asked(now: DataFrame, nodes: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
-    """Pairs (u, v) of nodes of one key, in different components, that may link and were not tested."""
+    """Pairs (u, v) of nodes of one key, in different components, that may link and were not tested, with the key."""
     parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
     open_keys = open_keys.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / block).cast("int").alias("askers"), F.ceil(F.col("all") / block).cast("int").alias("others"))
@@ -403,15 +405,19 @@ def _asked(now: DataFrame, nodes: DataFrame, tested: DataFrame, rule: Rule, bloc
     rows = asking.join(failed, "node", "left").unionByName(asked.withColumn("failed", F.lit(None).cast("array<long>")))
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("asks"), "node")
-    return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(rule), "u long, v long")
+    return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(rule), "key long, u long, v long")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **how) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the smallest.
 
     All columns are kept. Documents without words stay. Rows that share the kept
     id stay together, and null ids stay only where their component has no other.
     """
-    found = similar(docs, id_col=id_col, text_col=text_col, **how)
+    found = similar(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how)
     dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__dropped_id")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    dropped = scratch.keep(dropped, "dropped")
+    if dropped.count() <= broadcast_rows:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["__dropped_id"]), "left_anti")
