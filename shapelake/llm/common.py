@@ -97,3 +97,38 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for path in self.paths:
             delete(self.spark, path)
+
+
+def text_hash(text: Column) -> Column:
+    """64 bits that stand for a row's whole text."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, *, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, text_hash) names; all columns are kept.
+
+    An id that one row has is enough to drop it. Rows whose id is null or that of
+    several rows are told apart by their texts, so each row's own decision counts
+    whatever shares its id. Broadcasts are of at most ``broadcast_rows`` rows;
+    beyond that the same joins shuffle.
+    """
+    scratch = Scratch(docs.sparkSession)
+    own = F.col(id_col).cast(gone.schema["doc_id"].dataType)
+
+    def small(df: DataFrame) -> tuple[DataFrame, int]:
+        n = df.count()
+        return (F.broadcast(df) if n <= broadcast_rows else df), n
+
+    gone = scratch.keep(gone.select("doc_id", "text_hash").distinct(), "gone")
+    ids = gone.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    repeated = docs.select(own.alias("doc_id")).join(small(ids)[0], "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    repeated = scratch.keep(repeated, "gone-repeated")
+    alone, n_alone = small(scratch.keep(ids.join(small(repeated)[0], "doc_id", "left_anti").select(F.col("doc_id").alias("__gone_id")), "gone-ids"))
+    shared = gone.where("doc_id IS NULL").unionByName(gone.join(small(repeated)[0], "doc_id", "left_semi"))
+    shared, n_shared = small(scratch.keep(shared.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")), "gone-texts"))
+    out = docs
+    if n_alone:
+        out = out.join(alone, own == alone["__gone_id"], "left_anti")
+    if n_shared:
+        out = out.join(shared, own.eqNullSafe(shared["__gone_id"]) & (text_hash(F.col(text_col)) == shared["__gone_text"]), "left_anti")
+    return out

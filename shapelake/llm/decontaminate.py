@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import text_hash, without
 
 #: Tokens are runs of letters, marks and digits, in lower case.
 NOT_TOKEN = r"[^\p{L}\p{M}\p{N}]+"
@@ -71,6 +71,14 @@ def overlaps(
     windows and give no row. Rows of one doc_id (null is one) or one item_id
     count together. An empty table gives no rows. Other columns are ignored.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("tokens"))
+    held = _held(rows, benchmark, span, blocks, max_subs, broadcast_rows, item_col, item_text_col)
+    return held.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("p").alias("first_token"), (F.max("p") + span).alias("end_token"), F.min("subs").alias("fewest_subs"))
+
+
+def _held(rows: DataFrame, benchmark: DataFrame, span: int, blocks: int, max_subs: int, broadcast_rows: int, item_col: str, item_text_col: str) -> DataFrame:
+    """Pairs of windows that hold, with every column of ``rows`` but its ``tokens``."""
+    named = [c for c in rows.columns if c != "tokens"]
     if span % blocks or not 0 <= max_subs < blocks:
         raise ValueError("span must be a multiple of blocks, and max_subs less than blocks")
     masks = _masks(blocks, max_subs)
@@ -79,9 +87,8 @@ def overlaps(
     pieces = max(1, ceil(seeds.count() * len(masks) / broadcast_rows))
     seeds = seeds.withColumn("piece", F.pmod(F.xxhash64("item_id", "q"), F.lit(pieces)))
     seeds = seeds.select("item_id", "window", "piece", *(f"q_{b}" for b in range(blocks)), _seeds("q", masks))
-    rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("tokens"))
     rows = _windows(rows, "p", span, blocks)
-    rows = rows.select("doc_id", "tokens", "p", *(f"p_{b}" for b in range(blocks)), _seeds("p", masks))
+    rows = rows.select(*named, "tokens", "p", *(f"p_{b}" for b in range(blocks)), _seeds("p", masks))
     first = F.lit(None).cast("int")
     for m, kept in reversed(list(enumerate(masks))):
         same = F.lit(True)
@@ -95,18 +102,30 @@ def overlaps(
     for piece in range(pieces):
         hits = rows.join(F.broadcast(seeds.where(F.col("piece") == piece)), F.col("p_seed") == F.col("q_seed"))
         # Several masks can find one pair of windows; the first of them counts it.
-        hits = hits.where((F.col("p_mask") == first) & (F.col("q_mask") == first)).select("doc_id", "item_id", "p", subs.alias("subs")).where(F.col("subs") <= max_subs)
+        hits = hits.where((F.col("p_mask") == first) & (F.col("q_mask") == first)).select(*named, "item_id", "p", subs.alias("subs")).where(F.col("subs") <= max_subs)
         held = hits if held is None else held.unionByName(hits)
-    return held.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("p").alias("first_token"), (F.max("p") + span).alias("end_token"), F.min("subs").alias("fewest_subs"))
+    return held
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000, **how) -> DataFrame:
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    span: int = 12,
+    blocks: int = 4,
+    max_subs: int = 2,
+    broadcast_rows: int = 100_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_ids: int = 1_000_000,
+) -> DataFrame:
     """``docs`` without the documents that :func:`overlaps` finds; all columns are kept.
 
-    Rows that share the id of such a document go with it, null ids too.
+    Each row is decided by its own text: others that share its id, or have none
+    either, stay if they hold no window of the benchmark.
     """
-    found = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("__found_id")).distinct()
-    found = Scratch(docs.sparkSession).keep(found, "contaminated")
-    if found.count() <= broadcast_ids:  # else the same join shuffles
-        found = F.broadcast(found)
-    return docs.join(found, docs[id_col].eqNullSafe(found["__found_id"]), "left_anti")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), token_hashes(F.col(text_col)).alias("tokens"))
+    held = _held(rows, benchmark, span, blocks, max_subs, broadcast_rows, item_col, item_text_col)
+    return without(docs, held, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_ids)

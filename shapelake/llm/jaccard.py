@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_hash, without
 from .components import connected_components
 
 _U = np.uint64
@@ -143,7 +143,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _keyed(rule: Rule):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task reads give their keys once
@@ -165,7 +165,7 @@ def _keyed(rule: Rule):
                     keys.append(_signed(piece_keys(hashes, rule)) if fresh else np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), lists, part.column(2)], schema=schema)
 
     return run
 
@@ -332,19 +332,26 @@ def similar(
     component, null if there is none. Other columns are ignored. Broadcasts are
     of at most ``broadcast_rows`` numbers; beyond that the same joins shuffle.
     """
-    rule, spark = Rule(percent, 100, words), docs.sparkSession
+    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hashed=False)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str, broadcast_rows: int, block: int, hashed: bool) -> DataFrame:
+    """The rows of :func:`similar`, with the hash of each row's text if ``hashed`` (else null)."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = texts.withColumn("text_hash", text_hash(F.col("text")) if hashed else F.lit(None).cast("long"))
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
     with Scratch(spark) as scratch:
-        keyed = scratch.write(texts.mapInArrow(_keyed(rule), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"), "keyed")
+        keyed = scratch.write(rows.mapInArrow(_keyed(rule), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>, text_hash long"), "keyed")
         nodes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch"))
         nodes = scratch.write(nodes, "nodes")
         held = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
         met = scratch.write(held.mapInArrow(_meeting, "key long, node long, hub long"), "met-0")
-        kept = scratch.keep(keyed.select("doc_id", "n_shingles", "node"), "docs")
+        kept = scratch.keep(keyed.select("doc_id", "n_shingles", "node", "text_hash"), "docs")
         scratch.drop("keyed")
 
         pairs = met.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
@@ -374,7 +381,7 @@ def similar(
         named = scratch.keep(many.join(least, "root").select("node", "component"), "named")
     named = small(named)
     out = kept.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
 
 
 def _or_least(doc_id: Column) -> Column:
@@ -408,16 +415,14 @@ def _asked(now: DataFrame, nodes: DataFrame, tested: DataFrame, rule: Rule, bloc
     return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(rule), "key long, u long, v long")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 256) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the smallest.
 
-    All columns are kept. Documents without words stay. Rows that share the kept
-    id stay together, and null ids stay only where their component has no other.
+    All columns are kept. Documents without words stay. Each row is decided by
+    its own id and text: rows of one component that share the kept id stay
+    together, an id that is dropped in one component can stay in another, and
+    null ids stay only where their component has no other.
     """
-    found = similar(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how)
-    dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__dropped_id")).distinct()
-    scratch = Scratch(docs.sparkSession)
-    dropped = scratch.keep(dropped, "dropped")
-    if dropped.count() <= broadcast_rows:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["__dropped_id"]), "left_anti")
+    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hashed=True)
+    dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash")
+    return without(docs, dropped, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows)

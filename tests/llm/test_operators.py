@@ -72,6 +72,15 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.remove_contaminated(docs, items).count() == 2
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_only_contaminated_rows_go_whatever_their_ids(spark, most):
+    leak = " ".join(f"q{k}" for k in range(12))
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak), (None, "clean text"), (None, None), (4, "x " + leak), (4, "clean too"), (5, leak + " y"), (6, "clean as well"), (7, leak), (7, leak + " z")]
+    got = decontaminate.remove_contaminated(documents(spark, rows), items, broadcast_ids=most).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "clean text"), (4, "clean too"), (6, "clean as well")]
+
+
 # --- 2 and 6 ----------------------------------------------------------------
 
 
@@ -196,6 +205,16 @@ def test_jaccard_with_shuffled_joins_and_repeated_rows(spark):
     assert jaccard.similar(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_one_document_of_each_component_stays_whatever_the_ids(spark, most):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, a), (None, "alone here"), (None, None), (None, " "), (5, None), (11, c), (12, c), (12, c)]
+    docs = documents(spark, rows)
+    kept = jaccard.keep_one(docs, percent=80, words=5, broadcast_rows=most)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, " "), (0, "alone here"), (3, a), (5, ""), (5, b), (11, c)]
+
+
 def test_pieces_of_sets_within_the_threshold_always_meet():
     rng = np.random.default_rng(5)
     for num, n in ((90, 10), (90, 57), (90, 400), (80, 9), (80, 33), (80, 500), (60, 20)):
