@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 
 
@@ -16,7 +19,7 @@ def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool =
         if skip_self:
             rows = np.arange(len(d2))
             d2[rows, rows + at] = np.inf
-        order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        order = np.argmin(d2, axis=1)[:, None] if k == 1 else np.argsort(d2, axis=1, kind="stable")[:, :k]
         index[at : at + block], apart[at : at + block] = order, np.take_along_axis(d2, order, 1)
     return index, apart
 
@@ -33,6 +36,18 @@ def similarity_fit(source: np.ndarray, target: np.ndarray, scaling: bool = True)
     return scale, rotation, b - scale * rotation @ a
 
 
+def similarity_fits(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Many shapes (h x m x 3) after their least-squares similarity fits to one target."""
+    a, b = source.mean(1, keepdims=True), target.mean(0)
+    p = source - a
+    u, d, vt = np.linalg.svd((target - b).T @ p)
+    sign = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
+    u[:, :, 2] *= sign[:, None]
+    spread = (p * p).sum((1, 2))
+    scale = np.where(spread > 0, (d[:, 0] + d[:, 1] + sign * d[:, 2]) / np.where(spread > 0, spread, 1), 1.0)
+    return scale[:, None, None] * p @ np.swapaxes(u @ vt, 1, 2) + b
+
+
 def farthest_points(points: np.ndarray, count: int) -> np.ndarray:
     """Sorted indices of a greedy max-min subset that starts farthest from the centroid."""
     n = len(points)
@@ -125,6 +140,32 @@ def icp(source: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: flo
     return s, r, t, last
 
 
+def icp_many(starts: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: float = 1e-9) -> np.ndarray:
+    """Rigid point-to-point registration of many starting positions (h x m x 3) of one shape: where each ends."""
+    placed, last, live = starts.copy(), np.full(len(starts), np.inf), np.arange(len(starts))
+    for _ in range(rounds):
+        index, d2 = nearest(placed[live].reshape(-1, 3), target, 1)
+        rms = np.sqrt(d2.reshape(len(live), -1).mean(1))
+        goes = last[live] - rms >= tolerance
+        to = target[index[:, 0]].reshape(len(live), -1, 3)[goes]
+        live = live[goes]
+        last[live] = rms[goes]
+        if not len(live):
+            break
+        a, b = starts[live].mean(1, keepdims=True), to.mean(1, keepdims=True)
+        u, _, vt = np.linalg.svd(np.swapaxes(to - b, 1, 2) @ (starts[live] - a))
+        u[:, :, 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
+        placed[live] = (starts[live] - a) @ np.swapaxes(u @ vt, 1, 2) + b
+    return placed
+
+
+def pose_scores(placed: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Minus the mean squared distance to the target, and a tenth of that back, of each position (h x m x 3)."""
+    there = nearest(placed.reshape(-1, 3), target, 1)[1].reshape(len(placed), -1).mean(1)
+    back = np.array([nearest(target, q, 1)[1].mean() for q in placed])
+    return -(there + 0.1 * back)
+
+
 def cpd_rigid(source: np.ndarray, target: np.ndarray, outliers: float = 0.1, rounds: int = 250, tolerance: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
     """Coherent point drift for similarity transforms (Myronenko and Song 2010).
 
@@ -221,20 +262,40 @@ def point_features(points: np.ndarray, n: np.ndarray, k: int, bins: int = 11) ->
 
 def ransac(source: np.ndarray, target: np.ndarray, pairs: np.ndarray, limit: float, iterations: int = 4_000, scaling: bool = False, edge: float = 0.9, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray, float]:
     """Best pose from triples of ``pairs`` (source, target indices) whose sides agree to
-    ``edge``, by the share of pairs within ``limit``; refitted to those."""
-    rng, best = np.random.default_rng(seed), (1.0, np.eye(3), target.mean(0) - source.mean(0), 0.0)
-    for _ in range(iterations):
-        pick = pairs[rng.choice(len(pairs), 3, replace=False)]
-        a, b = source[pick[:, 0]], target[pick[:, 1]]
-        da, db = (np.linalg.norm(q - np.roll(q, 1, 0), axis=1) for q in (a, b))
-        ratio = np.minimum(da, db) / np.maximum(np.maximum(da, db), 1e-12)
-        if not scaling and (ratio < edge).any():
+    ``edge``, by the share of pairs within ``limit``; refitted to those.
+
+    All triples are tried if there are no more than ``iterations``, else that many random ones.
+    """
+    n, best = len(pairs), (1.0, np.eye(3), target.mean(0) - source.mean(0), 0.0)
+    if n < 3:
+        return best
+    if comb(n, 3) <= iterations:
+        triples = np.array(list(combinations(range(n), 3)))
+    else:
+        rng = np.random.default_rng(seed)
+        triples = np.stack([rng.choice(n, 3, replace=False) for _ in range(iterations)])
+    source, target = source[pairs[:, 0]], target[pairs[:, 1]]
+    wide = max(1, 1_000_000 // n)
+    for at in range(0, len(triples), wide):
+        pick = triples[at : at + wide]
+        if not scaling:
+            da, db = (np.linalg.norm(q[pick] - np.roll(q[pick], 1, 1), axis=2) for q in (source, target))
+            pick = pick[(np.minimum(da, db) / np.maximum(np.maximum(da, db), 1e-12) >= edge).all(1)]
+        if not len(pick):
             continue
-        s, r, t = similarity_fit(a, b, scaling)
-        near = ((s * source[pairs[:, 0]] @ r.T + t - target[pairs[:, 1]]) ** 2).sum(1) <= limit**2
-        if near.mean() > best[3] and near.sum() >= 3:
-            kept = pairs[near]
-            best = (*similarity_fit(source[kept[:, 0]], target[kept[:, 1]], scaling), float(near.mean()))
+        p, q = source[pick], target[pick]
+        a, b = p.mean(1, keepdims=True), q.mean(1, keepdims=True)
+        u, d, vt = np.linalg.svd(np.swapaxes(q - b, 1, 2) @ (p - a))
+        sign = np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)
+        u[:, :, 2] *= sign[:, None]
+        spread = ((p - a) ** 2).sum((1, 2))
+        s = (d[:, 0] + d[:, 1] + sign * d[:, 2]) / np.where(spread > 0, spread, 1) if scaling else np.ones(len(pick))
+        s = np.where(spread > 0, s, 1.0)[:, None, None]
+        near = ((s * ((source - a) @ np.swapaxes(u @ vt, 1, 2)) + b - target) ** 2).sum(2) <= limit**2
+        top = int(near.sum(1).argmax())
+        if near[top].mean() > best[3] and near[top].sum() >= 3:
+            kept = near[top]
+            best = (*similarity_fit(source[kept], target[kept], scaling), float(kept.mean()))
     return best
 
 

@@ -8,6 +8,7 @@ its ``error`` and does not stop the others.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -64,20 +65,45 @@ def align(points: DataFrame, template: DataFrame, scaling: bool = True) -> DataF
     return per_specimen(points, work, POINTS)
 
 
-def procrustes_mean(points: DataFrame, rounds: int = 5, tolerance: float = 1e-6) -> DataFrame:
+def _aligned_sums(ti: np.ndarray, tp: np.ndarray):
+    """Of each task, the sum of each landmark over its specimens as :func:`align` places them, and their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(tp.shape), np.zeros(len(ti), np.int64)
+        for batch in batches:
+            alike: dict[bytes, list] = {}
+            for row in batch.itertuples(index=False):
+                alike.setdefault(np.asarray(row.i, np.int64).tobytes(), []).append(np.stack([row.x, row.y, row.z], 1))
+            for key, many in alike.items():
+                at = np.searchsorted(ti, np.frombuffer(key, np.int64))
+                np.add.at(total, at, kernels.similarity_fits(np.stack(many), tp[at]).sum(0))
+                np.add.at(n, at, len(many))
+        there = np.flatnonzero(n)
+        yield pd.DataFrame({"k": there.astype(np.int32), "n": n[there], **dict(zip("xyz", total[there].T, strict=True))})
+
+    return run
+
+
+def procrustes_mean(points: DataFrame, rounds: int = 5000, tolerance: float = 1e-6) -> DataFrame:
     """Generalised Procrustes mean (Gower 1975): align to the mean, average, repeat.
 
-    A round is one pass over the specimens; only the mean shape comes back.
+    A round is one pass over the specimens; only the mean shape comes back. It is
+    an error if the mean still moves by ``tolerance`` or more after ``rounds``.
     """
     spark = points.sparkSession
     index, mean = template_arrays(mean_shape(points))
+    rows = shapes(points).persist()
     for _ in range(rounds):
-        now = spark.createDataFrame(pd.DataFrame({"pidx": index.astype(np.int32), "x": mean[:, 0], "y": mean[:, 1], "z": mean[:, 2]}))
-        _, after = template_arrays(mean_shape(align(points, now)))
+        got = rows.mapInPandas(_aligned_sums(index, mean), "k int, n long, x double, y double, z double")
+        after = np.array(sorted(tuple(r) for r in got.groupBy("k").agg(*(F.sum(c) / F.sum("n") for c in "xyz")).collect()))[:, 1:]
         after = (after - after.mean(0)) * np.linalg.norm(mean - mean.mean(0)) / max(np.linalg.norm(after - after.mean(0)), 1e-30)
         moved, mean = np.abs(after - (mean - mean.mean(0))).max(), after
         if moved < tolerance:
             break
+    else:
+        rows.unpersist()
+        raise RuntimeError(f"the mean shape has not settled within {tolerance} after {rounds} rounds")
+    rows.unpersist()
     return spark.createDataFrame(pd.DataFrame({"pidx": index.astype(np.int32), "x": mean[:, 0], "y": mean[:, 1], "z": mean[:, 2]}))
 
 
@@ -220,7 +246,8 @@ def register_by_features(points: DataFrame, template: DataFrame, limit: float, *
 
     The first try is rigid; up to ``retries`` more allow scaling, with other
     seeds, until the share of the template with a specimen's point within
-    ``limit`` reaches ``fitness``. The best try counts.
+    ``limit`` reaches ``fitness``. The best try counts. Where a try goes through all
+    triples of matches, seeds make no difference and one try with scaling is all.
     """
     _, tp = template_arrays(template)
     tf = kernels.point_features(tp, kernels.normals(tp, k), k)
@@ -233,7 +260,8 @@ def register_by_features(points: DataFrame, template: DataFrame, limit: float, *
             match = ((tf[:, None] - pf[None]) ** 2).sum(-1)
             pairs = np.stack([np.arange(len(tp)), match.argmin(1)], 1)
             best = None
-            for n in range(1 + retries):
+            tries = min(retries, 1) if comb(len(pairs), 3) <= iterations else retries
+            for n in range(1 + tries):
                 s, r, t, _ = kernels.ransac(tp, p, pairs, limit, iterations, scaling=n > 0, seed=seed + n)
                 s2, r2, t2, _ = kernels.icp(s * tp @ r.T + t, p)
                 s, r, t = s2 * s, r2 @ r, s2 * r2 @ t + t2
@@ -259,11 +287,12 @@ def rotations(count: int, seed: int = 0) -> np.ndarray:
     return np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], -1).reshape(-1, 3, 3)
 
 
-def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 24, rounds: int = 30, temperature: float = 1.0, seed: int = 0) -> DataFrame:
+def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193, rounds: int = 30, temperature: float = 1.0, seed: int = 0, block: int = 16) -> DataFrame:
     """Best of many starting rotations for each specimen, with how sure that is.
 
-    Every (specimen, rotation) is a row of its own and refined by itself, so one
-    specimen's hypotheses run side by side; scores meet in one aggregate. A score
+    Every (specimen, ``block`` of rotations) is a row of its own and each rotation is
+    refined by itself, so one specimen's hypotheses run side by side; scores meet
+    in one aggregate. No hypothesis is given up before its ``rounds``. A score
     is minus the mean squared distance over the template's own scale; ``margin``
     is the gap to the second best, ``entropy`` that of the softmax over scores.
     """
@@ -275,14 +304,15 @@ def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 24,
             out = []
             for row in batch.itertuples(index=False):
                 p = np.stack([row.x, row.y, row.z], 1)
-                start = (tp - tp.mean(0)) @ turns[row.h].T + p.mean(0)
-                _, _, _, rms = kernels.icp(start, p, rounds)
-                back = kernels.nearest(p, start, 1)[1].mean()
-                out.append((row.specimen_id, row.h, -(rms**2 + 0.1 * back) / spread))
-            yield pd.DataFrame(out, columns=["specimen_id", "h", "score"])
-
-    rows = shapes(points).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
-    scores = rows.repartition("specimen_id", "h").mapInPandas(run, "specimen_id long, h int, score double")
+                h = np.arange(row.part * block, min((row.part + 1) * block, hypotheses))
+                starts = (tp - tp.mean(0)) @ np.swapaxes(turns[h], 1, 2) + p.mean(0)
+                scores = kernels.pose_scores(kernels.icp_many(starts, p, rounds), p) / spread
+                out.append(pd.DataFrame({"specimen_id": row.specimen_id, "h": h, "score": scores}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    rows = shapes(points).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((hypotheses - 1) // block))))
+    scores = rows.repartition("specimen_id", "part").mapInPandas(run, "specimen_id long, h int, score double")
     top = scores.groupBy("specimen_id").agg(F.max(F.struct("score", (-F.col("h")).alias("neg"))).alias("best"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("two"), F.collect_list("score").alias("all"))
     weights = F.transform("all", lambda s: F.exp((s - F.col("best.score")) / temperature))
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)

@@ -631,13 +631,13 @@ def _(spark, sf):
 @query("feature_ransac", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
-    return rounded(registration.register_by_features(p, points.mean_shape(p), 0.2, iterations=200, retries=1), 4)
+    return rounded(registration.register_by_features(p, points.mean_shape(p), 0.2), 4)
 
 
 @query("pose_search", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
-    return rounded(registration.pose_search(p, points.mean_shape(p), hypotheses=8, rounds=10), 4)
+    return rounded(registration.pose_search(p, points.mean_shape(p)), 4)
 
 
 @query("model_fit", None)

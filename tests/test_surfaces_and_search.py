@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapelake.operators import kernels, registration, shape_model, surfaces
+from shapelake.operators import kernels, points, registration, shape_model, surfaces
+from shapelake.plans.catalogue import QUERIES
 from shapelake.sources import store
 
 from .test_operators import arrays, frame, turn
@@ -53,6 +54,45 @@ def test_pose_search_prefers_the_true_rotation(spark):
         assert row.score == pytest.approx(0, abs=1e-6) and row.margin >= 0 and row.entropy >= 0
 
 
+def test_pose_search_finds_rotations_that_are_no_start(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(21, 3)) * [3, 1.5, 0.6] + [0.5, 0, 0]
+    shapes = {k: base @ turn(rng).T + 1 for k in range(30)}
+    for row in registration.pose_search(frame(spark, shapes), frame(spark, {0: base})).collect():
+        assert row.score == pytest.approx(0, abs=1e-6)
+
+
+def test_searches_are_registered_with_the_operators_own_effort(spark, monkeypatch):
+    given = {}
+    for name in ("pose_search", "register_by_features", "procrustes_mean"):
+        monkeypatch.setattr(registration, name, lambda *a, name=name, **how: given.update({name: how}) or a[0])
+    for query in ("pose_search", "feature_ransac", "procrustes_mean"):
+        QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert given == {"pose_search": {}, "register_by_features": {}, "procrustes_mean": {}}
+
+
+def test_ransac_tries_every_triple_of_few_matches():
+    rng = np.random.default_rng(13)
+    p, r = rng.normal(size=(21, 3)), turn(rng)
+    q = p @ r.T + 1
+    pairs = np.stack([np.arange(21), np.concatenate((np.arange(4), rng.permutation(np.arange(4, 21))))], 1)
+    for scaling in (False, True):
+        s, found, t, share = kernels.ransac(p, q * (1 + scaling), pairs, 1e-6, scaling=scaling)
+        assert (s, share >= 4 / 21) == (pytest.approx(1 + scaling), True) and found == pytest.approx(r, abs=1e-6)
+
+
+def test_procrustes_mean_settles_or_says_that_it_has_not(spark):
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(8, 3))
+    shapes = frame(spark, {k: (base + rng.normal(size=(8, 3))) @ turn(rng).T for k in range(12)}).cache()
+    with pytest.raises(RuntimeError, match="not settled"):
+        registration.procrustes_mean(shapes, rounds=2)
+    mean = registration.procrustes_mean(shapes)
+    (_, once), (_, again) = (registration.template_arrays(m) for m in (mean, points.mean_shape(registration.align(shapes, mean))))
+    once, again = (m - m.mean(0) for m in (once, again))
+    assert again / np.linalg.norm(again) == pytest.approx(once / np.linalg.norm(once), abs=1e-5)
+
+
 def test_model_fit_recovers_a_bent_shape(spark):
     rng = np.random.default_rng(3)
     base, move = rng.normal(size=(25, 3)) * [3, 1.5, 0.6], rng.normal(size=(25, 3)) * 0.3
