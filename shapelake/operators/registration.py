@@ -218,20 +218,49 @@ def register(points: DataFrame, template: DataFrame, method: str = "icp") -> Dat
     return per_specimen(points, work, POSE)
 
 
-def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap: bool = True) -> DataFrame:
-    """Landmarks of the template predicted on each specimen: pose by coherent point
-    drift, a spline to the nearest points, then each landmark to the nearest point
-    if ``snap``. A specimen that fails has one row that says why."""
+def _global_pose(tp: np.ndarray, p: np.ndarray, turns: np.ndarray, rounds: int = 30, coarse: int = 400, finalists: int = 12) -> np.ndarray:
+    """The template where it lies best on one specimen, whatever way that is turned.
+
+    Scaled to the specimen's diagonal, it is refined from every rotation on subsets
+    of ``coarse`` points, the best ``finalists`` on all points, and the best of
+    those by coherent point drift where that brings it nearer.
+    """
+    if not np.isfinite(p).all():
+        raise ValueError("points are not finite")
+    scale = np.linalg.norm(np.ptp(p, axis=0)) / max(np.linalg.norm(np.ptp(tp, axis=0)), 1e-300)
+    few, some = kernels.farthest_points(tp, coarse), p[kernels.farthest_points(p, coarse)]
+    starts = scale * (tp - tp.mean(0)) @ np.swapaxes(turns, 1, 2) + p.mean(0)
+    placed = kernels.icp_many(starts[:, few], some, rounds)
+    best = np.argsort(-kernels.pose_scores(placed, some), kind="stable")[:finalists]
+    fits = [(starts[h], kernels.similarity_fit(starts[h][few], placed[h], False)) for h in best]
+    placed = kernels.icp_many(np.stack([s * q @ r.T + t for q, (s, r, t) in fits]), p, rounds)
+    first = placed[kernels.pose_scores(placed, p).argmax()]
+    s, r, t = kernels.cpd_rigid(first, p)
+    both = np.stack([first, s * first @ r.T + t])
+    return both[kernels.pose_scores(both, p).argmax()]
+
+
+def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap: bool = True, *, model: tuple[DataFrame, DataFrame] | None = None, share: float = 0.95, most: int = 10, hypotheses: int = 193, seed: int = 0) -> DataFrame:
+    """Landmarks of the template predicted on each specimen: its scale, the best of
+    ``hypotheses`` starting rotations, coherent point drift along the modes of
+    ``model`` (modes and eigenvalues of a shape model whose mean is the template;
+    no bending without one), a spline to the nearest points, then each landmark to
+    the nearest point if ``snap``. A specimen that fails has one row that says why."""
+    turns = rotations(hypotheses, seed)
     _, tp = template_arrays(template)
     li, lp = template_arrays(landmarks)
 
+    values, table = (np.zeros(0), np.zeros((0, len(tp), 3))) if model is None else _modes(*model, len(tp))
+    k = min(most, kernels.mode_count(values, share))
+
     def work(index, p):
         try:
-            s, r, t = _pose(p, tp, "cpd")
-            posed, marks = s * tp @ r.T + t, s * lp @ r.T + t
-            near, _ = kernels.nearest(posed, p, 1)
+            posed = _global_pose(tp, p, turns)
+            s, r, t = kernels.similarity_fit(tp, posed)
+            bent = posed if not k else s * kernels.ssm_drift(tp, table[:k], values[:k], (p - t) @ r / s)[0] @ r.T + t
+            near, _ = kernels.nearest(bent, p, 1)
             w, a = kernels.tps_fit(posed, p[near[:, 0]], smooth=1e-3)
-            marks = kernels.tps_apply(marks, posed, w, a)
+            marks = kernels.tps_apply(s * lp @ r.T + t, posed, w, a)
             if snap:
                 marks = p[kernels.nearest(marks, p, 1)[0][:, 0]]
             return {**_placed(li, marks), "error": [None] * len(li)}
@@ -320,12 +349,17 @@ def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193
     return top.select("specimen_id", (-F.col("best.neg")).alias("hypothesis"), F.col("best.score").alias("score"), (F.col("two")[0] - F.get("two", F.lit(1))).alias("margin"), entropy.alias("entropy"))
 
 
+def _modes(modes: DataFrame, eigenvalues: DataFrame, landmarks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and modes (k x m x 3) of a shape model, in order."""
+    values = np.array([r["v"] for r in eigenvalues.orderBy("mode").limit(MOST_POINTS).collect()])
+    return values, modes.toPandas().sort_values(["mode", "pidx"])[["x", "y", "z"]].to_numpy().reshape(len(values), landmarks, 3)
+
+
 def fit_model(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: DataFrame, share: float = 0.95, most: int = 10) -> DataFrame:
     """A shape model bent and posed onto each specimen without correspondence:
     fitted positions of the model's landmarks."""
     mi, mp = template_arrays(mean)
-    values = np.array([r["v"] for r in eigenvalues.orderBy("mode").limit(MOST_POINTS).collect()])
-    table = modes.toPandas().sort_values(["mode", "pidx"])[["x", "y", "z"]].to_numpy().reshape(len(values), len(mi), 3)
+    values, table = _modes(modes, eigenvalues, len(mi))
     k = min(most, kernels.mode_count(values, share))
 
     def work(index, p):

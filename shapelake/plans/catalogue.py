@@ -620,7 +620,8 @@ def _(spark, sf):
 @query("batch_transfer", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
-    return rounded(registration.transfer(p, points.mean_shape(p), points.mean_shape(p).where("pidx % 3 = 0")), 4)
+    mean, *model = shape_model.build(p)
+    return rounded(registration.transfer(p, mean, mean.where("pidx % 3 = 0"), model=tuple(model)), 4)
 
 
 @query("curvature", None)

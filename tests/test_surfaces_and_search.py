@@ -104,6 +104,20 @@ def test_model_fit_recovers_a_bent_shape(spark):
     assert np.median(np.linalg.norm(got - target, axis=1)) < 0.05 * np.linalg.norm(np.ptp(target, axis=0))
 
 
+def test_transfer_to_a_turned_scaled_and_bent_specimen(spark):
+    rng = np.random.default_rng(15)
+    base, move = rng.normal(size=(25, 3)) * [3, 1.5, 0.6], rng.normal(size=(25, 3)) * 0.3
+    a, order = np.radians(150), rng.permutation(25)
+    r = np.array([[np.cos(a), 0, np.sin(a)], [0, 1, 0], [-np.sin(a), 0, np.cos(a)]])
+    stiff, bent = (1.7 * q @ r.T + 4 for q in (base, base + 0.8 * move))
+    got = registration.transfer(frame(spark, {1: stiff[order]}), frame(spark, {0: base}), frame(spark, {0: base[:5]}))
+    assert got.where("error IS NOT NULL").count() == 0
+    assert arrays(got)[1] == pytest.approx(stiff[:5], abs=0.05)
+    mean, *model = shape_model.build(frame(spark, {k: base + b * move for k, b in enumerate(rng.normal(size=30))}))
+    got = registration.transfer(frame(spark, {1: bent[order]}), mean, mean.where("pidx < 5"), model=tuple(model))
+    assert arrays(got)[1] == pytest.approx(bent[:5], abs=0.05)
+
+
 def test_dense_correspondence_of_a_moved_copy_is_the_identity(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 3))
