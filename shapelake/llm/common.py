@@ -85,7 +85,7 @@ class Scratch:
 
     def drop(self, *tags: str) -> None:
         """Delete the tables of these tags now."""
-        for path in [p for p in self.paths if any(f"/shapelake-{t}-" in p for t in tags)]:
+        for path in [p for p in self.paths if p.rpartition("/shapelake-")[2][:-33] in tags]:
             self.paths.remove(path)
             delete(self.spark, path)
 

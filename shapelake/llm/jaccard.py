@@ -3,8 +3,8 @@
 Let a and b be the sizes of two sets. They reach the similarity num / den only if
 their symmetric difference has at most (den - num) (a + b) / (den + num) members.
 Each member flips bits in one piece of a sketch, so the pieces that differ are at
-most as many as that. With more pieces than that, one at least is equal: joining
-on pieces, within bands of size, misses no such pair. What meets in a piece is
+most as many as that, and of any more pieces one at least is equal: joining on
+pieces, within bands of size, misses no such pair. What meets in a piece is
 checked first by the Hamming distance of parity sketches, which is a lower bound
 of the symmetric difference, and then by the sets themselves.
 """
@@ -12,7 +12,9 @@ of the symmetric difference, and then by the sets themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -58,70 +60,88 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rule:
-    """Similarity num / den over shingles of ``words`` words."""
+    """Similarity num / den over shingles of ``words`` words; ``seed`` of the fingerprints."""
 
     num: int
     den: int
     words: int
+    seed: int = 0
 
     def most_apart(self, a, b):
         """Largest symmetric difference that two linked sets of these sizes can have."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
+    def largest(self, n: int) -> int:
+        """Size of the largest set that one of ``n`` members can link with."""
+        return n * self.den // self.num
 
-def _band_lows(ratio: float = 1.5) -> np.ndarray:
-    """Smallest size of each band of sizes."""
-    lows = [1]
-    while lows[-1] < 1 << 40:
-        lows.append(max(lows[-1] + 1, ceil(lows[-1] * ratio)))
-    return np.array(lows)
+    @cached_property
+    def lows(self) -> np.ndarray:
+        """Smallest size of each band of sizes. Bands are so wide that linked sets
+        lie in one or in two neighbours, whatever the threshold."""
+        lows = [1]
+        while lows[-1] < 1 << 44:
+            lows.append(max(lows[-1] + 1, -(-lows[-1] * 8 // 5), -(-lows[-1] * self.den // self.num)))
+        return np.array(lows)
 
 
-_LOWS = _band_lows()
+def fingerprint(hashes: np.ndarray, seed: int) -> tuple[int, int]:
+    """128 bits for the whole set, as two numbers: sets with equal ones are taken to be equal."""
+    with np.errstate(over="ignore"):
+        one = mix(hashes ^ mix(np.array([seed], _U))[0])
+        size = mix(np.array([len(hashes)], _U))[0]
+        return tuple(int(_signed(np.array([np.bitwise_xor.reduce(x) ^ size], _U))[0]) for x in (one, mix(one)))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """64 bits for the whole set: sets with equal ones are taken to be equal."""
-    with np.errstate(over="ignore"):
-        return int(np.bitwise_xor.reduce(mix(hashes)) ^ mix(np.array([len(hashes)], _U))[0])
+#: Pieces of a sketch for each piece that may differ: in the first search, and in
+#: that among sets that meet in hot keys.
+COARSE, FINE = 1.15, 4.0
 
 
-def piece_keys(hashes: np.ndarray, rule: Rule) -> np.ndarray:
-    """Join keys of a set: one for each piece, in each band in which it can meet others.
+def piece_keys(hashes: np.ndarray, rule: Rule, *, pieces_each: float = COARSE, whole: bool = False) -> list[tuple[np.ndarray, int]]:
+    """Join keys of a set in each band where it can meet others, and how many of them it can spare.
 
-    A set meets those of its own band and, if near its upper end, larger ones in
-    the next. A band has 1.2 times the pieces that must differ, and one more.
-    Empty pieces, which say little, count only for a set that has no more others
-    than may differ.
+    A set meets those of its own band and larger ones in the next. Of its pieces
+    with members it gives the first, by their place, and one more than may differ
+    from any set that it can link with in that band: of two linked sets' first
+    pieces so taken, one is in both. All of them, if ``whole``: then any of them
+    but as many as may differ, and one, can be left out. A set that has too few
+    pieces with members gives the empty ones too and can spare none. The lowest
+    bit of a key tells odd bands from even ones.
     """
-    n, lows, out = len(hashes), _LOWS, []
+    n, lows, out = len(hashes), rule.lows, []
     home = int(np.searchsorted(lows, n, "right")) - 1
+    largest = rule.largest(n)
     with np.errstate(over="ignore"):
-        spread = mix(hashes)
-        flips = np.concatenate((np.zeros(1, _U), np.bitwise_xor.accumulate(spread)))
+        flips = np.concatenate((np.zeros(1, _U), np.bitwise_xor.accumulate(mix(hashes))))
         for band in (home, home + 1):
-            if band > home and rule.den * n < rule.num * lows[band]:
+            if largest < lows[band]:
                 break
-            apart = rule.most_apart(int(lows[band + 1]) - 1, int(lows[band + 1]) - 1)
-            if apart == 0:
+            top = int(lows[band + 1]) - 1
+            most = rule.most_apart(top, top)
+            if most == 0:
                 continue  # only equal sets link here, and those have one fingerprint
-            pieces = ceil(1.2 * (apart + 1))
-            bounds = np.searchsorted(hashes >> _U(32), (np.arange(pieces + 1, dtype=_U) << _U(32)) // _U(pieces) + _U(1) * (np.arange(pieces + 1) > 0), "left")
-            bounds[-1] = n
-            full = np.flatnonzero(bounds[1:] > bounds[:-1])
-            if len(full) <= apart:
-                full = np.arange(pieces)
-            sketch = flips[bounds[full + 1]] ^ flips[bounds[full]]
-            out.append(mix(sketch ^ mix((_U(band) << _U(40)) + full.astype(_U))))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+            pieces = ceil(pieces_each * (most + 1))
+            cuts = (np.arange(1, pieces, dtype=_U) << _U(32)) // _U(pieces) + _U(1)
+            bounds = np.concatenate(([0], np.searchsorted(hashes >> _U(32), cuts, "left"), [n]))
+            at, needed = np.flatnonzero(bounds[1:] > bounds[:-1]), rule.most_apart(n, min(top, largest)) + 1
+            spare = len(at) - needed
+            if spare < 0:
+                at, spare = np.arange(pieces), 0
+            elif not whole:
+                at, spare = at[:needed], 0
+            sketch = flips[bounds[at + 1]] ^ flips[bounds[at]]
+            keys = mix(sketch ^ mix((_U(band) << _U(40)) + at.astype(_U)))
+            out.append((keys & ~_U(1) | _U(band & 1), spare))
+    return out
 
 
 def parity_sketch(hashes: np.ndarray) -> bytes:
-    """Bits of which each member flips one; a power of two of at least 4 for each member.
+    """Bits of which each member flips one; a power of two of at least 2 for each member.
 
     The sketch for half as many bits is the exclusive or of its two halves.
     """
-    bits = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
+    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
     at = (hashes & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -142,18 +162,21 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+KEYED = "doc_id long, n_shingles long, node long, other long, sketch binary, keys array<long>, text_hash long"
+
+
 def _keyed(rule: Rule):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())), ("text_hash", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task reads give their keys once
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                sizes, nodes, sketches, keys = [], [], [], []
+                sizes, nodes, others, sketches, keys = [], [], [], [], []
                 for text in part.column(1):
                     hashes = shingles(text.as_py(), rule.words)
-                    node = int(_signed(np.array([fingerprint(hashes)], _U))[0]) if len(hashes) else None
+                    node, other = fingerprint(hashes, rule.seed) if len(hashes) else (None, None)
                     fresh = node is not None and node not in seen
                     if fresh:
                         seen.add(node)
@@ -161,40 +184,57 @@ def _keyed(rule: Rule):
                         seen.clear()
                     sizes.append(len(hashes))
                     nodes.append(node)
+                    others.append(other)
                     sketches.append(parity_sketch(hashes) if fresh else None)
-                    keys.append(_signed(piece_keys(hashes, rule)) if fresh else np.zeros(0, np.int64))
+                    keys.append(_signed(np.concatenate([np.zeros(0, _U), *(x for x, _ in piece_keys(hashes, rule))])) if fresh else np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), lists, part.column(2)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(sketches, pa.binary()), lists, part.column(2)], schema=schema)
+
+    return run
+
+
+def _finer(rule: Rule):
+    """Rows (keys, node, spare) of a finer sketch of each text, by band; all its pieces."""
+    schema = pa.schema([("keys", pa.list_(pa.int64())), ("node", pa.int64()), ("spare", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                found = []
+                for text in batch.slice(k, 200).column(0):
+                    hashes = shingles(text.as_py(), rule.words)
+                    if len(hashes):
+                        node = fingerprint(hashes, rule.seed)[0]
+                        found += [(_signed(keys), node, spare) for keys, spare in piece_keys(hashes, rule, pieces_each=FINE, whole=True)]
+                if found:
+                    ends = np.concatenate(([0], np.cumsum([len(f[0]) for f in found])))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[0] for f in found])))
+                    yield pa.RecordBatch.from_arrays([lists, *(pa.array([f[c] for f in found], pa.int64()) for c in (1, 2))], schema=schema)
 
     return run
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, hub) of keys that several nodes hold, from (key, node) rows
-    sorted by key. The hub is a key's first node; a key of any size streams by."""
-    last_key = last_hub = None
-    last_multi = False
+    """Rows (key, node, hub, ...) of all nodes of a key but its first, the hub, from
+    rows (key, node, ...) sorted by both, of which some repeat. A key of any size streams by."""
+    last_key = last_node = last_hub = None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, nodes = (np.asarray(batch.column(k)) for k in (0, 1))
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         goes_on = last_key is not None and keys[0] == last_key
-        first = nodes[starts].copy()
+        new_key = np.append(not goes_on, keys[1:] != keys[:-1])
+        new_node = new_key | np.append(not (goes_on and nodes[0] == last_node), nodes[1:] != nodes[:-1])
+        starts = np.flatnonzero(new_key)
+        first = nodes[starts]
         if goes_on:
-            first[0] = last_hub
+            starts, first = np.append(0, starts), np.append(last_hub, first)
         hubs = np.repeat(first, np.diff(np.append(starts, len(keys))))
-        multi = np.logical_or.reduceat(nodes != hubs, starts)
-        late = goes_on and not last_multi and bool(multi[0])  # its hub's own row was held back
-        if goes_on:
-            multi[0] |= last_multi
-        keep = np.repeat(multi, np.diff(np.append(starts, len(keys))))
-        out = [x[keep] for x in (keys, nodes, hubs)]
-        if late:
-            out = [np.append(x, v) for x, v in zip(out, (last_key, last_hub, last_hub), strict=True)]
-        last_key, last_hub, last_multi = keys[-1], first[-1], bool(multi[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "hub"])
+        keep = np.flatnonzero(new_node & (nodes != hubs))
+        last_key, last_node, last_hub = keys[-1], nodes[-1], hubs[-1]
+        rest = [batch.column(k).take(pa.array(keep)) for k in range(2, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (keys, nodes, hubs)), *rest], names=["key", "node", "hub", *batch.schema.names[2:]])
 
 
 def _may_link(rule: Rule):
@@ -223,8 +263,8 @@ def _sets(rule: Rule):
                 if sets:
                     ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets))))
-                    nodes = _signed(np.array([fingerprint(s) for s in sets], _U))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], schema=schema)
+                    nodes = [fingerprint(s, rule.seed)[0] for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], schema=schema)
 
     return run
 
@@ -280,24 +320,115 @@ def _near(rule: Rule):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, rule: Rule, small, scratch: Scratch, tag: str) -> DataFrame:
-    """``pairs`` (u, v) and whether the two sets link, by the sets themselves, which
-    are made anew from one document of each node concerned."""
-    ends = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"ends-{tag}")
-    wanted = nodes.join(small(ends), "node", "left_semi").select(_or_least(F.col("least_id")).alias("wanted")).distinct()
-    wanted = scratch.write(wanted, f"wanted-{tag}")
-    found = texts.join(small(wanted), _or_least(F.col("doc_id")) == F.col("wanted"), "left_semi").select("text")
-    sets = scratch.write(found.mapInArrow(_sets(rule), "node long, members array<long>"), f"sets-{tag}")
-    rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
-    if rows > distinct:  # ids that occur in several rows
-        sets = sets.dropDuplicates(["node"])
-    left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set")) for c in "uv")
-    both = pairs.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    both = both.select("u", "v", (rule.den * shared >= rule.num * (F.size("u_set") + F.size("v_set") - shared)).alias("link"))
-    both = scratch.write(both, f"tested-{tag}")
-    scratch.drop(f"ends-{tag}", f"wanted-{tag}", f"sets-{tag}")
-    return both
+class _Search:
+    """What the turns of :func:`similar` share: the documents' nodes, their
+    sketches, and the pairs and components found so far."""
+
+    def __init__(self, texts: DataFrame, rule: Rule, scratch: Scratch, broadcast_rows: int, block: int):
+        self.texts, self.rule, self.scratch, self.broadcast_rows, self.block = texts, rule, scratch, broadcast_rows, block
+        self.turn = 0
+        self.nodes = self.sketches = self.tested = self.roots = None
+
+    def small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= self.broadcast_rows else df
+
+    def texts_of(self, nodes: DataFrame, tag: str) -> DataFrame:
+        """Texts of one document of each node of ``nodes`` (node)."""
+        wanted = self.nodes.join(self.small(nodes), "node", "left_semi").select(_or_least(F.col("least_id")).alias("wanted")).distinct()
+        wanted = self.scratch.write(wanted, f"wanted-{tag}")
+        return self.texts.join(self.small(wanted), _or_least(F.col("doc_id")) == F.col("wanted"), "left_semi").select("text")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Find out which of the pairs (u, v) link, and with that the components.
+
+        The sets themselves decide, made anew from one document of each node concerned."""
+        self.turn += 1
+        turn, scratch, rule = self.turn, self.scratch, self.rule
+        ends = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"ends-{turn}")
+        sets = scratch.write(self.texts_of(ends, f"{turn}").mapInArrow(_sets(rule), "node long, members array<long>"), f"sets-{turn}")
+        rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
+        if rows > distinct:  # ids that occur in several rows
+            sets = sets.dropDuplicates(["node"])
+        left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set")) for c in "uv")
+        both = pairs.join(left, "u").join(right, "v")
+        shared = F.size(F.array_intersect("u_set", "v_set"))
+        both = both.select("u", "v", (rule.den * shared >= rule.num * (F.size("u_set") + F.size("v_set") - shared)).alias("link"))
+        new = scratch.write(both, f"tested-{turn}")
+        links = new.where("link").select("u", "v")
+        if self.tested is not None:
+            new = self.tested.unionByName(new)
+            links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        self.tested = new
+        self.roots = scratch.write(connected_components(links, scratch), f"roots-{turn}")
+        scratch.drop(f"ends-{turn}", f"wanted-{turn}", f"sets-{turn}", f"roots-{turn - 1}")
+
+    def test_hubs(self, met: DataFrame, tag: str) -> None:
+        """Test all (node, hub) of ``met`` whose sizes and sketches let them link."""
+        pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        for c in "uv":
+            pairs = pairs.join(self.sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")), c)
+        pairs = pairs.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(_may_link(self.rule), "u long, v long")
+        self.test(self.scratch.write(pairs, f"pairs-{tag}"))
+
+    def open(self, met: DataFrame) -> DataFrame:
+        """``met`` (key, node, ...) with ``root``, without the keys whose nodes are all in
+        one component; of keys with the same nodes one, with their ``size`` and how many (``times``)."""
+        now = met.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        keys = keys.where("a < b").groupBy("size", "x", "y", F.col("key").bitwiseAND(F.lit(1))).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "size", "times")
+        return now.join(self.small(self.scratch.write(keys, "open-keys")), "key")
+
+    def settle(self, met: DataFrame, tag: str, done: bool = False) -> None:
+        """Compare the nodes of each key of ``met`` (key, node) until none in
+        different components may link any more."""
+        for k in count():
+            if not done:
+                met = self.scratch.write(self.open(met).select("key", "node", "root"), f"met-{tag}-{k}")
+            else:
+                met, done = met.select("key", "node", "root"), False
+            asked = self.scratch.write(self.asked(met), f"asked-{tag}-{k}")
+            self.scratch.drop("open-keys", f"met-{tag}-{k - 1}", f"asked-{tag}-{k - 1}")
+            if asked.isEmpty():
+                self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
+                return
+            self.test(asked.select("u", "v").distinct())
+            # A key that asks nothing has no pair left that may link: components only grow.
+            met = met.select("key", "node").join(self.small(asked.select("key").distinct()), "key", "left_semi")
+
+    def asked(self, now: DataFrame) -> DataFrame:
+        """(key, u, v): nodes of one key, in different components, that may link and
+        were not tested, from ``now`` (key, node, root)."""
+        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
+        keys = keys.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / self.block).cast("int").alias("askers"), F.ceil(F.col("all") / self.block).cast("int").alias("others"))
+        now = now.join(self.small(self.scratch.write(keys, "open-keys")), "key").withColumn("asks", F.col("root") != F.col("main"))
+        slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        # Each node outside the key's main component goes to all blocks of nodes, and each node to all blocks of those.
+        asking = now.where("asks").select("key", "node", "root", "asks", slot("askers").alias("i"), F.explode(every("others")).alias("j"))
+        asked = now.select("key", "node", "root", F.lit(False).alias("asks"), F.explode(every("askers")).alias("i"), slot("others").alias("j"))
+        failed = self.tested.where("NOT link")
+        failed = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v"), "link")).groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("failed"))
+        rows = asking.join(failed, "node", "left").unionByName(asked.withColumn("failed", F.lit(None).cast("array<long>")))
+        rows = rows.join(self.sketches, "node")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("asks"), "node")
+        return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(self.rule), "key long, u long, v long")
+
+    def among_hot(self, hot: DataFrame, hot_nodes: int) -> None:
+        """Settle the nodes of hot keys, given as (node), by finer pieces.
+
+        Each gives all its pieces now. One that has more pieces in keys that are
+        not hot than may differ, and one, meets there whatever it can link with,
+        so hot keys count only between the others."""
+        found = self.texts_of(hot, "hot").mapInArrow(_finer(self.rule), "keys array<long>, node long, spare long")
+        held = found.select(F.explode("keys").alias("key"), "node", "spare").repartition("key", "node").dropDuplicates(["key", "node"])
+        met = self.scratch.write(held.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, "key long, node long, hub long, spare long"), "fine-met")
+        self.test_hubs(met, "fine")
+        now = self.scratch.write(self.open(met).select("key", "node", "root", "spare", "size", "times"), "fine-open")
+        self.settle(now.where(F.col("size") <= hot_nodes), "cool", done=True)
+        now = now.where(F.col("size") > hot_nodes).withColumn("odd", F.col("key").bitwiseAND(F.lit(1)))
+        poor = now.groupBy("node", "odd").agg(F.sum("times").alias("n_hot"), F.max("spare").alias("spare")).where("n_hot > spare").select("node", "odd")
+        self.settle(now.join(poor, ["node", "odd"], "left_semi").select("key", "node"), "hot")
 
 
 def similar(
@@ -309,6 +440,7 @@ def similar(
     text_col: str = "text",
     broadcast_rows: int = 1_000_000,
     block: int = 256,
+    hot_nodes: int = 1024,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of each document.
 
@@ -325,97 +457,74 @@ def similar(
        the largest one are compared with all of the key's, in blocks, by parity
        sketches. What may link is verified; this is repeated until nothing new
        may link, so no link between components is lost.
-
-    Null or empty texts and those without words have empty sets, link with
-    nothing and are their own component. Texts of fewer words than ``words`` are
-    one shingle. Repeated rows are copies. A null id takes the smallest id of its
-    component, null if there is none. Other columns are ignored. Broadcasts are
-    of at most ``broadcast_rows`` numbers; beyond that the same joins shuffle.
+    5. Nodes of keys that more than ``hot_nodes`` hold meet by finer pieces
+       instead: a passage that many share makes some pieces hot, but a node whose
+       other pieces are enough to meet all that it can link with needs no hot one.
+       Only what consists of little else is compared within hot keys.
+
+    ``percent`` is 1 to 100. Null or empty texts and those without words have
+    empty sets, link with nothing and are their own component. Texts of fewer
+    words than ``words`` are one shingle. Repeated rows are copies. A null id
+    takes the smallest id of its component, null if there is none. Other columns
+    are ignored. Broadcasts are of at most ``broadcast_rows`` numbers; beyond
+    that the same joins shuffle.
     """
-    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hashed=False)
+    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hot_nodes, hashed=False)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str, broadcast_rows: int, block: int, hashed: bool) -> DataFrame:
+def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str, broadcast_rows: int, block: int, hot_nodes: int, hashed: bool) -> DataFrame:
     """The rows of :func:`similar`, with the hash of each row's text if ``hashed`` (else null)."""
-    spark = docs.sparkSession
+    if not 1 <= rule.num <= rule.den:
+        raise ValueError("percent must be 1 to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.withColumn("text_hash", text_hash(F.col("text")) if hashed else F.lit(None).cast("long"))
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
-
-    with Scratch(spark) as scratch:
-        keyed = scratch.write(rows.mapInArrow(_keyed(rule), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>, text_hash long"), "keyed")
-        nodes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch"))
-        nodes = scratch.write(nodes, "nodes")
-        held = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
-        met = scratch.write(held.mapInArrow(_meeting, "key long, node long, hub long"), "met-0")
+    with Scratch(docs.sparkSession) as scratch:
+        keyed, nodes = _fingerprinted(rows, rule, scratch)
+        while nodes.where("other <> last").count():  # two sets of one number: give all others
+            scratch.drop("keyed", "nodes")
+            rule = replace(rule, seed=rule.seed + 1)
+            keyed, nodes = _fingerprinted(rows, rule, scratch)
+        search = _Search(texts, rule, scratch, broadcast_rows, block)
+        search.nodes = nodes
+        held = keyed.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+        met = scratch.write(held.mapInArrow(_meeting, "key long, node long, hub long"), "met")
         kept = scratch.keep(keyed.select("doc_id", "n_shingles", "node", "text_hash"), "docs")
-        scratch.drop("keyed")
-
-        pairs = met.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-        for c in "uv":
-            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")), c)
-        pairs = pairs.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(_may_link(rule), "u long, v long")
-        pairs = scratch.write(pairs, "pairs")
-        tested = _verified(pairs, texts, nodes, rule, small, scratch, "0")
-        met = met.where("node <> hub").select("key", "node")  # the hub is done with: every node of the key was paired with it
-        for turn in range(1, 1000):
-            roots = scratch.write(connected_components(tested.where("link"), scratch), f"roots-{turn}")
-            met = scratch.write(_open(met, roots), f"met-{turn}")
-            scratch.drop(f"met-{turn - 1}", f"asked-{turn - 1}")
-            asked = scratch.write(_asked(met, nodes, tested, rule, block), f"asked-{turn}")
-            if asked.isEmpty():
-                break
-            # A key that asks nothing has no pair left that may link: components only grow.
-            met = met.join(asked.select("key").distinct(), "key", "left_semi")
-            pairs = scratch.write(asked.select("u", "v").distinct(), f"pairs-{turn}")
-            more = scratch.write(tested.unionByName(_verified(pairs, texts, nodes, rule, small, scratch, f"{turn}")), f"all-tested-{turn}")
-            scratch.drop(f"tested-{turn}", f"all-tested-{turn - 1}", f"pairs-{turn}", f"roots-{turn}")
-            tested = more
+        concerned = met.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
+        sketches = keyed.where("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch").join(search.small(scratch.write(concerned, "concerned")), "node", "left_semi")
+        search.sketches = scratch.write(sketches.dropDuplicates(["node"]), "sketches")
+        scratch.drop("keyed", "concerned")
+
+        search.test_hubs(met, "first")
+        now = scratch.write(search.open(met).select("key", "node", "root", "size"), "met-all")
+        scratch.drop("met", "open-keys")
+        search.settle(now.where(F.col("size") <= hot_nodes), "all", done=True)
+        hot = scratch.write(search.open(now.where(F.col("size") > hot_nodes).select("key", "node")).select("node").distinct(), "hot")
+        if not hot.isEmpty():
+            search.among_hot(hot, hot_nodes)
 
         # Only nodes with copies or links can have another id than their own.
-        many = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = many.groupBy("root").agg(F.min("least_id").alias("component"), F.sum("copies").alias("docs")).where("docs > 1")
-        named = scratch.keep(many.join(least, "root").select("node", "component"), "named")
-    named = small(named)
+        many = nodes.join(search.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = scratch.write(many.groupBy("root").agg(F.min("least_id").alias("component"), F.sum("copies").alias("docs")).where("docs > 1"), "least")
+        named = scratch.keep(many.join(search.small(least), "root").select("node", "component"), "named")
+        named = search.small(named)
     out = kept.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
 
 
+def _fingerprinted(rows: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Each row's set, sketch and keys, and the distinct sets."""
+    keyed = scratch.write(rows.mapInArrow(_keyed(rule), KEYED), "keyed")
+    nodes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("other").alias("other"), F.max("other").alias("last"))
+    return keyed, scratch.write(nodes, "nodes")
+
+
 def _or_least(doc_id: Column) -> Column:
     """The id, or for null a number in its place."""
     return F.coalesce(doc_id, F.lit(-(2**63)))
 
 
-def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of the keys whose nodes are in several components. Others stay closed for good."""
-    now = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    still = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    return now.join(still, "key", "left_semi").select("key", "node", "root")
-
-
-def _asked(now: DataFrame, nodes: DataFrame, tested: DataFrame, rule: Rule, block: int) -> DataFrame:
-    """Pairs (u, v) of nodes of one key, in different components, that may link and were not tested, with the key."""
-    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
-    open_keys = open_keys.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / block).cast("int").alias("askers"), F.ceil(F.col("all") / block).cast("int").alias("others"))
-    now = now.join(open_keys, "key").withColumn("asks", F.col("root") != F.col("main"))
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # Each node outside the key's main component goes to all blocks of nodes, and each node to all blocks of those.
-    asking = now.where("asks").select("key", "node", "root", "asks", slot("askers").alias("i"), F.explode(every("others")).alias("j"))
-    asked = now.select("key", "node", "root", F.lit(False).alias("asks"), F.explode(every("askers")).alias("i"), slot("others").alias("j"))
-    failed = tested.where("NOT link")
-    failed = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v"), "link")).groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("failed"))
-    rows = asking.join(failed, "node", "left").unionByName(asked.withColumn("failed", F.lit(None).cast("array<long>")))
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("asks"), "node")
-    return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(rule), "key long, u long, v long")
-
-
-def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 256) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 256, hot_nodes: int = 1024) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the smallest.
 
     All columns are kept. Documents without words stay. Each row is decided by
@@ -423,6 +532,6 @@ def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str
     together, an id that is dropped in one component can stay in another, and
     null ids stay only where their component has no other.
     """
-    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hashed=True)
+    found = _similar(docs, Rule(percent, 100, words), id_col, text_col, broadcast_rows, block, hot_nodes, hashed=True)
     dropped = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash")
     return without(docs, dropped, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows)

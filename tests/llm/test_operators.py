@@ -180,8 +180,8 @@ def components(rows, percent, size):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize(("percent", "size"), [(90, 3), (80, 5), (60, 1)])
-def test_jaccard_components_equal_brute_force(spark, percent, size):
+@pytest.mark.parametrize(("percent", "size", "hot"), [(90, 3, 1024), (80, 5, 2), (60, 1, 1024), (95, 2, 2), (50, 1, 2), (30, 2, 1024)])
+def test_jaccard_components_equal_brute_force(spark, percent, size, hot):
     rng = random.Random(percent)
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "ONE"), (5, "one two"), (6, "É é"), (7, "é é")]
     for family in range(12):
@@ -191,7 +191,7 @@ def test_jaccard_components_equal_brute_force(spark, percent, size):
             for _ in range(rng.randrange(0, max(2, len(base) // 12))):
                 text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
             rows.append((100 * family + 50 + copy, " ".join(text if copy % 3 else base)))
-    got = jaccard.similar(documents(spark, rows), percent=percent, words=size, block=3).collect()
+    got = jaccard.similar(documents(spark, rows), percent=percent, words=size, block=3, hot_nodes=hot).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, percent, size)
 
 
@@ -215,18 +215,67 @@ def test_one_document_of_each_component_stays_whatever_the_ids(spark, most):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, " "), (0, "alone here"), (3, a), (5, ""), (5, b), (11, c)]
 
 
-def test_pieces_of_sets_within_the_threshold_always_meet():
-    rng = np.random.default_rng(5)
-    for num, n in ((90, 10), (90, 57), (90, 400), (80, 9), (80, 33), (80, 500), (60, 20)):
-        rule = jaccard.Rule(num, 100, 3)
-        for _ in range(60):
-            base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            apart = rule.most_apart(len(base), len(base))
-            drop = rng.integers(0, apart + 1)
-            other = np.unique(np.concatenate([base[: len(base) - drop], rng.integers(0, 2**63, max(0, int(rng.integers(0, apart - drop + 1)))).astype(np.uint64)]))
+def linked_sets(rng, rule, sizes, times):
+    """Pairs of sets that link, nested ones exactly at the threshold among them."""
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in sizes:
+        for k in range(times):
+            base = np.unique(fresh(n))
+            if k % 2:
+                other = base[rng.permutation(n)[: -(-n * rule.num // rule.den)]]
+            else:
+                apart = rule.most_apart(n, n)
+                drop = rng.integers(0, apart + 1)
+                other = np.concatenate([base[: n - drop], fresh(max(0, int(rng.integers(0, apart - drop + 1))))])
+            other = np.unique(other)
             both = len(np.intersect1d(base, other))
-            if 100 * both >= num * (len(base) + len(other) - both) and len(np.setxor1d(base, other)):
-                assert set(jaccard.piece_keys(base, rule).tolist()) & set(jaccard.piece_keys(other, rule).tolist())
+            if len(other) and rule.den * both >= rule.num * (n + len(other) - both) and len(np.setxor1d(base, other)):
+                yield (base, other) if k % 3 else (other, base)
+
+
+@pytest.mark.parametrize("percent", [1, 17, *range(30, 100, 5)])
+def test_pieces_of_linked_sets_always_meet(percent):
+    rng = np.random.default_rng(percent)
+    rule = jaccard.Rule(percent, 100, 3)
+    edges = [int(x) + k for x in rule.lows[3:12] if x < 600 for k in (-1, 0, 1)]
+    for one, two in linked_sets(rng, rule, [*edges, 10, 57, 400], 20):
+        first, second = ({k for keys, _ in jaccard.piece_keys(x, rule) for k in keys.tolist()} for x in (one, two))
+        assert first & second
+        # of all the finer pieces, as many as one can spare may be hot
+        other = {k for keys, _ in jaccard.piece_keys(two, rule, pieces_each=jaccard.FINE, whole=True) for k in keys.tolist()}
+        left = set()
+        for keys, spare in jaccard.piece_keys(one, rule, pieces_each=jaccard.FINE, whole=True):
+            left |= set(sorted(keys.tolist(), key=lambda k: k not in other)[spare:])
+        assert left & other
+
+
+def test_sets_with_equal_numbers_are_told_apart(spark, monkeypatch):
+    true = jaccard.fingerprint
+    # with the first seed, all sets have one number
+    monkeypatch.setattr(jaccard, "fingerprint", lambda h, seed: (7, true(h, seed)[1]) if seed == 0 else true(h, seed))
+    rows = [(1, "a b c d e"), (2, "A b c d e"), (3, "f g h i j"), (4, "k l m")]
+    got = jaccard.similar(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_a_passage_that_many_share_costs_rows_in_proportion(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = " ".join(words(rng, 70, 10**6))
+    written, write = [], Scratch.write
+
+    def counted(self, df, tag):
+        out = write(self, df, tag)
+        written[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    for n in (400, 1600):
+        rows = [(k, " ".join(words(rng, 12, 10**6)) + f" {passage} " + " ".join(words(rng, 13, 10**6))) for k in range(n)]
+        rows += [(n + k, rows[k][1] + " more") for k in range(20)]
+        written.append(0)
+        got = jaccard.similar(documents(spark, rows), percent=80, words=5, hot_nodes=50, block=16).collect()
+        assert {r.doc_id: r.component_id for r in got} == {k: k % n for k in range(n + 20)}
+    assert written[1] < 5 * written[0]
 
 
 def test_connected_components(spark):
