@@ -270,7 +270,7 @@ def _sets(rule: Rule):
 
 
 #: Untested pairs that a node asks for in one block and turn, nearest first.
-TRIES = 8
+TRIES = 32
 
 
 def _block(rule: Rule, nodes, roots, sizes, asks, sketches: list[bytes], failed: list) -> set[tuple[int, int]]:
@@ -346,21 +346,23 @@ class _Search:
         turn, scratch, rule = self.turn, self.scratch, self.rule
         ends = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"ends-{turn}")
         sets = scratch.write(self.texts_of(ends, f"{turn}").mapInArrow(_sets(rule), "node long, members array<long>"), f"sets-{turn}")
-        rows, distinct = sets.agg(F.count(F.lit(1)), F.countDistinct("node")).first()
-        if rows > distinct:  # ids that occur in several rows
-            sets = sets.dropDuplicates(["node"])
+        sets = sets.dropDuplicates(["node"])  # an id can occur in several rows
         left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_set")) for c in "uv")
         both = pairs.join(left, "u").join(right, "v")
         shared = F.size(F.array_intersect("u_set", "v_set"))
         both = both.select("u", "v", (rule.den * shared >= rule.num * (F.size("u_set") + F.size("v_set") - shared)).alias("link"))
         new = scratch.write(both, f"tested-{turn}")
+        scratch.drop(f"ends-{turn}", f"wanted-{turn}", f"sets-{turn}")
         links = new.where("link").select("u", "v")
         if self.tested is not None:
-            new = self.tested.unionByName(new)
+            self.tested = self.tested.unionByName(new)
+            if links.isEmpty():
+                return
             links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        self.tested = new
+        else:
+            self.tested = new
         self.roots = scratch.write(connected_components(links, scratch), f"roots-{turn}")
-        scratch.drop(f"ends-{turn}", f"wanted-{turn}", f"sets-{turn}", f"roots-{turn - 1}")
+        scratch.drop(*(f"roots-{k}" for k in range(turn)))
 
     def test_hubs(self, met: DataFrame, tag: str) -> None:
         """Test all (node, hub) of ``met`` whose sizes and sketches let them link."""
@@ -370,38 +372,38 @@ class _Search:
         pairs = pairs.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(_may_link(self.rule), "u long, v long")
         self.test(self.scratch.write(pairs, f"pairs-{tag}"))
 
-    def open(self, met: DataFrame) -> DataFrame:
-        """``met`` (key, node, ...) with ``root``, without the keys whose nodes are all in
-        one component; of keys with the same nodes one, with their ``size`` and how many (``times``)."""
+    def open(self, met: DataFrame, tag: str) -> DataFrame:
+        """``met`` (key, node, ...) with each node's ``root``, without the keys whose
+        nodes are all in one component; of keys with the same nodes one, with the
+        root of its largest part (``main``), how many nodes it has and how many
+        ``outside`` that part, and how many such keys there are (``times``)."""
         now = met.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        keys = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        keys = keys.where("a < b").groupBy("size", "x", "y", F.col("key").bitwiseAND(F.lit(1))).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "size", "times")
-        return now.join(self.small(self.scratch.write(keys, "open-keys")), "key")
-
-    def settle(self, met: DataFrame, tag: str, done: bool = False) -> None:
-        """Compare the nodes of each key of ``met`` (key, node) until none in
+        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("main.size < size")
+        keys = keys.groupBy("size", "x", "y", F.col("key").bitwiseAND(F.lit(1))).agg(F.min(F.struct("key", "main")).alias("one"), F.count(F.lit(1)).alias("times"))
+        keys = keys.select("one.key", F.col("one.main.root").alias("main"), "size", (F.col("size") - F.col("one.main.size")).alias("outside"), "times")
+        out = self.scratch.write(now.join(self.small(self.scratch.write(keys, f"keys-{tag}")), "key"), tag)
+        self.scratch.drop(f"keys-{tag}")
+        return out
+
+    def settle(self, now: DataFrame, tag: str) -> None:
+        """Compare the nodes of each key, given as by :meth:`open`, until none in
         different components may link any more."""
         for k in count():
-            if not done:
-                met = self.scratch.write(self.open(met).select("key", "node", "root"), f"met-{tag}-{k}")
-            else:
-                met, done = met.select("key", "node", "root"), False
-            asked = self.scratch.write(self.asked(met), f"asked-{tag}-{k}")
-            self.scratch.drop("open-keys", f"met-{tag}-{k - 1}", f"asked-{tag}-{k - 1}")
+            asked = self.scratch.write(self.asked(now), f"asked-{tag}-{k}")
             if asked.isEmpty():
                 self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
                 return
             self.test(asked.select("u", "v").distinct())
             # A key that asks nothing has no pair left that may link: components only grow.
-            met = met.select("key", "node").join(self.small(asked.select("key").distinct()), "key", "left_semi")
+            still = now.select("key", "node").join(self.small(asked.select("key").distinct()), "key", "left_semi")
+            now = self.open(still, f"met-{tag}-{k + 1}")
+            self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
 
     def asked(self, now: DataFrame) -> DataFrame:
         """(key, u, v): nodes of one key, in different components, that may link and
-        were not tested, from ``now`` (key, node, root)."""
-        parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"))
-        keys = keys.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.size")) / self.block).cast("int").alias("askers"), F.ceil(F.col("all") / self.block).cast("int").alias("others"))
-        now = now.join(self.small(self.scratch.write(keys, "open-keys")), "key").withColumn("asks", F.col("root") != F.col("main"))
+        were not tested, from rows of :meth:`open`."""
+        now = now.select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("outside") / self.block).cast("int").alias("askers"), F.ceil(F.col("size") / self.block).cast("int").alias("others"))
         slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         # Each node outside the key's main component goes to all blocks of nodes, and each node to all blocks of those.
@@ -424,11 +426,11 @@ class _Search:
         held = found.select(F.explode("keys").alias("key"), "node", "spare").repartition("key", "node").dropDuplicates(["key", "node"])
         met = self.scratch.write(held.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, "key long, node long, hub long, spare long"), "fine-met")
         self.test_hubs(met, "fine")
-        now = self.scratch.write(self.open(met).select("key", "node", "root", "spare", "size", "times"), "fine-open")
-        self.settle(now.where(F.col("size") <= hot_nodes), "cool", done=True)
-        now = now.where(F.col("size") > hot_nodes).withColumn("odd", F.col("key").bitwiseAND(F.lit(1)))
+        now = self.open(met, "fine-open")
+        self.settle(now.where(F.col("outside") <= hot_nodes), "cool")
+        now = now.where(F.col("outside") > hot_nodes).withColumn("odd", F.col("key").bitwiseAND(F.lit(1)))
         poor = now.groupBy("node", "odd").agg(F.sum("times").alias("n_hot"), F.max("spare").alias("spare")).where("n_hot > spare").select("node", "odd")
-        self.settle(now.join(poor, ["node", "odd"], "left_semi").select("key", "node"), "hot")
+        self.settle(self.open(now.join(poor, ["node", "odd"], "left_semi").select("key", "node"), "met-hot-0"), "hot")
 
 
 def similar(
@@ -457,10 +459,11 @@ def similar(
        the largest one are compared with all of the key's, in blocks, by parity
        sketches. What may link is verified; this is repeated until nothing new
        may link, so no link between components is lost.
-    5. Nodes of keys that more than ``hot_nodes`` hold meet by finer pieces
-       instead: a passage that many share makes some pieces hot, but a node whose
-       other pieces are enough to meet all that it can link with needs no hot one.
-       Only what consists of little else is compared within hot keys.
+    5. A key is hot if more than ``hot_nodes`` of its nodes are outside its largest
+       component, and its nodes meet by finer pieces instead: a passage that many
+       share makes some pieces hot, but a node whose other pieces are enough to
+       meet all that it can link with needs no hot one. Only what consists of
+       little else is compared within hot keys.
 
     ``percent`` is 1 to 100. Null or empty texts and those without words have
     empty sets, link with nothing and are their own component. Texts of fewer
@@ -496,10 +499,12 @@ def _similar(docs: DataFrame, rule: Rule, id_col: str, text_col: str, broadcast_
         scratch.drop("keyed", "concerned")
 
         search.test_hubs(met, "first")
-        now = scratch.write(search.open(met).select("key", "node", "root", "size"), "met-all")
-        scratch.drop("met", "open-keys")
-        search.settle(now.where(F.col("size") <= hot_nodes), "all", done=True)
-        hot = scratch.write(search.open(now.where(F.col("size") > hot_nodes).select("key", "node")).select("node").distinct(), "hot")
+        now = search.open(met, "met-all-0")
+        scratch.drop("met")
+        hot = F.col("outside") > hot_nodes
+        later = scratch.write(now.where(hot).select("key", "node"), "met-hot")
+        search.settle(now.where(~hot), "all")
+        hot = scratch.write(search.open(later, "met-later").select("node").distinct(), "hot")
         if not hot.isEmpty():
             search.among_hot(hot, hot_nodes)
 
