@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,48 +62,59 @@ def overlapping(starts: np.ndarray, ends: np.ndarray, token_start: np.ndarray, t
     return (first < len(starts)) & (starts[np.minimum(first, len(starts) - 1)] < token_end) & (token_end > token_start)
 
 
-def masked_text(row) -> str:
+def masked_text(formatted: str, turn_start, turn_end, turn_loss, token_start: np.ndarray, token_end: np.ndarray, loss_mask: np.ndarray) -> str:
     """Unescaped text under the loss mask, read from the output alone.
 
     Tokens under the mask are clipped to the turns they overlap, so a token that
-    crosses an end of a turn brings nothing from outside.
+    crosses an end of a turn brings nothing from outside. Tokens come in order;
+    where they leave no gap in a turn, its text is one slice.
     """
-    mask = np.asarray(row.loss_mask, bool)
-    lo, hi = np.asarray(row.token_start, np.int64)[mask], np.asarray(row.token_end, np.int64)[mask]
+    lo, hi = token_start[loss_mask], token_end[loss_mask]
     out = []
-    for a, b, loss in zip(row.turn_start, row.turn_end, row.turn_loss, strict=True):
+    for a, b, loss in zip(turn_start, turn_end, turn_loss, strict=True):
         if loss and b > a:
             i, j = np.searchsorted(hi, a, "right"), np.searchsorted(lo, b, "left")
-            at, pieces = a, []
-            for s, e in zip(lo[i:j], hi[i:j], strict=True):
-                s, e = max(s, at), min(e, b)
-                if e > s:
-                    pieces.append(row.formatted[s:e])
-                    at = e
-            out.append(unescape("".join(pieces)))
+            if i == j:
+                continue
+            reach = np.maximum.accumulate(hi[i:j])
+            gaps = np.flatnonzero(lo[i + 1 : j] > reach[:-1])  # between these tokens nothing is under the mask
+            starts = [max(int(lo[i]), a), *(int(x) for x in lo[i + 1 : j][gaps])]
+            ends = [*(int(x) for x in reach[:-1][gaps]), min(int(reach[-1]), b)]
+            out.append(unescape("".join(formatted[s:e] for s, e in zip(starts, ends, strict=True))))
     return "".join(out)
 
 
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("turn_start", pa.list_(pa.int64())), ("turn_end", pa.list_(pa.int64())), ("turn_loss", pa.list_(pa.bool_())), ("input_ids", pa.list_(pa.int32())), ("token_start", pa.list_(pa.int32())), ("token_end", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_()))])
+
+
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), kind))
+
+
 def _formatter(tokenizer: str, loss_roles: tuple[str, ...], chunk: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer)
         tok.add_special_tokens([START, END])
         for batch in batches:
-            for k in range(0, len(batch), chunk):
-                part = batch.iloc[k : k + chunk]
-                rendered = [render([(t["role"] or "", t["text"] or "") for t in turns]) for turns in part["turns"]]
-                rows = []
-                for conv_id, turns, (text, starts, ends), enc in zip(part["conv_id"], part["turns"], rendered, tok.encode_batch([r[0] for r in rendered], add_special_tokens=False), strict=True):
-                    loss = [(t["role"] or "") in loss_roles for t in turns]
-                    spans = np.array([(a, b) for a, b, on in zip(starts, ends, loss, strict=True) if on and b > a], np.int64).reshape(-1, 2)
-                    offsets = np.array(enc.offsets, np.int32).reshape(-1, 2)
-                    mask = overlapping(spans[:, 0], spans[:, 1], offsets[:, 0], offsets[:, 1])
-                    rows.append((conv_id, len(turns), text, starts, ends, loss, enc.ids, offsets[:, 0], offsets[:, 1], mask))
-                out = pd.DataFrame(rows, columns=[f.split()[0] for f in FORMATTED.split(", ")])
-                out["conv_id"] = out["conv_id"].astype("Int64")
-                yield out
+            for k in range(0, batch.num_rows, chunk):
+                part = batch.slice(k, chunk)
+                turns = [[(t["role"], t["text"]) for t in row] for row in part.column(1).to_pylist()]
+                rendered = [render(row) for row in turns]
+                loss = [np.array([role in loss_roles for role, _ in row], bool) for row in turns]
+                ids, lows, highs, masks = [], [], [], []
+                for on, (_, starts, ends), enc in zip(loss, rendered, tok.encode_batch([r[0] for r in rendered], add_special_tokens=False), strict=True):
+                    spans = np.array([starts, ends], np.int64)[:, on]
+                    spans = spans[:, spans[1] > spans[0]]
+                    offsets = np.fromiter(chain.from_iterable(enc.offsets), np.int32).reshape(-1, 2)
+                    ids.append(np.array(enc.ids, np.int32))
+                    lows.append(offsets[:, 0])
+                    highs.append(offsets[:, 1])
+                    masks.append(overlapping(spans[0], spans[1], lows[-1], highs[-1]))
+                starts, ends = ([np.array(r[c], np.int64) for r in rendered] for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in turns], pa.int64()), pa.array([r[0] for r in rendered], pa.string()), *(_lists(x, pa.int64()) for x in (starts, ends)), _lists(loss, pa.bool_()), *(_lists(x, pa.int32()) for x in (ids, lows, highs)), _lists(masks, pa.bool_())], schema=_SCHEMA)
 
     return run
 
@@ -122,22 +134,25 @@ def format_chats(conversations: DataFrame, *, loss_roles: tuple[str, ...] = ("as
     row of the result and must fit in a task, as any text must.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = conversations.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
-    return grouped.mapInPandas(_formatter(tokenizer, tuple(loss_roles), chunk), FORMATTED)
+    grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+    return grouped.mapInArrow(_formatter(tokenizer, tuple(loss_roles), chunk), FORMATTED)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
     for batch in batches:
         rows = []
-        for row in batch.itertuples(index=False):
-            turns, masked = parse(row.formatted), masked_text(row)
+        spans = zip(*(batch.column(c).to_pylist() for c in ("turn_start", "turn_end", "turn_loss")), strict=True)
+        for k, (formatted, turn) in enumerate(zip(batch.column("formatted").to_pylist(), spans, strict=True)):
+            low, high, mask = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("token_start", "token_end", "loss_mask"))
+            turns, masked = parse(formatted), masked_text(formatted, *turn, low, high, mask)
             whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((row.conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(row.formatted), len(row.input_ids), int(np.sum(row.loss_mask))))
-        out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"])
-        out["conv_id"] = out["conv_id"].astype("Int64")
-        yield out
+            rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(formatted), len(low), int(mask.sum())))
+        kinds = [pa.string() if "sha256" in n else pa.int64() for n in names[1:]]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names=names)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Digests of what :func:`format_chats` returned, read back from its output."""
-    return formatted.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

@@ -19,6 +19,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_BY
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I"}
 CLEAR, STOP = 256, 257
+#: Most bytes that one byte of a strip or tile can stand for.
+EXPANDS = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -209,21 +211,30 @@ def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> tuple[np.n
     one = lambda tag, other: fields.get(tag, (other,))[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2) or compression not in NAMES:
+    if bits not in (1, 8, 16) or predictor not in (1, 2) or compression not in NAMES or (bits == 1 and predictor == 2):
         raise ValueError(f"unsupported: {bits} bits, predictor {predictor}, compression {compression}")
-    kind = np.dtype(np.uint8 if bits == 8 else f"{order}u2")
-    depth, planes = (samples, 1) if planar == 1 else (1, samples)
     tiled = TILE_AT in fields
     bw, bh = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS, height), height))
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, samples, bw, bh)):
+        raise ValueError("sizes are not positive whole numbers")
+    blocks = list(zip(fields[TILE_AT if tiled else STRIP_AT], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+    row_bytes = lambda w, depth: -(-w * depth * bits // 8)
+    # Nothing is allocated that the blocks cannot fill.
+    if height * row_bytes(width, samples) > EXPANDS[compression] * sum(min(size, max(0, len(data) - at)) for at, size in blocks) + 64:
+        raise ValueError("the blocks are too short for the size stated")
+    kind = np.dtype(f"{order}u2" if bits == 16 else np.uint8)
+    depth, planes = (samples, 1) if planar == 1 else (1, samples)
     across, down = -(-width // bw), -(-height // bh)
+    if tiled and (bw > 8 * width + 4096 or bh > 8 * height + 4096):
+        raise ValueError("tiles far larger than the page")
     image = np.zeros((height, width, samples), kind.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(fields[TILE_AT if tiled else STRIP_AT], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+    for k, (at, size) in enumerate(blocks):
         plane, k = divmod(k, across * down)
         if plane >= planes:
             break
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, height - y)
-        expected, raw = rows * bw * depth * kind.itemsize, data[at : at + size]
+        expected, raw = rows * row_bytes(bw, depth), data[at : at + size]
         if compression == LZW:
             raw = lzw_decode(raw)
         elif compression == PACKBITS:
@@ -232,7 +243,10 @@ def decode_page(data: bytes, order: str, fields: dict[int, tuple]) -> tuple[np.n
             raw = _inflate(raw, expected)
         if len(raw) < expected:
             raise ValueError("short strip or tile")
-        piece = np.frombuffer(raw, kind, expected // kind.itemsize).reshape(rows, bw, depth).astype(image.dtype, copy=False)
+        if bits == 1:
+            piece = np.unpackbits(np.frombuffer(raw, np.uint8, expected).reshape(rows, -1), axis=1)[:, : bw * depth].reshape(rows, bw, depth)
+        else:
+            piece = np.frombuffer(raw, kind, expected // kind.itemsize).reshape(rows, bw, depth).astype(image.dtype, copy=False)
         piece = undo(piece) if predictor == 2 else piece
         part = piece[: height - y, : width - x]
         image[y : y + part.shape[0], x : x + part.shape[1], plane : plane + depth] = part
@@ -253,7 +267,7 @@ def _reader(step: int):
             for page, order_fields in enumerate(directories(data)):  # noqa: B007
                 image, said = decode_page(data, *order_fields)
                 yield (media_id, page, *(said[k] for k in names[2:9]), image.tobytes(), None)
-        except (ValueError, KeyError, struct.error, zlib.error, ZeroDivisionError) as e:
+        except Exception as e:  # noqa: BLE001 - whatever damage raises is this row's error, not the job's
             yield (media_id, page, *[None] * 8, f"{type(e).__name__}: {e}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,8 +285,8 @@ def read_pages(media: DataFrame, *, id_col: str = "id", media_col: str = "media"
     """One row for each page of each TIFF in a binary column.
 
     Walks the image directories, decodes strips or tiles (stored, PackBits, LZW or
-    deflate, 8 or 16 bits, interleaved or planar) and undoes horizontal
-    differences. ``pixels`` are the samples, row by row, interleaved.
+    deflate, 1, 8 or 16 bits, interleaved or planar) and undoes horizontal
+    differences; bits are samples of 0 and 1, as stored. ``pixels`` are the samples, row by row, interleaved.
 
     Null media give no row. Damaged or unsupported media give the pages before
     the fault and one row whose ``error`` says what it is. Repeated rows are

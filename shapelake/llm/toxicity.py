@@ -17,7 +17,7 @@ from .common import Scratch
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Beside whole words, their beginnings of these lengths are units of the lexicon.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (7, 6, 5)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -26,7 +26,12 @@ def tokens(text: str | None) -> list[str]:
 
 def units(word: str) -> list[str]:
     """A word and its beginnings, marked by what no word holds."""
-    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+    return [word, *beginnings(word)]
+
+
+def beginnings(word: str) -> list[str]:
+    """From the longest to the shortest."""
+    return [f"{word[:k]}*" for k in PREFIXES if len(word) > k]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -63,20 +68,26 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Log-odds of units, the score of all other tokens, and the extreme-value
-    parameters of segments in clean text."""
+    """Scores of units, that of all other tokens, and the extreme-value parameters
+    of segments in clean text."""
 
     weight: dict[str, float]
     other: float
     lam: float
     k: float
 
+    def score(self, word: str) -> float:
+        """The word's own score; for a word that was seldom or never seen, that of
+        its longest beginning which has one."""
+        own = self.weight.get(word)
+        return own if own is not None else next((self.weight[u] for u in beginnings(word) if u in self.weight), self.other)
+
     def scores(self, words: list[str], memo: dict[str, float]) -> np.ndarray:
-        out = np.full(len(words), self.other)
+        out = np.empty(len(words))
         for at, word in enumerate(words):
             got = memo.get(word)
             if got is None:
-                got = max((self.weight[u] for u in units(word) if u in self.weight), default=self.other)
+                got = self.score(word)
                 if len(memo) < 200_000:
                     memo[word] = got
             out[at] = got
@@ -94,11 +105,11 @@ class Model:
     bias: float
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -40, 40)))
+        return 1 / (1 + np.exp(-(self.slope * _squashed(evidence) + self.bias)))
 
 
-#: Evidence of a text without any segment, and the bounds of evidence.
-LEAST, MOST = -20.0, 60.0
+#: Evidence of a text without words.
+LEAST = -40.0
 
 
 def evidence(lexicon: Lexicon, text: str | None, memo: dict[str, float]) -> tuple[float, int, list[tuple[int, int, float]]]:
@@ -106,13 +117,18 @@ def evidence(lexicon: Lexicon, text: str | None, memo: dict[str, float]) -> tupl
 
     A segment is significant if fewer than one such is expected by chance in a
     text of this length. Their normalised scores add up; without any, the best
-    segment's counts.
+    segment's counts, and without one of those the best token's.
     """
     words = tokens(text)
-    found = [(a, b, lexicon.normalised(s, len(words))) for a, b, s in maximal_segments(lexicon.scores(words, memo))] if words else []
+    if not words:
+        return LEAST, 0, []
+    scores = lexicon.scores(words, memo)
+    best = float(scores.max())
+    if best <= 0:
+        return lexicon.normalised(best, len(words)), len(words), []
+    found = [(a, b, lexicon.normalised(s, len(words))) for a, b, s in maximal_segments(scores)]
     good = [f for f in found if f[2] > 0]
-    total = sum(f[2] for f in good) if good else max((f[2] for f in found), default=LEAST)
-    return float(np.clip(total, LEAST, MOST)), len(words), good
+    return float(sum(f[2] for f in good) if good else max(f[2] for f in found)), len(words), good
 
 
 def _count_units(most: int):
@@ -149,26 +165,36 @@ def unit_counts(rows: DataFrame, *, most: int = 400_000) -> DataFrame:
     return counted.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
 
 
-def log_odds(counts: DataFrame, n_toxic: int, n_clean: int, *, prior_docs: float, least: int, z: float, least_odds: float, size: int) -> DataFrame:
-    """The ``size`` units that most surely mark toxic documents.
+def log_odds(counts: DataFrame, n_toxic: int, n_clean: int, *, prior_docs: float, least: int, z: float, least_odds: float, other: float, cap: float) -> DataFrame:
+    """(unit, weight) of every word that ``least`` documents hold, and of the
+    beginnings that mark toxic ones.
 
     Log-odds ratio with a Dirichlet prior proportional to the unit's share of all
     documents, worth ``prior_docs`` documents and half a one beside, over its
-    standard deviation (Monroe, Colaresi and Quinn 2008).
+    standard deviation (Monroe, Colaresi and Quinn 2008). Units of ``z``
+    deviations and ``least_odds`` score their log-odds, ``cap`` at most. All
+    other words score ``other`` and their log-odds as far as they stand out from
+    one deviation, but less than zero, so that segments end.
     """
     prior = F.lit(0.5) + F.lit(prior_docs) * F.col("docs") / F.lit(float(n_toxic + n_clean))
     a, b = F.col("toxic") + prior, F.col("docs") - F.col("toxic") + prior
     odds = lambda y, n: F.log(y) - F.log(F.greatest(F.lit(n + prior_docs) - y, F.lit(0.5)))
     found = counts.where(F.col("docs") >= least).withColumn("log_odds", odds(a, n_toxic) - odds(b, n_clean)).withColumn("z", F.col("log_odds") / F.sqrt(1 / a + 1 / b))
-    return found.where((F.col("z") >= z) & (F.col("log_odds") >= least_odds)).orderBy(F.col("z").desc(), "unit").limit(size)
+    marks = (F.col("z") >= z) & (F.col("log_odds") >= least_odds)
+    shrunk = F.col("log_odds") * F.greatest(F.lit(0.0), 1 - 1 / (F.col("z") * F.col("z") + 1e-9))
+    weight = F.when(marks, F.least(F.lit(cap), "log_odds")).otherwise(F.least(F.lit(other / 5), F.lit(other) + F.greatest(F.lit(3 * other), F.lit(0.1) * shrunk)))
+    return found.where(marks | ~F.endswith("unit", F.lit("*"))).select("unit", weight.alias("weight"))
 
 
 def extreme_value(shares: list[tuple[float, float]], other: float) -> tuple[float, float]:
     """lambda > 0 with sum of p exp(lambda s) = 1 over the scores of clean text, and
-    K by the bound for one positive score in a row (Karlin and Altschul 1990)."""
-    rest = 1 - sum(p for p, _ in shares)
+    K by the bound for one positive score in a row (Karlin and Altschul 1990).
+
+    ``shares`` are (share of tokens, score); what they leave of 1 scores ``other``.
+    If the mean is not below zero there is no such lambda; a small one stands for it."""
+    rest = max(0.0, 1 - sum(p for p, _ in shares))
     f = lambda x: rest * np.exp(x * other) + sum(p * np.exp(x * s) for p, s in shares) - 1
-    lo, hi = 1e-6, 1.0
+    lo, hi = 1e-2, 1.0
     while f(hi) < 0 and hi < 50:
         hi *= 2
     for _ in range(100):
@@ -186,7 +212,6 @@ def fit(
     least: int = 5,
     z: float = 3.0,
     least_odds: float = 3.5,
-    size: int = 20_000,
     other: float = -0.5,
     cap: float = 8.0,
     label_rows: int = 50_000,
@@ -197,42 +222,59 @@ def fit(
 ) -> Model | float:
     """A model from labelled rows, or the constant score where there is nothing to learn.
 
-    Learns from a sample of about ``label_rows`` labelled rows, by a hash of the
-    id. The sample goes to all tasks, so texts are not shuffled. Of the units of
-    its documents, those that mark toxic ones (``least`` documents, ``z``
-    deviations, log-odds of ``least_odds``) make the lexicon, ``size`` at most.
-    Units score their log-odds, ``cap`` at most; all other tokens ``other``. The extreme-value parameters come from how often clean documents
-    hold the units. The step from evidence to probability is fitted on about
-    ``sample_rows`` labelled rows.
+    Learns from a sample of about ``label_rows`` labelled documents, by a hash of
+    the id. The sample's labels go to all tasks, so texts are not shuffled. Words
+    that at least ``least`` of its documents hold, and beginnings that mark toxic
+    ones, make the lexicon (:func:`log_odds`), which the sample bounds. How often
+    each score occurs among all tokens of about ``sample_rows`` of its documents,
+    the clean ones, gives the extreme-value parameters; the same documents fit
+    the step from evidence to probability.
+
+    A repeated label counts once; an id with both labels counts as both.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if ones in (0, n):
         return 0.0 if n == 0 else float(ones > 0)
     parts = 1 << 20
-    if n > label_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)) < int(label_rows / n * parts))
-        n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        if ones in (0, n):
-            return 0.0 if n == 0 else float(ones > 0)
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)) < int(min(1.0, label_rows / n) * parts))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if ones in (0, n):
+        return 0.0 if n == 0 else float(ones > 0)
     with Scratch(docs.sparkSession) as scratch:
-        learned = log_odds(unit_counts(rows), ones, n - ones, prior_docs=prior_docs, least=least, z=z, least_odds=least_odds, size=size)
-        found = scratch.write(learned, "lexicon").collect()  # size rows at most
-    weight = {r["unit"]: min(cap, r["log_odds"]) for r in found}
-    # A clean document of a thousand tokens holds a unit about once if it holds it at all.
-    clean = Counter()
-    for r in found:
-        clean[round(weight[r["unit"]], 1)] += (r["docs"] - r["toxic"] + 0.5) / (n - ones + 1) / 1000
-    total = sum(clean.values())
-    lam, k = extreme_value([(p / max(1.0, total * 2), s) for s, p in sorted(clean.items())] or [(1e-6, cap)], other)
-    lexicon = Lexicon(weight, other, lam, k)
-    keep = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) < int(min(1.0, sample_rows / n) * parts)
-    got = scored(rows.where(keep), lexicon, None).select("toxic", "evidence").toPandas().sort_values(["evidence", "toxic"])
-    slope, bias = _logistic(got["evidence"].to_numpy(float), got["toxic"].to_numpy(float))
+        learned = log_odds(unit_counts(rows), ones, n - ones, prior_docs=prior_docs, least=least, z=z, least_odds=least_odds, other=other, cap=cap)
+        found = scratch.write(learned, "lexicon").toArrow()  # words of the sample
+    lexicon = Lexicon(dict(zip(found["unit"].to_pylist(), found["weight"].to_pylist(), strict=True)), other, 1.0, 1.0)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)) < int(min(1.0, sample_rows / n) * parts))
+    shares = sample.where("toxic = 0").select("text").mapInArrow(_count_scores(lexicon), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()
+    total = sum(r["n"] for r in shares)
+    lam, k = extreme_value([(r["n"] / total, r["score"]) for r in shares] if total else [(1e-6, cap)], other)
+    lexicon = Lexicon(lexicon.weight, other, lam, k)
+    got = scored(sample, lexicon, None).select("toxic", "evidence").toPandas().sort_values(["evidence", "toxic"])
+    slope, bias = _logistic(_squashed(got["evidence"].to_numpy(float)), got["toxic"].to_numpy(float)) if len(got) else (1.0, 0.0)
     return Model(lexicon, slope, bias)
 
 
+def _count_scores(lexicon: Lexicon):
+    """How many tokens have each score, to one decimal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = {}, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                values, times = np.unique(lexicon.scores(tokens(text.as_py()), memo).round(1), return_counts=True)
+                seen.update(dict(zip(values.tolist(), times.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["score", "n"])
+
+    return run
+
+
+def _squashed(evidence: np.ndarray) -> np.ndarray:
+    """Evidence with its ends drawn in, in order: no value is cut off."""
+    return 20 * np.tanh(evidence / 20) + evidence / 100
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Newton's method for one slope and a bias."""
     w, a = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
@@ -259,7 +301,10 @@ def _scorer(lexicon: Lexicon, model: Model | None):
 
 def scored(docs: DataFrame, lexicon: Lexicon, model: Model | None, *, text_col: str = "text") -> DataFrame:
     """``docs`` with evidence, n_tokens, segments (first and last token and
-    normalised score of each significant passage) and, given a model, score."""
+    normalised score of each significant passage) and, given a model, score.
+
+    Columns of ``docs`` that have one of these names are replaced."""
+    docs = docs.drop("evidence", "n_tokens", "segments", "score")
     wide = docs.withColumn("__toxicity", _scorer(lexicon, model)(F.col(text_col)))
     return wide.select(*(docs[c] for c in docs.columns), *(F.col(f"__toxicity.{c}").alias(c) for c in ("evidence", "n_tokens", "segments", "score")))
 
@@ -282,7 +327,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, model: Model | float, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those whose score reaches ``threshold``; all columns are kept."""
+    """``docs`` without those whose score reaches ``threshold``; all columns are kept.
+
+    Each row is judged by its own text, so ids may be null or repeated. Null and
+    empty texts have the least evidence. A score equal to the threshold reaches
+    it. A constant model keeps all rows or none; an empty table stays empty.
+    """
     if isinstance(model, float):
         return docs.where(F.lit(model < threshold))
     scorer = _scorer(model.lexicon, model)

@@ -17,10 +17,15 @@ DATE = "2026-01-01T00:00:00Z"
 
 
 def _store(uri: str):
-    """File system and path of a URI, for reading and writing inside tasks."""
+    """File system and path of a URI, for reading and writing inside tasks.
+
+    Hadoop's names for S3 (``s3a``, ``s3n``) are those of the same store here."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, colon, rest = uri.partition("://")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return fs.FileSystem.from_uri(uri if colon or uri.startswith("file:") else f"file://{uri}")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -47,6 +52,8 @@ def refer(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select("page_id", "url", "html").withColumn("digest", F.when(F.octet_length(payload) >= min_bytes, F.sha2(payload, 256)))
     kept = pages.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    # Small payloads meet nobody; keys of their own spread them over the tasks.
+    pages = pages.withColumn("digest", F.coalesce("digest", F.concat(F.lit("small-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.xxhash64("url").cast("string"))))
     return pages.join(kept, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("kept")), None).otherwise(F.col("kept")).alias("refers_to"))
 
 
@@ -151,16 +158,21 @@ def parse_headers(content: bytes) -> tuple[dict[str, str] | None, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}, block
 
 
-def members(source: _Bytes, start: int, end: int, block: int = 1 << 18) -> Iterator[tuple[int, bytes]]:
+def members(source: _Bytes, start: int, end: int, block: int = 1 << 18) -> Iterator[tuple[int, bytes | None]]:
     """Records that start in [start, end): scan for magic bytes to the first valid
-    member, then go from member to member; after damage, scan again."""
-    at = start
+    member, then go from member to member; after damage, scan again. Where a
+    member should start (at 0, or where another ended) but none does, the place
+    and None."""
+    at, due = start, start == 0
     while at < end:
         found = member_at(source, at) if source.read(at, 3) == MAGIC else None
         if found:
             yield at, found[0]
-            at = found[1]
+            at, due = found[1], True
             continue
+        if due:
+            yield at, None
+            due = False
         at += 1
         while at < end:
             window = source.read(at, min(block, source.length - at, end - at + 2))
@@ -171,13 +183,15 @@ def members(source: _Bytes, start: int, end: int, block: int = 1 << 18) -> Itera
             at += max(1, len(window) - 2)
 
 
-RECORDS = "path string, offset long, record_type string, record_id string, refers_to string, target_uri string, stated_digest string, content_length long, http_length long, payload binary"
+RECORDS = "path string, offset long, record_type string, record_id string, refers_to string, target_uri string, stated_digest string, content_length long, http_length long, payload binary, error string"
 
 
 def _reader(with_payload: bool):
     names = [f.split()[0] for f in RECORDS.split(", ")]
 
-    def parsed(path: str, offset: int, content: bytes) -> tuple:
+    def parsed(path: str, offset: int, content: bytes | None) -> tuple:
+        if content is None:
+            return (path, offset, *[None] * (len(names) - 3), "no whole WARC record here")
         headers, block = parse_headers(content)
         block = block[: int(headers["content-length"])]
         payload, http = block, None
@@ -187,7 +201,7 @@ def _reader(with_payload: bool):
                 key, _, value = line.partition(b":")
                 if key.strip().lower() == b"content-length" and value.strip().isdigit():
                     http = int(value)
-        return (path, offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest"), int(headers["content-length"]), http, payload)
+        return (path, offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest"), int(headers["content-length"]), http, payload, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,12 +211,12 @@ def _reader(with_payload: bool):
                     out, size = [], 0
                     for offset, content in members(_Bytes(file, row.length), row.start, min(row.stop, row.length)):
                         out.append(parsed(row.path, offset, content))
-                        size += len(content)
+                        size += len(content or b"")
                         if size > 8 << 20:
-                            yield pd.DataFrame(out, columns=names).astype({"http_length": "Int64"})
+                            yield pd.DataFrame(out, columns=names).astype({"http_length": "Int64", "content_length": "Int64"})
                             out, size = [], 0
                     if out:
-                        yield pd.DataFrame(out, columns=names).astype({"http_length": "Int64"})
+                        yield pd.DataFrame(out, columns=names).astype({"http_length": "Int64", "content_length": "Int64"})
 
     return run
 
@@ -213,9 +227,10 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
     Archives are cut into ranges of ``split_bytes``, dealt over tasks. A task
     scans its range for gzip magic, tests each candidate by decoding it as a WARC
     record, and owns the records that start inside, reading past the end of the
-    range to finish the last. Damaged members are skipped. Order is by no means
-    kept; ``offset`` is where a record starts. An archive without records and an
-    empty list give no rows.
+    range to finish the last. Where a record should start, behind another or at 0,
+    and none can be decoded, one row has nothing but its path, offset and
+    ``error``; the scan goes on behind it. Order is by no means kept; ``offset``
+    is where a record starts. An empty archive and an empty list give no rows.
     """
     spark = archives.sparkSession
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
@@ -234,14 +249,30 @@ def digest(records: DataFrame) -> DataFrame:
 
     A response's bytes and digest are those of the payload read. A revisit holds
     no payload; its record states the digest and the length of the payload it
-    stands for.
+    stands for. Stated digests are SHA-1 in base 32 or hexadecimal, with or
+    without ``sha1:``; of any other kind, and where none is stated, the digest is
+    null. So are ids that this module did not write. Rows with an error are left out.
     """
+    if "error" in records.columns:
+        records = records.where("error IS NULL")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
 
+    def hexadecimal(stated: str | None) -> str | None:
+        kind, colon, value = (stated or "").strip().rpartition(":")
+        if colon and kind.lower() != "sha1":
+            return None
+        if len(value) == 40 and not value.strip("0123456789abcdefABCDEF"):
+            return value.lower()
+        try:
+            found = base64.b32decode(value.upper())
+        except ValueError:
+            return None
+        return found.hex() if len(found) == 20 else None
+
     @F.pandas_udf("string")
     def bare(stated: pd.Series) -> pd.Series:
-        return stated.map(lambda s: base64.b32decode(s.partition(":")[2]).hex())
+        return stated.map(hexadecimal)
 
     revisit = F.col("record_type") == "revisit"
     return records.select(

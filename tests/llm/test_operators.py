@@ -369,7 +369,8 @@ def test_warc_reader_skips_damage():
     parts = [warc.record(k, "u", bytes([65 + k]) * 3_000, None) for k in range(3)]
     data = parts[0] + b"\x1f\x8b\x08garbage" + parts[1][:-5] + b"\0" * 40 + parts[2]
     found = list(warc.members(warc._Bytes(io.BytesIO(data), len(data)), 0, len(data)))
-    assert [warc.parse_headers(c)[0]["warc-record-id"] for _, c in found] == ["<urn:page:0>", "<urn:page:2>"]
+    assert [c and warc.parse_headers(c)[0]["warc-record-id"] for _, c in found] == ["<urn:page:0>", None, "<urn:page:2>"]
+    assert found[1][0] == len(parts[0])
 
 
 # --- 8 ----------------------------------------------------------------------
@@ -512,3 +513,64 @@ def test_keys_that_meet_stream_by_in_batches_of_any_size():
         for key, node in rows:
             nodes.setdefault(key, []).append(node)
         assert got == {(key, n, of[0]) for key, of in nodes.items() if len(set(of)) > 1 for n in of}
+
+
+def test_warc_reader_reports_damage_and_foreign_digests(spark, tmp_path):
+    import gzip
+
+    def foreign(digest, kind="revisit"):
+        head = ["WARC/1.1", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/http; msgtype=response", "Content-Length: 4"]
+        return gzip.compress("\r\n".join([*head, *([f"WARC-Payload-Digest: {digest}"] if digest else []), "", ""]).encode() + b"\r\n\r\n\r\n\r\n")
+
+    hexadecimal = hashlib.sha1(b"x").hexdigest()
+    stated = ["sha1:" + hexadecimal.upper(), None, "md5:AAAA", "sha1:not base 32", "sha256:" + "a" * 64, hexadecimal]
+    data = b"".join(map(foreign, stated)) + b"junk" + foreign(None)[:-9]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    records = warc.read_warc(warc.archives_in(spark, str(tmp_path)), split_bytes=1 << 20)
+    assert [r.offset for r in records.where("error IS NOT NULL").collect()] == [len(b"".join(map(foreign, stated)))]
+    got = warc.digest(records).collect()
+    assert sorted(r.payload_digest or "" for r in got) == ["", "", "", "", hexadecimal, hexadecimal]
+    assert all(r.page_id is None and r.record_type == "revisit" for r in got)
+
+
+def test_warc_null_urls_and_ids(spark):
+    pages = spark.createDataFrame([(1, None, "a" * 2000), (None, "u", "a" * 2000), (2, None, None), (None, None, "b"), (3, "u", "a" * 2000)], "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0), r.refers_to or 0, len(r.html or "")) for r in warc.refer(pages).collect())
+    assert got == [(0, 0, 1), (0, 3, 2000), (1, 3, 2000), (2, 0, 0), (3, 0, 2000)]
+
+
+def test_tiff_damage_gives_error_rows(spark):
+    good = tiff.encode_page(b"ab " * 64)
+    at = int.from_bytes(good[4:8], "little") + 2
+
+    def changed(tag, kind=None, n=None, value=None):
+        out = bytearray(good)
+        for k in range(at, len(good), 12):
+            if int.from_bytes(good[k : k + 2], "little") == tag:
+                for where, size, x in ((2, 2, kind), (4, 4, n), (8, 4, value)):
+                    if x is not None:
+                        out[k + where : k + where + size] = int(x).to_bytes(size, "little")
+                return bytes(out)
+
+    bad = [changed(tiff.WIDTH, n=0), changed(tiff.WIDTH, value=200_000), changed(tiff.HEIGHT, value=2**32 - 1), changed(tiff.WIDTH, kind=11), changed(tiff.SAMPLES, value=0), changed(tiff.BITS, n=2**31), changed(tiff.STRIP_BYTES, value=3), changed(tiff.STRIP_AT, value=10**6), good[:40], good[:-3], b"", b"II*\0", b"MM\0*\0\0\0\x08\xff\xff"]
+    media = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate([good, *bad])] + [(99, None)], "id long, media binary")
+    got = {r.id: r for r in tiff.read_pages(media).collect()}
+    assert got[0].error is None and bytes(got[0].pixels) == b"ab " * 64
+    assert set(got) == set(range(len(bad) + 1))
+    assert all(r.error and r.pixels is None for k, r in got.items() if k)
+
+
+def test_tiff_reads_bits():
+    bits = np.random.default_rng(1).integers(0, 2, (5, 19)).astype(np.uint8)
+    packed = b"".join(tiff.packbits_encode(row.tobytes()) for row in np.packbits(bits, axis=1))
+    fields = {tiff.WIDTH: (19,), tiff.HEIGHT: (5,), tiff.BITS: (1,), tiff.COMPRESSION: (tiff.PACKBITS,), tiff.STRIP_AT: (0,), tiff.STRIP_BYTES: (len(packed),)}
+    image, said = tiff.decode_page(packed, "<", fields)
+    assert (image[:, :, 0] == bits).all() and said["bits"] == 1
+
+
+def test_chat_of_no_rows_and_of_gaps(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.format_chats(none)).count() == 0
+    # tokens 1-3 and 5-7 of a turn from 0 to 8 are under the mask, 3-5 is not
+    starts, ends = np.array([1, 3, 5, 9]), np.array([3, 5, 7, 11])
+    assert chat.masked_text("abcdefghijk", [0], [8], [True], starts, ends, np.array([True, False, True, True])) == "bcfg"
