@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,11 +57,13 @@ def overlaps(
     A window is cut into ``blocks`` blocks. Each mask ignores ``max_subs`` of
     them, and every choice is a mask, so however the substitutions fall one mask
     ignores them all: no such window is missed. Seeds (hashes of the tokens that
-    a mask looks at) of the benchmark go to all tasks in pieces of at most
-    ``broadcast_rows`` seeds, so what is broadcast is bounded for any benchmark,
-    and each piece is joined with all windows of all documents in the scan
-    itself. At a hit all tokens of both windows are compared, those that the
-    mask ignored too. Documents are not shuffled, only the few windows that hold.
+    a mask looks at) of the benchmark go to all tasks if they are at most
+    ``broadcast_rows``; documents are not shuffled then, only the few windows that
+    hold. Of a larger benchmark a bitmap of fixed size goes to all tasks, one bit
+    for each value of its seeds modulo 2^28 (32 MB), and the windows whose bit is
+    set are joined with the seeds by a shuffle. At a hit all tokens of both
+    windows are compared, those that the mask ignored too. Tokens are compared by
+    64-bit hashes.
 
     Returns doc_id, item_id, n_windows (pairs of windows that hold), first_token
     and end_token (where those lie in the document) and fewest_subs.
@@ -84,9 +85,8 @@ def _held(rows: DataFrame, benchmark: DataFrame, span: int, blocks: int, max_sub
     masks = _masks(blocks, max_subs)
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col)).alias("tokens"))
     seeds = _windows(items, "q", span, blocks).withColumn("window", F.slice("tokens", F.col("q") + 1, span))
-    pieces = max(1, ceil(seeds.count() * len(masks) / broadcast_rows))
-    seeds = seeds.withColumn("piece", F.pmod(F.xxhash64("item_id", "q"), F.lit(pieces)))
-    seeds = seeds.select("item_id", "window", "piece", *(f"q_{b}" for b in range(blocks)), _seeds("q", masks))
+    few = seeds.count() * len(masks) <= broadcast_rows
+    seeds = seeds.select("item_id", "window", *(f"q_{b}" for b in range(blocks)), _seeds("q", masks))
     rows = _windows(rows, "p", span, blocks)
     rows = rows.select(*named, "tokens", "p", *(f"p_{b}" for b in range(blocks)), _seeds("p", masks))
     first = F.lit(None).cast("int")
@@ -95,16 +95,37 @@ def _held(rows: DataFrame, benchmark: DataFrame, span: int, blocks: int, max_sub
         for b in kept:
             same &= F.col(f"p_{b}") == F.col(f"q_{b}")
         first = F.when(same, F.lit(m)).otherwise(first)
-    # Spelled out, not a higher-order function: those would end code generation here,
-    # and every window would then carry a copy of its document's tokens to the join.
-    subs = sum((F.when(F.get("tokens", F.col("p") + k) == F.get("window", F.lit(k)), 0).otherwise(1) for k in range(span)), F.lit(0))
-    held = None
-    for piece in range(pieces):
-        hits = rows.join(F.broadcast(seeds.where(F.col("piece") == piece)), F.col("p_seed") == F.col("q_seed"))
-        # Several masks can find one pair of windows; the first of them counts it.
-        hits = hits.where((F.col("p_mask") == first) & (F.col("q_mask") == first)).select(*named, "item_id", "p", subs.alias("subs")).where(F.col("subs") <= max_subs)
-        held = hits if held is None else held.unionByName(hits)
-    return held
+    if few:
+        seeds = F.broadcast(seeds)
+    else:
+        rows = _with_seed_in(rows, seeds).withColumn("window", F.slice("tokens", F.col("p") + 1, span)).drop("tokens")
+        seeds = seeds.withColumnRenamed("window", "item_window")
+    hits = rows.join(seeds, F.col("p_seed") == F.col("q_seed"))
+    # Several masks can find one pair of windows; the first of them counts it.
+    hits = hits.where((F.col("p_mask") == first) & (F.col("q_mask") == first))
+    if few:
+        # Spelled out, not a higher-order function: those would end code generation here,
+        # and every window would then carry a copy of its document's tokens to the join.
+        subs = sum((F.when(F.get("tokens", F.col("p") + k) == F.get("window", F.lit(k)), 0).otherwise(1) for k in range(span)), F.lit(0))
+    else:
+        subs = sum((F.when(F.get("window", F.lit(k)) == F.get("item_window", F.lit(k)), 0).otherwise(1) for k in range(span)), F.lit(0))
+    return hits.select(*named, "item_id", "p", subs.alias("subs")).where(F.col("subs") <= max_subs)
+
+
+#: Bits of the bitmap of seeds.
+BITMAP = 1 << 28
+
+
+def _with_seed_in(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``rows`` whose ``p_seed`` has its bit set in a bitmap of all ``q_seed``; some
+    of the others stay too, none of those that are among the seeds goes."""
+    place = lambda seed: F.pmod(seed, F.lit(BITMAP)) + 1
+    bits = seeds.select(place(F.col("q_seed")).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(F.col("p_seed"))) == F.col("bucket"))
+    at = F.bitmap_bit_position(place(F.col("p_seed")))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(`__byte`, `__shift`) & 1") == 1
+    return rows.withColumn("__byte", byte).withColumn("__shift", F.pmod(at, F.lit(8)).cast("int")).where(is_set).drop("bucket", "bits", "__byte", "__shift")
 
 
 def remove_contaminated(
