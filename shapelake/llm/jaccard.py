@@ -441,7 +441,7 @@ def similar(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_rows: int = 1_000_000,
-    block: int = 256,
+    block: int = 4096,
     hot_nodes: int = 1024,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of each document.
@@ -529,7 +529,7 @@ def _or_least(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(-(2**63)))
 
 
-def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 256, hot_nodes: int = 1024) -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, block: int = 4096, hot_nodes: int = 1024) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the smallest.
 
     All columns are kept. Documents without words stay. Each row is decided by
