@@ -269,14 +269,10 @@ def _sets(rule: Rule):
     return run
 
 
-#: Untested pairs that a node asks for in one block and turn, nearest first.
-TRIES = 32
-
-
-def _block(rule: Rule, nodes, roots, sizes, asks, sketches: list[bytes], failed: list) -> set[tuple[int, int]]:
+def _block(rule: Rule, tries: int, nodes, roots, sizes, asks, sketches: list[bytes], failed: list) -> set[tuple[int, int]]:
     """Pairs within one block of a key that may link: for each node that asks, the
-    nearest of those in other components that were not tested. Others wait for
-    the next turn, when most are in one component."""
+    ``tries`` nearest untested ones of each other component, and of four such
+    components at most. Others wait for the next turn, when more are in one component."""
     if len(set(roots)) < 2:
         return set()
     words, out = _fold(sketches), set()
@@ -288,12 +284,16 @@ def _block(rule: Rule, nodes, roots, sizes, asks, sketches: list[bytes], failed:
             at = np.flatnonzero(fits)
             apart = np.bitwise_count(words[at] ^ words[i]).sum(1, dtype=np.int64)
             near = apart <= rule.most_apart(sizes[at], sizes[i])
-            for j in at[near][np.argsort(apart[near], kind="stable")[:TRIES]]:
+            at = at[near][np.argsort(apart[near], kind="stable")]
+            by_root = np.argsort(roots[at], kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(roots[at][by_root]) != 0)) if len(at) else np.zeros(0, np.int64)
+            rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+            for j in at[np.sort(by_root[rank < tries])][: 4 * tries]:
                 out.add((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
     return out
 
 
-def _near(rule: Rule):
+def _near(rule: Rule, tries: int):
     """:func:`_block` over rows that come sorted by block, one block in memory at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +302,7 @@ def _near(rule: Rule):
             sketches, failed, out = rows["sketch"].tolist(), [None if x is None else np.asarray(x) for x in rows["failed"]], []
             keys = rows["key"].to_numpy()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out += [(int(keys[a]), u, v) for u, v in _block(rule, nodes[a:b], roots[a:b], sizes[a:b], asks[a:b], sketches[a:b], failed[a:b])]
+                out += [(int(keys[a]), u, v) for u, v in _block(rule, tries, nodes[a:b], roots[a:b], sizes[a:b], asks[a:b], sketches[a:b], failed[a:b])]
             return pd.DataFrame(out, columns=["key", "u", "v"], dtype="int64")
 
         rest = None
@@ -390,7 +390,7 @@ class _Search:
         """Compare the nodes of each key, given as by :meth:`open`, until none in
         different components may link any more."""
         for k in count():
-            asked = self.scratch.write(self.asked(now), f"asked-{tag}-{k}")
+            asked = self.scratch.write(self.asked(now, 4**min(k, 4)), f"asked-{tag}-{k}")
             if asked.isEmpty():
                 self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
                 return
@@ -400,9 +400,9 @@ class _Search:
             now = self.open(still, f"met-{tag}-{k + 1}")
             self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
 
-    def asked(self, now: DataFrame) -> DataFrame:
+    def asked(self, now: DataFrame, tries: int) -> DataFrame:
         """(key, u, v): nodes of one key, in different components, that may link and
-        were not tested, from rows of :meth:`open`."""
+        were not tested, from rows of :meth:`open`; see :func:`_block`."""
         now = now.select("key", "node", "root", (F.col("root") != F.col("main")).alias("asks"), F.ceil(F.col("outside") / self.block).cast("int").alias("askers"), F.ceil(F.col("size") / self.block).cast("int").alias("others"))
         slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -414,7 +414,7 @@ class _Search:
         rows = asking.join(failed, "node", "left").unionByName(asked.withColumn("failed", F.lit(None).cast("array<long>")))
         rows = rows.join(self.sketches, "node")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("asks"), "node")
-        return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(self.rule), "key long, u long, v long")
+        return rows.select("key", "i", "j", "node", "root", "n", "asks", "sketch", "failed").mapInPandas(_near(self.rule, tries), "key long, u long, v long")
 
     def among_hot(self, hot: DataFrame, hot_nodes: int) -> None:
         """Settle the nodes of hot keys, given as (node), by finer pieces.
