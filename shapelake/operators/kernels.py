@@ -307,7 +307,12 @@ def heat_signature(points: np.ndarray, faces: np.ndarray, times: int = 4, most:
     for k in range(3):
         np.add.at(area, faces[:, k], np.linalg.norm(sides, axis=1) / 6)
     root = 1 / np.sqrt(area)
-    values, vectors = np.linalg.eigh(root[:, None] * l * root)
+    # The constant mode adds the same to every vertex, which the z-score takes away again. It is
+    # moved to the far end, so that at late times its rounding does not hide what is left.
+    even = np.sqrt(area / area.sum())
+    system = root[:, None] * l * root
+    system = (system + system.T) / 2 + np.trace(system) * np.outer(even, even)
+    values, vectors = np.linalg.eigh(system)
     values, phi = np.maximum(values[:most], 0), (root[:, None] * vectors)[:, :most]
     edge2 = np.median(((points[faces[:, 0]] - points[faces[:, 1]]) ** 2).sum(1))
     out = np.stack([(phi**2) @ np.exp(-values * t) for t in np.geomspace(1, 100, times) * edge2], 1)

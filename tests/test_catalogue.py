@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from shapelake.plans.catalogue import ORACLE_SQL, QUERIES
@@ -22,7 +23,7 @@ def duck():
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else (float(v) if isinstance(v, float) else str(v)) for v in r))
+        out.append(tuple(None if pd.isna(v) else (float(v) if isinstance(v, float) else str(v)) for v in r))
     return sorted(out, key=str)
 
 
