@@ -372,14 +372,16 @@ class _Search:
         pairs = pairs.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(_may_link(self.rule), "u long, v long")
         self.test(self.scratch.write(pairs, f"pairs-{tag}"))
 
-    def open(self, met: DataFrame, tag: str) -> DataFrame:
+    def open(self, met: DataFrame, tag: str, among: DataFrame | None = None) -> DataFrame:
         """``met`` (key, node, ...) with each node's ``root``, without the keys whose
-        nodes are all in one component; of keys with the same nodes one, with the
+        nodes are all in one component, or that are not in ``among`` (key), if given; of keys with the same nodes one, with the
         root of its largest part (``main``), how many nodes it has and how many
         ``outside`` that part, and how many such keys there are (``times``)."""
         now = met.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("main.size < size")
+        if among is not None:
+            keys = keys.join(self.small(among), "key", "left_semi")
         keys = keys.groupBy("size", "x", "y", F.col("key").bitwiseAND(F.lit(1))).agg(F.min(F.struct("key", "main")).alias("one"), F.count(F.lit(1)).alias("times"))
         keys = keys.select("one.key", F.col("one.main.root").alias("main"), "size", (F.col("size") - F.col("one.main.size")).alias("outside"), "times")
         out = self.scratch.write(now.join(self.small(self.scratch.write(keys, f"keys-{tag}")), "key"), tag)
@@ -390,14 +392,13 @@ class _Search:
         """Compare the nodes of each key, given as by :meth:`open`, until none in
         different components may link any more."""
         for k in count():
-            asked = self.scratch.write(self.asked(now, 4**min(k, 4)), f"asked-{tag}-{k}")
+            asked = self.scratch.write(self.asked(now, 16 ** min(k, 2)), f"asked-{tag}-{k}")
             if asked.isEmpty():
                 self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
                 return
             self.test(asked.select("u", "v").distinct())
             # A key that asks nothing has no pair left that may link: components only grow.
-            still = now.select("key", "node").join(self.small(asked.select("key").distinct()), "key", "left_semi")
-            now = self.open(still, f"met-{tag}-{k + 1}")
+            now = self.open(now.select("key", "node"), f"met-{tag}-{k + 1}", asked.select("key").distinct())
             self.scratch.drop(f"met-{tag}-{k}", f"asked-{tag}-{k}")
 
     def asked(self, now: DataFrame, tries: int) -> DataFrame:
