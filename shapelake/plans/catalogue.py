@@ -287,10 +287,9 @@ def _(spark, sf):
 # --- meshes -----------------------------------------------------------------
 
 
-@query("unique_edges", f"WITH {FACES}, {EDGES} SELECT lo, hi, n_faces, n FROM e, (SELECT count(*) AS n FROM embeddings)")
+@query("unique_edges", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, k AS (SELECT * FROM n WHERE area > 0.02), h AS (SELECT specimen_id, a AS u, b AS v FROM k UNION ALL SELECT specimen_id, b, c FROM k UNION ALL SELECT specimen_id, c, a FROM k) SELECT specimen_id, least(u, v) AS lo, greatest(u, v) AS hi, count(*) AS n_faces FROM h GROUP BY 1, 2, 3")
 def _(spark, sf):
-    n = bridge.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
-    return mesh.unique_edges(bridge.faces(spark)).crossJoin(n)  # n is one row
+    return mesh.unique_edges(mesh.non_degenerate(vertices(spark, sf), bridge.faces(spark), 0.02), "specimen_id")
 
 
 @query("face_normals", f"WITH {P}, {FACES}, {TRI}, {NORMAL} SELECT specimen_id, fid, {r('nx', 'ny', 'nz', 'area')} FROM n")
@@ -310,7 +309,10 @@ def _(spark, sf):
 
 @query("dense_mesh_warning", f"WITH {P}, {BOX}, {FACES}, {EDGES}, l AS (SELECT p.specimen_id, avg(sqrt({D2})) AS m FROM e0 JOIN p ON p.pidx = u JOIN p q ON q.pidx = v AND q.specimen_id = p.specimen_id GROUP BY 1) SELECT specimen_id, m / diagonal < 0.35 AS dense FROM l JOIN b USING (specimen_id)")
 def _(spark, sf):
-    sizes = mesh.edge_lengths(vertices(spark, sf), bridge.faces(spark)).withColumn("n_vertices", F.lit(bridge.N_POINTS)).withColumn("n_faces", F.lit(bridge.N_POINTS - 2))
+    v, f = vertices(spark, sf), bridge.faces(spark)
+    n_vertices = v.groupBy("specimen_id").agg(F.count(F.lit(1)).alias("n_vertices"))
+    n_faces = mesh.corners(v, f).groupBy("specimen_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    sizes = mesh.edge_lengths(v, f).join(n_vertices, "specimen_id").join(n_faces, "specimen_id")
     return mesh.dense_mesh(sizes, share=0.35).select("specimen_id", "dense")
 
 
