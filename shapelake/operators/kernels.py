@@ -8,6 +8,18 @@ from math import comb
 import numpy as np
 
 
+def _least(d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` least values of each row in order, ties to the lower column."""
+    if 4 * k >= d2.shape[1]:
+        return np.argsort(d2, axis=1, kind="stable")[:, :k]
+    order = np.sort(np.argpartition(d2, k - 1, axis=1)[:, :k], axis=1)
+    value = np.take_along_axis(d2, order, 1)
+    order = np.take_along_axis(order, np.argsort(value, axis=1, kind="stable"), 1)
+    tied = np.flatnonzero((d2 <= value.max(1, keepdims=True)).sum(1) > k)  # equals at the edge: which of them were taken is open
+    order[tied] = np.argsort(d2[tied], axis=1, kind="stable")[:, :k]
+    return order
+
+
 def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool = False, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Indices and squared distances of the ``k`` nearest targets of each query,
     nearest first, ties to the lower index. A block of queries at a time."""
@@ -19,7 +31,7 @@ def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool =
         if skip_self:
             rows = np.arange(len(d2))
             d2[rows, rows + at] = np.inf
-        order = np.argmin(d2, axis=1)[:, None] if k == 1 else np.argsort(d2, axis=1, kind="stable")[:, :k]
+        order = np.argmin(d2, axis=1)[:, None] if k == 1 else _least(d2, k)
         index[at : at + block], apart[at : at + block] = order, np.take_along_axis(d2, order, 1)
     return index, apart
 

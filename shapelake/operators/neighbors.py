@@ -33,11 +33,13 @@ _NEIGHBOURS = pa.schema([("specimen_id", pa.int64()), ("qidx", pa.int64()), ("ti
 
 
 def _search(k: int, same: bool, block: int):
+    first = 2 if same else 6  # the targets' columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 part = batch.column(1)[row].as_py() * block
-                (qi, q), (ti, t) = _arrays(batch, row, 2), _arrays(batch, row, 6)
+                (qi, q), (ti, t) = _arrays(batch, row, 2), _arrays(batch, row, first)
                 qi, q = qi[part : part + block], q[part : part + block]
                 index, d2 = kernels.nearest(q, t, k + same)
                 if same:  # leave out the query itself, wherever ties have put it
@@ -53,10 +55,13 @@ def _search(k: int, same: bool, block: int):
 def k_nearest(queries: DataFrame, targets: DataFrame, k: int, *, same: bool = False, block: int = 4096) -> DataFrame:
     """The ``k`` nearest targets of each query of the same specimen, with rank and
     squared distance; ties go to the lower index. ``same``: queries are the
-    targets, and a point is no neighbour of itself."""
-    q, t = shapes(queries), shapes(targets).select("specimen_id", *(F.col(c).alias(f"t{c}") for c in "ixyz"))
-    rows = q.join(t, "specimen_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.size("i") / block).cast("int") - 1)))
-    rows = rows.select("specimen_id", "part", "i", "x", "y", "z", "ti", "tx", "ty", "tz")
+    targets (grouped once), and a point is no neighbour of itself."""
+    rows, part = shapes(queries), F.explode(F.sequence(F.lit(0), F.ceil(F.size("i") / block).cast("int") - 1)).alias("part")
+    if same:
+        rows = rows.select("specimen_id", part, "i", "x", "y", "z")
+    else:
+        t = shapes(targets).select("specimen_id", *(F.col(c).alias(f"t{c}") for c in "ixyz"))
+        rows = rows.join(t, "specimen_id").select("specimen_id", part, "i", "x", "y", "z", "ti", "tx", "ty", "tz")
     return rows.mapInArrow(_search(k, same, block), "specimen_id long, qidx long, tidx long, rank int, d2 double")
 
 

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .points import XYZ, mean_shape
-
-
-def long_form(points: DataFrame) -> DataFrame:
-    """specimen_id, axis (3 pidx + 0..2) and value."""
-    axes = F.inline(F.array(*(F.struct((F.col("pidx") * 3 + k).cast("int").alias("axis"), F.col(c).alias("v")) for k, c in enumerate(XYZ))))
-    return points.select("specimen_id", axes)
+from ..functions import geometry as g
+from .neighbors import shapes
+from .points import XYZ, bounds, mean_shape, transform
 
 
 def covariance(points: DataFrame) -> DataFrame:
     """Covariance of the coordinates (axis i <= j) over specimens, with n - 1.
 
-    Sums of products are formed in each specimen's row, so the work grows with
-    specimens, not with their pairs, and only sums are shuffled.
+    A task multiplies its specimens' matrix with itself and gives one row for each
+    pair of axes, however many specimens it has; only these are shuffled. A pair's
+    covariance is over the specimens that have both landmarks; null for one specimen.
     """
-    values = F.transform(F.array_sort(F.collect_list(F.struct("axis", "v"))), lambda s: s["v"])
-    rows = long_form(points).groupBy("specimen_id").agg(values.alias("x")).select(F.posexplode("x").alias("i", "xi"), "x")
-    pairs = rows.select("i", "xi", F.posexplode("x").alias("j", "xj")).where("i <= j")
-    n = F.count(F.lit(1))
-    return pairs.groupBy("i", "j").agg(F.when(n > 1, (F.sum(F.col("xi") * F.col("xj")) - F.sum("xi") * F.sum("xj") / n) / F.nullif(n - 1, F.lit(0))).alias("cov"))
+    part = shapes(points).mapInPandas(_products, "i int, j int, n long, si double, sj double, m double")
+    n, si, sj = F.sum("n"), F.sum("si"), F.sum("sj")
+    between = F.sum(F.col("si") * F.col("sj") / F.col("n")) - si * sj / n
+    return part.groupBy("i", "j").agg(F.when(n > 1, (F.sum("m") + between) / F.nullif(n - 1, F.lit(0))).alias("cov"))
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a task's specimens with equal landmarks: number, sums and centred sums of products for each pair of axes."""
+    for batch in batches:
+        alike: dict[bytes, list] = {}
+        for row in batch.itertuples(index=False):
+            alike.setdefault(np.asarray(row.i, np.int64).tobytes(), []).append(np.stack([row.x, row.y, row.z], 1).ravel())
+        for key, many in alike.items():
+            x = np.stack(many)
+            axis = (np.frombuffer(key, np.int64)[:, None] * 3 + np.arange(3)).ravel().astype(np.int32)
+            total, centred = x.sum(0), x - x.mean(0)
+            for a in range(len(axis)):  # a row of the matrix at a time
+                to = slice(a, None)
+                yield pd.DataFrame({"i": axis[a], "j": axis[to], "n": len(x), "si": total[a], "sj": total[to], "m": centred[:, a] @ centred[:, to]})
 
 
 def total_variance(points: DataFrame, *by: str) -> DataFrame:
@@ -43,10 +57,11 @@ def build(points: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame,
     """
     spark = points.sparkSession
     mean = mean_shape(points)
-    cells = covariance(points).toPandas()
-    size = int(cells["j"].max()) + 1 if len(cells) else 0
+    last = points.agg(F.max("pidx")).first()[0]
+    size = 0 if last is None else 3 * int(last) + 3
     if size > most:
         raise ValueError(f"{size} coordinates; at most {most} are decomposed on the driver")
+    cells = covariance(points).toPandas()
     matrix = np.zeros((size, size))
     matrix[cells["i"], cells["j"]] = matrix[cells["j"], cells["i"]] = cells["cov"]
     values, vectors = np.linalg.eigh(np.nan_to_num(matrix)) if size else (np.zeros(0), np.zeros((0, 0)))
@@ -92,3 +107,25 @@ def validate(mean: DataFrame, modes: DataFrame, eigenvalues: DataFrame) -> None:
     n = mean.count()
     if not modes.groupBy("mode").agg(F.countDistinct("pidx").alias("n")).where(F.col("n") != n).isEmpty() or not eigenvalues.where("NOT v > 0").isEmpty():
         raise ValueError("modes do not fit the mean, or eigenvalues are not positive")
+
+
+def rotate(modes: DataFrame, rotation: list[list[float]]) -> DataFrame:
+    """Modes turned with their shape: directions rotate, nothing is shifted."""
+    return transform(modes, g.similarity_matrix(rotation, 1.0, [0.0, 0.0, 0.0]))
+
+
+def coefficients(points: DataFrame, mean: DataFrame, modes: DataFrame) -> DataFrame:
+    """(specimen_id, mode, b) of aligned specimens: their difference from the mean along each (unit) mode."""
+    away = points.join(mean.select("pidx", *(F.col(c).alias(f"m{c}") for c in XYZ)), "pidx").select("specimen_id", "pidx", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in XYZ))
+    along = away.join(modes.select("mode", "pidx", *(F.col(c).alias(f"d{c}") for c in XYZ)), "pidx")
+    return along.groupBy("specimen_id", "mode").agg(F.sum(g.dot(g.vector(), g.vector("d"))).alias("b"))
+
+
+def diagnostics(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: DataFrame) -> DataFrame:
+    """How far each specimen lies from a model: the norm of its coefficients in standard
+    deviations, the largest of them, and its box's diagonal over the mean's."""
+    b = coefficients(points, mean, modes).join(eigenvalues, "mode").select("specimen_id", (F.col("b") / F.sqrt(F.greatest("v", F.lit(1e-10)))).alias("b"))
+    far = b.groupBy("specimen_id").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("coefficient_norm"), F.max(F.abs("b")).alias("largest"))
+    sizes = bounds(points, "specimen_id").select("specimen_id", F.col("diagonal").alias("own"))
+    ratio = sizes.crossJoin(bounds(mean).select("diagonal")).select("specimen_id", (F.col("own") / F.nullif("diagonal", F.lit(0.0))).alias("size_ratio"))  # the mean is one row
+    return far.join(ratio, "specimen_id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import mesh, neighbors, pairing, points, registration, segmentation, shape_model, surfaces
+from ..operators import atlas, mesh, neighbors, pairing, points, registration, segmentation, shape_model, surfaces, template_search
 from ..sources import bridge, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,69 @@ def _(spark, sf):
     return rounded(points.principal_axis_moments(bridge.points(spark, sf), "population"))
 
 
+_MOM = ", ".join(f"sum({a}*{b}) - sum({a})*sum({b})/count(*) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_AXIS = f"""mo AS (SELECT population, {_MOM} FROM p GROUP BY 1), tr AS (SELECT *, (xx+yy+zz)/3 AS q FROM mo),
+dv AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS s FROM tr),
+ro AS (SELECT *, ((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(2*s*s*s) AS r FROM dv),
+ev AS (SELECT *, q+2*s*cos(acos(greatest(-1.0, least(1.0, r)))/3) AS ss FROM ro),
+vx AS (SELECT population, ss, xy*yz-xz*(yy-ss) AS x, xz*xy-(xx-ss)*yz AS y, (xx-ss)*(yy-ss)-xy*xy AS z FROM ev),
+un AS (SELECT population, ss, x, y, z, CASE WHEN greatest(x, y, z) < -least(x, y, z) THEN -1 ELSE 1 END / sqrt(x*x+y*y+z*z) AS f FROM vx)"""
+
+
+@query("principal_axis", f"WITH {P}, {_AXIS} SELECT population, {r('x=x*f', 'y=y*f', 'z=z*f', 'ss', digits=4)} FROM un")
+def _(spark, sf):
+    return rounded(points.principal_axis(bridge.points(spark, sf), "population"), 4)
+
+
+@query("unit_size_inverse", f"WITH {P} SELECT specimen_id, pidx, {r('x', 'y', 'z')} FROM p")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(points.from_unit_size(points.unit_size(p), points.unit_frames(p)))
+
+
+@query("control_point_count", f"WITH {P} SELECT specimen_id, count(DISTINCT pidx) AS n_points FROM p WHERE x > -0.2 GROUP BY 1")
+def _(spark, sf):
+    return points.control_point_counts(bridge.points(spark, sf).where("x > -0.2"), "specimen_id")
+
+
+@query("copy_labels", f"WITH {P}, l AS (SELECT DISTINCT pidx, 'locus ' || pidx // 7 AS label FROM p), v AS (SELECT specimen_id, pidx FROM p WHERE x > -0.2), n AS (SELECT specimen_id, count(*) = (SELECT count(*) FROM l) AS fits FROM v GROUP BY 1) SELECT specimen_id, pidx, CASE WHEN fits THEN label END AS label FROM v JOIN n USING (specimen_id) LEFT JOIN l USING (pidx)")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    template = p.select("pidx").distinct().withColumn("label", F.concat(F.lit("locus "), F.floor(F.col("pidx") / 7).cast("string")))
+    return points.copy_labels(p.where("x > -0.2"), template)
+
+
+@query("pose_to_world", f"WITH {P}, {BOX}, c AS (SELECT specimen_id, population, avg(x) AS sx, avg(y) AS sy, avg(z) AS sz FROM p GROUP BY 1, 2), t AS (SELECT population, avg(x) AS tx, avg(y) AS ty, avg(z) AS tz FROM p GROUP BY 1) SELECT specimen_id, {r('x=0.1+tx+20.0/diagonal*sy', 'y=ty-20.0/diagonal*sx', 'z=tz-20.0/diagonal*sz')} FROM c JOIN t USING (population) JOIN b USING (specimen_id)")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    source = points.centroid(p, "specimen_id", "population").select("specimen_id", "population", *(F.col(c).alias(f"s{c}") for c in "xyz"))
+    target = points.centroid(p, "population").select("population", *(F.col(c).alias(f"t{c}") for c in "xyz"))
+    scale = points.bounds(p, "specimen_id").select("specimen_id", (F.lit(20.0) / F.col("diagonal")).alias("scale"), F.lit(0.1).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    poses = source.join(target, "population").join(scale, "specimen_id")
+    return rounded(points.to_world(poses, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]).select("specimen_id", "x", "y", "z"))
+
+
+@query("projection_limit", f"WITH {P}, {BOX} SELECT specimen_id, {r('most=diagonal*0.05')} FROM b")
+def _(spark, sf):
+    return rounded(points.projection_limit(points.bounds(bridge.points(spark, sf), "specimen_id"), 5.0, skip=False))
+
+
+@query("run_summary", f"WITH {P}, o AS (SELECT specimen_id, count(*) = 21 AND max(x) <= 0.3 AND max(greatest(abs(x), abs(y), abs(z))) > 0 AS ok FROM p WHERE y > -0.4 GROUP BY 1) SELECT count(*) AS specimens, count(*) FILTER (ok) AS used, count(*) FILTER (NOT ok) AS skipped, 21 * count(*) FILTER (ok) AS points FROM o")
+def _(spark, sf):
+    p = bridge.points(spark, sf).where("y > -0.4").withColumn("x", F.when(F.col("x") > 0.3, F.lit(float("nan"))).otherwise(F.col("x")))
+    return points.run_summary(p, bridge.N_POINTS)
+
+
+@query("seeded_subsample", f"WITH {P} SELECT specimen_id, population, pidx, {r('x', 'y', 'z')} FROM p QUALIFY row_number() OVER (PARTITION BY specimen_id ORDER BY md5(concat_ws(':', '7', specimen_id::VARCHAR, pidx::VARCHAR)), pidx) <= 5")
+def _(spark, sf):
+    return rounded(points.subsample(bridge.points(spark, sf), 5, "pidx", "specimen_id", seed=7))
+
+
+@query("first_preview", f"WITH {P} SELECT specimen_id, population, pidx, {r('x', 'y', 'z')} FROM p WHERE specimen_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10)")
+def _(spark, sf):
+    return rounded(points.preview(bridge.points(spark, sf), 10))
+
+
 # --- shape models -----------------------------------------------------------
 
 
@@ -560,6 +623,60 @@ def _(spark, sf):
     return rounded(points.coordinate_check(*d, points.bounds(p, "specimen_id"), 0.2))
 
 
+_MODES = "m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), pm AS (SELECT population AS mode, pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1, 2), d AS (SELECT mode, pidx, pm.x - m.x AS x, pm.y - m.y AS y, pm.z - m.z AS z FROM pm JOIN m USING (pidx))"
+
+
+def _population_modes(p):
+    """What sets each population's mean apart from the mean of all, as a mode."""
+    mean = points.mean_shape(p).select("pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
+    return points.mean_shape(p, "population").join(mean, "pidx").select(F.col("population").alias("mode"), "pidx", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
+
+
+@query("rotate_modes", f"WITH {P}, {_MODES} SELECT mode, pidx, {r('x=-d.y', 'y=d.x', 'z=d.z')} FROM d")
+def _(spark, sf):
+    return rounded(shape_model.rotate(_population_modes(bridge.points(spark, sf)), [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]))
+
+
+_COEF = "cf AS (SELECT p.specimen_id, d.mode, sum((p.x-m.x)*d.x+(p.y-m.y)*d.y+(p.z-m.z)*d.z) AS b FROM p JOIN m USING (pidx) JOIN d USING (pidx) GROUP BY 1, 2)"
+
+
+@query("model_coefficients", f"WITH {P}, {_MODES}, {_COEF} SELECT specimen_id, mode, {r('b')} FROM cf")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(shape_model.coefficients(p, points.mean_shape(p), _population_modes(p)))
+
+
+_TV = "tv AS (SELECT mode, sum(v) AS v FROM (SELECT population AS mode, coalesce(var_samp(x), 0) + coalesce(var_samp(y), 0) + coalesce(var_samp(z), 0) AS v FROM p GROUP BY population, pidx) GROUP BY 1)"
+
+
+@query("pose_diagnostics", f"WITH {P}, {BOX}, {_MODES}, {_COEF}, {_TV}, sb AS (SELECT specimen_id, b / sqrt(greatest(v, 1e-10)) AS b FROM cf JOIN tv USING (mode)), md AS (SELECT sqrt((max(x)-min(x))*(max(x)-min(x))+(max(y)-min(y))*(max(y)-min(y))+(max(z)-min(z))*(max(z)-min(z))) AS d FROM m), fa AS (SELECT specimen_id, sqrt(sum(b*b)) AS coefficient_norm, max(abs(b)) AS largest FROM sb GROUP BY 1) SELECT specimen_id, {r('coefficient_norm', 'largest', 'size_ratio=diagonal/md.d')} FROM fa JOIN b USING (specimen_id), md")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    v = shape_model.total_variance(p, "population").select(F.col("population").alias("mode"), F.col("variance").alias("v"))
+    return rounded(shape_model.diagnostics(p, points.mean_shape(p), _population_modes(p), v))
+
+
+_MISFIT = "mf AS (SELECT specimen_id, mode AS candidate, round(sum((p.x-pm.x)*(p.x-pm.x)+(p.y-pm.y)*(p.y-pm.y)+(p.z-pm.z)*(p.z-pm.z)), 9) AS ss FROM p JOIN pm USING (pidx) GROUP BY 1, 2)"
+
+
+def _misfit(p):
+    """Sum of squares between each specimen and each population's mean: candidates for its template."""
+    mean = points.mean_shape(p, "population").select(F.col("population").alias("candidate"), "pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
+    return p.join(F.broadcast(mean), "pidx").groupBy("specimen_id", "candidate").agg(F.round(F.sum(g.distance2(g.vector(), g.vector("m"))), 9).alias("ss"))
+
+
+@query("candidate_beam", f"WITH {P}, {_MODES}, {_MISFIT} SELECT specimen_id, candidate, -{'round(ss, 6)'} + 0.0 AS score, (row_number() OVER (PARTITION BY specimen_id ORDER BY mf.ss, candidate))::INTEGER AS rank FROM mf QUALIFY row_number() OVER (PARTITION BY specimen_id ORDER BY mf.ss, candidate) <= 3")
+def _(spark, sf):
+    return rounded(template_search.beam(_misfit(bridge.points(spark, sf)).select("specimen_id", "candidate", (-F.col("ss")).alias("score")), 3))
+
+
+@query("candidate_pruning", f"WITH {P}, {_MODES}, {_MISFIT}, be AS (SELECT specimen_id, 1 - min(ss) AS best FROM mf GROUP BY 1) SELECT specimen_id, candidate, {r('penalty=ss', 'best')} FROM mf JOIN be USING (specimen_id) WHERE 1 - ss > best - (0.05 * 0.6 + 1e-5)")
+def _(spark, sf):
+    scores = _misfit(bridge.points(spark, sf)).withColumnRenamed("ss", "penalty")
+    best = scores.groupBy("specimen_id").agg((F.lit(1.0) - F.min("penalty")).alias("best"))
+    return rounded(template_search.worth_scoring(scores, best, 0.6, 1e-5))
+
+
 # --- what SQL does not express ----------------------------------------------
 
 
@@ -670,3 +787,21 @@ def _(spark, sf):
 @query("cloud_normals", None)
 def _(spark, sf):
     return rounded(surfaces.cloud_normals(bridge.points(spark, sf), 0.4), 3)
+
+
+@query("mean_atlas", None)
+def _(spark, sf):
+    return rounded(atlas.mean_atlas(bridge.points(spark, sf), list(range(0, 21, 3)))[0], 4)
+
+
+@query("dense_export", None)
+def _(spark, sf):
+    p, f = bridge.points(spark, sf), bridge.faces(spark)
+    mean, marks = points.mean_shape(p), F.col("pidx") % 3 == 0
+    return rounded(atlas.dense_export(p.where(marks), vertices(spark, sf), f, mean, mean.where(marks)), 4)
+
+
+@query("template_search", None)
+def _(spark, sf):
+    p = points.scale_diagonal(bridge.points(spark, sf))
+    return rounded(template_search.search(p, *shape_model.build(p)), 4)

@@ -56,3 +56,33 @@ def write_segments(vertices: DataFrame, labels: DataFrame, path: str) -> None:
 def run_folder(root: str, kind: str, when: str) -> str:
     """Where a run (``%Y_%m-%d_%H_%M_%S``) keeps results of a kind, such as atlas or alignedLMs."""
     return f"{root}/run={when}/kind={kind}"
+
+
+def remove_model(spark: SparkSession, path: str, name: str) -> bool:
+    """Delete a model database; whether there was one."""
+    if not name or "/" in name or name in (".", ".."):
+        raise ValueError(f"not the name of a model: {name!r}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """A warped mesh of each specimen: its vertices by specimen, and the faces."""
+    vertices.write.partitionBy("specimen_id").mode("overwrite").parquet(f"{path}/vertices")
+    faces.write.mode("overwrite").parquet(f"{path}/faces")
+
+
+def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
+    """One JSON object a line for each target, its landmarks and figures; nulls are kept."""
+    diagnostics.write.option("ignoreNullFields", False).mode("overwrite").json(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Label of each locus (pidx, label) as Parquet, and as text in order of the loci."""
+    labels.write.mode("overwrite").parquet(f"{path}/table")
+    labels.orderBy("pidx").select(F.col("label").cast("string")).write.mode("overwrite").text(f"{path}/text")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_labels` wrote."""
+    return spark.read.parquet(f"{path}/table")
