@@ -30,7 +30,7 @@ class SearchSettings:
     beam: int = 24
     keep: int = 12
     hypotheses: int = 193  # starting rotations of the mean
-    finalists: int = 4  # of them, those that candidates start from
+    finalists: int = 12  # of them, those that candidates start from; far from the mean more help
     rounds: int = 30
     points: int = 2_000  # of a specimen and of a candidate, spread evenly
     coarse: int = 400
@@ -152,8 +152,8 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
             if out:
                 yield pd.DataFrame(out, columns=["specimen_id", "r", "best", "fit", "rmse", "sound"])
 
-    def score(p: np.ndarray, r: np.ndarray, b: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best of the starting poses for each of the coefficients: score, fit, error."""
+    def score(p: np.ndarray, r: np.ndarray, b: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
+        """Best of the starting poses for each of the coefficients: score, fit, error, which pose."""
         made = shape(b)
         c = kernels.farthest_points(base, few)
         starts = np.einsum("nmk,rjk->nrmj", made[:, c], r).reshape(-1, len(c), 3)
@@ -161,7 +161,7 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
         fit, rmse = fit.reshape(len(b), -1), rmse.reshape(len(b), -1)
         at = (fit - s.w_rmse * rmse).argmax(1)[:, None]
         fit, rmse = (np.take_along_axis(v, at, 1)[:, 0] for v in (fit, rmse))
-        return fit - s.w_rmse * rmse - weight * (b * b * stiff).sum(1), fit, rmse
+        return fit - s.w_rmse * rmse - weight * (b * b * stiff).sum(1), fit, rmse, at[:, 0]
 
     def rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,14 +177,15 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
             for row in batch.itertuples(index=False):
                 p, r = _level(row, diagonal, s.points), np.asarray(row.r).reshape(-1, 3, 3)
                 b = np.concatenate([pool[np.asarray(row.own)], np.zeros((1, k))])
-                got, fit, rmse = score(p, r, b, s.points)
+                got, fit, rmse, pose = score(p, r, b, s.points)
                 at = int(got.argmax())
+                r = r[pose[at]][None]  # steps stay in the pose of the best
                 best, step = (got[at], fit[at], rmse[at], b[at]), s.span / 4
                 for _ in range(s.evaluations // (2 * max(k, 1))):
                     if step < 1e-3:
                         break
                     near = np.clip(best[3] + np.concatenate([np.eye(k), -np.eye(k)]) * step, -s.span, s.span)
-                    got, fit, rmse = score(p, r, near, s.points)
+                    got, fit, rmse, _ = score(p, r, near, s.points)
                     at = int(got.argmax())
                     if got[at] > best[0]:
                         best = (got[at], fit[at], rmse[at], near[at])
