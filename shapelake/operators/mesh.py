@@ -5,15 +5,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .neighbors import shapes
+
+
+def own_columns(faces: DataFrame) -> list[str]:
+    """``specimen_id`` if specimens have faces of their own."""
+    return ["specimen_id"] if "specimen_id" in faces.columns else []
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with the positions of their corners (ax .. cz)."""
-    own = ["specimen_id"] if "specimen_id" in faces.columns else []
+    own = own_columns(faces)
     out = faces
     for k, c in enumerate("abc"):
         side = vertices.select("specimen_id", F.col("vid").alias(c), *(F.col(n).alias(f"{c}{n}") for n in "xyz"))
@@ -80,11 +90,12 @@ def adjacency(faces: DataFrame, *keep: str) -> DataFrame:
 
 
 def ring(faces: DataFrame, hops: int = 1) -> DataFrame:
-    """(src, dst) of vertices that edges join in at most ``hops`` steps, each with itself."""
-    step = adjacency(faces)
-    out = step.select("src", F.col("src").alias("dst")).distinct()
+    """(src, dst) of vertices that edges join in at most ``hops`` steps, each with itself; of each specimen if it has its own faces."""
+    own = own_columns(faces)
+    step = adjacency(faces, *own)
+    out = step.select(*own, "src", F.col("src").alias("dst")).distinct()
     for _ in range(hops):
-        out = out.unionByName(out.withColumnRenamed("dst", "via").join(step.withColumnRenamed("src", "via"), "via").select("src", "dst")).distinct()
+        out = out.unionByName(out.withColumnRenamed("dst", "via").join(step.withColumnRenamed("src", "via"), [*own, "via"]).select(*own, "src", "dst")).distinct()
     return out
 
 
@@ -115,8 +126,9 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def normal_variation(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Mean angle between a vertex's normal and those its edges lead to."""
-    n, e = vertex_normals(vertices, faces), adjacency(faces)
-    out = n.withColumnRenamed("vid", "src").join(e, "src")
+    own = own_columns(faces)
+    n, e = vertex_normals(vertices, faces), adjacency(faces, *own)
+    out = n.withColumnRenamed("vid", "src").join(e, [*own, "src"])
     out = out.join(n.select("specimen_id", F.col("vid").alias("dst"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz")), ["specimen_id", "dst"])
     angle = F.acos(g.clip(g.dot(g.vector("n"), g.vector("m")), -1.0, 1.0))
     return out.groupBy("specimen_id", F.col("src").alias("vid")).agg(F.avg(angle).alias("variation"))
@@ -153,18 +165,55 @@ def repair(vertices: DataFrame, faces: DataFrame, most: float = 0.01) -> tuple[D
 def pooled_median(values: DataFrame, faces: DataFrame, hops: int = 1) -> DataFrame:
     """Median of each feature over the vertices within ``hops`` edges."""
     near = ring(faces, hops)
-    return near.join(values.withColumnRenamed("vid", "dst"), "dst").groupBy("specimen_id", F.col("src").alias("vid"), "fidx").agg(F.median("v").alias("v"))
+    return near.join(values.withColumnRenamed("vid", "dst"), [*own_columns(faces), "dst"]).groupBy("specimen_id", F.col("src").alias("vid"), "fidx").agg(F.median("v").alias("v"))
 
 
 def smooth(vertices: DataFrame, faces: DataFrame, step: float = 0.5) -> DataFrame:
     """One step of every vertex towards the mean of its neighbours."""
-    near = adjacency(faces).join(vertices.withColumnRenamed("vid", "dst"), "dst").groupBy("specimen_id", F.col("src").alias("vid")).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    own = own_columns(faces)
+    near = adjacency(faces, *own).join(vertices.withColumnRenamed("vid", "dst"), [*own, "dst"]).groupBy("specimen_id", F.col("src").alias("vid")).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     return vertices.join(near, ["specimen_id", "vid"]).select("specimen_id", "vid", *((F.col(c) + step * (F.col(f"m{c}") - F.col(c))).alias(c) for c in "xyz"))
 
 
-def curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def smoothed(vertices: DataFrame, faces: DataFrame, scales: tuple[int, ...], step: float = 0.5) -> DataFrame:
+    """Each mesh after each of several numbers of smoothing steps (specimen_id, scale, vid, x, y, z).
+
+    Steps are those of :func:`smooth`, one mesh at a time in a task; vertices
+    without edges stay where they are.
+    """
+    corner = F.array_sort(F.collect_list(F.struct("fid", *(F.col(c).cast("long").alias(c) for c in "abc")))).alias("f")
+    rows = shapes(vertices, "vid")
+    if own_columns(faces):
+        rows = rows.join(faces.groupBy("specimen_id").agg(corner), "specimen_id", "left")
+    else:
+        rows = rows.crossJoin(faces.agg(corner))  # one topology, one row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                index, p = np.asarray(row.i), np.stack([row.x, row.y, row.z], 1)
+                f = np.zeros((0, 3), np.int64) if row.a is None else np.stack([row.a, row.b, row.c], 1).astype(np.int64)
+                f = np.searchsorted(index, f[np.isin(f, index).all(1)])
+                e = np.unique(np.sort(np.concatenate([f[:, [0, 1]], f[:, [1, 2]], f[:, [2, 0]]]), 1), axis=0)
+                degree = np.bincount(e.ravel(), minlength=len(p))[:, None]
+                for n in range(max(scales) + 1):
+                    if n in scales:
+                        yield pd.DataFrame({"specimen_id": row.specimen_id, "scale": np.int32(n), "vid": index, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+                    around = np.zeros_like(p)
+                    np.add.at(around, e[:, 0], p[e[:, 1]])
+                    np.add.at(around, e[:, 1], p[e[:, 0]])
+                    p = np.where(degree > 0, p + step * (around / np.maximum(degree, 1) - p), p)
+
+    return rows.select("specimen_id", *"ixyz", *(F.col(f"f.{c}").alias(c) for c in "abc")).mapInPandas(run, "specimen_id long, scale int, vid long, x double, y double, z double")
+
+
+def curvature(vertices: DataFrame, faces: DataFrame, signed: bool = False) -> DataFrame:
     """Discrete mean curvature (half the Laplacian's length over the area) and
-    Gaussian curvature (angle defect over the area) of each vertex."""
+    Gaussian curvature (angle defect over the area) of each vertex.
+
+    ``signed``, the mean curvature is negative where the surface bends towards
+    the side that its faces' normals point to.
+    """
     w = cotangent_weights(vertices, faces)
     both = w.select("specimen_id", F.col("lo").alias("vid"), F.col("hi").alias("to"), "w").unionByName(w.select("specimen_id", F.col("hi").alias("vid"), F.col("lo").alias("to"), "w"))
     pull = both.join(vertices, ["specimen_id", "vid"]).join(vertices.select("specimen_id", F.col("vid").alias("to"), *(F.col(c).alias(f"t{c}") for c in "xyz")), ["specimen_id", "to"])
@@ -179,4 +228,8 @@ def curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
         parts = part if parts is None else parts.unionByName(part)
     defect = parts.groupBy("specimen_id", "vid").agg((2 * F.pi() - F.sum("angle")).alias("defect"))
     out = pull.join(defect, ["specimen_id", "vid"]).join(vertex_areas(vertices, faces), ["specimen_id", "vid"])
-    return out.select("specimen_id", "vid", (g.norm(g.vector("l")) / (2 * F.col("area"))).alias("mean_curvature"), (F.col("defect") / F.col("area")).alias("gauss_curvature"))
+    size = g.norm(g.vector("l"))
+    if signed:
+        out = out.join(vertex_normals(vertices, faces), ["specimen_id", "vid"])
+        size = F.when(g.dot(g.vector("l"), g.vector("n")) > 0, -size).otherwise(size)
+    return out.select("specimen_id", "vid", (size / (2 * F.col("area"))).alias("mean_curvature"), (F.col("defect") / F.col("area")).alias("gauss_curvature"))

@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
+from . import mesh
+from .points import principal_axis
+from .quantiles import exact_median
+
 
 def z_scores(features: DataFrame) -> DataFrame:
     """Features (specimen_id, pidx, fidx, v) less their mean over the population deviation plus 1e-8, within specimen and feature."""
@@ -16,7 +21,7 @@ def z_scores(features: DataFrame) -> DataFrame:
 def clean(features: DataFrame) -> DataFrame:
     """Features whose NaN, infinite or null values are the feature's median."""
     good = F.when(~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))), F.col("v"))
-    middle = features.groupBy("fidx").agg(F.median(good).alias("middle"))
+    middle = exact_median(features.select("fidx", good.alias("good")), ["fidx"], "good", "middle")
     return features.join(middle, "fidx").select("specimen_id", "pidx", "fidx", F.coalesce(good, "middle").alias("v"))
 
 
@@ -25,7 +30,7 @@ def edge_feature_median(features: DataFrame, edges: DataFrame) -> DataFrame:
     ends = [features.select("specimen_id", "fidx", F.col("pidx").alias(n), F.col("v").alias(f"v_{n}")) for n in ("src", "dst")]
     rows = edges.select("src", "dst").join(ends[0], "src").join(ends[1], ["specimen_id", "fidx", "dst"])
     apart = rows.groupBy("src", "dst", "specimen_id").agg(F.sum((F.col("v_src") - F.col("v_dst")) * (F.col("v_src") - F.col("v_dst"))).alias("d2"))
-    return apart.groupBy("src", "dst").agg(F.sqrt(F.median("d2") + F.lit(1e-12)).alias("df"))
+    return exact_median(apart, ["src", "dst"], "d2", "middle").select("src", "dst", F.sqrt(F.col("middle") + F.lit(1e-12)).alias("df"))
 
 
 def node_sigma(edges: DataFrame) -> DataFrame:
@@ -34,15 +39,20 @@ def node_sigma(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.median("df").alias("sigma"))
 
 
-def locus_kernel(edges: DataFrame, alpha: float) -> DataFrame:
-    """Weight of undirected edges (src, dst, df, dx): ``alpha`` of how alike the
-    features are, the rest of how near the positions."""
+def kernel_terms(edges: DataFrame) -> DataFrame:
+    """How alike the features of undirected edges (src, dst, df, dx) are, and how near the positions."""
     s = node_sigma(edges)
     rows = edges.join(s.select(F.col("node").alias("src"), F.col("sigma").alias("si")), "src").join(s.select(F.col("node").alias("dst"), F.col("sigma").alias("sj")), "dst")
     sx = edges.agg(F.median("dx").alias("sx"))
     near = F.exp(-F.col("dx") * F.col("dx") / (F.col("sx") * F.col("sx")))
     alike = F.exp(-F.col("df") * F.col("df") / (F.col("si") * F.col("sj") + F.lit(1e-12)))
-    return rows.crossJoin(sx).select("src", "dst", (alpha * alike + (1 - alpha) * near).alias("w"))  # sx is one row
+    return rows.crossJoin(sx).select("src", "dst", alike.alias("alike"), near.alias("near"))  # sx is one row
+
+
+def locus_kernel(edges: DataFrame, alpha: float) -> DataFrame:
+    """Weight of undirected edges (src, dst, df, dx): ``alpha`` of how alike the
+    features are, the rest of how near the positions."""
+    return kernel_terms(edges).select("src", "dst", (alpha * F.col("alike") + (1 - alpha) * F.col("near")).alias("w"))
 
 
 def weighted_degree(edges: DataFrame, *by: str) -> DataFrame:
@@ -51,12 +61,16 @@ def weighted_degree(edges: DataFrame, *by: str) -> DataFrame:
 
 
 def modularity(edges: DataFrame, labels: DataFrame, *by: str) -> DataFrame:
-    """Modularity of a labelling (src, dst, w in both directions; pidx, label); 0 without weight."""
-    rows = edges.join(labels.select(F.col("pidx").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("pidx").alias("dst"), F.col("label").alias("ld")), "dst")
+    """Modularity of a labelling (src, dst, w in both directions; pidx, label); 0 without weight.
+
+    Labels may have columns of ``by`` too and then hold for those values alone.
+    """
+    own = [c for c in by if c in labels.columns]
+    rows = edges.join(labels.select(*own, F.col("pidx").alias("src"), F.col("label").alias("ls")), [*own, "src"]).join(labels.select(*own, F.col("pidx").alias("dst"), F.col("label").alias("ld")), [*own, "dst"])
     total = rows.groupBy(*by).agg(F.sum("w").alias("total"))
-    part = rows.groupBy(*by, "ls").agg(F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("k"))
+    part = rows.groupBy(*by, "ls").agg(F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("reach"))
     joined = part.join(total, list(by)) if by else part.crossJoin(total)
-    q = F.when(F.col("total") > 0, F.col("inside") / F.col("total") - (F.col("k") / F.col("total")) * (F.col("k") / F.col("total"))).otherwise(0.0)
+    q = F.when(F.col("total") > 0, F.col("inside") / F.col("total") - (F.col("reach") / F.col("total")) * (F.col("reach") / F.col("total"))).otherwise(0.0)
     return joined.groupBy(*by).agg(F.sum(q).alias("modularity"))
 
 
@@ -76,6 +90,42 @@ def parameter_grid(spark, ks: list[int], alphas: list[float]) -> DataFrame:
     return spark.createDataFrame([(k,) for k in ks], "k int").crossJoin(spark.createDataFrame([(a,) for a in alphas], "alpha double"))
 
 
+def grid_modularity(edges: DataFrame, grid: DataFrame, labels: DataFrame) -> DataFrame:
+    """Modularity of the labels (k, pidx, label) under the kernel of each (k, alpha) of a short grid."""
+    terms = kernel_terms(edges)
+    both = terms.unionByName(terms.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "alike", "near"))
+    weights = both.crossJoin(grid).withColumn("w", F.col("alpha") * F.col("alike") + (1 - F.col("alpha")) * F.col("near"))
+    return modularity(weights, labels, "k", "alpha")
+
+
+def feature_stack(vertices: DataFrame, faces: DataFrame, loci: DataFrame, scales: tuple[int, ...] = (0, 4, 12), hops: int = 1) -> DataFrame:
+    """Geometric features (specimen_id, pidx, fidx, v) of loci (specimen_id, pidx, vid), z-scored within a specimen.
+
+    Four for each number of smoothing steps: shape index, curvedness and the two
+    principal curvatures. Then the mean angle at a vertex's edges, how much its normal
+    varies, and how its normal lies to the specimen's longest axis. The last is the
+    mean over the vertices within ``hops`` edges of a locus, all others the median.
+    """
+    own, last = mesh.own_columns(faces), 4 * len(scales)
+    steps = F.array(*(F.lit(s) for s in scales))
+    # a mesh after some steps is a mesh of its own here, so that one plan does all scales
+    scaled = mesh.smoothed(vertices, faces, scales).select(F.struct("specimen_id", "scale").alias("specimen_id"), "vid", "x", "y", "z")
+    shared = faces if not own else faces.withColumn("scale", F.explode(steps)).withColumn("specimen_id", F.struct("specimen_id", "scale")).drop("scale")
+    k1, k2 = g.principal_curvatures(F.col("mean_curvature"), F.col("gauss_curvature"))
+    bent = mesh.curvature(scaled, shared, signed=True).select("specimen_id", "vid", k1.alias("k1"), k2.alias("k2"))
+    first = 4 * (F.array_position(steps, F.col("specimen_id.scale")) - 1)
+    four = (g.shape_index(F.col("k1"), F.col("k2")), g.curvedness(F.col("k1"), F.col("k2")), F.col("k1"), F.col("k2"))
+    bent = bent.select("specimen_id.specimen_id", "vid", F.inline(F.array(*(F.struct((first + j).cast("int").alias("fidx"), v.alias("v")) for j, v in enumerate(four)))))
+    extra = lambda df, j, v: df.select("specimen_id", "vid", F.lit(last + j).alias("fidx"), v.alias("v"))
+    axis = principal_axis(vertices, "specimen_id").select("specimen_id", *(F.col(c).alias(f"a{c}") for c in "xyz"))
+    out = mesh.outward(vertices.join(mesh.vertex_normals(vertices, faces), ["specimen_id", "vid"])).join(axis, "specimen_id")
+    values = bent.unionByName(extra(mesh.mean_dihedral(vertices, faces), 0, F.col("dihedral")))
+    values = values.unionByName(extra(mesh.normal_variation(vertices, faces), 1, F.col("variation"))).unionByName(extra(out, 2, g.dot(g.vector("n"), g.vector("a"))))
+    near = loci.select("specimen_id", "pidx", "vid").join(mesh.ring(faces, hops).withColumnRenamed("src", "vid"), [*own, "vid"])
+    pooled = near.select("specimen_id", "pidx", F.col("dst").alias("vid")).join(values, ["specimen_id", "vid"]).groupBy("specimen_id", "pidx", "fidx")
+    return z_scores(pooled.agg(F.when(F.col("fidx") == last + 2, F.avg("v")).otherwise(F.median("v")).alias("v")))
+
+
 def spectral_labels(edges: DataFrame, k: int, *, most: int = 5_000, rounds: int = 60, seed: int = 0) -> DataFrame:
     """(pidx, label) from the first eigenvectors of the normalised Laplacian and k-means.
 

@@ -409,6 +409,18 @@ def _(spark, sf):
     return rounded(mesh.normal_variation(vertices(spark, sf), bridge.faces(spark)))
 
 
+def _angle(o, i, j):
+    c = lambda k, n: "by_" if k + n == "by" else k + n
+    u, v = ([f"({c(k, n)}-{c(o, n)})" for n in "xyz"] for k in (i, j))
+    dot = lambda a, b: "+".join(f"{x}*{y}" for x, y in zip(a, b, strict=True))
+    return f"SELECT specimen_id, {o} AS vid, acos(least(greatest(({dot(u, v)})/(sqrt({dot(u, u)})*sqrt({dot(v, v)})+1e-12), -1.0), 1.0)) AS angle FROM t"
+
+
+@query("curvature", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, k AS ({_cot(*'abc')} UNION ALL {_cot(*'bca')} UNION ALL {_cot(*'cab')}), cw AS (SELECT specimen_id, lo, hi, sum(cot)/2 AS w FROM k GROUP BY 1, 2, 3), ew AS (SELECT specimen_id, lo AS vid, hi AS o, w FROM cw UNION ALL SELECT specimen_id, hi, lo, w FROM cw), l AS (SELECT ew.specimen_id, vid, {', '.join(f'sum(w*(q.{c}-p.{c})) AS {c}' for c in 'xyz')} FROM ew JOIN p ON p.specimen_id = ew.specimen_id AND p.pidx = vid JOIN p q ON q.specimen_id = ew.specimen_id AND q.pidx = o GROUP BY 1, 2), an AS ({_angle(*'abc')} UNION ALL {_angle(*'bca')} UNION ALL {_angle(*'cab')}), df AS (SELECT specimen_id, vid, 2*pi() - sum(angle) AS defect FROM an GROUP BY 1, 2), c3 AS (SELECT specimen_id, unnest([a, b, c]) AS vid, area FROM n), ar AS (SELECT specimen_id, vid, greatest(sum(area/3), 1e-12) AS area FROM c3 GROUP BY 1, 2) SELECT specimen_id, vid, {r('mean_curvature=sqrt(x*x+y*y+z*z)/(2*area)', 'gauss_curvature=defect/area', digits=4)} FROM l JOIN df USING (specimen_id, vid) JOIN ar USING (specimen_id, vid)")
+def _(spark, sf):
+    return rounded(mesh.curvature(vertices(spark, sf), bridge.faces(spark)), 4)
+
+
 @query("outward_normals", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, {_VN}, m AS (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1) SELECT vn.specimen_id, vid, {r(*(f'n{c}=CASE WHEN nx*(p.x-m.x)+ny*(p.y-m.y)+nz*(p.z-m.z) < 0 THEN -n{c} ELSE n{c} END' for c in 'xyz'))} FROM vn JOIN p ON p.specimen_id = vn.specimen_id AND pidx = vid JOIN m ON m.specimen_id = vn.specimen_id")
 def _(spark, sf):
     v = vertices(spark, sf)
@@ -580,10 +592,15 @@ def _(spark, sf):
     return readers.json_attribute(bridge.table(spark, sf, "events"), "props", "k").select("event_id", F.col("value").alias("k"))
 
 
-@query("parameter_grid", f"WITH {P}, m AS (SELECT count(DISTINCT specimen_id) AS n FROM p), ks AS (SELECT unnest([8, 12, 15]) AS k), al AS (SELECT unnest([0.5, 0.7]) AS alpha) SELECT k::INTEGER AS k, alpha::DOUBLE AS alpha, n FROM ks, al, m")
+_GK = _LK.replace("0.7*exp", "alpha*exp").replace("0.3*exp", "(1-alpha)*exp").replace("AS w FROM ex", "AS w, alpha FROM (SELECT unnest([0.5, 0.7])::DOUBLE AS alpha) al, ex") + ", bw AS (SELECT src, dst, w, alpha FROM lk UNION ALL SELECT dst, src, w, alpha FROM lk)"
+
+
+@query("parameter_grid", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS}, {_GK}, c AS (SELECT alpha, k, src * k // 21 AS l, sum(CASE WHEN src * k // 21 = dst * k // 21 THEN w ELSE 0.0 END) AS i, sum(w) AS d FROM bw, (SELECT unnest([8, 12, 15]) AS k) ks GROUP BY 1, 2, 3), tt AS (SELECT alpha, sum(w) AS t FROM bw GROUP BY 1) SELECT k::INTEGER AS k, alpha, {r('modularity=sum(i/t - (d/t)*(d/t))')} FROM c JOIN tt USING (alpha) GROUP BY 1, 2")
 def _(spark, sf):
-    n = bridge.points(spark, sf).agg(F.countDistinct("specimen_id").alias("n"))
-    return segmentation.parameter_grid(spark, [8, 12, 15], [0.5, 0.7]).crossJoin(n)  # a short grid and one row
+    grid = segmentation.parameter_grid(spark, [8, 12, 15], [0.5, 0.7])
+    label = F.floor(F.col("pidx") * F.col("k") / bridge.N_POINTS).cast("int")
+    labels = grid.select("k").distinct().crossJoin(_thirds(spark).select("pidx")).withColumn("label", label)
+    return rounded(segmentation.grid_modularity(_locus_edges(spark, sf), grid, labels))
 
 
 _IN = "(bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az) AS uu, (bx-ax)*(cx-ax)+(by_-ay)*(cy-ay)+(bz-az)*(cz-az) AS uv, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az) AS vv, (qx-ax)*(bx-ax)+(qy-ay)*(by_-ay)+(qz-az)*(bz-az) AS wu, (qx-ax)*(cx-ax)+(qy-ay)*(cy-ay)+(qz-az)*(cz-az) AS wv"
@@ -743,11 +760,6 @@ def _(spark, sf):
     return rounded(registration.transfer(p, mean, mean.where("pidx % 3 = 0"), model=tuple(model)), 4)
 
 
-@query("curvature", None)
-def _(spark, sf):
-    return rounded(mesh.curvature(vertices(spark, sf), bridge.faces(spark)), 4)
-
-
 @query("feature_ransac", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
@@ -772,6 +784,12 @@ def _(spark, sf):
     return rounded(registration.dense_correspondence(p, list(range(0, 21, 3)), points.mean_shape(p)), 4)
 
 
+@query("feature_stack", None)
+def _(spark, sf):
+    v = vertices(spark, sf)
+    return rounded(segmentation.feature_stack(v, bridge.faces(spark), v.select("specimen_id", F.col("vid").alias("pidx"), "vid")), 4)
+
+
 @query("heat_signature", None)
 def _(spark, sf):
     return rounded(registration.heat_signatures(bridge.points(spark, sf), bridge.faces(spark)), 3)
