@@ -152,6 +152,32 @@ def icp(source: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: flo
     return s, r, t, last
 
 
+def plane_icp(placed: np.ndarray, target: np.ndarray, n: np.ndarray, limit: float, rounds: int = 30, tolerance: float = 1e-9) -> np.ndarray:
+    """Rigid point-to-plane registration (Chen and Medioni 1991) from where ``placed`` lies: where it ends.
+
+    Each round takes the points with a target within ``limit`` and the small turn and
+    shift that least squares gives for their distances along the targets' normals ``n``.
+    """
+    placed, last = placed.copy(), np.inf
+    for _ in range(rounds):
+        index, d2 = nearest(placed, target, 1)
+        near = d2[:, 0] <= limit**2
+        if near.sum() < 6:
+            break
+        p, q, m = placed[near], target[index[near, 0]], n[index[near, 0]]
+        off = ((q - p) * m).sum(1)
+        rms = float(np.sqrt((off**2).mean()))
+        if last - rms < tolerance:
+            break
+        last = rms
+        step = np.linalg.lstsq(np.hstack([np.cross(p, m), m]), off, rcond=None)[0]
+        angle = np.linalg.norm(step[:3])
+        x, y, z = step[:3] / max(angle, 1e-300)
+        k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+        placed = placed @ (np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k).T + step[3:]
+    return placed
+
+
 def icp_many(starts: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: float = 1e-9) -> np.ndarray:
     """Rigid point-to-point registration of many starting positions (h x m x 3) of one shape: where each ends."""
     placed, last, live = starts.copy(), np.full(len(starts), np.inf), np.arange(len(starts))
@@ -246,6 +272,35 @@ def ssm_drift(mean: np.ndarray, modes: np.ndarray, eigenvalues: np.ndarray, targ
     return s * shape @ r.T + t, b, s
 
 
+def fine_drift(source: np.ndarray, target: np.ndarray, beta: float = 2.0, alpha: float = 2.0, outliers: float = 0.1, rank: int = 300, rounds: int = 250, tolerance: float = 1e-6) -> np.ndarray:
+    """Non-rigid coherent point drift (Myronenko and Song 2010): where the source's points end.
+
+    Both are worked on at a diagonal of the target of 20. Moves are combinations of the
+    ``rank`` leading eigenvectors of the Gaussian kernel of width ``beta``, held back by ``alpha``.
+    """
+    scale = 20.0 / max(float(np.linalg.norm(np.ptp(target, axis=0))), 1e-12)
+    y, x = source * scale, target * scale
+    m, n = len(y), len(x)
+    values, basis = np.linalg.eigh(np.exp(-((y[:, None] - y[None]) ** 2).sum(-1) / (2 * beta**2)))
+    values, basis = values[::-1][:rank], basis[:, ::-1][:, :rank]
+    kept = values > 1e-10 * values[0]
+    values, basis = values[kept], basis[:, kept]
+    box = max(float(np.prod(np.ptp(x, axis=0))), 1e-12)
+    moved = y
+    sigma2 = max(((x[:, None] - y[None]) ** 2).sum() / (3 * m * n), 1e-12)
+    for _ in range(rounds):
+        d2 = ((x[:, None] - moved[None]) ** 2).sum(-1)
+        p = np.exp(-d2 / (2 * sigma2))
+        p /= np.maximum(p.sum(1, keepdims=True) + (2 * np.pi * sigma2) ** 1.5 * outliers / (1 - outliers) * m / box, 1e-300)
+        weight = p.sum(0)
+        held = (basis.T * weight) @ basis + alpha * sigma2 * np.diag(1 / values)
+        moved = y + basis @ np.linalg.solve(held, basis.T @ (p.T @ x - weight[:, None] * y))
+        before, sigma2 = sigma2, max((p * ((x[:, None] - moved[None]) ** 2).sum(-1)).sum() / max(3 * p.sum(), 1e-300), 1e-12)
+        if abs(before - sigma2) < tolerance * before:
+            break
+    return moved / scale
+
+
 def normals(points: np.ndarray, k: int) -> np.ndarray:
     """Least principal axis of each point's ``k`` nearest, turned away from the centroid."""
     near, _ = nearest(points, points, k)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -55,8 +55,8 @@ def unique_edges(faces: DataFrame, *keep: str) -> DataFrame:
 
 def edge_lengths(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Mean length over the three edges of all faces, and its share of the box's diagonal."""
-    ends = [corners(vertices, faces).select("specimen_id", *(F.col(f"{p}{n}").alias(f"u{n}") for n in "xyz"), *(F.col(f"{q}{n}").alias(f"v{n}") for n in "xyz")) for p, q in ("ab", "bc", "ca")]
-    mean = ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy("specimen_id").agg(F.avg(g.norm(g.minus(g.vector("u"), g.vector("v")))).alias("mean_edge"))
+    sides = F.explode(F.array(*(g.norm(g.minus(g.vector(p), g.vector(q))) for p, q in ("ab", "bc", "ca"))))
+    mean = corners(vertices, faces).select("specimen_id", sides.alias("side")).groupBy("specimen_id").agg(F.avg("side").alias("mean_edge"))
     box = vertices.groupBy("specimen_id").agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"))
     return mean.join(box.select("specimen_id", F.sqrt(g.distance2(g.vector("hi"), g.vector("lo"))).alias("diagonal")), "specimen_id").withColumn("share", F.col("mean_edge") / F.col("diagonal"))
 
@@ -73,14 +73,12 @@ def vertex_areas(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def cotangent_weights(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Half the sum of the cotangents opposite to each edge: one standard Laplacian's weights."""
-    tri = corners(vertices, faces)
-    rows = None
+    parts = []
     for i, j, o in ("abc", "bca", "cab"):
         u, v = g.minus(g.vector(i), g.vector(o)), g.minus(g.vector(j), g.vector(o))
         cot = g.dot(u, v) / F.greatest(g.norm(g.cross(u, v)), F.lit(1e-12))
-        part = tri.select("specimen_id", F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), cot.alias("cot"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("specimen_id", "lo", "hi").agg((F.sum("cot") / 2).alias("w"))
+        parts.append(F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), cot.alias("cot")))
+    return corners(vertices, faces).select("specimen_id", F.inline(F.array(*parts))).groupBy("specimen_id", "lo", "hi").agg((F.sum("cot") / 2).alias("w"))
 
 
 def adjacency(faces: DataFrame, *keep: str) -> DataFrame:
@@ -215,21 +213,19 @@ def curvature(vertices: DataFrame, faces: DataFrame, signed: bool = False) -> Da
     the side that its faces' normals point to.
     """
     w = cotangent_weights(vertices, faces)
-    both = w.select("specimen_id", F.col("lo").alias("vid"), F.col("hi").alias("to"), "w").unionByName(w.select("specimen_id", F.col("hi").alias("vid"), F.col("lo").alias("to"), "w"))
+    way = lambda i, j: F.struct(F.col(i).alias("vid"), F.col(j).alias("to"), "w")
+    both = w.select("specimen_id", F.inline(F.array(way("lo", "hi"), way("hi", "lo"))))
     pull = both.join(vertices, ["specimen_id", "vid"]).join(vertices.select("specimen_id", F.col("vid").alias("to"), *(F.col(c).alias(f"t{c}") for c in "xyz")), ["specimen_id", "to"])
     pull = pull.groupBy("specimen_id", "vid").agg(*(F.sum(F.col("w") * (F.col(f"t{c}") - F.col(c))).alias(f"l{c}") for c in "xyz"))
-    tri = corners(vertices, faces)
-    angle: Column
-    parts = None
+    normal, area = g.triangle_normal(*(g.vector(c) for c in "abc"))
+    parts = []
     for o, i, j in ("abc", "bca", "cab"):
         u, v = g.minus(g.vector(i), g.vector(o)), g.minus(g.vector(j), g.vector(o))
         angle = F.acos(g.clip(g.dot(u, v) / (g.norm(u) * g.norm(v) + F.lit(1e-12)), -1.0, 1.0))
-        part = tri.select("specimen_id", F.col(o).alias("vid"), angle.alias("angle"))
-        parts = part if parts is None else parts.unionByName(part)
-    defect = parts.groupBy("specimen_id", "vid").agg((2 * F.pi() - F.sum("angle")).alias("defect"))
-    out = pull.join(defect, ["specimen_id", "vid"]).join(vertex_areas(vertices, faces), ["specimen_id", "vid"])
+        parts.append(F.struct(F.col(o).alias("vid"), angle.alias("angle"), area.alias("area"), *((n * area).alias(f"n{c}") for n, c in zip(normal, "xyz", strict=True))))
+    around = corners(vertices, faces).select("specimen_id", F.inline(F.array(*parts))).groupBy("specimen_id", "vid")
+    out = pull.join(around.agg((2 * F.pi() - F.sum("angle")).alias("defect"), F.greatest(F.sum(F.col("area") / 3), F.lit(1e-12)).alias("area"), *(F.sum(f"n{c}").alias(f"n{c}") for c in "xyz")), ["specimen_id", "vid"])
     size = g.norm(g.vector("l"))
     if signed:
-        out = out.join(vertex_normals(vertices, faces), ["specimen_id", "vid"])
         size = F.when(g.dot(g.vector("l"), g.vector("n")) > 0, -size).otherwise(size)
     return out.select("specimen_id", "vid", (size / (2 * F.col("area"))).alias("mean_curvature"), (F.col("defect") / F.col("area")).alias("gauss_curvature"))

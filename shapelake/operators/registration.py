@@ -240,12 +240,12 @@ def _global_pose(tp: np.ndarray, p: np.ndarray, turns: np.ndarray, rounds: int =
     return both[kernels.pose_scores(both, p).argmax()]
 
 
-def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap: bool = True, *, model: tuple[DataFrame, DataFrame] | None = None, share: float = 0.95, most: int = 10, hypotheses: int = 193, seed: int = 0) -> DataFrame:
+def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap: bool = True, *, fine: bool = True, model: tuple[DataFrame, DataFrame] | None = None, share: float = 0.95, most: int = 10, hypotheses: int = 193, seed: int = 0) -> DataFrame:
     """Landmarks of the template predicted on each specimen: its scale, the best of
     ``hypotheses`` starting rotations, coherent point drift along the modes of
     ``model`` (modes and eigenvalues of a shape model whose mean is the template;
-    no bending without one), a spline to the nearest points, then each landmark to
-    the nearest point if ``snap``. A specimen that fails has one row that says why."""
+    no bending without one), free coherent drift if ``fine``, a spline to the nearest
+    points, then each landmark to the nearest point if ``snap``. A specimen that fails has one row that says why."""
     turns = rotations(hypotheses, seed)
     _, tp = template_arrays(template)
     li, lp = template_arrays(landmarks)
@@ -258,7 +258,7 @@ def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap:
             posed = _global_pose(tp, p, turns)
             s, r, t = kernels.similarity_fit(tp, posed)
             bent = posed if not k else s * kernels.ssm_drift(tp, table[:k], values[:k], (p - t) @ r / s)[0] @ r.T + t
-            near, _ = kernels.nearest(bent, p, 1)
+            near, _ = kernels.nearest(kernels.fine_drift(bent, p) if fine else bent, p, 1)
             w, a = kernels.tps_fit(posed, p[near[:, 0]], smooth=1e-3)
             marks = kernels.tps_apply(s * lp @ r.T + t, posed, w, a)
             if snap:
@@ -271,21 +271,27 @@ def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap:
 
 
 def register_by_features(points: DataFrame, template: DataFrame, limit: float, *, k: int = 12, iterations: int = 4_000, fitness: float = 0.99, retries: int = 20, seed: int = 42) -> DataFrame:
-    """Pose of the template by matched point features and RANSAC, then closest points.
+    """Pose of the template by matched point features and RANSAC, then closest points and planes.
 
-    The first try is rigid; up to ``retries`` more allow scaling, with other
-    seeds, until the share of the template with a specimen's point within
-    ``limit`` reaches ``fitness``. The best try counts. Where a try goes through all
+    The first try is rigid; up to ``retries`` more allow scaling, with other seeds,
+    until the share of points with one of the other shape within ``limit``, the mean
+    of both ways, reaches ``fitness``. The best try counts; it is refined point to
+    plane, which stays where that share or the distances get better. Where a try goes through all
     triples of matches, seeds make no difference and one try with scaling is all.
     """
     _, tp = template_arrays(template)
     tf = kernels.point_features(tp, kernels.normals(tp, k), k)
 
+    def score(p, placed):
+        there, back = (kernels.nearest(a, b, 1)[1] for a, b in ((placed, p), (p, placed)))
+        return (float((there <= limit**2).mean()) + float((back <= limit**2).mean())) / 2, -float(np.sqrt(there.mean()))
+
     def work(index, p):
         try:
             if not np.isfinite(p).all():
                 raise ValueError("points are not finite")
-            pf = kernels.point_features(p, kernels.normals(p, k), k)
+            pn = kernels.normals(p, k)
+            pf = kernels.point_features(p, pn, k)
             match = ((tf[:, None] - pf[None]) ** 2).sum(-1)
             pairs = np.stack([np.arange(len(tp)), match.argmin(1)], 1)
             best = None
@@ -293,13 +299,13 @@ def register_by_features(points: DataFrame, template: DataFrame, limit: float, *
             for n in range(1 + tries):
                 s, r, t, _ = kernels.ransac(tp, p, pairs, limit, iterations, scaling=n > 0, seed=seed + n)
                 s2, r2, t2, _ = kernels.icp(s * tp @ r.T + t, p)
-                s, r, t = s2 * s, r2 @ r, s2 * r2 @ t + t2
-                d2 = kernels.nearest(s * tp @ r.T + t, p, 1)[1][:, 0]
-                got = (float((d2 <= limit**2).mean()), -float(np.sqrt(d2.mean())), s, r, t)
+                got = (*score(p, s2 * (s * tp @ r.T + t) @ r2.T + t2), s2 * (s * tp @ r.T + t) @ r2.T + t2)
                 best = got if best is None or got[:2] > best[:2] else best
                 if best[0] >= fitness:
                     break
-            _, rmse, s, r, t = best
+            onto = kernels.plane_icp(best[2], p, pn, limit)
+            _, rmse, placed = max(best, (*score(p, onto), onto), key=lambda b: b[:2])
+            s, r, t = kernels.similarity_fit(tp, placed)
             values = [s, *r.ravel(), *t, -rmse, None]
         except (ValueError, np.linalg.LinAlgError) as e:
             values = [*[None] * 14, str(e)]

@@ -169,3 +169,25 @@ def test_store_lists_models_and_writes_segments(spark, tmp_path):
     store.write_segments(v, v.select("specimen_id", "vid", (F.col("vid") % 2).alias("label")), str(tmp_path / "seg"))
     assert spark.read.parquet(str(tmp_path / "seg")).where("label = 1").count() == 3
     store.write_points(frame(spark, {1: rng.normal(size=(6, 3))}), store.run_folder(str(tmp_path), "atlas", "2026_01-01_00_00_00"), "specimen_id")
+
+
+def test_point_to_plane_ends_nearer_than_it_starts():
+    rng = np.random.default_rng(50)
+    uv = rng.uniform(-1, 1, size=(900, 2))
+    surface = np.column_stack([uv, 0.4 * uv[:, 0] ** 2 - 0.2 * uv[:, 1] ** 2 + 0.3 * uv[:, 0] * uv[:, 1] + 0.2 * uv[:, 1] ** 3])
+    a = 0.05
+    r = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+    source = surface[::5]
+    got = kernels.plane_icp(source @ r.T + [0.02, -0.01, 0.03], surface, kernels.normals(surface, 12), 0.3)
+    assert np.linalg.norm(got - source, axis=1).max() < 0.01
+    far = source + 100
+    assert kernels.plane_icp(far, surface, kernels.normals(surface, 12), 0.3) == pytest.approx(far)
+
+
+def test_fine_drift_follows_a_smooth_bend():
+    rng = np.random.default_rng(51)
+    base = rng.uniform(-1, 1, size=(150, 3)) * [3, 2, 1]
+    bent = base + 0.15 * np.sin(base[:, [1, 2, 0]])
+    got = kernels.fine_drift(base, bent[rng.permutation(150)])
+    assert np.median(np.linalg.norm(got - bent, axis=1)) < 0.2 * np.median(np.linalg.norm(base - bent, axis=1))
+    assert kernels.fine_drift(base, base) == pytest.approx(base, abs=0.02)
