@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, quality, tiff, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, jaccard, mixing, prefix_trie, quality, tiff, token_counts, toxicity, url_filter, warc
 from .common import Scratch, fold, table
 
 #: Rules of the URL query: host, path, verdict.
@@ -65,6 +65,10 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(tiff.texts_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_tiff": op10_tiff,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -191,5 +196,32 @@ p AS (
 SELECT doc_id, size, d.source, source_size, target, repeats, part,
   CAST(least(repeats * size + round(part * size), 3.0 * size) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.bucket = p.bucket
+""",
+    # h by the definition of crc32, bit by bit; prefixes are the digests of their turns, joined.
+    "op13_prefix_trie": r"""
+WITH o AS (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS g, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(length(role) || ':' || role || text)) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+i AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, count(*) AS n FROM o GROUP BY conv_id),
+c AS (
+  SELECT conv_id, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, 8 * length(s)), lambda k: (ascii(substr(s, CAST(k // 8 + 1 AS BIGINT), 1)) >> (k % 8)::INTEGER) & 1)),
+    lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)))) % 4 AS h FROM i),
+k AS (SELECT c.conv_id, c.n, c.h, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+r AS (
+  SELECT k.conv_id, place AS depth, g, words FROM k JOIN o ON o.conv_id = k.conv_id - k.conv_id % 20 AND place <= taken
+  UNION ALL SELECT k.conv_id, taken + place - h, g, words FROM k JOIN o ON o.conv_id = k.conv_id AND place > h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM k),
+p AS (
+  SELECT conv_id, depth, words, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, max(depth) OVER (PARTITION BY conv_id) AS last FROM r),
+n AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(last) = depth AS leaf, (count(*) - 1) * max(words) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN depth = last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM p GROUP BY depth, prefix),
+a AS (
+  SELECT p.depth, p.prefix, count(*) FILTER (n.depth = p.depth + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.prefix)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, b.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a USING (depth, prefix) LEFT JOIN n b ON b.depth = n.depth - 1 AND b.prefix = left(n.prefix, length(n.prefix) - 32)
 """,
 }
