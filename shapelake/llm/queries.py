@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, prefix_trie, quality, tiff, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, jaccard, license_scan, mixing, prefix_trie, quality, tiff, token_counts, toxicity, url_filter, warc
 from .common import Scratch, fold, table
+from .license_rules import AFTER, BASE, BEFORE, rules
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,6 +66,10 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(tiff.texts_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_tiff": op10_tiff,
+    "op12_licenses": op12_licenses,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -196,6 +202,29 @@ p AS (
 SELECT doc_id, size, d.source, source_size, target, repeats, part,
   CAST(least(repeats * size + round(part * size), 3.0 * size) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.bucket = p.bucket
+""",
+    "op12_licenses": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM t),
+r(rule, label, keyword, before, after, priority) AS (VALUES {', '.join(f"({r.number}, '{r.label}', '{r.keyword}', '{r.before}', '{r.after}', {r.priority})" for r in rules())}),
+m AS (
+  SELECT doc_id, i, rule, label, before, priority, regexp_extract(array_to_string(w[i + 1 : i + {AFTER}], ' ') || ' ', '^(?:' || after || ') ') AS a,
+    CASE WHEN before <> '' THEN regexp_extract(' ' || array_to_string(w[greatest(i - {BEFORE}, 0) + 1 : i], ' ') || CASE WHEN i > 0 THEN ' ' ELSE '' END, before || '$') ELSE '' END AS b
+  FROM u JOIN r ON w[i + 1] = keyword),
+d AS (
+  SELECT doc_id, i - greatest(length(b) - length(replace(b, ' ', '')) - 1, 0) AS s, i + length(a) - length(replace(a, ' ', '')) AS e, rule, label, priority
+  FROM m WHERE a <> '' AND (before = '' OR b <> '')),
+k AS (
+  SELECT * FROM d WHERE NOT EXISTS (
+    SELECT 1 FROM d o WHERE o.doc_id = d.doc_id AND o.s <= d.s AND o.e >= d.e
+      AND (o.priority > d.priority OR o.priority = d.priority AND (o.e - o.s > d.e - d.s OR o.e - o.s = d.e - d.s AND o.rule < d.rule)))),
+b AS ({' UNION ALL '.join(f"SELECT doc_id, i, '{label}' AS label FROM u WHERE array_to_string(w[i + 1 : i + {len(p.split())}], ' ') = '{p}'" for p, label, _ in BASE)}),
+bd AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+kd AS (SELECT doc_id, count(*) AS n_detections, max(priority) / 100.0 AS score FROM k GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, CASE WHEN n_base > 0 THEN 0.1 END, 0) AS DOUBLE) AS score, coalesce(n_detections, 0) AS n_detections
+FROM t LEFT JOIN bd USING (doc_id) LEFT JOIN kd USING (doc_id) LEFT JOIN l USING (doc_id)
 """,
     # h by the definition of crc32, bit by bit; prefixes are the digests of their turns, joined.
     "op13_prefix_trie": r"""
