@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, license_scan, mixing, prefix_trie, quality, tiff, token_counts, toxicity, url_filter, warc
+from . import chat, collocations, decontaminate, jaccard, license_scan, mixing, prefix_trie, quality, tiff, token_counts, toxicity, url_filter, warc
 from .common import Scratch, fold, table
 from .license_rules import AFTER, BASE, BEFORE, rules
 
@@ -66,6 +66,10 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest(tiff.texts_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_tiff": op10_tiff,
+    "op11_collocations": op11_collocations,
     "op12_licenses": op12_licenses,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -202,6 +207,24 @@ p AS (
 SELECT doc_id, size, d.source, source_size, target, repeats, part,
   CAST(least(repeats * size + round(part * size), 3.0 * size) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.bucket = p.bucket
+""",
+    "op11_collocations": f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_A_TO_Z}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k)),
+f AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+x AS (
+  SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, n, (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(s[1 : j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(s[j + 1 :], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM x),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b WHERE cut = 1 AND NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = b.lang AND f.a = b.a AND length(f.phrase) > length(b.phrase) AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
 """,
     "op12_licenses": f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
