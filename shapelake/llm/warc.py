@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 DATE = "2026-01-01T00:00:00Z"
@@ -42,19 +44,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return pack.compress("\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n") + pack.flush()
 
 
-def refer(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
+def refer(pages: DataFrame, *, min_bytes: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """``pages`` (page_id, url, html) with ``refers_to``: the page whose equal payload is kept.
 
     Of payloads of at least ``min_bytes`` that are equal, the page with the
     largest id is kept and has null, as smaller payloads have. Digests, not
-    payloads, are grouped; only those of several pages go on to the join.
+    payloads, are grouped. Those of several pages go to all tasks if they are at
+    most ``broadcast_rows``, and no payload moves; of more, pages are joined with
+    them by a shuffle.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select("page_id", "url", "html").withColumn("digest", F.when(F.octet_length(payload) >= min_bytes, F.sha2(payload, 256)))
     kept = pages.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    refers = F.when(F.col("page_id").eqNullSafe(F.col("kept")), None).otherwise(F.col("kept")).alias("refers_to")
+    with Scratch(pages.sparkSession) as scratch:
+        kept = scratch.keep(kept, "warc-kept")
+    if kept.count() <= broadcast_rows:
+        return pages.join(F.broadcast(kept), "digest", "left").select("page_id", "url", "html", refers)
     # Small payloads meet nobody; keys of their own spread them over the tasks.
     pages = pages.withColumn("digest", F.coalesce("digest", F.concat(F.lit("small-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("-"), F.xxhash64("url").cast("string"))))
-    return pages.join(kept, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("kept")), None).otherwise(F.col("kept")).alias("refers_to"))
+    return pages.join(kept, "digest", "left").select("page_id", "url", "html", refers)
 
 
 def _writer(folder: str, roll: int):
@@ -66,14 +75,12 @@ def _writer(folder: str, roll: int):
         done, held, size = [], [], 0
 
         def flush():
-            # A task that is run again writes the same name again; the last whole file stands.
-            name = f"{base}/part-{task.partitionId():05d}-{len(done):04d}.warc.gz"
-            own = f"{base}/_attempt-{task.taskAttemptId()}-{len(done):04d}"
-            with fs.open_output_stream(own) as out:
+            # Attempts may get their rows in another order and cut them elsewhere, so none touches another's files.
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:  # members are compressed already
                 for member in held:
                     out.write(member)
-            fs.move(own, name)
-            done.append((name.rpartition("/")[2], size))
+            done.append((name, size))
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -94,8 +101,9 @@ def _writer(folder: str, roll: int):
 def write_warc(pages: DataFrame, folder: str, *, roll: int = 32 << 20) -> DataFrame:
     """Write ``pages`` (page_id, url, html, refers_to) as ``*.warc.gz`` files of
     about ``roll`` bytes in ``folder``, which all executors must share; returns
-    (file, length). A task writes each file under a name of its own and then
-    moves it, so tasks that run twice leave one copy.
+    (path, length). Each attempt of a task names its files after itself; those of
+    the attempts that Spark commits are in the index that is returned, and what
+    others left is deleted, so tasks that run twice leave each page once.
     """
     fs, base = _store(folder)
     fs.create_dir(base, recursive=True)
@@ -103,9 +111,22 @@ def write_warc(pages: DataFrame, folder: str, *, roll: int = 32 << 20) -> DataFr
     written = pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInPandas(_writer(folder, roll), "file string, length long")
     written.write.mode("overwrite").parquet(f"{folder}/index")  # runs the write once; names and lengths stay off the driver
     index = spark.read.schema(written.schema).parquet(f"{folder}/index")
+    left = archives_in(spark, folder).select(F.substring_index("path", "/", -1).alias("file"))
+    left.join(index, "file", "left_anti").mapInPandas(_remover(folder), "file string").write.mode("overwrite").format("noop").save()
     return index.select(F.concat(F.lit(f"{folder}/"), "file").alias("path"), "length")
 
 
+def _remover(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _store(folder)
+        for batch in batches:
+            for name in batch["file"]:
+                fs.delete_file(f"{base}/{name}")
+            yield batch
+
+    return run
+
+
 class _Bytes:
     """Random reads over one file through a window of ``ahead`` bytes."""
 

@@ -290,6 +290,12 @@ def test_connected_components(spark):
 # --- 4 ----------------------------------------------------------------------
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    with Scratch(spark) as scratch, pytest.raises(RuntimeError):
+        connected_components(chain, scratch, rounds=2)
+
+
 def test_url_filter(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")]
     urls = ["http://A.Example.NET/en/1", "http://example.net/de/1", "http://x.net", "http://badexample.net/en/", "https://porn.example.com/", "https://pornography.example.com/", "http://free-win.example.org/x", "http://free-free.example.org/x", "http://porn.example.org/fr/", "no host porn", None, "", "://h?p=1", "http://h#/a"]
@@ -363,6 +369,28 @@ def test_warc_round_trip_over_many_splits(spark):
         assert warc.write_warc(warc.refer(pages.limit(0)), scratch.path("none")).count() == 0
 
 
+def test_attempts_that_get_rows_in_another_order_leave_each_page_once(spark, tmp_path):
+    """A first attempt of every task writes other rows and is not committed."""
+    folder = str(tmp_path / "warc")
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"), F.lit(None).cast("long").alias("refers_to")).repartition(3)
+    committed = warc.write_warc(pages, folder, roll=700)
+    names = {r.path for r in committed.collect()}
+    warc.write_warc(pages.orderBy(F.desc("page_id")).where("page_id % 2 = 0"), folder, roll=900)  # another writer's index is the committed one now
+    index = warc.write_warc(pages, folder, roll=500)
+    got = sorted(r.page_id for r in warc.digest(warc.read_warc(index)).collect())
+    assert got == list(range(200)) and not names & {r.path for r in index.collect()}
+    assert sorted(r.page_id for r in warc.digest(warc.read_warc(warc.archives_in(spark, folder))).collect()) == got
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_references_with_and_without_a_broadcast(spark, few):
+    big, other = "x" * 1000, "y" * 1000
+    rows = [(1, big), (5, big), (3, big), (2, other), (7, "small"), (8, "small"), (None, other), (5, big), (9, None)]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.refers_to) for r in warc.refer(pages, broadcast_rows=few).collect()), key=str)
+    assert got == sorted([(1, 5), (5, None), (3, 5), (2, None), (7, None), (8, None), (None, 2), (5, None), (9, None)], key=str)
+
+
 def test_warc_reader_skips_damage():
     import io
 
@@ -512,7 +540,7 @@ def test_keys_that_meet_stream_by_in_batches_of_any_size():
         nodes = {}
         for key, node in rows:
             nodes.setdefault(key, []).append(node)
-        assert got == {(key, n, of[0]) for key, of in nodes.items() if len(set(of)) > 1 for n in of}
+        assert got == {(key, n, of[0]) for key, of in nodes.items() for n in set(of) - {of[0]}}  # the first is the hub of the others
 
 
 def test_warc_reader_reports_damage_and_foreign_digests(spark, tmp_path):
