@@ -29,17 +29,28 @@ def covariance(points: DataFrame) -> DataFrame:
 
 def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of a task's specimens with equal landmarks: number, sums and centred sums of products for each pair of axes."""
+    # landmarks -> number, sum and centred products; batches are added as in Chan et al. 1983
+    held: dict[bytes, tuple[int, np.ndarray, np.ndarray]] = {}
     for batch in batches:
         alike: dict[bytes, list] = {}
         for row in batch.itertuples(index=False):
             alike.setdefault(np.asarray(row.i, np.int64).tobytes(), []).append(np.stack([row.x, row.y, row.z], 1).ravel())
         for key, many in alike.items():
             x = np.stack(many)
-            axis = (np.frombuffer(key, np.int64)[:, None] * 3 + np.arange(3)).ravel().astype(np.int32)
-            total, centred = x.sum(0), x - x.mean(0)
-            for a in range(len(axis)):  # a row of the matrix at a time
-                to = slice(a, None)
-                yield pd.DataFrame({"i": axis[a], "j": axis[to], "n": len(x), "si": total[a], "sj": total[to], "m": centred[:, a] @ centred[:, to]})
+            n, total, centred = len(x), x.sum(0), x - x.mean(0)
+            m = centred.T @ centred
+            if key in held:
+                n0, total0, m0 = held[key]
+                apart = total / n - total0 / n0
+                n, total, m = n + n0, total + total0, m + m0 + np.outer(apart, apart) * (n * n0 / (n + n0))
+            held[key] = n, total, m
+    for key, (n, total, m) in held.items():
+        axis = (np.frombuffer(key, np.int64)[:, None] * 3 + np.arange(3)).ravel().astype(np.int32)
+        rows = max(1, (1 << 18) // len(axis))  # so many rows of the matrix at a time
+        for at in range(0, len(axis), rows):
+            i, j = np.nonzero(np.arange(at, min(at + rows, len(axis)))[:, None] <= np.arange(len(axis)))
+            i += at
+            yield pd.DataFrame({"i": axis[i], "j": axis[j], "n": n, "si": total[i], "sj": total[j], "m": m[i, j]})
 
 
 def total_variance(points: DataFrame, *by: str) -> DataFrame:
@@ -48,30 +59,156 @@ def total_variance(points: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(F.sum(F.col("vx") + F.col("vy") + F.col("vz")).alias("variance"))
 
 
-def build(points: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _centred(points: DataFrame) -> DataFrame:
+    mean = mean_shape(points).select("pidx", *(F.col(c).alias(f"m{c}") for c in XYZ))
+    return points.join(mean, "pidx").select("specimen_id", F.col("pidx").cast("int").alias("pidx"), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in XYZ))
+
+
+def _numbers(points: DataFrame, most: int) -> DataFrame:
+    """(specimen_id, s): specimens counted from 0; it is an error if they are over ``most`` or lack landmarks."""
+    sizes = points.groupBy("specimen_id").agg(F.count(F.lit(1)).alias("n"))
+    n, low, high, all_ = sizes.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n")).first()
+    if n > most:
+        raise ValueError(f"{n} specimens; at most {most} are compared with each other")
+    if n and (low != high or points.select("pidx").distinct().count() != low):
+        raise ValueError("specimens do not all have the same landmarks")
+    return sizes.select("specimen_id", (F.row_number().over(Window.orderBy("specimen_id")) - 1).cast("int").alias("s"))  # at most ``most`` rows
+
+
+def _tiles(rows: DataFrame, specimens: int, landmarks: int) -> DataFrame:
+    """Rows (s, pidx, x, y, z) as tiles of at most ``specimens`` x ``landmarks``: block, tile and arrays."""
+    keys = (F.floor(F.col("pidx") / landmarks).cast("int").alias("block"), F.floor(F.col("s") / specimens).cast("int").alias("tile"))
+    tile = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "pidx", "x", "y", "z"))).alias("t"))
+    return tile.select("block", "tile", *(F.col(f"t.{c}").alias(c) for c in ("s", "pidx", "x", "y", "z")))
+
+
+def _matrix(s, x, y, z) -> tuple[np.ndarray, np.ndarray]:
+    """Specimens of a tile and their coordinates in it, one row each."""
+    own, starts = np.unique(np.asarray(s), return_index=True)
+    return own, np.stack([x, y, z], 1).reshape(len(starts), -1)
+
+
+def gram(points: DataFrame, *, most: int = 5_000, specimens: int = 256, landmarks: int = 1_024) -> DataFrame:
+    """Products (si, sj, v; si <= sj) of the specimens' differences from the mean shape.
+
+    Coordinates are cut into tiles of ``specimens`` x ``landmarks``. Tiles of one
+    block of landmarks meet by a join, each pair is multiplied in a task, and each
+    task adds up the blocks that it gets of a pair of tiles. A task holds a few
+    tiles and one product, whatever the number of landmarks. All specimens must
+    have the same landmarks and be at most ``most``.
+    """
+    numbers = _numbers(points, most)
+    names = numbers.select("s", "specimen_id")
+    tiles = _tiles(_centred(points).join(F.broadcast(numbers), "specimen_id"), specimens, landmarks)  # at most ``most`` rows
+    left, right = (tiles.select("block", *(F.col(c).alias(f"{side}{c}") for c in ("tile", "s", "x", "y", "z"))) for side in "lr")
+    pairs = left.join(right, "block").where("ltile <= rtile").repartition("ltile", "rtile", F.pmod("block", F.lit(8)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                (si, a), (sj, b) = _matrix(row.ls, row.lx, row.ly, row.lz), _matrix(row.rs, row.rx, row.ry, row.rz)
+                key = row.ltile, row.rtile
+                if key in held:
+                    held[key][2] += a @ b.T
+                elif len(held) < 64:
+                    held[key] = [si, sj, a @ b.T]
+                else:
+                    yield _pairs(si, sj, a @ b.T)
+        for si, sj, m in held.values():
+            yield _pairs(si, sj, m)
+
+    got = pairs.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    for c in "ij":
+        got = got.join(F.broadcast(names.select(F.col("s").alias(c), F.col("specimen_id").alias(f"s{c}"))), c)
+    return got.select("si", "sj", "v")
+
+
+def _pairs(si: np.ndarray, sj: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+    i, j = np.nonzero(si[:, None] <= sj[None])
+    return pd.DataFrame({"i": si[i], "j": sj[j], "v": m[i, j]})
+
+
+MODES = "mode int, pidx int, x double, y double, z double"
+
+
+def _by_gram(points: DataFrame, most: int, specimens: int = 256, landmarks: int = 1_024) -> tuple[DataFrame, DataFrame]:
+    """Modes and eigenvalues by the eigenvectors of :func:`gram`: mode k is the sum over
+    specimens of u_sk times their difference from the mean, of length 1."""
+    spark = points.sparkSession
+    numbers = _numbers(points, most)
+    cells = gram(points, most=most, specimens=specimens, landmarks=landmarks).toPandas()  # at most most^2 / 2 rows
+    ids = np.unique(np.concatenate([cells["si"].to_numpy(np.int64), cells["sj"].to_numpy(np.int64)]))
+    n = len(ids)
+    matrix = np.zeros((n, n))
+    i, j = np.searchsorted(ids, cells["si"]), np.searchsorted(ids, cells["sj"])
+    matrix[i, j] = matrix[j, i] = cells["v"]
+    values, vectors = np.linalg.eigh(matrix) if n > 1 else (np.zeros(0), np.zeros((0, 0)))
+    keep = [k for k in np.argsort(-values, kind="stable") if values[k] > 1e-10 * max(values.max(), 1e-30)]
+    u = vectors[:, keep] / np.sqrt(values[keep]) if keep else np.zeros((n, 0))
+    tiles = _tiles(_centred(points).join(F.broadcast(numbers), "specimen_id"), specimens, landmarks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own, x = _matrix(row.s, row.x, row.y, row.z)
+                part = (u[own].T @ x).reshape(u.shape[1], -1, 3)
+                marks = np.asarray(row.pidx)[: part.shape[1]]
+                for k in range(len(part)):
+                    yield pd.DataFrame({"mode": np.int32(k), "pidx": marks, "x": part[k, :, 0], "y": part[k, :, 1], "z": part[k, :, 2]})
+
+    modes = tiles.mapInPandas(run, MODES).groupBy("mode", "pidx").agg(*(F.sum(c).alias(c) for c in XYZ))
+    # The sign that makes a mode's largest coordinate positive; of equal ones the first landmark's.
+    sides = F.array(*(F.struct(F.round(F.abs(c), 9).alias("size"), (-F.col("pidx")).alias("first"), F.lit(-k).alias("axis"), F.signum(c).alias("sign")) for k, c in enumerate(XYZ)))
+    sign = modes.groupBy("mode").agg(F.max(F.array_max(sides)).alias("most")).select("mode", F.when(F.col("most.sign") < 0, -1.0).otherwise(1.0).alias("sign"))
+    modes = modes.join(sign, "mode").select("mode", "pidx", *((F.col(c) * F.col("sign")).alias(c) for c in XYZ))
+    return modes, spark.createDataFrame([(m, float(values[k] / (n - 1))) for m, k in enumerate(keep)], "mode int, v double")
+
+
+def build(points: DataFrame, most: int = 5_000, branch: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mean (pidx, x, y, z), modes (mode, pidx, x, y, z) and eigenvalues (mode, v).
 
-    The covariance of at most ``most`` coordinates is summed by Spark; only that
-    matrix reaches the driver, whatever the number of specimens. Fewer than two
-    specimens, or no variance, give no modes.
+    With more than twice as many coordinates as specimens (or ``branch`` "gram") the
+    specimens' products are decomposed (:func:`gram`), and modes are sums over
+    specimens made by Spark; else ("covariance") the coordinates' covariance. Only
+    the smaller matrix, of at most ``most`` rows, reaches the driver. Both give the
+    same modes. Fewer than two specimens, or no variance, give no modes.
     """
     spark = points.sparkSession
     mean = mean_shape(points)
-    last = points.agg(F.max("pidx")).first()[0]
+    last, specimens = points.agg(F.max("pidx"), F.count_distinct("specimen_id")).first()
     size = 0 if last is None else 3 * int(last) + 3
+    if branch is None:
+        branch = "gram" if size > 2 * specimens else "covariance"
+    if branch == "gram":
+        return mean, *_by_gram(points, most)
     if size > most:
         raise ValueError(f"{size} coordinates; at most {most} are decomposed on the driver")
     cells = covariance(points).toPandas()
     matrix = np.zeros((size, size))
     matrix[cells["i"], cells["j"]] = matrix[cells["j"], cells["i"]] = cells["cov"]
     values, vectors = np.linalg.eigh(np.nan_to_num(matrix)) if size else (np.zeros(0), np.zeros((0, 0)))
-    keep = [k for k in np.argsort(-values) if values[k] > 1e-10 * max(values.max(), 1e-30)]
+    keep = [k for k in np.argsort(-values, kind="stable") if values[k] > 1e-10 * max(values.max(), 1e-30)]
     rows, eig = [], []
     for mode, k in enumerate(keep):
-        v = vectors[:, k] * (np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k]) or 1)
+        v = vectors[:, k] * (np.sign(vectors[np.argmax(np.round(np.abs(vectors[:, k]), 9)), k]) or 1)
         eig.append((mode, float(values[k])))
         rows += [(mode, p, *(float(x) for x in v[3 * p : 3 * p + 3])) for p in range(size // 3)]
-    return mean, spark.createDataFrame(rows, "mode int, pidx int, x double, y double, z double"), spark.createDataFrame(eig, "mode int, v double")
+    return mean, spark.createDataFrame(rows, MODES), spark.createDataFrame(eig, "mode int, v double")
+
+
+def residuals(points: DataFrame, modes: DataFrame, eigenvalues: DataFrame) -> DataFrame:
+    """(mode, residual, norm): how far the covariance times each mode is from its
+    eigenvalue times it, in the largest coordinate, and the mode's length.
+
+    The covariance is never made: coefficients along the mode weigh the specimens."""
+    n = points.select("specimen_id").distinct().count()
+    away = _centred(points)
+    along = coefficients(points, mean_shape(points), modes)
+    times = away.join(along, "specimen_id").groupBy("mode", "pidx").agg(*((F.sum(F.col("b") * F.col(c)) / max(1, n - 1)).alias(f"c{c}") for c in XYZ))
+    both = modes.join(times, ["mode", "pidx"]).join(eigenvalues, "mode")
+    off = F.greatest(*(F.abs(F.col(f"c{c}") - F.col("v") * F.col(c)) for c in XYZ))
+    return both.groupBy("mode").agg(F.max(off).alias("residual"), F.sqrt(F.sum(g.dot(g.vector(), g.vector()))).alias("norm"))
 
 
 def explained(eigenvalues: DataFrame) -> DataFrame:

@@ -261,6 +261,40 @@ def _(spark, sf):
     return shape_model.mode_count(eig, 0.95)
 
 
+@query("gram_matrix", f"WITH {P}, m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), d AS (SELECT specimen_id, pidx, p.x - m.x AS x, p.y - m.y AS y, p.z - m.z AS z FROM p JOIN m USING (pidx)) SELECT a.specimen_id AS si, b.specimen_id AS sj, {r('v=sum(a.x*b.x+a.y*b.y+a.z*b.z)')} FROM d a JOIN d b USING (pidx) WHERE a.specimen_id <= b.specimen_id GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(shape_model.gram(bridge.points(spark, sf), specimens=128, landmarks=8))
+
+
+#: Eigenvalues cannot be found by SQL, but what must hold of them and of the modes can be said.
+_FULL = "SELECT i::INTEGER AS mode FROM range(0, 63) t(i)"
+
+
+@query("ssm_gram", f"SELECT mode, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS norm FROM ({_FULL})")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    _, modes, eig = shape_model.build(p, branch="gram")
+    return rounded(shape_model.residuals(p, modes, eig))
+
+
+@query("ssm_residuals", f"SELECT mode, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS norm FROM ({_FULL})")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    _, modes, eig = shape_model.build(p, branch="covariance")
+    return rounded(shape_model.residuals(p, modes, eig))
+
+
+@query("ssm_explained", f"WITH {P}, v AS (SELECT sum(var_samp_x + var_samp_y + var_samp_z) AS v FROM (SELECT var_samp(x) AS var_samp_x, var_samp(y) AS var_samp_y, var_samp(z) AS var_samp_z FROM p GROUP BY pidx)) SELECT 63::BIGINT AS modes, {r('variance=v')}, true AS falls, 1.0::DOUBLE AS share, true AS fewest_95 FROM v")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    _, _, eig = shape_model.build(p)
+    shares = shape_model.explained(eig).crossJoin(shape_model.mode_count(eig, 0.95))  # one row
+    enough = F.min(F.when(F.col("rank") >= F.col("modes"), F.col("share"))) >= 0.95
+    short = F.coalesce(F.max(F.when(F.col("rank") < F.col("modes"), F.col("share"))), F.lit(0.0)) < 0.95
+    falls = F.max(F.struct(F.col("rank"), F.col("mode")))["mode"] == F.max("mode")
+    return rounded(shares.groupBy().agg(F.count(F.lit(1)).alias("modes"), F.sum("v").alias("variance"), falls.alias("falls"), F.max("share").alias("share"), (enough & short).alias("fewest_95")))
+
+
 _SAMPLE = "m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1), u AS (SELECT population AS mode, pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1, 2), w AS (SELECT specimen_id AS sample, population AS mode, avg(x) AS b FROM p GROUP BY 1, 2), g AS (SELECT population AS mode, var_pop(x) AS v FROM p GROUP BY 1)"
 
 
