@@ -21,7 +21,7 @@ _U = np.uint64
 #: Bits of the map of phrases that are frequent in some shard: 16 MB at every task.
 BITS = 1 << 27
 #: Bytes of text that a task works on at once, and counts and phrases that it holds.
-CHUNK, HELD, NAMED = 1 << 21, 1 << 20, 1 << 18
+CHUNK, HELD, NAMED = 1 << 20, 1 << 19, 1 << 19
 
 #: A-Z are lowered, whatever ends a piece becomes a line feed, a tab a blank.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -77,6 +77,11 @@ class Words:
 
 def _runs(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str]]]:
     """The words of a batch (lang, text), in runs of about ``CHUNK`` bytes cut between pieces."""
+    for at in range(0, batch.num_rows, 256):
+        yield from _runs_of_few(batch.slice(at, 256), powers)
+
+
+def _runs_of_few(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str]]]:
     import xxhash
 
     langs = batch.column(0).to_pylist()
@@ -219,12 +224,14 @@ def _bit_map(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
-def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, longest: int = 5, shards: int = 16, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, longest: int = 5, shards: int = 2, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, phrase, times) of all phrases of up to ``longest`` words
     that occur ``support`` times in their language, and (lang, n) of all words.
 
     A shard is a set of input splits, named by the hash of file and offset; rows
-    that come from no file are one shard. All tasks that read a shard mine it
+    that come from no file are one shard. Few shards are better than many: their
+    share of the support stays far above chance, and as all tasks share in mining
+    them, they need not fit anywhere. All tasks that read a shard mine it
     together, length by length: those of n words whose parts of n - 1 words are
     frequent in some shard are counted by shard. Any shares that sum to 1 keep the
     promise above; a shard's is its part of the words of all languages. What is
@@ -255,7 +262,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     return named.where("phrase IS NOT NULL"), named.where("phrase IS NULL").select("lang", F.col("times").alias("n"))
 
 
-def collocations(docs: DataFrame, *, support: int = 100, longest: int = 5, top: int = 2000, shards: int = 16, broadcast_rows: int = 100_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, *, support: int = 100, longest: int = 5, top: int = 2000, shards: int = 2, broadcast_rows: int = 100_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Each language's ``top`` phrases by how much oftener their words meet than by chance.
 
     A-Z are lowered; ``. , ; : ! ?`` and line ends cut a text into pieces, blanks
