@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from . import kernels
 from .neighbors import k_nearest, shapes
 from .points import mean_shape
+from .procrustes import MOST_POINTS, align  # noqa: F401
 
 POINTS = "specimen_id long, pidx int, x double, y double, z double"
-#: A template of more points than this is not one shape.
-MOST_POINTS = 1_000_000
 
 
 def template_arrays(template: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -53,18 +52,6 @@ def _placed(index: np.ndarray, p: np.ndarray) -> dict:
     return {"pidx": index.astype(np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}
 
 
-def align(points: DataFrame, template: DataFrame, scaling: bool = True) -> DataFrame:
-    """Each specimen after the least-squares similarity (or rigid) fit of its landmarks to the template's."""
-    ti, tp = template_arrays(template)
-
-    def work(index, p):
-        at, to = np.isin(index, ti), np.isin(ti, index)
-        s, r, t = kernels.similarity_fit(p[at], tp[to], scaling)
-        return _placed(index, s * p @ r.T + t)
-
-    return per_specimen(points, work, POINTS)
-
-
 def _aligned_sums(ti: np.ndarray, tp: np.ndarray):
     """Of each task, the sum of each landmark over its specimens as :func:`align` places them, and their number."""
 

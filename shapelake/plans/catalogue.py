@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import atlas, mesh, neighbors, pairing, points, registration, segmentation, shape_model, surfaces, template_search
+from ..operators import atlas, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, spectral, surfaces, template_search
 from ..sources import bridge, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -731,10 +731,50 @@ def _(spark, sf):
 # --- what SQL does not express ----------------------------------------------
 
 
-@query("similarity_align", None)
+def _horn() -> str:
+    """Aligned landmarks by Horn's quaternions: the largest root of a quartic by Newton's steps from above, and cofactors."""
+    c = {f"{u}{v}": f"c{u}{v}" for u in "xyz" for v in "xyz"}
+    k = [
+        [f"({c['xx']}+{c['yy']}+{c['zz']})", f"({c['yz']}-{c['zy']})", f"({c['zx']}-{c['xz']})", f"({c['xy']}-{c['yx']})"],
+        ["", f"({c['xx']}-{c['yy']}-{c['zz']})", f"({c['xy']}+{c['yx']})", f"({c['zx']}+{c['xz']})"],
+        ["", "", f"(-{c['xx']}+{c['yy']}-{c['zz']})", f"({c['yz']}+{c['zy']})"],
+        ["", "", "", f"(-{c['xx']}-{c['yy']}+{c['zz']})"],
+    ]
+    at = lambda i, j: f"k{min(i, j)}{max(i, j)}"
+    lam = lambda i, j: f"({at(i, j)}-l)" if i == j else at(i, j)
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + "+".join(f"{'-' if j % 2 else ''}1*{m[0][j]}*{det([row[:j] + row[j + 1 :] for row in m[1:]])}" for j in range(len(m))).replace("+-", "-") + ")"
+
+    cof = lambda i, j: f"({'-' if (i + j) % 2 else ''}1*{det([[lam(a, b) for b in range(4) if b != j] for a in range(4) if a != i])})"
+    rows = ", ".join(f"{k[i][j]} AS k{i}{j}" for i in range(4) for j in range(i, 4))
+    step = "l - (l*l*l*l + c2*l*l + c1*l + c0) / nullif(4*l*l*l + 2*c2*l + c1, 0)"
+    pick = " ".join(f"WHEN {i} THEN [{', '.join(f'f{min(i, j)}{max(i, j)}' for j in range(4))}]" for i in range(4))
+    r = [["w*w+a*a-b*b-d*d", "2*(a*b-w*d)", "2*(a*d+w*b)"], ["2*(a*b+w*d)", "w*w-a*a+b*b-d*d", "2*(b*d-w*a)"], ["2*(a*d-w*b)", "2*(b*d+w*a)", "w*w-a*a-b*b+d*d"]]
+    turned = [f"t{n} + s/q2*(({row[0]})*(p.x-sx)+({row[1]})*(p.y-sy)+({row[2]})*(p.z-sz))" for n, row in zip("xyz", r, strict=True)]
+    return f"""m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY 1),
+mo AS (SELECT specimen_id, {', '.join(f'avg(p.{u}) AS s{u}, avg(m.{u}) AS t{u}' for u in 'xyz')}, var_pop(p.x)+var_pop(p.y)+var_pop(p.z) AS spread, {', '.join(f'covar_pop(p.{u}, m.{v}) AS c{u}{v}' for u in 'xyz' for v in 'xyz')} FROM p JOIN m USING (pidx) GROUP BY 1),
+n4 AS (SELECT *, {rows}, -2*({'+'.join(f'c{u}{v}*c{u}{v}' for u in 'xyz' for v in 'xyz')}) AS c2, -8*{det([[f'c{u}{v}' for v in 'xyz'] for u in 'xyz'])} AS c1 FROM mo),
+n5 AS (SELECT *, {det([[at(i, j) for j in range(4)] for i in range(4)])} AS c0 FROM n4),
+n6 AS (SELECT *, list_reduce(list_prepend(sqrt(-1.5*c2), [0.0 FOR i IN range(80)]), lambda l, i: coalesce({step}, l)) AS l FROM n5),
+n7 AS (SELECT *, {', '.join(f'{cof(i, j)} AS f{i}{j}' for i in range(4) for j in range(i, 4))} FROM n6),
+n8 AS (SELECT *, CASE list_position([abs(f00), abs(f11), abs(f22), abs(f33)], greatest(abs(f00), abs(f11), abs(f22), abs(f33))) - 1 {pick} END AS q, l / spread AS s FROM n7),
+n9 AS (SELECT *, q[1] AS w, q[2] AS a, q[3] AS b, q[4] AS d, q[1]*q[1]+q[2]*q[2]+q[3]*q[3]+q[4]*q[4] AS q2 FROM n8),
+al AS (SELECT p.specimen_id, p.pidx, {', '.join(f'{t} AS {n}' for t, n in zip(turned, 'xyz', strict=True))} FROM p JOIN n9 USING (specimen_id))"""
+
+
+@query("similarity_align", f"WITH {P}, {_horn()} SELECT specimen_id, pidx, {r('x', 'y', 'z', digits=5)} FROM al")
 def _(spark, sf):
     p = bridge.points(spark, sf)
-    return rounded(registration.align(p, points.mean_shape(p)))
+    return rounded(registration.align(p, points.mean_shape(p)), 5)
+
+
+@query("similarity_optimality", "SELECT vec_id AS specimen_id, 0.0::DOUBLE AS skew, 1.0::DOUBLE AS turn, true AS nearer FROM embeddings")
+def _(spark, sf):
+    p = bridge.points(spark, sf)
+    return rounded(procrustes.optimality(p, points.mean_shape(p)))
 
 
 @query("procrustes_mean", None)
@@ -742,6 +782,17 @@ def _(spark, sf):
     return rounded(registration.procrustes_mean(bridge.points(spark, sf)), 4)
 
 
+@query("procrustes_settled", "SELECT 21::BIGINT AS landmarks, true AS settled")
+def _(spark, sf):
+    """Aligning all specimens to the mean and averaging gives the mean again, up to its size."""
+    p = bridge.points(spark, sf)
+    mean = registration.procrustes_mean(p, tolerance=1e-3)
+    again = points.centroid(registration.align(p, mean), "pidx").select("pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
+    dot = lambda u, v: sum((F.col(f"{u}{c}") * F.col(f"{v}{c}") for c in "xyz"), F.lit(0.0))
+    cosine = F.sum(dot("", "m")) / F.sqrt(F.sum(dot("", "")) * F.sum(dot("m", "m")))
+    return mean.join(again, "pidx").agg(F.count(F.lit(1)).alias("landmarks"), (cosine > 1 - 1e-4).alias("settled"))
+
+
 @query("tps_warp", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
@@ -772,7 +823,25 @@ def _(spark, sf):
 
 @query("spectral_segments", None)
 def _(spark, sf):
-    return segmentation.spectral_labels(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7)), 4)
+    return spectral.spectral_labels(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7)), 4)
+
+
+@query("spectral_vectors", "SELECT i::INTEGER AS vector, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS norm, i = 0 AS largest_is_one FROM range(0, 4) t(i)")
+def _(spark, sf):
+    """Eigenvectors of the graph that labels are found from: what must hold of each."""
+    matrix = spectral.lazy_walk(_both(segmentation.locus_kernel(_locus_edges(spark, sf), 0.7)))
+    vectors, values, _ = spectral.leading_vectors(matrix, 4)
+    far = matrix.join(vectors.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(*(F.sum(F.col("w") * F.col(f"b{j}")).alias(f"m{j}") for j in range(4)))
+    both = far.join(vectors.withColumnRenamed("node", "src"), "src")
+    off = lambda j: F.col(f"m{j}") - F.lit(values[j]) * F.col(f"b{j}")
+    cells = both.agg(F.array(*(F.struct(F.lit(j).alias("vector"), F.sqrt(F.sum(off(j) * off(j))).alias("residual"), F.sqrt(F.sum(F.col(f"b{j}") * F.col(f"b{j}"))).alias("norm"), F.lit(abs(values[j] - 1) < 1e-6).alias("largest_is_one")) for j in range(4))).alias("c"))
+    return rounded(cells.select(F.inline("c")), 5)
+
+
+@query("tune", None)
+def _(spark, sf):
+    edges = _locus_edges(spark, sf).persist()
+    return rounded(spectral.tune(lambda alpha: _both(segmentation.locus_kernel(edges, alpha)), [3, 4], [0.5, 0.7]), 4)
 
 
 @query("rigid_icp", None)

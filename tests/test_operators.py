@@ -170,15 +170,6 @@ def test_curvature_of_a_sphere(spark):
     assert got["gauss_curvature"].median() == pytest.approx(0.25, rel=0.05)
 
 
-def test_segments_of_two_clusters(spark):
-    edges = [(i, j, 1.0) for i in range(8) for j in range(8) if i != j and (i < 4) == (j < 4)] + [(3, 4, 0.01), (4, 3, 0.01)]
-    e = spark.createDataFrame(edges, "src int, dst int, w double")
-    label = {r.pidx: r.label for r in segmentation.spectral_labels(e, 2).collect()}
-    assert len({label[k] for k in range(4)}) == len({label[k] for k in range(4, 8)}) == 1 and label[0] != label[7]
-    assert segmentation.modularity(e, spark.createDataFrame(list(label.items()), "pidx int, label int")).first()[0] > 0.4
-    assert segmentation.tune(lambda alpha: e, [2, 3], [0.5])[0] == 2
-
-
 def test_markups_files(spark, tmp_path):
     marks = {"markups": [{"coordinateSystem": "LPS", "controlPoints": [{"label": "a", "position": [1, 2, 3]}, {"label": "b", "position": [4, 5, 6]}]}]}
     (tmp_path / "Mouse_1.mrk.json").write_text(json.dumps(marks, indent=1))
