@@ -406,3 +406,23 @@ def coherent_projection(marks: np.ndarray, onto: np.ndarray, k: int = 6, weight:
     step = np.linalg.solve(system + 1e-9 * np.eye(len(marks)), weight * move * moving[:, None])
     length = np.linalg.norm(step, axis=1, keepdims=True)
     return marks + np.where(moving[:, None], step * np.minimum(1, most / np.maximum(length, 1e-12)), 0)
+
+
+def held_together(marks: np.ndarray, anchors: np.ndarray, fixed: np.ndarray, k: int, weight: float, smooth: float, most: float) -> np.ndarray:
+    """Marks drawn to their anchors with ``weight`` while neighbours' places pull with
+    ``smooth``; ``fixed`` ones stay, and no move is longer than ``most``."""
+    moving = ~fixed
+    if not moving.any():
+        return marks.copy()
+    w = np.zeros((len(marks), len(marks)))
+    index, d2 = nearest(marks, marks, min(k, len(marks) - 1), skip_self=True)
+    spread = max(float(np.median(d2[:, -1])), 1e-12) if d2.size else 1.0
+    np.put_along_axis(w, index, np.exp(-d2 / (2 * spread)), 1)
+    w = (w + w.T) / 2
+    pull = smooth * (np.diag(w.sum(1)) - w)
+    system = pull[np.ix_(moving, moving)] + weight * np.eye(int(moving.sum()))
+    out = marks.copy()
+    out[moving] = np.linalg.solve(system, weight * anchors[moving] - pull[np.ix_(moving, fixed)] @ marks[fixed])
+    step = out - marks
+    length = np.linalg.norm(step, axis=1, keepdims=True)
+    return marks + step * np.minimum(1.0, most / np.maximum(length, 1e-300))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import atlas, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, spectral, surfaces, template_search
+from ..operators import atlas, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, shells, spectral, surfaces, template_search
+from ..operators import features as histograms
 from ..sources import bridge, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,6 +666,66 @@ def _(spark, sf):
     return rounded(surfaces.surface_distance(_shrunk(spark, sf), vertices(spark, sf), bridge.faces(spark)))
 
 
+_REACH = "rc AS (SELECT specimen_id, pidx AS node, pidx AS reached FROM p UNION SELECT rc.specimen_id, rc.node, sd.dst FROM rc JOIN sd ON sd.specimen_id = rc.specimen_id AND sd.src = rc.reached)"
+_STEPS = f"sh AS (SELECT p.specimen_id, lo, hi FROM e JOIN p ON p.pidx = lo JOIN p q ON q.pidx = hi AND q.specimen_id = p.specimen_id WHERE {D2} < 0.3*0.3), sd AS (SELECT specimen_id, lo AS src, hi AS dst FROM sh UNION ALL SELECT specimen_id, hi, lo FROM sh)"
+
+
+@query("edge_components", f"WITH RECURSIVE {P}, {FACES}, {EDGES}, {_STEPS}, {_REACH} SELECT specimen_id, node::BIGINT AS node, min(reached)::BIGINT AS component FROM rc GROUP BY 1, 2")
+def _(spark, sf):
+    """What each mesh falls into without its long edges."""
+    v = vertices(spark, sf)
+    e = mesh.unique_edges(bridge.faces(spark))
+    for c in ("lo", "hi"):
+        e = e.join(v.select("specimen_id", F.col("vid").alias(c), *(F.col(n).alias(f"{c}{n}") for n in "xyz")), [c, *(["specimen_id"] if c == "hi" else [])])
+    short = e.where(g.distance2(g.vector("lo"), g.vector("hi")) < 0.3 * 0.3)
+    number = lambda c, name: F.col(c).cast("long").alias(name)
+    return shells.components(v.select("specimen_id", number("vid", "node")), short.select("specimen_id", number("lo", "src"), number("hi", "dst")), "specimen_id")
+
+
+_MERGE = f"sd AS (SELECT p.specimen_id, p.pidx AS src, q.pidx AS dst FROM p JOIN p q ON p.specimen_id = q.specimen_id AND p.pidx <> q.pidx WHERE {D2} <= 0.12*0.12), {_REACH}, mg AS (SELECT specimen_id, node AS vid, min(reached) AS into_ FROM rc GROUP BY 1, 2)"
+
+
+@query("merged_vertices", f"WITH RECURSIVE {P}, {_MERGE} SELECT specimen_id, vid::BIGINT AS vid, into_::BIGINT AS into_vid FROM mg")
+def _(spark, sf):
+    return shells.coincident(vertices(spark, sf), 0.12).withColumnRenamed("into", "into_vid")
+
+
+@query("cleaned_mesh", f"WITH RECURSIVE {P}, {FACES}, {_MERGE}, nf AS (SELECT specimen_id, fid, x.into_ AS a, y.into_ AS b, z.into_ AS c FROM f JOIN mg x ON x.vid = a JOIN mg y USING (specimen_id) JOIN mg z USING (specimen_id) WHERE y.vid = f.b AND z.vid = f.c), kf AS (SELECT * FROM nf WHERE a <> b AND b <> c AND a <> c QUALIFY row_number() OVER (PARTITION BY specimen_id, list_sort([a, b, c]) ORDER BY fid) = 1) SELECT specimen_id, fid::INTEGER AS fid, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c FROM kf")
+def _(spark, sf):
+    return shells.cleaned(vertices(spark, sf), bridge.faces(spark), 0.12)[1]
+
+
+@query("surface_sides", f"{_CLOSEST_SQL} SELECT specimen_id, qidx::BIGINT AS pidx, {r('d2')}, 1.0::DOUBLE AS norm FROM m")
+def _(spark, sf):
+    d = shells.signed_distance(_shrunk(spark, sf), vertices(spark, sf), bridge.faces(spark))
+    return rounded(d.select("specimen_id", "pidx", (F.col("d") * F.col("d")).alias("d2"), g.norm(g.vector("n")).alias("norm")))
+
+
+_FPFH = (
+    "nr AS (SELECT p.specimen_id, p.pidx AS q, t.pidx AS t, {D2T} AS d2 FROM p JOIN p t ON p.specimen_id = t.specimen_id AND p.pidx <> t.pidx WHERE {D2T} <= 0.25 QUALIFY row_number() OVER (PARTITION BY p.specimen_id, p.pidx ORDER BY {D2T}, t.pidx) <= 8),"
+    " l0 AS (SELECT nr.*, b.x-a.x AS lx, b.y-a.y AS ly, b.z-a.z AS lz, sqrt(d2) AS size, i.nx AS ix, i.ny AS iy, i.nz AS iz, j.nx AS jx, j.ny AS jy, j.nz AS jz FROM nr JOIN p a ON a.specimen_id = nr.specimen_id AND a.pidx = q JOIN p b ON b.specimen_id = nr.specimen_id AND b.pidx = t JOIN vn i ON i.specimen_id = nr.specimen_id AND i.vid = q JOIN vn j ON j.specimen_id = nr.specimen_id AND j.vid = t),"
+    " l1 AS (SELECT *, (ix*lx+iy*ly+iz*lz)/size AS a1, (jx*lx+jy*ly+jz*lz)/size AS a2 FROM l0),"
+    " l2 AS (SELECT *, CASE WHEN abs(a1) < abs(a2) THEN jx ELSE ix END AS ux, CASE WHEN abs(a1) < abs(a2) THEN ix ELSE jx END AS mx, CASE WHEN abs(a1) < abs(a2) THEN -lx ELSE lx END AS ox, CASE WHEN abs(a1) < abs(a2) THEN jy ELSE iy END AS uy, CASE WHEN abs(a1) < abs(a2) THEN iy ELSE jy END AS my, CASE WHEN abs(a1) < abs(a2) THEN -ly ELSE ly END AS oy, CASE WHEN abs(a1) < abs(a2) THEN jz ELSE iz END AS uz, CASE WHEN abs(a1) < abs(a2) THEN iz ELSE jz END AS mz, CASE WHEN abs(a1) < abs(a2) THEN -lz ELSE lz END AS oz, CASE WHEN abs(a1) < abs(a2) THEN -a2 ELSE a1 END AS rise FROM l1),"
+    " l3 AS (SELECT *, oy*uz-oz*uy AS vx, oz*ux-ox*uz AS vy, ox*uy-oy*ux AS vz FROM l2),"
+    " l4 AS (SELECT * REPLACE (vx/sqrt(vx*vx+vy*vy+vz*vz) AS vx, vy/sqrt(vx*vx+vy*vy+vz*vz) AS vy, vz/sqrt(vx*vx+vy*vy+vz*vz) AS vz) FROM l3),"
+    " l5 AS (SELECT *, uy*vz-uz*vy AS wx, uz*vx-ux*vz AS wy, ux*vy-uy*vx AS wz FROM l4),"
+    " ce AS (SELECT specimen_id, q, t, d2, [(atan2(wx*mx+wy*my+wz*mz, ux*mx+uy*my+uz*mz)+pi())/(2*pi()), (vx*mx+vy*my+vz*mz+1)*0.5, (rise+1)*0.5] AS sh FROM l5),"
+    " c1 AS (SELECT specimen_id, q, unnest([0, 1, 2]) AS k, unnest(sh) AS share FROM ce),"
+    " c2 AS (SELECT specimen_id, q, (11*k + least(greatest(floor(11*share), 0), 10))::INTEGER AS fidx FROM c1),"
+    " ow AS (SELECT specimen_id, q, fidx, count(*)*100.0/any_value(n) AS v FROM c2 JOIN (SELECT specimen_id, q, count(*) AS n FROM nr GROUP BY 1, 2) USING (specimen_id, q) GROUP BY 1, 2, 3),"
+    " wg AS (SELECT nr.specimen_id, nr.q, fidx, sum(v/d2) AS v FROM nr JOIN ow ON ow.specimen_id = nr.specimen_id AND ow.q = t GROUP BY 1, 2, 3),"
+    " sc AS (SELECT specimen_id, q, fidx, 100.0*v/sum(v) OVER (PARTITION BY specimen_id, q, fidx // 11) AS v FROM wg),"
+    " fh AS (SELECT specimen_id, q AS pidx, fidx, sum(v) AS v FROM (FROM ow UNION ALL FROM sc) GROUP BY 1, 2, 3)"
+).replace("{D2T}", D2.replace("q.", "t."))
+
+
+@query("fpfh", f"WITH {P}, {FACES}, {TRI}, {NORMAL}, {_VN}, {_FPFH} SELECT specimen_id, pidx, fidx, {r('v', digits=4)} FROM fh")
+def _(spark, sf):
+    v, f = vertices(spark, sf), bridge.faces(spark)
+    both = v.join(mesh.vertex_normals(v, f), ["specimen_id", "vid"]).withColumnRenamed("vid", "pidx")
+    return rounded(histograms.fpfh(both, 0.5, 8), 4)
+
+
 @query("coordinate_check", f"WITH {P}, {BOX}, a AS (SELECT p.specimen_id, p.pidx, min({D2}) AS d2 FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 GROUP BY 1, 2), f AS (SELECT p.specimen_id, p.pidx, min((-p.x-q.x)*(-p.x-q.x)+(-p.y-q.y)*(-p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS d2 FROM p JOIN p q ON p.specimen_id = q.specimen_id WHERE p.pidx < 7 AND q.pidx >= 7 GROUP BY 1, 2), x AS (SELECT specimen_id, median(sqrt(a.d2)) / any_value(diagonal) AS ratio, median(sqrt(f.d2)) / any_value(diagonal) AS flipped_ratio FROM a JOIN f USING (specimen_id, pidx) JOIN b USING (specimen_id) GROUP BY 1) SELECT specimen_id, {r('ratio', 'flipped_ratio')}, ratio > 0.2 AS failed, ratio > 0.2 AND flipped_ratio < 0.5 * ratio AND flipped_ratio < 0.2 AS hint_lps FROM x".replace(", ratio > 0.2 AS failed, ratio > 0.2 AND flipped_ratio < 0.5 * ratio AND flipped_ratio < 0.2", ", x.ratio > 0.2 AS failed, x.ratio > 0.2 AND x.flipped_ratio < 0.5 * x.ratio AND x.flipped_ratio < 0.2"))
 def _(spark, sf):
     p = bridge.points(spark, sf)
