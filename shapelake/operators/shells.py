@@ -43,7 +43,7 @@ def components(nodes: DataFrame, edges: DataFrame, *by: str, rounds: int = 200)
 def mesh_components(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(specimen_id, vid, component) of each mesh's vertices; a shared topology is searched once."""
     own = mesh.own_columns(faces)
-    corners = faces.select(*own, F.explode(F.array("a", "b", "c")).cast("long").alias("node"))
+    corners = faces.select(*own, F.explode(F.array(*(F.col(c).cast("long") for c in "abc"))).alias("node"))
     steps = mesh.adjacency(faces, *own).select(*own, *(F.col(c).cast("long").alias(c) for c in ("src", "dst")))
     found = components(corners, steps, *own)
     of = vertices.select("specimen_id", F.col("vid").cast("long").alias("vid"))
