@@ -75,15 +75,16 @@ class Words:
             return _mix(grams[:-1] * _NEXT + self.one[n - 1 :]), self.piece[: -(n - 1)] == self.piece[n - 1 :]
 
 
-def _runs(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str]]]:
-    """The words of a batch (lang, text), in runs of about ``CHUNK`` bytes cut between pieces."""
+def _runs(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str], np.ndarray]]:
+    """The words of a batch (lang, text, copies), with each text's language and copies, in runs of about ``CHUNK`` bytes cut between pieces."""
     for at in range(0, batch.num_rows, 256):
         yield from _runs_of_few(batch.slice(at, 256), powers)
 
 
-def _runs_of_few(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str]]]:
+def _runs_of_few(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words, list[str], np.ndarray]]:
     import xxhash
 
+    copies = np.asarray(batch.column(2)).astype(np.int64)
     langs = batch.column(0).to_pylist()
     of_lang = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(langs)}
     numbers = np.array([of_lang[x] for x in langs], _U)
@@ -95,7 +96,7 @@ def _runs_of_few(batch: pa.RecordBatch, powers: _Powers) -> Iterator[tuple[Words
         end = len(data)
         if end - at > CHUNK:
             end = data.rfind(b"\n", at, at + CHUNK) + 1 or data.find(b"\n", at + CHUNK) + 1
-        yield Words(data[at:end], at, ends, numbers, powers), langs
+        yield Words(data[at:end], at, ends, numbers, powers), langs, copies
         at = end
 
 
@@ -123,9 +124,10 @@ class _Counts:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, keys: np.ndarray) -> bool:
-        """Take the numbers; whether there are now too many to hold."""
-        found = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> bool:
+        """Take the numbers, each so many times; whether there are now too many to hold."""
+        found, of = np.unique(keys, return_inverse=True)
+        found = found, np.bincount(of, weights, len(found)).astype(np.int64)  # sums below 2^53 are exact
         self.parts.append(found)
         self.waiting += len(found[0])
         if self.waiting > 2 * HELD:
@@ -156,13 +158,14 @@ def _shard_counts(n: int, maps: list):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            of = np.asarray(batch.column(2))
+            of = np.asarray(batch.column(3))
             for shard in np.unique(of).tolist():
                 part = batch.filter(pa.array(of == shard)) if (of != shard).any() else batch
-                for words, _ in _runs(part, powers):
-                    sizes[shard] = sizes.get(shard, 0) + len(words.one)
-                    keys, _ = _phrases(words, bits, n)
-                    if held.setdefault(shard, _Counts()).add(keys):
+                for words, _, copies in _runs(part, powers):
+                    times = copies[words.text]
+                    sizes[shard] = sizes.get(shard, 0) + int(times.sum())
+                    keys, at = _phrases(words, bits, n)
+                    if held.setdefault(shard, _Counts()).add(keys, times[at]):
                         yield out(shard)
         for shard in list(held):
             yield out(shard)
@@ -181,7 +184,7 @@ def _named_counts(longest: int, maps: list):
         powers, sizes = _Powers(), {}
         bits = [m.value for m in maps]
         names: dict[int, tuple[str, bytes]] = {}
-        known, counts = np.zeros(0, _U), _Counts()
+        counts = _Counts()
 
         def out() -> pa.RecordBatch:
             keys, times = counts.total()
@@ -189,9 +192,10 @@ def _named_counts(longest: int, maps: list):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].decode() for r in rows], pa.string()), pa.array(times.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            for words, langs in _runs(batch, powers):
-                for k, times in zip(*np.unique(words.text, return_counts=True), strict=True):
-                    sizes[langs[k]] = sizes.get(langs[k], 0) + int(times)
+            for words, langs, copies in _runs(batch, powers):
+                times = copies[words.text]
+                for k, n in zip(*np.unique(words.text, return_counts=True), strict=True):
+                    sizes[langs[k]] = sizes.get(langs[k], 0) + int(n * copies[k])
                 grams, whole = words.one, np.ones(len(words.one), bool)
                 for n in range(1, longest + 1):
                     if n > 1:
@@ -200,14 +204,13 @@ def _named_counts(longest: int, maps: list):
                         break
                     at = np.flatnonzero(whole & _has(bits[n - 1], grams))
                     keys, first = np.unique(grams[at], return_index=True)
-                    new = ~np.isin(keys, known, assume_unique=True)
-                    for key, i in zip(keys[new].tolist(), at[first[new]].tolist(), strict=True):
-                        names[key] = langs[words.text[i]], b" ".join(words.data[words.starts[i] : words.ends[i + n - 1]].split())
-                    known = np.union1d(known, keys[new])
-                    counts.add(grams[at])
-                if len(known) > NAMED:
+                    for key, i in zip(keys.tolist(), at[first].tolist(), strict=True):
+                        if key not in names:
+                            names[key] = langs[words.text[i]], b" ".join(words.data[words.starts[i] : words.ends[i + n - 1]].split())
+                    counts.add(grams[at], times[at])
+                if len(names) > NAMED:
                     yield out()
-                    names, known, counts = {}, np.zeros(0, _U), _Counts()
+                    names, counts = {}, _Counts()
         yield out()
         yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.nulls(len(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], schema=schema)
 
@@ -228,8 +231,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     """Exact counts (lang, phrase, times) of all phrases of up to ``longest`` words
     that occur ``support`` times in their language, and (lang, n) of all words.
 
-    A shard is a set of input splits, named by the hash of file and offset; rows
-    that come from no file are one shard. Few shards are better than many: their
+    A shard is a set of splits of the table of texts, named by the hash of file and
+    offset. Few shards are better than many: their
     share of the support stays far above chance, and as all tasks share in mining
     them, they need not fit anywhere. All tasks that read a shard mine it
     together, length by length: those of n words whose parts of n - 1 words are
@@ -239,10 +242,14 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     pass counts all phrases whose bit is set over all texts, by their words, so
     bits that two phrases share cost rows and change nothing. Tasks count in
     bounded tables and pass partial counts on.
+
+    Equal texts of a language are first made one row with its number of copies, so
+    that a group of copies is read, mined and counted once.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     shard = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.lit(shards)).cast("int").alias("shard")
-    rows = docs.select(lang, F.coalesce(F.col(text_col), F.lit("")).alias("text"), shard)
+    distinct = docs.select(lang, F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("lang", "text").agg(F.count(F.lit(1)).alias("copies"))
+    rows = scratch.write(distinct, "distinct").select("lang", "text", "copies", shard)
     maps, sizes, total = [], {}, 0
     for n in range(1, longest + 1):
         counted = rows.mapInArrow(_shard_counts(n, maps), "shard int, key long, times long").groupBy("shard", "key").agg(F.sum("times").alias("times"))
@@ -255,7 +262,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
             least = F.when(F.col("shard") == s, F.lit(-(-support * size // max(1, total)))).otherwise(least)
         maps.append(_bit_map(counted.where("key IS NOT NULL").where(F.col("times") >= least).select("key")))
         scratch.drop(f"phrases-{n}")
-    named = rows.select("lang", "text").mapInArrow(_named_counts(longest, maps), "lang string, phrase string, times long")
+    named = rows.select("lang", "text", "copies").mapInArrow(_named_counts(longest, maps), "lang string, phrase string, times long")
     named = scratch.write(named.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("phrase").isNull() | (F.col("times") >= support)), "named")
     for m in maps:
         m.unpersist()

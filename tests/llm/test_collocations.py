@@ -77,7 +77,7 @@ def test_words_are_the_same_however_texts_are_cut(spark, monkeypatch):
     class Map:
         value = np.full(collocations.BITS // 8, 255, np.uint8)
 
-    batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" if lang is None else lang for lang, _ in rows]), pa.array([t or "" for _, t in rows])], names=["lang", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" if lang is None else lang for lang, _ in rows]), pa.array([t or "" for _, t in rows]), pa.array([1] * len(rows))], names=["lang", "text", "copies"])
     got = Counter()
     for out in collocations._named_counts(5, [Map] * 5)(iter([batch])):
         for lang, phrase, times in zip(*(c.to_pylist() for c in out.columns), strict=True):
