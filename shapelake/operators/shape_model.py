@@ -152,7 +152,7 @@ def _by_gram(points: DataFrame, most: int, specimens: int = 256, landmarks: int
         for batch in batches:
             for row in batch.itertuples(index=False):
                 own, x = _matrix(row.s, row.x, row.y, row.z)
-                part = (u[own].T @ x).reshape(u.shape[1], -1, 3)
+                part = (u[own].T @ x).reshape(u.shape[1], x.shape[1] // 3, 3)
                 marks = np.asarray(row.pidx)[: part.shape[1]]
                 for k in range(len(part)):
                     yield pd.DataFrame({"mode": np.int32(k), "pidx": marks, "x": part[k, :, 0], "y": part[k, :, 1], "z": part[k, :, 2]})

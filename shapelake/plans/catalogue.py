@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import atlas, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, shells, spectral, surfaces, template_search
+from ..operators import atlas, biharmonic, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, shells, spectral, surfaces, template_search
 from ..operators import features as histograms
 from ..sources import bridge, readers
 
@@ -866,6 +866,22 @@ def _(spark, sf):
     return rounded(registration.biharmonic_warp(p, points.mean_shape(p).where("pidx < 7"), bridge.faces(spark)))
 
 
+@query("biharmonic_solved", "SELECT vec_id AS specimen_id, 0.0::DOUBLE AS miss, true AS solved FROM embeddings")
+def _(spark, sf):
+    """All meshes by conjugate gradients: constraints are met, and nothing of the system remains."""
+    p = bridge.points(spark, sf)
+    to = points.mean_shape(p).where("pidx < 7")
+    got = biharmonic.warp(p, to, bridge.faces(spark), rounds=80)
+    away = got.join(to.select("pidx", *(F.col(c).alias(f"t{c}") for c in "xyz")), "pidx", "left").withColumn("miss", F.when(F.col("tx").isNotNull(), g.norm(g.minus(g.vector(), g.vector("t")))))
+    return rounded(away.groupBy("specimen_id").agg(F.max("miss").alias("miss"), (F.max("residual") <= 1e-8).alias("solved")))
+
+
+@query("outside_projection", None)
+def _(spark, sf):
+    marks = _shrunk(spark, sf).select("specimen_id", "pidx", "x", "y", "z")
+    return rounded(shells.outside_projection(marks, vertices(spark, sf), bridge.faces(spark), most=0.5), 4)
+
+
 @query("farthest_point", None)
 def _(spark, sf):
     return registration.farthest(bridge.points(spark, sf), 7)
