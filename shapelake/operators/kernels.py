@@ -236,12 +236,12 @@ def mode_count(eigenvalues: np.ndarray, share: float) -> int:
     return int(np.searchsorted(np.cumsum(eigenvalues) / eigenvalues.sum(), share - 1e-12) + 1) if len(eigenvalues) else 0
 
 
-def ssm_drift(mean: np.ndarray, modes: np.ndarray, eigenvalues: np.ndarray, target: np.ndarray, outliers: float = 0.1, ridge: float = 0.01, rounds: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
+def ssm_drift(mean: np.ndarray, modes: np.ndarray, eigenvalues: np.ndarray, target: np.ndarray, outliers: float = 0.1, ridge: float = 0.01, rounds: int = 250, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
     """Coherent point drift whose template bends along a shape model's modes (k x m x 3).
 
     Each round matches softly, fits the pose to the expected targets, and then the
-    coefficients, held back by their variances. Returns the fitted points, the
-    coefficients and the scale.
+    coefficients, held back by their variances, until the spread settles or
+    ``rounds`` are over. Returns the fitted points, the coefficients and the scale.
     """
     m, n = len(mean), len(target)
     box = max(float(np.prod(np.ptp(target, axis=0))), 1e-12)

@@ -774,7 +774,7 @@ _MISFIT = "mf AS (SELECT specimen_id, mode AS candidate, round(sum((p.x-pm.x)*(p
 def _misfit(p):
     """Sum of squares between each specimen and each population's mean: candidates for its template."""
     mean = points.mean_shape(p, "population").select(F.col("population").alias("candidate"), "pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
-    return p.join(F.broadcast(mean), "pidx").groupBy("specimen_id", "candidate").agg(F.round(F.sum(g.distance2(g.vector(), g.vector("m"))), 9).alias("ss"))
+    return p.join(mean, "pidx").groupBy("specimen_id", "candidate").agg(F.round(F.sum(g.distance2(g.vector(), g.vector("m"))), 9).alias("ss"))
 
 
 @query("candidate_beam", f"WITH {P}, {_MODES}, {_MISFIT} SELECT specimen_id, candidate, -{'round(ss, 6)'} + 0.0 AS score, (row_number() OVER (PARTITION BY specimen_id ORDER BY mf.ss, candidate))::INTEGER AS rank FROM mf QUALIFY row_number() OVER (PARTITION BY specimen_id ORDER BY mf.ss, candidate) <= 3")
@@ -849,9 +849,11 @@ def _(spark, sf):
     p = bridge.points(spark, sf)
     mean = registration.procrustes_mean(p, tolerance=1e-3)
     again = points.centroid(registration.align(p, mean), "pidx").select("pidx", *(F.col(c).alias(f"m{c}") for c in "xyz"))
-    dot = lambda u, v: sum((F.col(f"{u}{c}") * F.col(f"{v}{c}") for c in "xyz"), F.lit(0.0))
-    cosine = F.sum(dot("", "m")) / F.sqrt(F.sum(dot("", "")) * F.sum(dot("m", "m")))
-    return mean.join(again, "pidx").agg(F.count(F.lit(1)).alias("landmarks"), (cosine > 1 - 1e-4).alias("settled"))
+    square = lambda u: F.sum(sum((F.col(f"{u}{c}") * F.col(f"{u}{c}") for c in "xyz"), F.lit(0.0)))
+    both = mean.join(again, "pidx")
+    size = both.agg(F.sqrt(square("") / square("m")).alias("size"))
+    moved = F.max(F.greatest(*(F.abs(F.col(c) - F.col("size") * F.col(f"m{c}")) for c in "xyz")))
+    return both.crossJoin(size).agg(F.count(F.lit(1)).alias("landmarks"), (moved < 2e-3).alias("settled"))  # size is one row
 
 
 @query("tps_warp", None)

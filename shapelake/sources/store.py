@@ -34,12 +34,17 @@ def load_model(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, Da
     return mean, modes, eig.withColumn("v", F.greatest("v", F.lit(1e-10)))
 
 
-def wide_modes(modes: DataFrame, most: int = 1_000) -> DataFrame:
-    """A row for each coordinate and a column for each mode."""
-    coordinates = F.inline(F.array(*(F.struct((F.col("pidx") * 3 + k).alias("axis"), F.col(c).alias("v")) for k, c in enumerate("xyz"))))
-    names = [r[0] for r in modes.select("mode").distinct().orderBy("mode").limit(most).collect()]
-    rows = modes.select("mode", coordinates).groupBy("axis").pivot("mode", names).agg(F.first("v"))
-    return rows.select("axis", *(F.col(str(n)).alias(f"mode_{n}") for n in names))
+def wide_modes(modes: DataFrame, mean: DataFrame | None = None, most: int = 1_000) -> DataFrame:
+    """A row for each coordinate (axis) and a column for each mode, and ``mean_shape`` if ``mean`` is given.
+
+    It is an error if the model has more than ``most`` modes: a table has no room for more columns."""
+    long = lambda df, *keep: df.select(*keep, F.inline(F.array(*(F.struct((F.col("pidx") * 3 + k).alias("axis"), F.col(c).alias("v")) for k, c in enumerate("xyz")))))
+    names = sorted(r[0] for r in modes.select("mode").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} modes")
+    rows = long(modes, "mode").groupBy("axis").pivot("mode", names).agg(F.first("v"))
+    rows = rows.select("axis", *(F.col(str(n)).alias(f"mode_{n}") for n in names))
+    return rows if mean is None else long(mean).withColumnRenamed("v", "mean_shape").join(rows, "axis")
 
 
 def list_models(spark: SparkSession, path: str) -> list[str]:

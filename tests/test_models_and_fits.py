@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapelake.operators import kernels, procrustes, shape_model
+from shapelake.sources import store
 
 POINTS = "specimen_id long, pidx int, x double, y double, z double"
 
@@ -59,6 +60,16 @@ def test_covariance_over_batches(spark):
     assert len(got) == 78 and np.abs(got["cov"] - want[got["i"], got["j"]]).max() < 1e-9
 
 
+def test_wide_modes_have_the_mean_and_no_silent_end(spark):
+    mean = frame(spark, {0: np.arange(6.0).reshape(2, 3)}).drop("specimen_id")
+    modes = spark.createDataFrame([(m, k, float(m), float(k), 0.5) for m in range(3) for k in range(2)], "mode int, pidx int, x double, y double, z double")
+    got = store.wide_modes(modes, mean).orderBy("axis").collect()
+    assert [tuple(r) for r in got] == [(a, float(a), *((float(m), float(a // 3), 0.5)[a % 3] for m in range(3))) for a in range(6)]
+    assert "mean_shape" not in store.wide_modes(modes).columns
+    with pytest.raises(ValueError):
+        store.wide_modes(modes, most=2)
+
+
 @pytest.mark.parametrize("scaling", [True, False])
 def test_fits_from_moments_equal_gathered_ones(spark, scaling):
     rng = np.random.default_rng(3)
