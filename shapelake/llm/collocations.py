@@ -8,6 +8,8 @@ and one count of those over all texts is exact.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,9 +239,10 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     them, they need not fit anywhere. All tasks that read a shard mine it
     together, length by length: those of n words whose parts of n - 1 words are
     frequent in some shard are counted by shard. Any shares that sum to 1 keep the
-    promise above; a shard's is its part of the words of all languages. What is
-    frequent in some shard is kept as a bitmap of 16 MB for each length; the last
-    pass counts all phrases whose bit is set over all texts, by their words, so
+    promise above; a shard's is its part of the words of all languages. All shards
+    count by the same maps, so where a phrase's counts sum to less than the support it
+    cannot be frequent, and goes at once. What is left of the union over shards is a
+    bitmap of 16 MB for each length; the last pass counts all phrases whose bit is set over all texts, by their words, so
     bits that two phrases share cost rows and change nothing. Tasks count in
     bounded tables and pass partial counts on.
 
@@ -250,17 +253,19 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     shard = F.pmod(F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.lit(shards)).cast("int").alias("shard")
     distinct = docs.select(lang, F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("lang", "text").agg(F.count(F.lit(1)).alias("copies"))
     rows = scratch.write(distinct, "distinct").select("lang", "text", "copies", shard)
-    maps, sizes, total = [], {}, 0
+    maps: list = []
+    in_shard = [F.col(f"in_{s}") for s in range(shards)]
     for n in range(1, longest + 1):
-        counted = rows.mapInArrow(_shard_counts(n, maps), "shard int, key long, times long").groupBy("shard", "key").agg(F.sum("times").alias("times"))
+        counted = rows.mapInArrow(_shard_counts(n, maps), "shard int, key long, times long")
+        counted = counted.groupBy("key").agg(*(F.sum(F.when(F.col("shard") == s, F.col("times")).otherwise(0)).alias(f"in_{s}") for s in range(shards)))
         counted = scratch.write(counted, f"phrases-{n}")
         if n == 1:
-            sizes = {r.shard: r.times for r in counted.where("key IS NULL").collect()}
-            total = sum(sizes.values())
-        least = F.lit(support)
-        for s, size in sizes.items():  # times / support >= size / total, in whole numbers
-            least = F.when(F.col("shard") == s, F.lit(-(-support * size // max(1, total)))).otherwise(least)
-        maps.append(_bit_map(counted.where("key IS NOT NULL").where(F.col("times") >= least).select("key")))
+            found = counted.where("key IS NULL").first()
+            sizes = [0] * shards if found is None else [found[f"in_{s}"] for s in range(shards)]
+        # times / support >= size / total, in whole numbers; a shard without words has no share
+        least = [-(-support * size // max(1, sum(sizes))) for size in sizes]
+        local = functools.reduce(operator.or_, (own >= k for own, k, size in zip(in_shard, least, sizes, strict=True) if size), F.lit(False))
+        maps.append(_bit_map(counted.where("key IS NOT NULL").where(local & (sum(in_shard, F.lit(0)) >= support)).select("key")))
         scratch.drop(f"phrases-{n}")
     named = rows.select("lang", "text", "copies").mapInArrow(_named_counts(longest, maps), "lang string, phrase string, times long")
     named = scratch.write(named.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("phrase").isNull() | (F.col("times") >= support)), "named")
