@@ -109,6 +109,10 @@ def _clusters(vectors: DataFrame, k: int, seed: int) -> DataFrame:
     return model.transform(rows).select(F.col("pidx").cast("long").alias("pidx"), F.col("prediction").cast("int").alias("label"))
 
 
+#: Clusters need no exact vectors.
+ENOUGH = {"tolerance": 1e-3, "rounds": 12}
+
+
 def _fitting(edges: DataFrame, k: int) -> int:
     return max(2, min(k, edges.select("src").union(edges.select("dst")).distinct().count() - 1))
 
@@ -116,9 +120,10 @@ def _fitting(edges: DataFrame, k: int) -> int:
 def spectral_labels(edges: DataFrame, k: int, *, seed: int = 0, **how) -> DataFrame:
     """(pidx, label): k-means on the first eigenvectors of the normalised Laplacian (Ng,
     Jordan and Weiss 2001). ``k`` is at least 2 and less than the number of nodes;
-    ``how`` goes to :func:`leading_vectors`."""
+    ``how`` goes to :func:`leading_vectors`; by default residuals of a thousandth are
+    enough, and vectors that no gap sets apart are given up after 12 rounds."""
     k = _fitting(edges, k)
-    return _clusters(leading_vectors(lazy_walk(edges), k, seed=seed, **how)[0], k, seed)
+    return _clusters(leading_vectors(lazy_walk(edges), k, seed=seed, **(ENOUGH | how))[0], k, seed)
 
 
 def tune(edges_of: Callable[[float], DataFrame], ks: list[int], alphas: list[float], *, seed: int = 0, **how) -> DataFrame:
@@ -129,7 +134,7 @@ def tune(edges_of: Callable[[float], DataFrame], ks: list[int], alphas: list[flo
         edges = cut(edges_of(alpha))
         spark = edges.sparkSession
         sizes = {k: _fitting(edges, k) for k in ks}
-        vectors = leading_vectors(lazy_walk(edges), max(sizes.values()), seed=seed, **how)[0]
+        vectors = leading_vectors(lazy_walk(edges), max(sizes.values()), seed=seed, **(ENOUGH | how))[0]
         found += [(k, float(alpha), modularity(edges, _clusters(vectors, sizes[k], seed)).first()[0]) for k in ks]
     if spark is None:
         raise ValueError("there are no settings to try")
