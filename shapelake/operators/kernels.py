@@ -60,18 +60,26 @@ def similarity_fits(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return scale[:, None, None] * p @ np.swapaxes(u @ vt, 1, 2) + b
 
 
-def farthest_points(points: np.ndarray, count: int) -> np.ndarray:
-    """Sorted indices of a greedy max-min subset that starts farthest from the centroid."""
-    n = len(points)
+def farthest_many(shapes: np.ndarray, count: int) -> np.ndarray:
+    """Sorted indices of a greedy max-min subset of each of ``shapes`` (many x n x 3), all a step at a time.
+
+    The first is farthest from the centroid; ties go to the lowest index.
+    """
+    many, n = shapes.shape[:2]
     if count >= n:
-        return np.arange(n)
-    chosen = [int(np.argmax(((points - points.mean(0)) ** 2).sum(1)))]
-    near = ((points - points[chosen[0]]) ** 2).sum(1)
-    for _ in range(count - 1):
-        near[chosen[-1]] = -1
-        chosen.append(int(np.argmax(near)))
-        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
-    return np.sort(np.array(chosen[:count]))
+        return np.tile(np.arange(n), (many, 1))
+    each, taken = np.arange(many), np.zeros((many, n), bool)
+    reach, away = np.full((many, n), np.inf), ((shapes - shapes.mean(1, keepdims=True)) ** 2).sum(2)
+    for _ in range(count):
+        at = np.where(taken, -np.inf, away).argmax(1)
+        taken[each, at] = True
+        away = reach = np.minimum(reach, ((shapes - shapes[each, at][:, None]) ** 2).sum(2))
+    return np.nonzero(taken)[1].reshape(many, count)
+
+
+def farthest_points(points: np.ndarray, count: int) -> np.ndarray:
+    """:func:`farthest_many` of one shape."""
+    return farthest_many(points[None], max(count, 0))[0]
 
 
 def tps_fit(source: np.ndarray, target: np.ndarray, smooth: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from . import kernels
 from .neighbors import k_nearest, shapes
 from .points import mean_shape
 from .procrustes import MOST_POINTS, align  # noqa: F401
+from .sampling import farthest, target_count_sample, voxel_size_for  # noqa: F401
 
 POINTS = "specimen_id long, pidx int, x double, y double, z double"
 
@@ -128,43 +129,6 @@ def biharmonic_warp(points: DataFrame, targets: DataFrame, faces: DataFrame, sof
     return per_specimen(points, work, POINTS)
 
 
-def farthest(points: DataFrame, count: int) -> DataFrame:
-    """Farthest-point subset of each specimen: (specimen_id, pidx)."""
-    return per_specimen(points, lambda index, p: {"pidx": index[kernels.farthest_points(p, count)].astype(np.int32)}, "specimen_id long, pidx int")
-
-
-def target_count_sample(points: DataFrame, target: int, tolerance: float = 0.02, rounds: int = 40) -> DataFrame:
-    """Exactly ``target`` points of each specimen, even over space (all if it has no more).
-
-    Bisects the voxel size for the fewest occupied cells of at least ``target``,
-    keeps each cell's first point, and thins them to the count by farthest points.
-    """
-
-    def work(index, p):
-        if not np.isfinite(p).all():
-            raise ValueError("points are not finite")
-        if len(p) <= target:
-            return {"pidx": index.astype(np.int32)}
-        low = p.min(0)
-        diagonal = float(np.linalg.norm(p.max(0) - low))
-        if diagonal == 0:
-            return {"pidx": index[:target].astype(np.int32)}
-        small, large, best = 1e-9 * diagonal, diagonal, np.arange(len(p))
-        for _ in range(rounds):
-            size = float(np.sqrt(small * large))
-            first = np.sort(np.unique(np.floor((p - low) / size).astype(np.int64), axis=0, return_index=True)[1])
-            if len(first) >= target:
-                small = size
-                best = first if len(first) <= len(best) else best
-                if len(first) <= target * (1 + tolerance):
-                    break
-            else:
-                large = size
-        return {"pidx": index[best[kernels.farthest_points(p[best], target)]].astype(np.int32)}
-
-    return per_specimen(points, work, "specimen_id long, pidx int")
-
-
 def vertex_constraints(landmarks: DataFrame, vertices: DataFrame) -> DataFrame:
     """Mean position of the landmarks whose nearest vertex is the same, for each such vertex."""
     near = k_nearest(landmarks, vertices, 1).select("specimen_id", F.col("qidx").alias("lidx"), F.col("tidx").alias("vid"))
@@ -402,23 +366,3 @@ def project(points: DataFrame, onto: DataFrame, **how) -> DataFrame:
                 yield pd.concat(parts, ignore_index=True)
 
     return rows.mapInPandas(run, POINTS)
-
-
-def voxel_size_for(points: DataFrame, target: int, tolerance: float = 0.02, rounds: int = 40) -> tuple[float, int]:
-    """The voxel size of one cloud whose number of occupied cells is nearest to ``target``.
-
-    Each round counts cells by one aggregate; one number comes back.
-    """
-    from .points import bounds, voxel_count
-
-    box = bounds(points).first()
-    low = tuple(box[f"min_{c}"] for c in "xyz")
-    small, large, best = 1e-9 * box["diagonal"], box["diagonal"], (float("inf"), 0.0, 0)
-    for _ in range(rounds):
-        size = (small * large) ** 0.5
-        n = voxel_count(points, size, origin=low).first()["n_voxels"]
-        best = min(best, (abs(n - target), size, n))
-        if best[0] <= tolerance * target:
-            break
-        small, large = (size, large) if n > target else (small, size)
-    return best[1], best[2]

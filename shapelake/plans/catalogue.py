@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import atlas, biharmonic, mesh, neighbors, pairing, points, procrustes, registration, segmentation, shape_model, shells, spectral, surfaces, template_search
+from ..operators import atlas, biharmonic, mesh, neighbors, pairing, points, procrustes, registration, sampling, segmentation, shape_model, shells, spectral, surfaces, template_search
 from ..operators import features as histograms
 from ..sources import bridge, readers
 
@@ -884,14 +884,38 @@ def _(spark, sf):
     return rounded(shells.outside_projection(marks, vertices(spark, sf), bridge.faces(spark), most=0.5), 4)
 
 
-@query("farthest_point", None)
+def _far(candidates: str, count: int) -> str:
+    """SQL parts: of ``candidates`` (specimen_id, pidx, x, y, z), ``count`` chosen one by one in ``far``."""
+    point = "{'d': %s, 'i': -q.pidx, 'x': q.x, 'y': q.y, 'z': q.z}"
+    centre = point % "(q.x-m.x)*(q.x-m.x)+(q.y-m.y)*(q.y-m.y)+(q.z-m.z)*(q.z-m.z)"
+    apart = point % "list_min(list_transform(l, lambda u: (q.x-u.x)*(q.x-u.x)+(q.y-u.y)*(q.y-u.y)+(q.z-u.z)*(q.z-u.z)))"
+    return f"far AS (SELECT specimen_id, 1 AS step, [max({centre})] AS l FROM {candidates} q JOIN (SELECT specimen_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {candidates} GROUP BY 1) m USING (specimen_id) GROUP BY 1 UNION ALL SELECT specimen_id, step + 1, list_append(l, max({apart})) FROM far JOIN {candidates} q USING (specimen_id) WHERE step < {count} AND NOT list_contains(list_transform(l, lambda u: u.i), -q.pidx) GROUP BY specimen_id, step, l), last AS (SELECT specimen_id, unnest(l) AS u FROM far WHERE step = {count})"
+
+
+@query("farthest_point", f"WITH RECURSIVE {P}, {_far('p', 7)} SELECT specimen_id, (-u.i)::INTEGER AS pidx FROM last")
+def _(spark, sf):
+    return sampling.farthest(bridge.points(spark, sf), 7)
+
+
+def _bisected(over: str, better: str, enough: str) -> str:
+    """SQL parts: the bisection of voxel sizes a step at a time, its end in ``found``."""
+    keys = ", ".join(f"floor((p.{c} - b.i{c}) / sqrt(small * large))" for c in "xyz")
+    counted = f"(SELECT s.specimen_id, step, small, large, best_size, best_n, sqrt(small * large) AS size, count(DISTINCT ({keys})) AS n FROM s JOIN p USING (specimen_id) JOIN b USING (specimen_id) WHERE s.open AND step < 40 GROUP BY ALL)"
+    return f"{BOX}, s AS (SELECT specimen_id, 0 AS step, diagonal * 1e-9 AS small, diagonal AS large, NULL::DOUBLE AS best_size, 21::BIGINT AS best_n, true AS open FROM b UNION ALL SELECT specimen_id, step + 1, CASE WHEN {over} THEN size ELSE small END, CASE WHEN {over} THEN large ELSE size END, CASE WHEN {better} THEN size ELSE best_size END, CASE WHEN {better} THEN n ELSE best_n END, NOT ({enough}) FROM {counted}), found AS (SELECT specimen_id, max_by(best_size, step) FILTER (best_size IS NOT NULL) AS size, max_by(best_n, step) AS n FROM s GROUP BY 1)"
+
+
+_FEWEST = _bisected("n >= 10", "n >= 10 AND n <= best_n", "n >= 10 AND n <= 10 * (1 + 0.02::DOUBLE)")
+
+
+@query("voxel_sizes", f"WITH RECURSIVE {P}, {_bisected('n > 10', 'abs(n - 10) < abs(best_n - 10)', 'n = 10 OR (abs(n - 10) < abs(best_n - 10) AND abs(n - 10) <= 1)')} SELECT specimen_id, round(size, 9) AS size, n AS cells FROM found")
 def _(spark, sf):
-    return registration.farthest(bridge.points(spark, sf), 7)
+    found = sampling.voxel_sizes(bridge.points(spark, sf), 10, fewest_over=False)
+    return found.select("specimen_id", F.round("best_size", 9).alias("size"), F.col("best_n").alias("cells"))
 
 
-@query("target_count_sample", None)
+@query("target_count_sample", f"WITH RECURSIVE {P}, {_FEWEST}, k AS (SELECT specimen_id, min_by(p.pidx, p.pidx) AS pidx, min_by(x, p.pidx) AS x, min_by(y, p.pidx) AS y, min_by(z, p.pidx) AS z FROM p JOIN b USING (specimen_id) JOIN found USING (specimen_id) GROUP BY specimen_id, floor((x - ix) / size), floor((y - iy) / size), floor((z - iz) / size)), {_far('k', 10)} SELECT specimen_id, (-u.i)::INTEGER AS pidx FROM last")
 def _(spark, sf):
-    return registration.target_count_sample(bridge.points(spark, sf), 10)
+    return sampling.target_count_sample(bridge.points(spark, sf), 10)
 
 
 @query("ssm_build", None)
