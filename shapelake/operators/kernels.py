@@ -7,6 +7,8 @@ from math import comb
 
 import numpy as np
 
+from . import boxes
+
 
 def _least(d2: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` least values of each row in order, ties to the lower column."""
@@ -20,14 +22,30 @@ def _least(d2: np.ndarray, k: int) -> np.ndarray:
     return order
 
 
+FEW = 1024  # up to so many targets, all are compared
+
+
+def _squares(queries: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    d = queries[:, None, :] - targets[None]
+    return d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+
+
 def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool = False, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Indices and squared distances of the ``k`` nearest targets of each query,
-    nearest first, ties to the lower index. A block of queries at a time."""
+    nearest first, ties to the lower index. A block of queries at a time; many
+    targets are searched in leaves of points that lie together."""
     k = max(0, min(k, len(targets) - skip_self))
+    if k and len(targets) > FEW and np.isfinite(queries).all() and np.isfinite(targets).all():
+        index, apart = boxes.nearest(queries, targets, targets, k + skip_self, lambda q, at: _squares(q, targets[at]))
+        if skip_self:
+            own = index == np.arange(len(queries))[:, None]
+            own[~own.any(1), -1] = True
+            index, apart = index[~own].reshape(-1, k), apart[~own].reshape(-1, k)
+        return index, apart
+    block = max(1, min(block, 4_000_000 // max(len(targets), 1)))
     index, apart = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
     for at in range(0, len(queries) if k else 0, block):
-        d = queries[at : at + block, None, :] - targets[None]
-        d2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+        d2 = _squares(queries[at : at + block], targets)
         if skip_self:
             rows = np.arange(len(d2))
             d2[rows, rows + at] = np.inf

@@ -52,7 +52,7 @@ def _search(k: int, same: bool, block: int):
     return run
 
 
-def k_nearest(queries: DataFrame, targets: DataFrame, k: int, *, same: bool = False, block: int = 4096) -> DataFrame:
+def k_nearest(queries: DataFrame, targets: DataFrame, k: int, *, same: bool = False, block: int = 65_536) -> DataFrame:
     """The ``k`` nearest targets of each query of the same specimen, with rank and
     squared distance; ties go to the lower index. ``same``: queries are the
     targets (grouped once), and a point is no neighbour of itself."""

@@ -10,50 +10,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import boxes
 from .mesh import corners
 from .neighbors import shapes
 
 CLOSEST = "specimen_id long, qidx long, fid long, wa double, wb double, wc double, d2 double"
 
 
-def closest_on_triangles(p: np.ndarray, tri: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each point the triangle (of ``tri``, n x 3 x 3) that is nearest, the lowest
-    of equals, the barycentric weights of its closest point and the squared distance.
+def _apart(q: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of points (m x 3) from triangles (n x 3 x 3, or m x n x 3 x 3 for
+    each point its own) and the barycentric weights of the closest points.
 
     The closest point is inside, or the best of the three edges' closest points.
     """
-    a, b, c = tri[:, 0], tri[:, 1], tri[:, 2]
+    q, a, b, c = q[:, None], tri[..., 0, :], tri[..., 1, :], tri[..., 2, :]
     u, v = b - a, c - a
-    uu, uv, vv = (u * u).sum(1), (u * v).sum(1), (v * v).sum(1)
+    uu, uv, vv = (u * u).sum(-1), (u * v).sum(-1), (v * v).sum(-1)
     below = uu * vv - uv * uv
-    face, weight, apart = np.zeros(len(p), np.int64), np.zeros((len(p), 3)), np.zeros(len(p))
-    for at in range(0, len(p), block):
-        q = p[at : at + block, None]
-        w = q - a
-        wu, wv = (w * u).sum(-1), (w * v).sum(-1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            beta, gamma = (vv * wu - uv * wv) / below, (uu * wv - uv * wu) / below
-        inside = (below > 1e-12) & (beta >= 0) & (gamma >= 0) & (beta + gamma <= 1)
-        options = [np.where(inside[..., None], np.stack([1 - beta - gamma, beta, gamma], -1), np.nan)]
-        for i, j in ((0, 1), (1, 2), (2, 0)):
-            s, e = tri[:, i], tri[:, j] - tri[:, i]
-            t = np.clip(((q - s) * e).sum(-1) / np.maximum((e * e).sum(1), 1e-300), 0, 1)
-            edge = np.zeros((*t.shape, 3))
-            edge[..., i], edge[..., j] = 1 - t, t
-            options.append(edge)
-        best_d, best_w = np.full(inside.shape, np.inf), np.zeros((*inside.shape, 3))
-        for o in options:
-            there = o[..., :1] * a + o[..., 1:2] * b + o[..., 2:] * c
-            d2 = ((q - there) ** 2).sum(-1)
-            nearer = d2 < best_d
-            best_d, best_w = np.where(nearer, d2, best_d), np.where(nearer[..., None], o, best_w)
-        k = best_d.argmin(1)
-        rows = np.arange(len(k))
-        face[at : at + block], weight[at : at + block], apart[at : at + block] = k, best_w[rows, k], best_d[rows, k]
+    w = q - a
+    wu, wv = (w * u).sum(-1), (w * v).sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        beta, gamma = (vv * wu - uv * wv) / below, (uu * wv - uv * wu) / below
+    inside = (below > 1e-12) & (beta >= 0) & (gamma >= 0) & (beta + gamma <= 1)
+    options = [np.where(inside[..., None], np.stack([1 - beta - gamma, beta, gamma], -1), np.nan)]
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        s, e = tri[..., i, :], tri[..., j, :] - tri[..., i, :]
+        t = np.clip(((q - s) * e).sum(-1) / np.maximum((e * e).sum(-1), 1e-300), 0, 1)
+        edge = np.zeros((*t.shape, 3))
+        edge[..., i], edge[..., j] = 1 - t, t
+        options.append(edge)
+    best_d, best_w = np.full(inside.shape, np.inf), np.zeros((*inside.shape, 3))
+    for o in options:
+        there = o[..., :1] * a + o[..., 1:2] * b + o[..., 2:] * c
+        d2 = ((q - there) ** 2).sum(-1)
+        nearer = d2 < best_d
+        best_d, best_w = np.where(nearer, d2, best_d), np.where(nearer[..., None], o, best_w)
+    return best_d, best_w
+
+
+def closest_on_triangles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point the triangle (of ``tri``, n x 3 x 3) that is nearest, the lowest
+    of equals, the barycentric weights of its closest point and the squared distance.
+
+    Many triangles are searched in leaves of triangles that lie together.
+    """
+    face = np.zeros(len(p), np.int64)
+    if len(tri) > 256 and np.isfinite(p).all() and np.isfinite(tri).all():
+        face = boxes.nearest(p, tri.min(1), tri.max(1), 1, lambda q, at: _apart(q, tri[at])[0])[0][:, 0]
+    else:
+        block = max(1, 65_536 // max(len(tri), 1))
+        for at in range(0, len(p), block):
+            face[at : at + block] = _apart(p[at : at + block], tri)[0].argmin(1)
+    apart, weight = np.zeros(len(p)), np.zeros((len(p), 3))
+    for at in range(0, len(p), 65_536):
+        d2, w = _apart(p[at : at + 65_536], tri[face[at : at + 65_536]][:, None])
+        apart[at : at + 65_536], weight[at : at + 65_536] = d2[:, 0], w[:, 0]
     return face, weight, apart
 
 
-def closest_points(queries: DataFrame, vertices: DataFrame, faces: DataFrame, block: int = 4096) -> DataFrame:
+def closest_points(queries: DataFrame, vertices: DataFrame, faces: DataFrame, block: int = 65_536) -> DataFrame:
     """Nearest face of the specimen's surface for each query point (specimen_id,
     pidx), with the barycentric weights of the closest point and the squared
     distance. Large query sets of a specimen are dealt out in blocks."""
