@@ -184,24 +184,46 @@ def _vtp(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(v) if v else np.zeros((0, 3)), _fan(polygons)
 
 
-def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(key, vid, x, y, z) and (key, fid, a, b, c) of PLY, OBJ, STL, ASCII VTK and VTP files; polygons as fans of triangles."""
-    parsers = {"ply": _ply, "obj": _obj, "stl": _stl, "vtk": _vtk, "vtp": _vtp}
+PARSERS = {"ply": _ply, "obj": _obj, "stl": _stl, "vtk": _vtk, "vtp": _vtp}
+
 
-    def parse(part: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for path, content in zip(batch["path"], batch["content"], strict=True):
-                    rows = parsers[path.rpartition(".")[2].lower()](content)[part]
-                    yield pd.DataFrame({"path": path, "n": np.arange(len(rows)), **{c: rows[:, k] for k, c in enumerate("abc")}})
+def parse_meshes(spark: SparkSession, path: str) -> DataFrame:
+    """(key, path, v, f, error) of each PLY, OBJ, STL, ASCII VTK and VTP file, read once: positions
+    and corners of all vertices and triangles (polygons as fans) as arrays, or why it cannot be read."""
 
-        return run
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    v, f = PARSERS[path.rpartition(".")[2].lower()](content)
+                    if len(f) and not (0 <= f.min() and f.max() < len(v)):
+                        raise ValueError("a face has a corner that is not there")
+                    got = [np.asarray(v, float).ravel(), np.asarray(f, np.int64).ravel(), None]
+                except (ValueError, KeyError, IndexError, StopIteration, AttributeError, TypeError, UnicodeDecodeError, struct.error, zlib.error, ET.ParseError) as e:
+                    got = [None, None, f"{type(e).__name__}: {e}"]
+                yield pd.DataFrame([[path, *got]], columns=["path", "v", "f", "error"])
 
     found = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(rf"\.({'|'.join(MESH_SUFFIXES)})$")).select("path", "content")
-    key = g.normalise_key(F.regexp_extract("path", "[^/]*$", 0)).alias("key")
-    v = found.mapInPandas(parse(0), "path string, n long, a double, b double, c double").select(key, F.col("n").alias("vid"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
-    f = found.mapInPandas(parse(1), "path string, n long, a long, b long, c long").select(key, F.col("n").alias("fid"), "a", "b", "c")
-    return v, f
+    rows = found.mapInPandas(run, "path string, v array<double>, f array<long>, error string")
+    return rows.select(g.normalise_key(F.regexp_extract("path", "[^/]*$", 0)).alias("key"), "path", "v", "f", "error")
+
+
+def exploded(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, vid, x, y, z) and (key, fid, a, b, c) of :func:`parse_meshes`, without files that have an error."""
+
+    def rows(of: str, number: str, names: str) -> DataFrame:
+        at = F.sequence(F.lit(0), (F.size(of) / 3).cast("int") - 1)
+        triples = F.transform(at, lambda i: F.struct(*(F.get(of, i * 3 + k).alias(n) for k, n in enumerate(names))))
+        some = meshes.where(F.size(of) > 0).select("key", F.posexplode(triples).alias("n", "row"))
+        return some.select("key", F.col("n").cast("long").alias(number), "row.*")
+
+    return rows("v", "vid", "xyz"), rows("f", "fid", "abc")
+
+
+def read_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(key, vid, x, y, z) and (key, fid, a, b, c) of the meshes of a folder; files that cannot
+    be read are left out. To read them once for both, keep :func:`parse_meshes` and explode that."""
+    return exploded(parse_meshes(spark, path))
 
 
 def json_attribute(rows: DataFrame, column: str, name: str) -> DataFrame:
