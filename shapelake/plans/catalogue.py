@@ -862,6 +862,13 @@ def _(spark, sf):
     return rounded(registration.tps_warp(p, points.mean_shape(p).where("pidx < 12")))
 
 
+@query("tps_constraints", f"WITH {P}, m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p WHERE pidx < 12 GROUP BY 1) SELECT vec_id AS specimen_id, pidx, {r('x', 'y', 'z', digits=5)} FROM m, embeddings")
+def _(spark, sf):
+    """A spline without smoothing takes the constraints to their targets."""
+    p = bridge.points(spark, sf)
+    return rounded(registration.tps_warp(p, points.mean_shape(p).where("pidx < 12")).where("pidx < 12"), 5)
+
+
 @query("biharmonic_warp", None)
 def _(spark, sf):
     p = bridge.points(spark, sf)
@@ -1025,6 +1032,16 @@ def _(spark, sf):
     return rounded(atlas.dense_export(p.where(marks), vertices(spark, sf), f, mean, mean.where(marks)), 4)
 
 
+@query("dense_export_on_surface", "SELECT vec_id AS specimen_id, 21::BIGINT AS points, 0.0::DOUBLE AS away FROM embeddings")
+def _(spark, sf):
+    """Exported points lie on the surface of their own specimen."""
+    p, f, v = bridge.points(spark, sf), bridge.faces(spark), vertices(spark, sf)
+    mean, marks = points.mean_shape(p), F.col("pidx") % 3 == 0
+    dense = atlas.dense_export(p.where(marks), v, f, mean, mean.where(marks)).select("specimen_id", "pidx", "x", "y", "z")
+    near = surfaces.closest_points(dense, v, f).groupBy("specimen_id").agg(F.count(F.lit(1)).alias("points"), F.sqrt(F.max("d2")).alias("away"))
+    return rounded(near)
+
+
 @query("template_search", None)
 def _(spark, sf):
     p = points.scale_diagonal(bridge.points(spark, sf))
