@@ -54,17 +54,18 @@ def closest_on_triangles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np
 
     Many triangles are searched in leaves of triangles that lie together.
     """
-    face = np.zeros(len(p), np.int64)
+    face, weight, apart = np.zeros(len(p), np.int64), np.zeros((len(p), 3)), np.zeros(len(p))
     if len(tri) > 256 and np.isfinite(p).all() and np.isfinite(tri).all():
         face = boxes.nearest(p, tri.min(1), tri.max(1), 1, lambda q, at: _apart(q, tri[at])[0])[0][:, 0]
-    else:
-        block = max(1, 65_536 // max(len(tri), 1))
-        for at in range(0, len(p), block):
-            face[at : at + block] = _apart(p[at : at + block], tri)[0].argmin(1)
-    apart, weight = np.zeros(len(p)), np.zeros((len(p), 3))
-    for at in range(0, len(p), 65_536):
-        d2, w = _apart(p[at : at + 65_536], tri[face[at : at + 65_536]][:, None])
-        apart[at : at + 65_536], weight[at : at + 65_536] = d2[:, 0], w[:, 0]
+        for at in range(0, len(p), 65_536):
+            d2, w = _apart(p[at : at + 65_536], tri[face[at : at + 65_536]][:, None])
+            apart[at : at + 65_536], weight[at : at + 65_536] = d2[:, 0], w[:, 0]
+        return face, weight, apart
+    block = max(1, 65_536 // max(len(tri), 1))
+    for at in range(0, len(p), block):
+        d2, w = _apart(p[at : at + block], tri)
+        k, rows = d2.argmin(1), np.arange(len(d2))
+        face[at : at + block], weight[at : at + block], apart[at : at + block] = k, w[rows, k], d2[rows, k]
     return face, weight, apart
 
 
