@@ -91,3 +91,27 @@ def test_specimens_that_share_no_landmark(spark):
     p = spark.createDataFrame([(1, 5, 1.0, 2.0, 3.0)], POINTS)
     assert procrustes.fits(p, t).count() == 0
     assert procrustes.align(p, t).where(F.col("x").isNull()).count() == 1
+
+
+def test_products_of_any_number_of_specimens_are_made_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    shapes = {3 * k + 1: rng.normal(size=(5, 3)) for k in range(60)}
+    x = np.stack([s.ravel() for s in shapes.values()])
+    product = (x - x.mean(0)) @ (x - x.mean(0)).T
+    for specimens, landmarks in ((7, 2), (60, 5), (None, 1_024)):
+        got = shape_model.gram(frame(spark, shapes), specimens=specimens, landmarks=landmarks).orderBy("si", "sj").toPandas()
+        assert got["v"].to_numpy() == pytest.approx(product[np.triu_indices(60)])
+        assert list(zip(got["si"], got["sj"])) == [(3 * i + 1, 3 * j + 1) for i in range(60) for j in range(i, 60)]
+    assert shape_model.gram.__kwdefaults__["most"] is None  # no bound on specimens but on request
+
+
+def test_gram_models_of_more_specimens_than_the_driver_takes(spark):
+    rng = np.random.default_rng(7)
+    p = frame(spark, {k: rng.normal(size=(4, 3)) for k in range(40)})
+    want, eig = shape_model._by_gram(p, 40)
+    modes, values = shape_model._by_gram(p, 12)
+    assert np.abs(modes_of(modes, 4) - modes_of(want, 4)).max() < 1e-9
+    assert [r.v for r in values.orderBy("mode").collect()] == pytest.approx([r.v for r in eig.orderBy("mode").collect()])
+    assert shape_model.residuals(p, modes, values).where("residual > 1e-9 OR abs(norm - 1) > 1e-9").count() == 0
+    with pytest.raises(ValueError):
+        shape_model._by_gram(p, 11)
