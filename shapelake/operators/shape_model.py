@@ -281,9 +281,18 @@ def residuals(points: DataFrame, modes: DataFrame, eigenvalues: DataFrame) -> Da
 
     The covariance is never made: coefficients along the mode weigh the specimens."""
     n = points.select("specimen_id").distinct().count()
-    away = _centred(points)
-    along = coefficients(points, mean_shape(points), modes)
-    times = away.join(along, "specimen_id").groupBy("mode", "pidx").agg(*((F.sum(F.col("b") * F.col(c)) / max(1, n - 1)).alias(f"c{c}") for c in XYZ))
+    got = modes.limit(MOST_CELLS + 1).toPandas()
+    if len(got) <= MOST_CELLS:  # the modes go to the tasks, which give sums
+        index, names = np.unique(got["pidx"].to_numpy(np.int64)), np.unique(got["mode"].to_numpy(np.int64))
+        vectors = np.zeros((len(names), len(index), 3))
+        vectors[np.searchsorted(names, got["mode"]), np.searchsorted(index, got["pidx"])] = got[list(XYZ)]
+        here = points.where(F.col("pidx").isin(index.tolist())) if len(index) < 10_000 else points.join(modes.select("pidx").distinct(), "pidx", "left_semi")
+        sums = _along(here, index, vectors.reshape(len(names), -1).T)
+        named = points.sparkSession.createDataFrame([(k, int(m)) for k, m in enumerate(names)], "k int, name int")
+        times = sums.join(F.broadcast(named), F.col("mode") == F.col("k")).select(F.col("name").alias("mode"), "pidx", *((F.col(c) / max(1, n - 1)).alias(f"c{c}") for c in XYZ))  # one row for each mode
+    else:
+        along = coefficients(points, mean_shape(points), modes)
+        times = _centred(points).join(along, "specimen_id").groupBy("mode", "pidx").agg(*((F.sum(F.col("b") * F.col(c)) / max(1, n - 1)).alias(f"c{c}") for c in XYZ))
     both = modes.join(times, ["mode", "pidx"]).join(eigenvalues, "mode")
     off = F.greatest(*(F.abs(F.col(f"c{c}") - F.col("v") * F.col(c)) for c in XYZ))
     return both.groupBy("mode").agg(F.max(off).alias("residual"), F.sqrt(F.sum(g.dot(g.vector(), g.vector()))).alias("norm"))
