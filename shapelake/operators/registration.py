@@ -12,6 +12,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +54,25 @@ def _placed(index: np.ndarray, p: np.ndarray) -> dict:
     return {"pidx": index.astype(np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Specimens of equal landmarks together: how many, the landmarks and all positions as bytes."""
+    for batch in batches:
+        alike: dict[bytes, list] = {}
+        for row in batch.itertuples(index=False):
+            alike.setdefault(np.asarray(row.i, np.int64).tobytes(), []).append(np.stack([row.x, row.y, row.z], 1))
+        yield pd.DataFrame({"n": [len(m) for m in alike.values()], "i": list(alike), "p": [np.stack(m).tobytes() for m in alike.values()]})
+
+
 def _aligned_sums(ti: np.ndarray, tp: np.ndarray):
     """Of each task, the sum of each landmark over its specimens as :func:`align` places them, and their number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(tp.shape), np.zeros(len(ti), np.int64)
-        for batch in batches:
-            alike: dict[bytes, list] = {}
-            for row in batch.itertuples(index=False):
-                alike.setdefault(np.asarray(row.i, np.int64).tobytes(), []).append(np.stack([row.x, row.y, row.z], 1))
-            for key, many in alike.items():
-                at = np.searchsorted(ti, np.frombuffer(key, np.int64))
-                np.add.at(total, at, kernels.similarity_fits(np.stack(many), tp[at]).sum(0))
-                np.add.at(n, at, len(many))
-        there = np.flatnonzero(n)
-        yield pd.DataFrame({"k": there.astype(np.int32), "n": n[there], **dict(zip("xyz", total[there].T, strict=True))})
+    def run(packed: Iterator) -> Iterator[np.ndarray]:
+        total = np.zeros((len(ti), 4))
+        for n, i, p in packed:
+            at = np.searchsorted(ti, np.frombuffer(i, np.int64))
+            np.add.at(total, (at, slice(0, 3)), kernels.similarity_fits(np.frombuffer(p).reshape(n, -1, 3), tp[at]).sum(0))
+            np.add.at(total, (at, 3), n)
+        yield total
 
     return run
 
@@ -75,23 +80,27 @@ def _aligned_sums(ti: np.ndarray, tp: np.ndarray):
 def procrustes_mean(points: DataFrame, rounds: int = 5000, tolerance: float = 1e-6) -> DataFrame:
     """Generalised Procrustes mean (Gower 1975): align to the mean, average, repeat.
 
-    A round is one pass over the specimens; only the mean shape comes back. It is
+    Specimens are packed once, thousands to a block. A round is one job without a plan
+    or a shuffle over the blocks, and only the mean shape comes back. It is
     an error if the mean still moves by ``tolerance`` or more after ``rounds``.
     """
     spark = points.sparkSession
     index, mean = template_arrays(mean_shape(points))
-    rows = shapes(points).persist()
-    for _ in range(rounds):
-        got = rows.mapInPandas(_aligned_sums(index, mean), "k int, n long, x double, y double, z double")
-        after = np.array(sorted(tuple(r) for r in got.groupBy("k").agg(*(F.sum(c) / F.sum("n") for c in "xyz")).collect()))[:, 1:]
-        after = (after - after.mean(0)) * np.linalg.norm(mean - mean.mean(0)) / max(np.linalg.norm(after - after.mean(0)), 1e-30)
-        moved, mean = np.abs(after - (mean - mean.mean(0))).max(), after
-        if moved < tolerance:
-            break
-    else:
-        rows.unpersist()
-        raise RuntimeError(f"the mean shape has not settled within {tolerance} after {rounds} rounds")
-    rows.unpersist()
+    rows = shapes(points).repartition(spark.sparkContext.defaultParallelism)  # rounds cost a task's work, so all cores get a share of small tables too
+    blocks = rows.mapInPandas(_packed, "n int, i binary, p binary").rdd.map(lambda b: (b.n, bytes(b.i), bytes(b.p))).persist(StorageLevel.MEMORY_AND_DISK)
+    depth = 1 if len(index) <= 10_000 else 2  # sums of large shapes meet in tasks first
+    try:
+        for _ in range(rounds):
+            total = blocks.mapPartitions(_aligned_sums(index, mean)).treeReduce(np.add, depth)
+            after = total[:, :3] / total[:, 3:]
+            after = (after - after.mean(0)) * np.linalg.norm(mean - mean.mean(0)) / max(np.linalg.norm(after - after.mean(0)), 1e-30)
+            moved, mean = np.abs(after - (mean - mean.mean(0))).max(), after
+            if moved < tolerance:
+                break
+        else:
+            raise RuntimeError(f"the mean shape has not settled within {tolerance} after {rounds} rounds")
+    finally:
+        blocks.unpersist()
     return spark.createDataFrame(pd.DataFrame({"pidx": index.astype(np.int32), "x": mean[:, 0], "y": mean[:, 1], "z": mean[:, 2]}))
 
 

@@ -191,3 +191,24 @@ def test_fine_drift_follows_a_smooth_bend():
     got = kernels.fine_drift(base, bent[rng.permutation(150)])
     assert np.median(np.linalg.norm(got - bent, axis=1)) < 0.2 * np.median(np.linalg.norm(base - bent, axis=1))
     assert kernels.fine_drift(base, base) == pytest.approx(base, abs=0.02)
+
+
+def test_rounds_of_the_procrustes_mean_are_jobs_without_a_plan(spark):
+    """A round that plans and shuffles costs more than its fits; partial specimens count where they have landmarks."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 3))
+    rows = [(s, k, *(float(c) for c in base[k] + 0.2 * rng.normal(size=3))) for s in range(40) for k in range(6) if s % 5 or k != 2]
+    points = spark.createDataFrame(rows, "specimen_id long, pidx int, x double, y double, z double").repartition(3)
+    planned, made = [], type(points).mapInPandas
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(points), "mapInPandas", lambda self, *a, **b: planned.append(a[1]) or made(self, *a, **b))
+        mean = registration.procrustes_mean(points)
+    assert len(planned) == 1
+    got = mean.orderBy("pidx").toPandas()[["x", "y", "z"]].to_numpy()
+    total, n = np.zeros((6, 3)), np.zeros((6, 1))
+    for s in range(40):
+        at = [k for _, k, *_ in (r for r in rows if r[0] == s)]
+        total[at] += kernels.similarity_fits(np.array([[r[2:] for r in rows if r[0] == s]]), got[at])[0]
+        n[at] += 1
+    again = total / n - (total / n).mean(0)
+    assert np.abs(again * np.linalg.norm(got) / np.linalg.norm(again) - got).max() < 2e-6
