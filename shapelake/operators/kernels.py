@@ -26,8 +26,12 @@ FEW = 1024  # up to so many targets, all are compared
 
 
 def _squares(queries: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    d = queries[:, None, :] - targets[None]
-    return d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    out = 0.0
+    for c in range(3):  # a coordinate at a time, so that rows lie together
+        d = queries[:, c, None] - targets[None, :, c]
+        d *= d
+        out = d if c == 0 else np.add(out, d, out=out)
+    return out
 
 
 def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool = False, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +229,13 @@ def icp_many(starts: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance
 
 def pose_scores(placed: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Minus the mean squared distance to the target, and a tenth of that back, of each position (h x m x 3)."""
+    h, m = placed.shape[:2]
+    if m and 0 < len(target) <= FEW and m <= FEW:  # both ways from the same squares, some positions at a time
+        out, step = np.empty(h), max(1, 1_000_000 // (m * len(target)))
+        for at in range(0, h, step):
+            d2 = _squares(placed[at : at + step].reshape(-1, 3), target).reshape(-1, m, len(target))
+            out[at : at + step] = -(d2.min(2).mean(1) + 0.1 * d2.min(1).mean(1))
+        return out
     there = nearest(placed.reshape(-1, 3), target, 1)[1].reshape(len(placed), -1).mean(1)
     back = np.array([nearest(target, q, 1)[1].mean() for q in placed])
     return -(there + 0.1 * back)

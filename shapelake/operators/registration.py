@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .neighbors import k_nearest, shapes
+from .neighbors import k_nearest, shapes, tasks
 from .points import mean_shape
 from .procrustes import MOST_POINTS, align  # noqa: F401
 from .sampling import farthest, target_count_sample, voxel_size_for  # noqa: F401
@@ -33,21 +33,37 @@ def template_arrays(template: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["pidx"].to_numpy(np.int64), got[["x", "y", "z"]].to_numpy(float)
 
 
-def per_specimen(points: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
-    """``work(indices, positions)`` of each specimen as rows of ``schema`` (specimen_id first)."""
+def per_specimen(points: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict], schema: str, many: int = 256) -> DataFrame:
+    """``work(indices, positions)`` of each specimen as rows of ``schema`` (specimen_id first).
+
+    Specimens are dealt out to all cores, however few bytes they have; results leave a
+    task after ``many`` specimens, or sooner after as many rows as fill a block."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            parts, rows = [], 0
             for row in batch.itertuples(index=False):
-                got = pd.DataFrame(work(np.asarray(row.i), np.stack([row.x, row.y, row.z], 1)))
-                got.insert(0, "specimen_id", row.specimen_id)
-                parts.append(got[names].astype({"pidx": "Int32"} if "pidx" in names else {}))
+                got = work(np.asarray(row.i), np.stack([row.x, row.y, row.z], 1))
+                parts.append((row.specimen_id, got))
+                rows += len(got[names[1]])
+                if len(parts) >= many or rows >= 1 << 17:
+                    yield _rows(names, parts)
+                    parts, rows = [], 0
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                yield _rows(names, parts)
+
+    return shapes(points.repartition(tasks(points), "specimen_id")).mapInPandas(run, schema)
 
-    return shapes(points).mapInPandas(run, schema)
+
+def _rows(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """Columns of several specimens' results (specimen_id and a dict of columns) below each other."""
+    out = {"specimen_id": np.repeat([s for s, _ in parts], [len(got[names[1]]) for _, got in parts])}
+    for name in names[1:]:
+        columns = [got[name] for _, got in parts]
+        whole = np.concatenate(columns) if all(isinstance(c, np.ndarray) for c in columns) else [v for c in columns for v in c]
+        out[name] = pd.array(whole, dtype="Int32") if name == "pidx" else pd.Series(whole)
+    return pd.DataFrame(out)
 
 
 def _placed(index: np.ndarray, p: np.ndarray) -> dict:
@@ -282,12 +298,13 @@ def rotations(count: int, seed: int = 0) -> np.ndarray:
     return np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], -1).reshape(-1, 3, 3)
 
 
-def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193, rounds: int = 30, temperature: float = 1.0, seed: int = 0, block: int = 16) -> DataFrame:
+def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193, rounds: int = 30, temperature: float = 1.0, seed: int = 0, block: int = 16, small: int = 1_024) -> DataFrame:
     """Best of many starting rotations for each specimen, with how sure that is.
 
     Every (specimen, ``block`` of rotations) is a row of its own and each rotation is
-    refined by itself, so one specimen's hypotheses run side by side; scores meet
-    in one aggregate. No hypothesis is given up before its ``rounds``. A score
+    refined by itself, so one large specimen's hypotheses run side by side; scores meet
+    in one aggregate. All rotations of a specimen of up to ``small`` points, which take
+    milliseconds, are one row. No hypothesis is given up before its ``rounds``. A score
     is minus the mean squared distance over the template's own scale; ``margin``
     is the gap to the second best, ``entropy`` that of the softmax over scores.
     """
@@ -299,20 +316,25 @@ def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193
             out = []
             for row in batch.itertuples(index=False):
                 p = np.stack([row.x, row.y, row.z], 1)
-                h = np.arange(row.part * block, min((row.part + 1) * block, hypotheses))
+                h = np.arange(row.part * row.wide, min((row.part + 1) * row.wide, hypotheses))
                 starts = (tp - tp.mean(0)) @ np.swapaxes(turns[h], 1, 2) + p.mean(0)
                 scores = kernels.pose_scores(kernels.icp_many(starts, p, rounds), p) / spread
-                out.append(pd.DataFrame({"specimen_id": row.specimen_id, "h": h, "score": scores}))
+                out.append((row.specimen_id, row.part, scores))
+                if len(out) >= 256:
+                    yield pd.DataFrame(out, columns=["specimen_id", "part", "scores"])
+                    out = []
             if out:
-                yield pd.concat(out, ignore_index=True)
-
-    rows = shapes(points).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((hypotheses - 1) // block))))
-    scores = rows.repartition("specimen_id", "part").mapInPandas(run, "specimen_id long, h int, score double")
-    top = scores.groupBy("specimen_id").agg(F.max(F.struct("score", (-F.col("h")).alias("neg"))).alias("best"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("two"), F.collect_list("score").alias("all"))
-    weights = F.transform("all", lambda s: F.exp((s - F.col("best.score")) / temperature))
+                yield pd.DataFrame(out, columns=["specimen_id", "part", "scores"])
+
+    wide = F.when(F.size("i") <= small, hypotheses).otherwise(block)
+    rows = shapes(points).withColumn("wide", wide).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((hypotheses - 1) / F.col("wide")).cast("int"))))
+    scores = rows.repartition(tasks(points), "specimen_id", "part").mapInPandas(run, "specimen_id long, part int, scores array<double>")
+    top = scores.groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("part", "scores"))).alias("parts")).select("specimen_id", F.flatten("parts.scores").alias("all"))
+    top = top.withColumn("best", F.array_max("all")).withColumn("two", F.slice(F.sort_array("all", asc=False), 1, 2))
+    weights = F.transform("all", lambda s: F.exp((s - F.col("best")) / temperature))
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
     entropy = -F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.when(w > 0, w / total * F.log(w / total)).otherwise(0.0))
-    return top.select("specimen_id", (-F.col("best.neg")).alias("hypothesis"), F.col("best.score").alias("score"), (F.col("two")[0] - F.get("two", F.lit(1))).alias("margin"), entropy.alias("entropy"))
+    return top.select("specimen_id", (F.array_position("all", F.col("best")) - 1).cast("int").alias("hypothesis"), F.col("best").alias("score"), (F.col("two")[0] - F.get("two", F.lit(1))).alias("margin"), entropy.alias("entropy"))
 
 
 def _modes(modes: DataFrame, eigenvalues: DataFrame, landmarks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,14 +386,18 @@ def project(points: DataFrame, onto: DataFrame, **how) -> DataFrame:
     """Landmarks moved coherently to their closest surface points (specimen_id, pidx, x, y, z)."""
     near = onto.select("specimen_id", F.col("pidx").cast("int").alias("pidx"), *(F.col(c).alias(f"s{c}") for c in "xyz"))
     rows = points.join(near, ["specimen_id", "pidx"]).groupBy("specimen_id").agg(F.array_sort(F.collect_list(F.struct("pidx", "x", "y", "z", "sx", "sy", "sz"))).alias("m"))
+    names, many = [f.split()[0] for f in POINTS.split(", ")], 256  # specimens whose results are held
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
             for row in batch.itertuples(index=False):
                 m = np.array([[r[k] for k in ("pidx", "x", "y", "z", "sx", "sy", "sz")] for r in row.m], float)
-                parts.append(pd.DataFrame({"specimen_id": row.specimen_id, **_placed(m[:, 0], kernels.coherent_projection(m[:, 1:4], m[:, 4:7], **how))}))
+                parts.append((row.specimen_id, _placed(m[:, 0], kernels.coherent_projection(m[:, 1:4], m[:, 4:7], **how))))
+                if len(parts) >= many:
+                    yield _rows(names, parts)
+                    parts = []
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                yield _rows(names, parts)
 
     return rows.mapInPandas(run, POINTS)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .neighbors import shapes
+from .neighbors import shapes, tasks
 from .registration import _modes, rotations, template_arrays
 
 
@@ -195,7 +195,7 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
             if out:
                 yield pd.DataFrame(out, columns=["specimen_id", "score", "fit", "rmse", "b"])
 
-    cloud = shapes(points)
+    cloud = shapes(points.repartition(tasks(points), "specimen_id"))
     start = cloud.mapInPandas(first, "specimen_id long, r array<double>, best double, fit double, rmse double, sound boolean").persist()
     good = (F.col("fit") >= s.good_fit) & (F.col("rmse") <= s.good_rmse)
     rows = points.sparkSession.createDataFrame([(n, float(v)) for n, v in enumerate(penalty)], "candidate int, penalty double")

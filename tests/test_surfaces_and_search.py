@@ -212,3 +212,33 @@ def test_rounds_of_the_procrustes_mean_are_jobs_without_a_plan(spark):
         n[at] += 1
     again = total / n - (total / n).mean(0)
     assert np.abs(again * np.linalg.norm(got) / np.linalg.norm(again) - got).max() < 2e-6
+
+
+def test_heavy_work_on_few_bytes_goes_to_all_cores(spark):
+    rng = np.random.default_rng(4)
+    shapes = frame(spark, {k: rng.normal(size=(5, 3)) for k in range(200)})
+    held = registration.per_specimen(shapes, lambda i, p: {"task": [__import__("pyspark").TaskContext.get().partitionId()]}, "specimen_id long, task int")
+    assert len({r.task for r in held.collect()}) >= 4
+    posed = registration.pose_search(shapes, points.mean_shape(shapes), hypotheses=20)
+    # small specimens are searched in one row, large ones in blocks: the same poses
+    parts = registration.pose_search(shapes, points.mean_shape(shapes), hypotheses=20, small=0)
+    for one, other in zip(sorted(map(tuple, posed.collect())), sorted(map(tuple, parts.collect()))):
+        assert one == pytest.approx(other, abs=1e-9)
+
+
+def test_results_of_specimens_leave_a_task_in_blocks_and_may_fail(spark):
+    shapes = frame(spark, {k: np.full((3, 3), float(k)) for k in range(20)})
+    work = lambda i, p: {"pidx": i.astype(np.int32), "v": p[:, 0], "error": [None] * 3} if p[0, 0] % 2 else {"pidx": [None], "v": [None], "error": ["even"]}
+    got = registration.per_specimen(shapes, work, "specimen_id long, pidx int, v double, error string", many=3).collect()
+    assert len(got) == 40 and {r.error for r in got} == {None, "even"}
+    assert all((r.pidx, r.v) == (None, None) if r.error else r.v == r.specimen_id for r in got)
+    made = registration._rows
+    parts = [(s, {"v": np.zeros(2)}) for s in range(5)]
+    assert made(["specimen_id", "v"], parts).shape == (10, 2)
+
+
+def test_pose_scores_of_few_points_equal_the_searches():
+    rng = np.random.default_rng(5)
+    placed, target = rng.normal(size=(30, 7, 3)), rng.normal(size=(9, 3))
+    want = [-(kernels.nearest(q, target, 1)[1].mean() + 0.1 * kernels.nearest(target, q, 1)[1].mean()) for q in placed]
+    assert kernels.pose_scores(placed, target) == pytest.approx(want, rel=1e-14)
