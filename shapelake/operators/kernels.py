@@ -58,6 +58,46 @@ def nearest(queries: np.ndarray, targets: np.ndarray, k: int, skip_self: bool =
     return index, apart
 
 
+def nearest_many(queries: np.ndarray, targets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`nearest` of many shapes of few points each, ``queries`` (many x m x 3) in ``targets`` (many x n x 3)."""
+    d2 = 0.0
+    for c in range(3):
+        d = queries[:, :, None, c] - targets[:, None, :, c]
+        d2 = d2 + d * d
+    d2 = d2.reshape(-1, targets.shape[1])
+    k = max(0, min(k, d2.shape[1]))
+    order = np.argmin(d2, axis=1)[:, None] if k == 1 else _least(d2, k) if k else np.zeros((len(d2), 0), np.int64)
+    return (a.reshape(*queries.shape[:2], k) for a in (order, np.take_along_axis(d2, order, 1)))
+
+
+def middle(values: np.ndarray) -> np.ndarray:
+    """Median of each row, NaN counting as the largest; NaN without values."""
+    n = values.shape[-1]
+    if not n:
+        return np.full(values.shape[:-1], np.nan)
+    s = np.sort(values, axis=-1)
+    return (s[..., (n - 1) // 2] + s[..., n // 2]) / 2
+
+
+def graph_weights(index: np.ndarray, d2: np.ndarray, style: str, k: int) -> np.ndarray:
+    """Weights of the neighbours (many x n x k) of many shapes, by each shape's own bandwidth."""
+    seg, apart = style == "segmentation", np.sqrt(d2)
+    s = middle(apart.reshape(len(d2), -1) if seg else apart[:, :, k - 1] if d2.shape[2] >= k else apart[:, :, :0].reshape(len(d2), -1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.exp(-d2 / ((1 if seg else 2) * s * s)[:, None, None])
+
+
+def symmetrised(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, how: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both directions of edges between numbers below ``n`` once: the larger weight (``max``) or half the sum."""
+    key = np.concatenate([src * n + dst, dst * n + src])
+    order = np.argsort(key, kind="stable")
+    key, w = key[order], np.concatenate([w, w])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key = key[first]
+    w = w[first] if not len(first) else np.maximum.reduceat(w, first) if how == "max" else np.add.reduceat(w, first) / 2
+    return key // n, key % n, w
+
+
 def similarity_fit(source: np.ndarray, target: np.ndarray, scaling: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
     """Scale, rotation and shift of the least-squares fit s R p + t (Umeyama 1991)."""
     a, b = source.mean(0), target.mean(0)
