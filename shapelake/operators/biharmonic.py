@@ -1,18 +1,23 @@
-"""Biharmonic deformation of many meshes at once: conjugate gradients over rows of edges.
+"""Biharmonic deformation of many meshes at once by conjugate gradients.
 
-The system of a mesh is its squared Laplacian; it is never made. A product with it
-is two joins with the Laplacian's entries and two sums by vertex. Vertices carry
-their own state, and scalars are sums over a specimen's vertices, so all specimens
-step together however different their meshes.
+The system of a mesh is its squared Laplacian; it is never made. Meshes that fit a
+task are rows, and a task steps through many of them together. Of larger ones, edges
+are rows: a product is two joins with the Laplacian's entries and two sums by vertex,
+vertices carry their own state, and scalars are sums over a specimen's vertices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
-from . import mesh
+from . import kernels, mesh
+from .neighbors import larger, tasks
 
 XYZ = ("x", "y", "z")
 STATE = ("free", "soft", "scale", "mass", *(f"{v}{c}" for v in ("u", "r", "p", "s", "o") for c in XYZ))
@@ -76,18 +81,78 @@ def _solve(entries: DataFrame, start: DataFrame, ridge: float, tolerance: float,
     return rows.join(left, "specimen_id")
 
 
-def warp(points: DataFrame, targets: DataFrame, faces: DataFrame, *, soft: float | None = None, weigh: bool = False, ridge: float = 1e-8, tolerance: float = 1e-8, rounds: int = 200, retries: int = 3) -> DataFrame:
+#: Meshes of up to so many vertices are solved in a task, about so many vertices together.
+WHOLE, TOGETHER = 100_000, 100_000
+
+
+def _solved(points: DataFrame, targets: DataFrame, faces: DataFrame, soft: float | None, weigh: bool, ridge: float, tolerance: float, rounds: int, retries: int) -> DataFrame:
+    """:func:`warp` of meshes that are a row each."""
+    to = targets.agg(F.array_sort(F.collect_list(F.struct(F.col("pidx").cast("long").alias("i"), *XYZ))).alias("to"))
+    v = points.select("specimen_id", F.col("pidx").alias("vid"), *XYZ).repartition(tasks(points), "specimen_id")
+    rows = mesh.whole(v, faces).crossJoin(to.select(*(F.col(f"to.{c}").alias(f"t{c}") for c in ("i", *XYZ))))  # one row of targets
+
+    def read(row):
+        index, p = np.asarray(row.i), np.stack([row.x, row.y, row.z], 1)
+        f = np.zeros((0, 3), np.int64) if row.a is None else np.stack([row.a, row.b, row.c], 1)
+        f = np.searchsorted(index, f[np.isin(f, index).all(1)])
+        goal, known = np.full(p.shape, np.nan), np.isin(row.ti, index)
+        goal[np.searchsorted(index, row.ti[known])] = np.stack([row.tx, row.ty, row.tz], 1)[known]
+        return row.specimen_id, index, p, f, goal
+
+    def solve(some):
+        weight = ridge
+        for k in range(retries + 1):
+            sizes = [len(s[1]) for s in some]
+            ends = np.cumsum(sizes)
+            f = np.concatenate([s[3] + end - n for s, end, n in zip(some, ends, sizes, strict=True)])
+            p, of = np.concatenate([s[2] for s in some]), np.repeat(np.arange(len(some)), sizes)
+            moves, left = kernels.biharmonic_many(p, of, f, np.concatenate([s[4] for s in some]), soft, weigh, weight, tolerance, rounds)
+            good = (left <= tolerance) | (k == retries)
+            keep = good[of]
+            at = (p + moves)[keep]
+            yield pd.DataFrame({"specimen_id": np.repeat([s[0] for s in some], sizes)[keep], "pidx": np.concatenate([s[1] for s in some])[keep], **dict(zip(XYZ, at.T, strict=True)), "residual": left[of][keep], "ridge": weight})
+            some, weight = [s for s, done in zip(some, good, strict=True) if not done], weight * 10
+            if not some:
+                return
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some, size = [], 0
+            for row in batch.itertuples(index=False):
+                some.append(read(row))
+                size += len(some[-1][1])
+                if size >= TOGETHER:
+                    yield from solve(some)
+                    some, size = [], 0
+            if some:
+                yield from solve(some)
+
+    return rows.mapInPandas(run, "specimen_id long, pidx int, x double, y double, z double, residual double, ridge double")
+
+
+def warp(points: DataFrame, targets: DataFrame, faces: DataFrame, *, soft: float | None = None, weigh: bool = False, ridge: float = 1e-8, tolerance: float = 1e-8, rounds: int = 200, retries: int = 3, whole: int = WHOLE) -> DataFrame:
     """Each specimen's mesh moved as smoothly as the squared Laplacian allows so that its
     constrained vertices meet ``targets`` (pidx, x, y, z), exactly or, with ``soft``, with that weight.
 
     With ``weigh`` the two Laplacians have the inverse of the vertices' areas between
     them. Conjugate gradients, scaled by the system's diagonal, run on all specimens
-    until every ``residual`` is at most ``tolerance``, or for ``rounds`` steps; those
+    until every ``residual`` is at most ``tolerance``, or for ``rounds`` steps, meshes of
+    up to ``whole`` vertices in a task, larger ones over rows of edges; those
     that fail are solved again with ten times the ``ridge``, up to ``retries`` times.
     Returns (specimen_id, pidx, x, y, z, residual, ridge): what is still above the
     tolerance then says so. Vertices without faces stay unless they are constrained;
     a specimen without constraints stays as it is.
     """
+    large, how = larger(points, whole), (soft, weigh, ridge, tolerance, rounds, retries)
+    if large is None:
+        return _solved(points, targets, faces, *how)
+    large = cut(large)
+    small = _solved(points.join(large, "specimen_id", "left_anti"), targets, faces, *how)
+    return small.unionByName(_over_edges(points.join(large, "specimen_id", "left_semi"), targets, faces, *how))
+
+
+def _over_edges(points: DataFrame, targets: DataFrame, faces: DataFrame, soft: float | None, weigh: bool, ridge: float, tolerance: float, rounds: int, retries: int) -> DataFrame:
+    """:func:`warp` of meshes whose edges are rows."""
     v = points.select("specimen_id", F.col("pidx").cast("long").alias("vid"), *XYZ)
     entries = cut(_entries(v, faces))
     to = targets.select(F.col("pidx").cast("long").alias("vid"), *(F.col(c).alias(f"t{c}") for c in XYZ))

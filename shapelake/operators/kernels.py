@@ -208,6 +208,58 @@ def biharmonic_warp(points: np.ndarray, faces: np.ndarray, fixed: np.ndarray, to
     return points + move
 
 
+def _by_row(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between the starts ``at``, none of them empty."""
+    return np.add.reduceat(values, at, axis=0)
+
+
+def biharmonic_many(p: np.ndarray, of: np.ndarray, faces: np.ndarray, to: np.ndarray, soft: float | None, weigh: bool, ridge: float, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moves of the vertices ``p`` of many meshes (``of`` says which, 0 to n - 1, in order) that :func:`biharmonic_warp`
+    would find, and each mesh's residual: sparse conjugate gradients, scaled by the diagonal.
+
+    ``to`` is NaN where a vertex is free. A mesh stops when it is done, so that others do not change it."""
+    i, j, o = (np.concatenate([faces[:, list(c)] for c in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]).T)
+    u, v = p[i] - p[o], p[j] - p[o]
+    cross = np.linalg.norm(np.cross(u, v), axis=1)
+    w, every = (u * v).sum(1) / np.maximum(cross, 1e-12) / 2, np.arange(len(p))
+    key = np.concatenate([i, j, i, j, every]) * len(p) + np.concatenate([j, i, i, j, every])
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], np.concatenate([-w, -w, w, w, np.zeros(len(p))])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    value, src, dst = np.add.reduceat(value, first), key[first] // len(p), key[first] % len(p)
+    rows, meshes = np.searchsorted(src, every), np.searchsorted(of, np.arange(of[-1] + 1))
+    mass = np.ones(len(p))
+    if weigh:  # each face is met at three corners, so its area is too
+        mass = np.bincount(o, cross / 6, len(p))
+        mass = np.where(np.bincount(o, minlength=len(p)) > 0, np.maximum(mass, 1e-12), 1.0)
+    held = np.isfinite(to).all(1)
+    move = np.where(held[:, None], to - p, 0.0)
+    free, extra = np.where(held & (soft is None), 0.0, 1.0)[:, None], np.where(held, soft or 0.0, 0.0)[:, None] + ridge
+    times = lambda x: _by_row(rows, value[:, None] * x[dst])
+    system = lambda x: free * (times(times(x) / mass[:, None]) + extra * x)
+    scale = 1 / (_by_row(rows, value * value / mass[dst])[:, None] + extra)
+    x = move if soft is None else np.zeros_like(p)
+    r = free * ((extra - ridge) * move * (soft is not None) - system(x))
+    total = lambda a: _by_row(meshes, a)
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=np.abs(b) > 0)
+    d = scale * r
+    rz, start = total(r * d), total(r * r)
+    left = np.sqrt(ratio(start, start)).max(1)
+    for _ in range(rounds):
+        open_ = ~(left <= tolerance)
+        if not open_.any():
+            break
+        q = system(d)
+        step = np.where(open_[:, None], ratio(rz, total(d * q)), 0.0)[of]
+        x, r = x + step * d, r - step * q
+        z = scale * r
+        now = total(r * z)
+        d = z + ratio(now, rz)[of] * d
+        rz = now
+        left = np.sqrt(ratio(total(r * r), start)).max(1)
+    return x, left
+
+
 def icp(source: np.ndarray, target: np.ndarray, rounds: int = 50, tolerance: float = 1e-9, scaling: bool = False) -> tuple[float, np.ndarray, np.ndarray, float]:
     """Point-to-point registration from the given pose; scale, rotation, shift, root mean square."""
     s, r, t, last = 1.0, np.eye(3), np.zeros(3), np.inf

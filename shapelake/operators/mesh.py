@@ -173,18 +173,24 @@ def smooth(vertices: DataFrame, faces: DataFrame, step: float = 0.5) -> DataFram
     return vertices.join(near, ["specimen_id", "vid"]).select("specimen_id", "vid", *((F.col(c) + step * (F.col(f"m{c}") - F.col(c))).alias(c) for c in "xyz"))
 
 
-def smoothed(vertices: DataFrame, faces: DataFrame, scales: tuple[int, ...], step: float = 0.5) -> DataFrame:
-    """Each mesh after each of several numbers of smoothing steps (specimen_id, scale, vid, x, y, z).
-
-    Steps are those of :func:`smooth`, one mesh at a time in a task; vertices
-    without edges stay where they are.
-    """
+def whole(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """One row for each mesh: its vertices (i, x, y, z) and its faces' corners (a, b, c) as arrays, null without faces."""
     corner = F.array_sort(F.collect_list(F.struct("fid", *(F.col(c).cast("long").alias(c) for c in "abc")))).alias("f")
     rows = shapes(vertices, "vid")
     if own_columns(faces):
         rows = rows.join(faces.groupBy("specimen_id").agg(corner), "specimen_id", "left")
     else:
         rows = rows.crossJoin(faces.agg(corner))  # one topology, one row
+    return rows.select("specimen_id", *"ixyz", *(F.col(f"f.{c}").alias(c) for c in "abc"))
+
+
+def smoothed(vertices: DataFrame, faces: DataFrame, scales: tuple[int, ...], step: float = 0.5) -> DataFrame:
+    """Each mesh after each of several numbers of smoothing steps (specimen_id, scale, vid, x, y, z).
+
+    Steps are those of :func:`smooth`, one mesh at a time in a task; vertices
+    without edges stay where they are.
+    """
+    rows = whole(vertices, faces)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,7 +208,7 @@ def smoothed(vertices: DataFrame, faces: DataFrame, scales: tuple[int, ...], ste
                     np.add.at(around, e[:, 1], p[e[:, 0]])
                     p = np.where(degree > 0, p + step * (around / np.maximum(degree, 1) - p), p)
 
-    return rows.select("specimen_id", *"ixyz", *(F.col(f"f.{c}").alias(c) for c in "abc")).mapInPandas(run, "specimen_id long, scale int, vid long, x double, y double, z double")
+    return rows.mapInPandas(run, "specimen_id long, scale int, vid long, x double, y double, z double")
 
 
 def curvature(vertices: DataFrame, faces: DataFrame, signed: bool = False) -> DataFrame:

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from shapelake.operators import neighbors
+from shapelake.operators import biharmonic, neighbors
+
+from .test_biharmonic import frames, grid
 
 POINTS = "specimen_id long, pidx int, x double, y double, z double"
 
@@ -21,3 +23,16 @@ def test_graphs_made_in_a_task_equal_those_by_joins(spark, style):
     assert one.to_numpy() == pytest.approx(two.to_numpy(), nan_ok=True)
     plan = neighbors.gaussian_graph(p, 6, style)._jdf.queryExecution().optimizedPlan().toString()
     assert "median" not in plan and plan.count("Aggregate") == 1  # one grouping of points, none of edges
+
+
+@pytest.mark.parametrize(("soft", "weigh"), [(None, False), (3.0, True)])
+def test_warps_in_a_task_equal_those_over_edges(spark, soft, weigh):
+    shapes, faces = {1: grid(3, 1)[0], 2: 3 * grid(4, 2)[0], 3: grid(4, 3)[0]}, grid(4, 1)[1]
+    p, to, f = frames(spark, shapes, faces, {0: (0, 0, 1), 3: (0, 3, 0), 12: (3, 0, 0)})
+    plan = biharmonic.warp(p, to, f, soft=soft, weigh=weigh)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Join") == 2  # topology and targets, one row each
+    one, two = (biharmonic.warp(p, to, f, soft=soft, weigh=weigh, tolerance=1e-10, whole=whole).toPandas().sort_values(["specimen_id", "pidx"]) for whole in (8, 15))
+    assert len(one) == 41 and one["residual"].max() <= 1e-10
+    assert one[["x", "y", "z"]].to_numpy() == pytest.approx(two[["x", "y", "z"]].to_numpy(), abs=1e-6)
+    alone = biharmonic.warp(p, to, f, soft=soft, weigh=weigh, tolerance=1e-10).toPandas().sort_values(["specimen_id", "pidx"])
+    assert alone[["x", "y", "z"]].to_numpy() == pytest.approx(two[["x", "y", "z"]].to_numpy(), abs=1e-6)
