@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import boxes
 from .mesh import corners
-from .neighbors import shapes
+from .neighbors import FEW, alike, arrays, nearest_in, parts, shapes
 
 CLOSEST = "specimen_id long, qidx long, fid long, wa double, wb double, wc double, d2 double"
 
@@ -101,25 +102,36 @@ def surface_distance(queries: DataFrame, vertices: DataFrame, faces: DataFrame)
     return closest_points(queries, vertices, faces).groupBy("specimen_id").agg(F.median(F.sqrt("d2")).alias("median_distance"))
 
 
-def cloud_normals(points: DataFrame, radius: float, most: int = 30) -> DataFrame:
+_NORMALS = pa.schema([("specimen_id", pa.int64()), ("pidx", pa.int64()), ("nx", pa.float64()), ("ny", pa.float64()), ("nz", pa.float64())])
+
+
+def _least_axes(p: np.ndarray, index: np.ndarray, near: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Least principal axes (many x m x 3) of the points ``q`` and those of ``index`` that are ``near``, away from the means of ``p``."""
+    around = p[np.arange(len(p))[:, None, None], index]
+    n = near.sum(2)[..., None] + 1
+    mean = (np.where(near[..., None], around, 0).sum(2) + q) / n
+    off, own = np.where(near[..., None], around - mean[:, :, None], 0), q - mean
+    moments = (np.einsum("abki,abkj->abij", off, off) + own[..., None] * own[..., None, :]) / n[..., None]
+    known = np.isfinite(moments).all((2, 3))
+    axis = np.where(known[..., None], np.linalg.eigh(np.where(known[..., None, None], moments, 0))[1][..., 0], np.nan)
+    return np.where(((axis * (q - p.mean(1, keepdims=True))).sum(-1) < 0)[..., None], -axis, axis)
+
+
+def cloud_normals(points: DataFrame, radius: float, most: int = 30, block: int = 65_536) -> DataFrame:
     """Unit normal of each point: the least principal axis of its neighbourhood,
-    turned away from the specimen's centroid."""
-    from .neighbors import radius_neighbours
-
-    near = radius_neighbours(points, radius, most)
-    other = points.select("specimen_id", F.col("pidx").alias("tidx"), *(F.col(c).alias(c) for c in "xyz"))
-    pairs, n = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]], F.count(F.lit(1))
-    own = points.select("specimen_id", F.col("pidx").alias("qidx"), F.col("pidx").alias("tidx"))
-    rows = near.select("specimen_id", "qidx", "tidx").unionByName(own).join(other, ["specimen_id", "tidx"])
-    moments = rows.groupBy("specimen_id", "qidx").agg(*((F.sum(F.col(a) * F.col(b)) / n - F.avg(a) * F.avg(b)).alias(f"m{a}{b}") for a, b in pairs))
-
-    @F.pandas_udf("array<double>")
-    def least_axis(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
-        m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
-        return pd.Series(list(np.linalg.eigh(m)[1][:, :, 0]))
-
-    axes = moments.select("specimen_id", F.col("qidx").alias("pidx"), least_axis(*(f"m{a}{b}" for a, b in pairs)).alias("n"))
-    found = points.join(axes, ["specimen_id", "pidx"]).select("specimen_id", "pidx", "x", "y", "z", *(F.col("n")[k].alias(f"n{c}") for k, c in enumerate("xyz")))
-    mid = points.groupBy("specimen_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    inward = g.dot(g.vector("n"), g.minus(g.vector(), g.vector("m"))) < 0
-    return found.join(mid, "specimen_id").select("specimen_id", "pidx", *(F.when(inward, -F.col(f"n{c}")).otherwise(F.col(f"n{c}")).alias(f"n{c}") for c in "xyz"))
+    turned away from the specimen's centroid. Found where the neighbours are, a
+    large specimen's in blocks of points; neighbours are no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            specimens, numbers = (np.asarray(batch.column(c)) for c in (0, 1))
+            for rows in alike(batch, 2, few=min(FEW, block)):
+                i, p = arrays(batch, rows, 2)
+                at = slice(numbers[rows[0]] * block, (numbers[rows[0]] + 1) * block) if p.shape[1] > block else slice(None)
+                qi, q = i[:, at], p[:, at]
+                index, d2 = nearest_in(qi, q, i, p, most, True)
+                n = _least_axes(p, index, d2 <= radius * radius, q).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(specimens[rows], qi.shape[1])), pa.array(qi.ravel()), *(pa.array(n[:, c]) for c in range(3))], schema=_NORMALS)
+
+    found = parts(shapes(points), block).mapInArrow(run, "specimen_id long, pidx long, nx double, ny double, nz double")
+    return found.withColumn("pidx", F.col("pidx").cast(points.schema["pidx"].dataType))
