@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.lineage import cut
 from . import kernels, mesh
+from .neighbors import alike, arrays, larger, shapes
 from .surfaces import closest_points
 
 XYZ = ("x", "y", "z")
@@ -149,11 +151,40 @@ def outside_projection(marks: DataFrame, vertices: DataFrame, faces: DataFrame,
     return moved.where("stays").drop("stays").unionByName(snapped)
 
 
-def coincident(vertices: DataFrame, tolerance: float) -> DataFrame:
+def _merged(i: np.ndarray, p: np.ndarray, tolerance: float) -> np.ndarray:
+    """The lowest place (many x n) that steps of at most ``tolerance`` lead to from each point of many shapes."""
+    d2 = sum((p[:, :, None, c] - p[:, None, :, c]) ** 2 for c in range(3))
+    joined = (d2 <= tolerance * tolerance) | (i[:, :, None] == i[:, None])
+    into = np.broadcast_to(np.arange(i.shape[1]), i.shape)
+    while True:
+        least = np.where(joined, into[:, None], i.shape[1]).min(2)
+        least = np.take_along_axis(least, least, 1)  # and that place's own
+        if (least == into).all():
+            return into
+        into = least
+
+
+def _coincident_in(tolerance: float):
+    schema = pa.schema([("specimen_id", pa.int64()), ("vid", pa.int64()), ("into", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            specimens = np.asarray(batch.column(0))
+            for rows in alike(batch, 1):
+                i, p = arrays(batch, rows, 1)
+                with np.errstate(invalid="ignore"):
+                    into = np.take_along_axis(i, _merged(i, p, tolerance), 1)
+                once = np.diff(i, axis=1, prepend=i[:, :1] - 1) != 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(specimens[rows], once.sum(1))), pa.array(i[once]), pa.array(into[once])], schema=schema)
+
+    return run
+
+
+def coincident(vertices: DataFrame, tolerance: float, whole: int = 1024) -> DataFrame:
     """(specimen_id, vid, into): the lowest vertex that steps of at most ``tolerance`` lead to.
 
-    Vertices meet in cells as wide as the tolerance and the cells around; 0 merges
-    equal positions only. Vertices that are not finite are left alone.
+    Meshes of up to ``whole`` vertices are merged in a task. Vertices of larger ones meet in
+    cells as wide as the tolerance and the cells around; 0 merges equal positions only. Vertices that are not finite are left alone.
     """
     good = vertices.where(g.all_finite(g.vector())).select("specimen_id", F.col("vid").cast("long").alias("vid"), *XYZ)
     every = vertices.select("specimen_id", F.col("vid").cast("long").alias("node"))
@@ -161,13 +192,19 @@ def coincident(vertices: DataFrame, tolerance: float) -> DataFrame:
         least = F.min("vid").over(Window.partitionBy("specimen_id", *XYZ))
         same = good.select("specimen_id", F.col("vid").alias("node"), least.alias("into"))
         return every.join(same, ["specimen_id", "node"], "left").select("specimen_id", F.col("node").alias("vid"), F.coalesce("into", "node").alias("into"))
+    large = larger(vertices, whole)
+    few = vertices if large is None else vertices.join(large, "specimen_id", "left_anti")
+    found = shapes(few, "vid").mapInArrow(_coincident_in(tolerance), "specimen_id long, vid long, into long")
+    if large is None:
+        return found
+    good, every = (v.join(large, "specimen_id", "left_semi") for v in (good, every))
     cell = [F.floor(F.col(c) / tolerance).cast("long").alias(f"k{c}") for c in XYZ]
     base = good.select("*", *cell)
     off = F.explode(F.array(*(F.struct(*((F.col(f"k{c}") + F.lit(d - 1)).alias(f"k{c}") for c, d in zip(XYZ, o, strict=True))) for o in np.ndindex(3, 3, 3)))).alias("k")
     around = base.select("specimen_id", F.col("vid").alias("src"), *XYZ, off).select("specimen_id", "src", *XYZ, "k.*")
     other = base.select("specimen_id", F.col("vid").alias("dst"), *(F.col(c).alias(f"t{c}") for c in XYZ), "kx", "ky", "kz")
     edges = around.join(other, ["specimen_id", "kx", "ky", "kz"]).where((F.col("src") < F.col("dst")) & (g.distance2(g.vector(), g.vector("t")) <= tolerance * tolerance))
-    return components(every, edges, "specimen_id").select("specimen_id", F.col("node").alias("vid"), F.col("component").alias("into"))
+    return found.unionByName(components(every, edges, "specimen_id").select("specimen_id", F.col("node").alias("vid"), F.col("component").alias("into")))
 
 
 def triangulated(polygons: DataFrame) -> DataFrame:

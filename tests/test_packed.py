@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shapelake.operators import biharmonic, neighbors
+from shapelake.operators import biharmonic, neighbors, shells, surfaces
 
 from .test_biharmonic import frames, grid
 
@@ -36,3 +36,19 @@ def test_warps_in_a_task_equal_those_over_edges(spark, soft, weigh):
     assert one[["x", "y", "z"]].to_numpy() == pytest.approx(two[["x", "y", "z"]].to_numpy(), abs=1e-6)
     alone = biharmonic.warp(p, to, f, soft=soft, weigh=weigh, tolerance=1e-10).toPandas().sort_values(["specimen_id", "pidx"])
     assert alone[["x", "y", "z"]].to_numpy() == pytest.approx(two[["x", "y", "z"]].to_numpy(), abs=1e-6)
+
+
+def test_normals_in_blocks_equal_those_of_whole_specimens_without_rows_of_pairs(spark):
+    p = clouds(spark, {1: 40, 2: 40, 3: 90}, seed=1)
+    one, two = (surfaces.cloud_normals(p, 0.9, 12, block=block).toPandas().sort_values(["specimen_id", "pidx"])[["nx", "ny", "nz"]].to_numpy() for block in (65_536, 16))
+    assert one == pytest.approx(two) and np.linalg.norm(one, axis=1) == pytest.approx(np.ones(170))
+    plan = surfaces.cloud_normals(p, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_vertices_merged_in_a_task_equal_those_merged_by_joins(spark):
+    v = clouds(spark, {1: 30, 2: 30, 3: 80, 4: 1}, seed=2).withColumnRenamed("pidx", "vid")
+    v = v.unionByName(spark.createDataFrame([(4, 50, float("nan"), 0.0, 0.0), (4, 60, float("inf"), 0.0, 0.0)], v.schema))
+    one, two = ({tuple(r) for r in shells.coincident(v, 0.4, whole).select("specimen_id", "vid", "into").collect()} for whole in (1024, 0))
+    assert one == two and len(one) == 143 and len({(s, k) for s, _, k in one}) < 100
+    assert "MapInArrow" in shells.coincident(v, 0.4)._jdf.queryExecution().optimizedPlan().toString()
