@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shapelake.operators import biharmonic, neighbors, shells, surfaces
+from shapelake.operators import biharmonic, features, neighbors, shells, surfaces
 
 from .test_biharmonic import frames, grid
 
@@ -52,3 +52,12 @@ def test_vertices_merged_in_a_task_equal_those_merged_by_joins(spark):
     one, two = ({tuple(r) for r in shells.coincident(v, 0.4, whole).select("specimen_id", "vid", "into").collect()} for whole in (1024, 0))
     assert one == two and len(one) == 143 and len({(s, k) for s, _, k in one}) < 100
     assert "MapInArrow" in shells.coincident(v, 0.4)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_histograms_made_in_a_task_equal_those_by_joins(spark):
+    p = clouds(spark, {1: 30, 2: 30, 3: 70, 4: 1}, seed=3)
+    n = clouds(spark, {1: 30, 2: 30, 3: 70, 4: 1}, seed=4).selectExpr("specimen_id", "pidx", *(f"{c} / sqrt(x * x + y * y + z * z) AS n{c}" for c in "xyz"))
+    both = p.join(n, ["specimen_id", "pidx"])
+    one, two = (features.fpfh(both, 0.9, 8, whole).toPandas().set_index(["specimen_id", "pidx", "fidx"])["v"].sort_index() for whole in (10_000, 0))
+    assert list(one.index) == list(two.index) and one.to_numpy() == pytest.approx(two.to_numpy())
+    assert features.fpfh(both, 0.9, 8)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
