@@ -16,6 +16,7 @@ from ..functions import geometry as g
 from ..operators import atlas, biharmonic, mesh, neighbors, pairing, points, procrustes, registration, sampling, segmentation, shape_model, shells, spectral, surfaces, template_search
 from ..operators import features as histograms
 from ..sources import bridge, readers
+from ..sources.lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -541,7 +542,8 @@ _LK = "m AS (SELECT pidx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY
 def _locus_edges(spark, sf):
     mean = points.mean_shape(bridge.points(spark, sf))
     ends = [mean.select(F.col("pidx").alias(n), *(F.col(c).alias(f"{n[0]}{c}") for c in "xyz")) for n in ("src", "dst")]
-    return _feature_edges(spark, sf).join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "df", g.norm(g.minus(g.vector("s"), g.vector("d"))).alias("dx"))
+    # what the kernel and the walk on it read many times are as many rows as the topology has edges, found once
+    return cut(_feature_edges(spark, sf).join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "df", g.norm(g.minus(g.vector("s"), g.vector("d"))).alias("dx")))
 
 
 @query("locus_kernel", f"WITH {P}, {FEAT}, {FACES}, {EDGES}, {_EF}, {_NS}, {_LK} SELECT src, dst, {r('w')} FROM lk")

@@ -61,3 +61,11 @@ def test_histograms_made_in_a_task_equal_those_by_joins(spark):
     one, two = (features.fpfh(both, 0.9, 8, whole).toPandas().set_index(["specimen_id", "pidx", "fidx"])["v"].sort_index() for whole in (10_000, 0))
     assert list(one.index) == list(two.index) and one.to_numpy() == pytest.approx(two.to_numpy())
     assert features.fpfh(both, 0.9, 8)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_edges_that_a_walk_reads_many_times_are_found_once(spark):
+    from shapelake.plans import catalogue
+
+    edges = catalogue._locus_edges(spark, "/root/testdata/sf0.001")
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.count() == 39 and "Aggregate" not in plan and "Relation" not in plan
