@@ -555,3 +555,117 @@ def held_together(marks: np.ndarray, anchors: np.ndarray, fixed: np.ndarray, k:
     step = out - marks
     length = np.linalg.norm(step, axis=1, keepdims=True)
     return marks + step * np.minimum(1.0, most / np.maximum(length, 1e-300))
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` at each of ``n`` places."""
+    return np.bincount(at, values, n) if values.ndim == 1 else np.stack([np.bincount(at, v, n) for v in values.T], 1)
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.fmin(np.maximum(cosine, -1), 1))  # what is no number is 1, as in Spark's least
+
+
+def _unit_normals(p: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit normals (norm plus 1e-12) and areas of triangles."""
+    n = np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]])
+    size = np.sqrt((n * n).sum(1))
+    return n / (size + 1e-12)[:, None], size / 2
+
+
+def _around_corners(p: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Principal curvatures of vertices, by the signed curvatures of ``mesh.curvature``; of those without faces no numbers."""
+    i, j, o = np.concatenate([f[:, c] for c in ([0, 1, 2], [1, 2, 0], [2, 0, 1])]).T
+    u, v = p[i] - p[o], p[j] - p[o]
+    along, size = (u * v).sum(1), np.sqrt((np.cross(u, v) ** 2).sum(1))
+    pull = (along / np.maximum(size, 1e-12) / 2)[:, None] * (p[j] - p[i])
+    pull = _sums(i, pull, len(p)) - _sums(j, pull, len(p))
+    defect = 2 * np.pi - _sums(o, _angle(along / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1)) + 1e-12)), len(p))
+    # at a corner of one face alone pull and normal are at right angles but for rounding: it must be that of the joins
+    normal, share = _unit_normals(p, f)
+    area = np.maximum(_sums(f.ravel(), np.repeat(share / 3, 3), len(p)), 1e-12)
+    up = _sums(f.ravel(), np.repeat(normal * share[:, None], 3, axis=0), len(p))
+    mean, gauss = np.sqrt((pull * pull).sum(1)) / (2 * area), defect / area
+    mean = np.where((pull * up).sum(1) > 0, -mean, mean)
+    root = np.sqrt(np.maximum(mean * mean - gauss, 0))
+    a, b = mean + root, mean - root
+    first = np.abs(a) >= np.abs(b)
+    return np.where(first, a, b), np.where(first, b, a)
+
+
+def _axes(p: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
+    """Each shape's direction of the greatest spread, its largest part positive."""
+    n, total = np.maximum(np.bincount(of, minlength=many), 1), _sums(of, p, many)
+    m = np.stack([np.stack([np.bincount(of, p[:, a] * p[:, b], many) - total[:, a] * total[:, b] / n for b in range(3)], -1) for a in range(3)], -2)
+    known = np.isfinite(m).all((1, 2))
+    v = np.where(known[:, None], np.linalg.eigh(np.where(known[:, None, None], m, 0))[1][:, :, 2], np.nan)
+    return v * np.where(np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1) < 0, -1.0, 1.0)
+
+
+def vertex_features_many(p: np.ndarray, of: np.ndarray, here: np.ndarray, faces: np.ndarray, scales: tuple[int, ...], step: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values (vertices x features) of ``segmentation.feature_stack`` before pooling, of many meshes together
+    (``of`` says which), which vertices have them, and each edge once in both directions.
+
+    Vertices that are not ``here`` are only named by faces: such faces have edges and nothing else."""
+    n, many = len(p), int(of[-1]) + 1
+    ends = lambda f: np.unique(np.concatenate([np.minimum(f, f[:, [1, 2, 0]]).ravel() * n + np.maximum(f, f[:, [1, 2, 0]]).ravel()]))
+    f = faces[here[faces].all(1)]
+    every, own = (np.stack(np.divmod(ends(x), n), 1) for x in (faces, f))
+    both = np.concatenate([every, every[:, ::-1]])
+    on = np.zeros(n, bool)
+    on[f] = True
+    degree, now, bent = np.bincount(own.ravel(), minlength=n)[:, None], p, {}
+    for k in range(max(scales, default=0) + 1):
+        if k in scales:
+            one, two = _around_corners(now, f)
+            bent[k] = [2 / np.pi * np.arctan2(one + two, one - two + 1e-12), np.sqrt((one * one + two * two) / 2), one, two]
+        around = _sums(own.T.ravel(), now[own[:, ::-1].T.ravel()], n)
+        now = np.where(degree > 0, now + step * (around / np.maximum(degree, 1) - now), now)
+    out = [v for k in scales for v in bent[k]]
+    normal, share = _unit_normals(p, f)
+    # the two faces of each edge; edges with other than two count as flat
+    key = (np.minimum(f, f[:, [1, 2, 0]]) * n + np.maximum(f, f[:, [1, 2, 0]])).ravel()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+    count, owner = np.diff(np.append(first, len(key))), order // 3
+    angle = np.where(count == 2, _angle((normal[owner[first]] * normal[owner[first + count - 1]]).sum(1)), 0.0)
+    mean = lambda at, values: np.bincount(at, values, n) / np.maximum(np.bincount(at, minlength=n), 1)
+    out.append(mean(np.concatenate(np.divmod(key[order][first], n)), np.tile(angle, 2)))
+    up = _sums(f.ravel(), np.repeat(normal * share[:, None], 3, axis=0), n)
+    up = up / (np.sqrt((up * up).sum(1)) + 1e-12)[:, None]
+    known = both[on[both].all(1)]
+    out.append(mean(known[:, 0], _angle((up[known[:, 0]] * up[known[:, 1]]).sum(1))))
+    middle = _sums(of[on], p[on], many) / np.maximum(np.bincount(of[on], minlength=many), 1)[:, None]
+    up = np.where(((up * (p - middle[of])).sum(1) < 0)[:, None], -up, up)
+    out.append((up * _axes(p[here], of[here], many)[of]).sum(1))
+    return np.stack(out, 1), on, np.unique(both, axis=0)
+
+
+def within_hops(start: np.ndarray, edges: np.ndarray, n: int, hops: int) -> np.ndarray:
+    """Pairs (number in ``start``, vertex) of what ``edges`` (in both directions, in order) lead to from
+    vertices in at most ``hops`` steps, themselves included; vertices without edges have none."""
+    first = np.searchsorted(edges[:, 0], np.arange(n + 1))
+    pairs = np.stack([np.arange(len(start)), start], 1)[np.diff(first)[start] > 0]
+    for _ in range(hops):
+        times = np.diff(first)[pairs[:, 1]]
+        at = np.repeat(first[pairs[:, 1]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        key = np.unique(np.concatenate([pairs[:, 0] * n + pairs[:, 1], np.repeat(pairs[:, 0], times) * n + edges[at, 1]]))
+        pairs = np.stack(np.divmod(key, n), 1)
+    return pairs
+
+
+def pooled_z_scores(values: np.ndarray, group: np.ndarray, of: np.ndarray, mean_of: int) -> np.ndarray:
+    """Medians of the rows of ``values`` (of the column ``mean_of``, means) in each group, less their mean over
+    the deviation plus 1e-8 within the groups' shapes ``of``; groups and shapes count from 0, none is empty."""
+    count = np.bincount(group)
+    first, out = np.cumsum(count) - count, np.empty((len(count), values.shape[1]))
+    for c, column in enumerate(values.T):
+        if c == mean_of:
+            out[:, c] = np.bincount(group, column) / count
+        else:
+            s = column[np.lexsort((column, group))]
+            low, high = s[first + (count - 1) // 2], s[first + count // 2]
+            out[:, c] = np.where(low == high, low, (low + high) / 2)
+    size, many = np.bincount(of)[:, None], int(of.max(initial=-1)) + 1
+    apart = out - (_sums(of, out, many) / size)[of]
+    return apart / (np.sqrt(_sums(of, apart * apart, many) / size) + 1e-8)[of]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import mesh
+from . import kernels, mesh
+from .neighbors import tasks
 from .points import principal_axis
 from .quantiles import exact_median
 
@@ -97,14 +102,86 @@ def grid_modularity(edges: DataFrame, grid: DataFrame, labels: DataFrame) -> Dat
     return modularity(weights, labels, "k", "alpha")
 
 
-def feature_stack(vertices: DataFrame, faces: DataFrame, loci: DataFrame, scales: tuple[int, ...] = (0, 4, 12), hops: int = 1) -> DataFrame:
+_STACK = pa.schema([("specimen_id", pa.int64()), ("pidx", pa.int64()), ("fidx", pa.int32()), ("v", pa.float64())])
+#: About so many vertices are worked on together.
+TOGETHER = 50_000
+
+
+def feature_stack(vertices: DataFrame, faces: DataFrame, loci: DataFrame, scales: tuple[int, ...] = (0, 4, 12), hops: int = 1, whole: int = 100_000) -> DataFrame:
     """Geometric features (specimen_id, pidx, fidx, v) of loci (specimen_id, pidx, vid), z-scored within a specimen.
 
     Four for each number of smoothing steps: shape index, curvedness and the two
     principal curvatures. Then the mean angle at a vertex's edges, how much its normal
     varies, and how its normal lies to the specimen's longest axis. The last is the
     mean over the vertices within ``hops`` edges of a locus, all others the median.
+    Meshes of up to ``whole`` vertices are worked on in a task, many together; those of
+    larger ones, or with null coordinates, are joins.
     """
+    odd = vertices.groupBy("specimen_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(sum((F.col(c) for c in "xyz"), F.lit(0.0)).isNotNull(), 1)).alias("known"))
+    odd = odd.where((F.col("n") > whole) | (F.col("known") < F.col("n"))).select("specimen_id")
+    if odd.isEmpty():
+        return _stacked(vertices, faces, loci, scales, hops)
+    most = _stacked(vertices.join(odd, "specimen_id", "left_anti"), faces, loci.join(odd, "specimen_id", "left_anti"), scales, hops)
+    return most.unionByName(_stacked_by_joins(vertices.join(odd, "specimen_id", "left_semi"), faces, loci.join(odd, "specimen_id", "left_semi"), scales, hops))
+
+
+def _stacked(vertices: DataFrame, faces: DataFrame, loci: DataFrame, scales: tuple[int, ...], hops: int) -> DataFrame:
+    """:func:`feature_stack` of meshes that are a row each."""
+    n = tasks(vertices)
+    marks = F.array_sort(F.collect_list(F.struct(F.col("pidx").cast("long").alias("pidx"), F.col("vid").cast("long").alias("vid")))).alias("m")
+    marks = loci.where("vid IS NOT NULL").repartition(n, "specimen_id").groupBy("specimen_id").agg(marks)
+    rows = mesh.whole(vertices.repartition(n, "specimen_id"), faces).where("a IS NOT NULL").join(marks, "specimen_id")
+    rows = rows.select("specimen_id", *"ixyzabc", F.col("m.pidx").alias("pidx"), F.col("m.vid").alias("vid"))
+
+    def joined(parts: list[tuple]) -> pa.RecordBatch:
+        """Features of meshes (specimen, node labels, which are vertices, positions, faces, loci)."""
+        ends = np.cumsum([len(x[1]) for x in parts])
+        starts = ends - [len(x[1]) for x in parts]
+        of = np.repeat(np.arange(len(parts)), ends - starts)
+        values, on, edges = kernels.vertex_features_many(np.concatenate([x[3] for x in parts]), of, np.concatenate([x[2] for x in parts]), np.concatenate([x[4] + s for x, s in zip(parts, starts, strict=True)]), scales)
+        at, index = np.concatenate([x[5] + s for x, s in zip(parts, starts, strict=True)]), np.concatenate([x[6] for x in parts])
+        # loci come in order of specimen and index; an index that has several vertices is one locus
+        locus = np.cumsum(np.append(True, (np.diff(of[at]) != 0) | (np.diff(index) != 0))) - 1 if len(at) else at
+        pairs = kernels.within_hops(at, edges, len(of), hops)
+        pairs = pairs[on[pairs[:, 1]]]
+        kept, group = np.unique(locus[pairs[:, 0]], return_inverse=True)
+        row = np.searchsorted(locus, kept)
+        shape = np.unique(of[at[row]], return_inverse=True)[1]
+        v = kernels.pooled_z_scores(values[pairs[:, 1]], group, shape, values.shape[1] - 1)
+        many = v.shape[1]
+        specimens = np.array([x[0] for x in parts], np.int64)[of[at[row]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(specimens, many)), pa.array(np.repeat(index[row], many)), pa.array(np.tile(np.arange(many, dtype=np.int32), len(row))), pa.array(v.ravel())], schema=_STACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None  # labels and faces of the last mesh and what they gave: most have the same
+        for batch in batches:
+            specimens = np.asarray(batch.column(0))
+            columns = [(np.asarray(c.offsets), np.asarray(c.values)) for c in batch.columns[1:]]
+            parts, size = [], 0
+            for k, specimen in enumerate(specimens):
+                i, x, y, z, a, b, c, pidx, vid = (v[o[k] : o[k + 1]] for o, v in columns)
+                f = np.stack([a, b, c], 1)
+                if known is None or not (np.array_equal(known[0], i) and np.array_equal(known[1], f)):
+                    labels = np.union1d(i, f.ravel())
+                    known = i, f, labels, np.isin(labels, i), np.searchsorted(labels, f)
+                _, _, labels, here, at = known
+                p = np.zeros((len(labels), 3))
+                p[here] = np.stack([x, y, z], 1)
+                there = np.isin(vid, labels)
+                parts.append((specimen, labels, here, p, at, np.searchsorted(labels, vid[there]), pidx[there]))
+                size += len(labels)
+                if size >= TOGETHER:
+                    yield joined(parts)
+                    parts, size = [], 0
+            if parts:
+                yield joined(parts)
+
+    found = rows.mapInArrow(run, "specimen_id long, pidx long, fidx int, v double")
+    return found.withColumn("pidx", F.col("pidx").cast(loci.schema["pidx"].dataType))
+
+
+def _stacked_by_joins(vertices: DataFrame, faces: DataFrame, loci: DataFrame, scales: tuple[int, ...], hops: int) -> DataFrame:
+    """:func:`feature_stack` of meshes whose vertices and edges are rows."""
     own, last = mesh.own_columns(faces), 4 * len(scales)
     steps = F.array(*(F.lit(s) for s in scales))
     # a mesh after some steps is a mesh of its own here, so that one plan does all scales

@@ -67,3 +67,14 @@ def test_feature_stack_does_not_see_the_pose_and_knows_each_specimens_faces(spar
         assert np.minimum(np.abs(one[:, 10] - two[:, 10]), np.abs(one[:, 10] + two[:, 10])) == pytest.approx(np.zeros(10), abs=1e-6)  # an axis has two ends
         assert one.mean(0) == pytest.approx(np.zeros(11), abs=1e-9) and one.std(0) == pytest.approx(np.ones(11), abs=1e-5)
     assert tables[0].to_numpy() == pytest.approx(tables[1].to_numpy(), abs=1e-9)
+
+
+def test_feature_stack_of_a_task_is_that_of_the_joins(spark):
+    rng = np.random.default_rng(44)
+    rows = [(k, i, *map(float, rng.normal(size=3))) for k in range(4) for i in range(12) if (k, i) not in ((1, 5), (1, 11))] + [(3, 40, 1.0, 2.0, 3.0)]
+    v = spark.createDataFrame([(*r[:2], None, *r[3:]) if r[:2] == (2, 4) else r for r in rows], "specimen_id long, vid int, x double, y double, z double").coalesce(1)
+    faces = spark.createDataFrame([(i, i, i + 1, i + 2) for i in range(10)] + [(30, 2, 5, 9)], "fid int, a int, b int, c int").coalesce(1)
+    loci = v.where("vid % 2 = 0").select("specimen_id", F.expr("cast(vid / 4 as int)").alias("pidx"), "vid")  # two vertices a locus
+    tables = [segmentation.feature_stack(v, faces, loci, scales=(0, 2), whole=n).toPandas().set_index(["specimen_id", "pidx", "fidx"]).sort_index() for n in (100, 0)]
+    assert len(tables[0]) == 4 * 3 * 11 and tables[0].index.equals(tables[1].index)
+    assert tables[0].v.to_numpy() == pytest.approx(tables[1].v.to_numpy(), abs=1e-9, nan_ok=True)
