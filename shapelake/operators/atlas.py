@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import kernels
 from .points import XYZ, closest_to_mean
 from .registration import POINTS, align, dense_correspondence, per_specimen, procrustes_mean, template_arrays
-from .surfaces import closest_points, on_surface
+from .surfaces import onto_surface
 
 
 def mean_atlas(points: DataFrame, landmarks: Sequence[int]) -> tuple[DataFrame, DataFrame]:
@@ -50,4 +50,4 @@ def dense_export(landmarks: DataFrame, vertices: DataFrame, faces: DataFrame, at
         return {"pidx": ai.astype(np.int32), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}
 
     warped = per_specimen(landmarks, work, POINTS)
-    return on_surface(closest_points(warped, vertices, faces), vertices, faces)
+    return onto_surface(warped, vertices, faces)

@@ -174,14 +174,14 @@ def smooth(vertices: DataFrame, faces: DataFrame, step: float = 0.5) -> DataFram
 
 
 def whole(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """One row for each mesh: its vertices (i, x, y, z) and its faces' corners (a, b, c) as arrays, null without faces."""
-    corner = F.array_sort(F.collect_list(F.struct("fid", *(F.col(c).cast("long").alias(c) for c in "abc")))).alias("f")
+    """One row for each mesh: its vertices (i, x, y, z), its faces' corners (a, b, c) and numbers (fid) as arrays, null without faces."""
+    corner = F.array_sort(F.collect_list(F.struct(F.col("fid").cast("long").alias("fid"), *(F.col(c).cast("long").alias(c) for c in "abc")))).alias("f")
     rows = shapes(vertices, "vid")
     if own_columns(faces):
         rows = rows.join(faces.groupBy("specimen_id").agg(corner), "specimen_id", "left")
     else:
         rows = rows.crossJoin(faces.agg(corner))  # one topology, one row
-    return rows.select("specimen_id", *"ixyz", *(F.col(f"f.{c}").alias(c) for c in "abc"))
+    return rows.select("specimen_id", *"ixyz", *(F.col(f"f.{c}").alias(c) for c in (*"abc", "fid")))
 
 
 def smoothed(vertices: DataFrame, faces: DataFrame, scales: tuple[int, ...], step: float = 0.5) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import boxes
-from .mesh import corners
-from .neighbors import FEW, alike, arrays, nearest_in, parts, shapes
+from .mesh import corners, own_columns, whole
+from .neighbors import FEW, alike, arrays, nearest_in, parts, shapes, tasks
 
 CLOSEST = "specimen_id long, qidx long, fid long, wa double, wb double, wc double, d2 double"
 
@@ -70,24 +69,77 @@ def closest_on_triangles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np
     return face, weight, apart
 
 
+def closest_on_few(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`closest_on_triangles` of many shapes of few triangles each: points (many x m x 3), triangles (many x n x 3 x 3)."""
+    many, m = p.shape[:2]
+    face, weight, apart = np.zeros((many, m), np.int64), np.zeros((many, m, 3)), np.zeros((many, m))
+    block = max(1, 65_536 // max(1, m * tri.shape[1]))
+    for at in range(0, many, block):
+        d2, w = _apart(p[at : at + block].reshape(-1, 3), np.repeat(tri[at : at + block], m, axis=0))
+        k, rows = d2.argmin(1), np.arange(len(d2))
+        for out, found in ((face, k), (weight, w[rows, k]), (apart, d2[rows, k])):
+            out[at : at + block] = found.reshape(-1, *out.shape[1:])
+    return face, weight, apart
+
+
+def surface_rows(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Specimens with faces as a row each, dealt out to all cores: vertices (vi, vx, vy, vz) and faces (fid, a, b, c) as arrays."""
+    n = tasks(vertices)
+    rows = whole(vertices.repartition(n, "specimen_id"), faces.repartition(n, "specimen_id") if own_columns(faces) else faces)
+    return rows.where("a IS NOT NULL").select("specimen_id", *(F.col(c).alias(f"v{c}") for c in "ixyz"), "fid", *"abc")
+
+
+def triangles(batch: pa.RecordBatch, rows: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the specimens ``rows``, all of one size, with :func:`surface_rows`'s columns from ``first`` on: which of them,
+    the numbers (many x n), corners' places (many x n x 3) and positions (many x n x 3 x 3) of the faces all of whose corners
+    are vertices. They come together if they have the same faces."""
+    (vi, v), (fid, f) = arrays(batch, rows, first), arrays(batch, rows, first + 4)
+    alike_ = len(rows) and (vi == vi[0]).all() and (f == f[0]).all()
+    for at in [slice(None)] if alike_ else (slice(k, k + 1) for k in range(len(rows))):
+        there = np.isin(f[at][0], vi[at][0]).all(1)
+        if there.any():
+            place = np.searchsorted(vi[at][0], f[at][0][there])
+            yield at, fid[at][:, there], np.broadcast_to(place, (len(vi[at]), *place.shape)), v[at][:, place]
+
+
+_CLOSEST = pa.schema([("specimen_id", pa.int64()), ("qidx", pa.int64()), ("fid", pa.int64()), *((c, pa.float64()) for c in ("wa", "wb", "wc", "d2", "x", "y", "z"))])
+
+
+def _closest(queries: DataFrame, vertices: DataFrame, faces: DataFrame, block: int) -> DataFrame:
+    """:func:`closest_points` and their positions."""
+    rows = shapes(queries.repartition(tasks(vertices), "specimen_id")).join(surface_rows(vertices, faces), "specimen_id")
+    rows = parts(rows, block, "vi", "vx", "vy", "vz", "fid", "a", "b", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            specimens, numbers = (np.asarray(batch.column(c)) for c in (0, 1))
+            for of in alike(batch, 2, 6, 10, few=min(FEW, block)):
+                every, p = arrays(batch, of, 2)
+                if p.shape[1] > block:  # such rows come alone
+                    own = slice(numbers[of[0]] * block, (numbers[of[0]] + 1) * block)
+                    every, p = every[:, own], p[:, own]
+                for at, fid, _, tri in triangles(batch, of, 6):
+                    q = p[at]
+                    k, w, d2 = closest_on_few(q, tri) if len(q) > 1 else (x[None] for x in closest_on_triangles(q[0], tri[0]))
+                    on = (w[..., None] * np.take_along_axis(tri, k[..., None, None], 1)).reshape(-1, 3, 3)
+                    on = on[:, 0] + on[:, 1] + on[:, 2]
+                    flat = w.reshape(-1, 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(specimens[of[at]], q.shape[1])), pa.array(every[at].ravel()), pa.array(np.take_along_axis(fid, k, 1).ravel()), *(pa.array(flat[:, c]) for c in range(3)), pa.array(d2.ravel()), *(pa.array(on[:, c]) for c in range(3))], schema=_CLOSEST)
+
+    return rows.mapInArrow(run, f"{CLOSEST}, x double, y double, z double")
+
+
 def closest_points(queries: DataFrame, vertices: DataFrame, faces: DataFrame, block: int = 65_536) -> DataFrame:
     """Nearest face of the specimen's surface for each query point (specimen_id,
     pidx), with the barycentric weights of the closest point and the squared
-    distance. Large query sets of a specimen are dealt out in blocks."""
-    tri = F.array_sort(F.collect_list(F.struct(F.col("fid").cast("long").alias("fid"), *(f"{c}{n}" for c in "abc" for n in "xyz"))))
-    surface = corners(vertices, faces).groupBy("specimen_id").agg(tri.alias("t"))
-    surface = surface.select("specimen_id", F.col("t.fid").alias("fid"), *(F.col(f"t.{c}{n}").alias(f"{c}{n}") for c in "abc" for n in "xyz"))
-    rows = shapes(queries).join(surface, "specimen_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.size("i") / block).cast("int") - 1)))
+    distance. Large query sets of a specimen are dealt out in blocks; specimens of few
+    points and triangles are searched many at a time, corners are no rows."""
+    return _closest(queries, vertices, faces, block).drop(*"xyz")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                own = slice(r["part"] * block, (r["part"] + 1) * block)
-                t = np.stack([np.stack([r[f"{c}{n}"] for n in "xyz"], 1) for c in "abc"], 1)
-                k, w, d2 = closest_on_triangles(np.stack([r["x"], r["y"], r["z"]], 1)[own], t)
-                yield pd.DataFrame({"specimen_id": r["specimen_id"], "qidx": r["i"][own], "fid": r["fid"][k], "wa": w[:, 0], "wb": w[:, 1], "wc": w[:, 2], "d2": d2})
 
-    return rows.mapInPandas(run, CLOSEST)
+def onto_surface(points: DataFrame, vertices: DataFrame, faces: DataFrame, block: int = 65_536) -> DataFrame:
+    """(specimen_id, pidx, x, y, z): each point's closest point on the specimen's surface."""
+    return _closest(points, vertices, faces, block).select("specimen_id", F.col("qidx").alias("pidx"), *"xyz")
 
 
 def on_surface(closest: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:

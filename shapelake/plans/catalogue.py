@@ -1014,7 +1014,7 @@ def _(spark, sf):
 def _(spark, sf):
     v, f = vertices(spark, sf), bridge.faces(spark)
     marks = _shrunk(spark, sf).select("specimen_id", "pidx", "x", "y", "z")
-    return rounded(registration.project(marks, surfaces.on_surface(surfaces.closest_points(marks, v, f), v, f)), 4)
+    return rounded(registration.project(marks, surfaces.onto_surface(marks, v, f)), 4)
 
 
 @query("cloud_normals", None)

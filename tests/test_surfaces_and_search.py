@@ -242,3 +242,27 @@ def test_pose_scores_of_few_points_equal_the_searches():
     placed, target = rng.normal(size=(30, 7, 3)), rng.normal(size=(9, 3))
     want = [-(kernels.nearest(q, target, 1)[1].mean() + 0.1 * kernels.nearest(target, q, 1)[1].mean()) for q in placed]
     assert kernels.pose_scores(placed, target) == pytest.approx(want, rel=1e-14)
+
+
+def test_closest_points_of_specimens_searched_together_and_alone(spark):
+    """Specimens 0 to 3 have the same vertices and faces, 4 and 5 lack vertices, 6 has more points: together or alone, the same is found."""
+    rng = np.random.default_rng(71)
+    rows = [(k, i, *map(float, rng.normal(size=3))) for k in range(7) for i in range(9) if (k, i) not in ((4, 3), (5, 0), (5, 8))]
+    v = spark.createDataFrame(rows, "specimen_id long, vid int, x double, y double, z double")
+    f = [(10 - k, k, k + 1, k + 2) for k in range(7)] + [(40, 0, 4, 8)]
+    faces = spark.createDataFrame(f, "fid int, a int, b int, c int")
+    q = [(k, i, *map(float, rng.normal(size=3))) for k in range(7) for i in range(9 if k == 6 else 5)]
+    points = spark.createDataFrame(q, "specimen_id long, pidx int, x double, y double, z double")
+    found = {(r.specimen_id, r.qidx): r for r in surfaces.closest_points(points, v, faces).collect()}
+    moved = {(r.specimen_id, r.pidx): np.array([r.x, r.y, r.z]) for r in surfaces.onto_surface(points, v, faces, block=2).collect()}
+    assert len(found) == len(moved) == len(q)
+    for k in range(7):
+        at = {r[1]: np.array(r[2:]) for r in rows if r[0] == k}
+        whole = sorted(x for x in f if all(c in at for c in x[1:]))
+        tri = np.array([[at[c] for c in x[1:]] for x in whole])
+        p = np.array([r[2:] for r in q if r[0] == k])
+        face, weight, d2 = surfaces.closest_on_triangles(p, tri)
+        for i in range(len(p)):
+            r = found[k, i]
+            assert (r.fid, r.wa, r.wb, r.wc, r.d2) == (whole[face[i]][0], *weight[i], d2[i])
+            assert moved[k, i] == pytest.approx(weight[i] @ tri[face[i]])
