@@ -229,7 +229,7 @@ def _bit_map(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
-def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, longest: int = 5, shards: int = 2, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, longest: int = 5, shards: int = 2, words_a_task: int = 20_000_000, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, phrase, times) of all phrases of up to ``longest`` words
     that occur ``support`` times in their language, and (lang, n) of all words.
 
@@ -244,7 +244,9 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
     cannot be frequent, and goes at once. What is left of the union over shards is a
     bitmap of 16 MB for each length; the last pass counts all phrases whose bit is set over all texts, by their words, so
     bits that two phrases share cost rows and change nothing. Tasks count in
-    bounded tables and pass partial counts on.
+    bounded tables and pass partial counts on. Nearly every split meets nearly every frequent
+    phrase, and a task gives a row for each that it meets: the last pass therefore reads
+    many splits in a task, ``words_a_task`` words or less, as long as all cores have two tasks.
 
     Equal texts of a language are first made one row with its number of copies, so
     that a group of copies is read, mined and counted once.
@@ -267,7 +269,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, *, support: int = 100, l
         local = functools.reduce(operator.or_, (own >= k for own, k, size in zip(in_shard, least, sizes, strict=True) if size), F.lit(False))
         maps.append(_bit_map(counted.where("key IS NOT NULL").where(local & (sum(in_shard, F.lit(0)) >= support)).select("key")))
         scratch.drop(f"phrases-{n}")
-    named = rows.select("lang", "text", "copies").mapInArrow(_named_counts(longest, maps), "lang string, phrase string, times long")
+    counting = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // words_a_task))
+    named = rows.select("lang", "text", "copies").coalesce(counting).mapInArrow(_named_counts(longest, maps), "lang string, phrase string, times long")
     named = scratch.write(named.groupBy("lang", "phrase").agg(F.sum("times").alias("times")).where(F.col("phrase").isNull() | (F.col("times") >= support)), "named")
     for m in maps:
         m.unpersist()

@@ -111,3 +111,16 @@ def test_no_documents(spark):
     got = collocations.collocations(frame(spark, []))
     assert got.count() == 0 and got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert collocations.collocations(frame(spark, [(None, None), ("en", "")])).count() == 0
+
+
+def test_the_last_pass_reads_many_splits_in_a_task(spark, monkeypatch):
+    """A task gives a row for each phrase that it meets: splits with the same phrases share tasks, and counts stay."""
+    docs = spark.createDataFrame([("en", f"red green blue cyan {k} red green") for k in range(400)], "lang string, text string")
+    frames, given = type(docs), []
+    real = frames.coalesce
+    monkeypatch.setattr(frames, "coalesce", lambda df, n: given.append(n) or real(df, n))
+    with Scratch(spark) as scratch:
+        found = [{r.phrase: r.times for r in collocations.frequent_phrases(docs, scratch, **how)[0].collect()} for how in ({}, {"words_a_task": 20})]
+    assert given == [2 * spark.sparkContext.defaultParallelism, 400 * 7 // 20]
+    assert found[0] == found[1]
+    assert [found[0][x] for x in ("red", "red green", "red green blue cyan", "green blue")] == [800, 800, 400, 400]
