@@ -8,6 +8,7 @@ blocks, so that a hard specimen is no long task; only scores are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,25 +82,33 @@ def beam(scores: DataFrame, keep: int, key: str = "specimen_id", candidate: str
     return scores.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
-def _poses(turns: np.ndarray, placed: np.ndarray) -> np.ndarray:
-    """Rotations that take the shape of ``turns``' starts to where each was placed."""
-    return np.stack([kernels.similarity_fit(s, p, False)[1] for s, p in zip(turns, placed, strict=True)])
-
-
-def _quality(placed: np.ndarray, p: np.ndarray, limit: float, diagonal: float) -> tuple[np.ndarray, np.ndarray]:
-    """Share of each placed shape near the specimen, and those points' error over the diagonal."""
-    d2 = kernels.nearest(placed.reshape(-1, 3), p, 1)[1].reshape(len(placed), -1)
+def _quality(placed: np.ndarray, of: np.ndarray, targets: list[np.ndarray], limit: float, diagonal: float) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each placed shape near its specimen (``of`` says in order which), and those points' error over the diagonal."""
+    d2 = ((placed - kernels.closest(targets)(placed, of)) ** 2).sum(2)
     near = d2 <= limit * limit
     return near.mean(1), np.sqrt((d2 * near).sum(1) / np.maximum(near.sum(1), 1)) / diagonal
 
 
+#: Points of all positions of all specimens that are refined together.
+TOGETHER = 1 << 17
+
+
+def _some(batch: pd.DataFrame, points: int) -> Iterator[list]:
+    """Rows of a batch, a few at a time, each of which has positions of so many ``points``."""
+    rows, many = list(batch.itertuples(index=False)), max(1, TOGETHER // max(1, points))
+    yield from (rows[at : at + many] for at in range(0, len(rows), many))
+
+
 def _level(row, diagonal: float, points: int) -> np.ndarray:
     """A specimen's points about 0, as large as the mean."""
     p = np.stack([row.x, row.y, row.z], 1)
     if not np.isfinite(p).all():
         raise ValueError("points are not finite")
     p = p[kernels.farthest_points(p, points)]
-    return (p - p.mean(0)) * diagonal / max(np.linalg.norm(np.ptp(p, axis=0)), 1e-300)
+    level = (p - p.mean(0)) * diagonal / max(np.linalg.norm(np.ptp(p, axis=0)), 1e-300)
+    if not np.isfinite(level).all():
+        raise ValueError("points are too large")
+    return level
 
 
 def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
@@ -134,67 +143,75 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
         return made * (diagonal / np.maximum(np.linalg.norm(np.ptp(made, axis=-2), axis=-1), 1e-300))[..., None, None]
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = kernels.farthest_points(base, s.coarse)
+        starts = base[c] @ np.swapaxes(turns, 1, 2)
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                try:
-                    p = _level(row, diagonal, s.points)
-                    c, q = kernels.farthest_points(base, s.coarse), p[kernels.farthest_points(p, s.coarse)]
-                    starts = base[c] @ np.swapaxes(turns, 1, 2)
-                    placed = kernels.icp_many(starts, q, s.rounds)
-                    best = np.argsort(-kernels.pose_scores(placed, q), kind="stable")[: s.finalists]
-                    r = _poses(np.broadcast_to(base[c], placed[best].shape), placed[best])
-                    fit, rmse = _quality(kernels.icp_many(base @ np.swapaxes(r, 1, 2), p, s.rounds), p, limit, diagonal)
-                    at = int((fit - s.w_rmse * rmse).argmax())
-                    out.append((row.specimen_id, r.ravel(), fit[at] - s.w_rmse * rmse[at], fit[at], rmse[at], True))
-                except (ValueError, np.linalg.LinAlgError):
-                    out.append((row.specimen_id, None, None, None, None, False))
-            if out:
+            for rows in _some(batch, starts.size // 3):
+                out, own = [(row.specimen_id, None, None, None, None, False) for row in rows], {}
+                for n, row in enumerate(rows):
+                    with suppress(ValueError):
+                        own[n] = _level(row, diagonal, s.points)
+                ps, g = list(own.values()), len(own)
+                if g:
+                    qs = [p[kernels.farthest_points(p, s.coarse)] for p in ps]
+                    placed = kernels.icp_shapes(np.tile(starts, (g, 1, 1)), np.repeat(np.arange(g), len(starts)), qs, s.rounds).reshape(g, *starts.shape)
+                    best = np.stack([np.argsort(-kernels.pose_scores(x, q), kind="stable")[: s.finalists] for x, q in zip(placed, qs, strict=True)])
+                    found = np.take_along_axis(placed, best[:, :, None, None], 1).reshape(-1, *starts.shape[1:])
+                    r, of = kernels.rigid_fits(np.broadcast_to(base[c], found.shape), found), np.repeat(np.arange(g), best.shape[1])
+                    fit, rmse = (v.reshape(g, -1) for v in _quality(kernels.icp_shapes(base @ np.swapaxes(r, 1, 2), of, ps, s.rounds), of, ps, limit, diagonal))
+                    at = (fit - s.w_rmse * rmse).argmax(1)
+                    for n, k, turn, f, e in zip(own, at, r.reshape(g, -1), fit, rmse, strict=True):
+                        out[n] = (rows[n].specimen_id, turn, f[k] - s.w_rmse * e[k], f[k], e[k], True)
                 yield pd.DataFrame(out, columns=["specimen_id", "r", "best", "fit", "rmse", "sound"])
 
-    def score(p: np.ndarray, r: np.ndarray, b: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
-        """Best of the starting poses for each of the coefficients: score, fit, error, which pose."""
-        made = shape(b)
+    def score(ps: list[np.ndarray], of: np.ndarray, r: np.ndarray, b: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
+        """Best of its specimen's starting poses (specimens x poses x 3 x 3) for each of the coefficients, which
+        are of the specimens ``of``, in order: score, fit, error, which pose."""
         c = kernels.farthest_points(base, few)
-        starts = np.einsum("nmk,rjk->nrmj", made[:, c], r).reshape(-1, len(c), 3)
-        fit, rmse = _quality(kernels.icp_many(starts, p, s.rounds), p, limit, diagonal)
+        starts = (shape(b)[:, None, c] @ np.swapaxes(r[of], 2, 3)).reshape(-1, len(c), 3)
+        each = np.repeat(of, r.shape[1])
+        fit, rmse = _quality(kernels.icp_shapes(starts, each, ps, s.rounds), each, ps, limit, diagonal)
         fit, rmse = fit.reshape(len(b), -1), rmse.reshape(len(b), -1)
-        at = (fit - s.w_rmse * rmse).argmax(1)[:, None]
+        at = np.round(fit - s.w_rmse * rmse, 9).argmax(1)[:, None]  # poses that end alike are equal, whatever the rounding
         fit, rmse = (np.take_along_axis(v, at, 1)[:, 0] for v in (fit, rmse))
-        return fit - s.w_rmse * rmse - weight * (b * b * stiff).sum(1), fit, rmse, at[:, 0]
+        return np.round(fit - s.w_rmse * rmse - weight * (b * b * stiff).sum(1), 9), fit, rmse, at[:, 0]
+
+    def poses(rows: list) -> np.ndarray:
+        return np.stack([row.r for row in rows]).reshape(len(rows), -1, 3, 3)
 
     def rough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                p = _level(row, diagonal, s.coarse)
-                c = np.asarray(row.own)
-                got = score(p, np.asarray(row.r).reshape(-1, 3, 3), pool[c], s.coarse)[0]
-                yield pd.DataFrame({"specimen_id": row.specimen_id, "candidate": c, "score": got})
+            for rows in _some(batch, int(batch["own"].map(len).max()) * s.finalists * min(s.coarse, len(base))):
+                of, c = np.repeat(np.arange(len(rows)), [len(row.own) for row in rows]), np.concatenate([row.own for row in rows])
+                got = score([_level(row, diagonal, s.coarse) for row in rows], of, poses(rows), pool[c], s.coarse)[0]
+                yield pd.DataFrame({"specimen_id": np.array([row.specimen_id for row in rows])[of], "candidate": c, "score": got})
 
     def fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                p, r = _level(row, diagonal, s.points), np.asarray(row.r).reshape(-1, 3, 3)
-                b = np.concatenate([pool[np.asarray(row.own)], np.zeros((1, k))])
-                got, fit, rmse, pose = score(p, r, b, s.points)
-                at = int(got.argmax())
-                r = r[pose[at]][None]  # steps stay in the pose of the best
-                best, step = (got[at], fit[at], rmse[at], b[at]), s.span / 4
+            for rows in _some(batch, (int(batch["own"].map(len).max()) + 1) * s.finalists * len(base)):
+                ps, r = [_level(row, diagonal, s.points) for row in rows], poses(rows)
+                size = np.array([len(row.own) + 1 for row in rows])
+                b = np.concatenate([v for row in rows for v in (pool[row.own], np.zeros((1, k)))])
+                got, fit, rmse, pose = score(ps, np.repeat(np.arange(len(rows)), size), r, b, s.points)
+                ends = np.cumsum(size)
+                at = np.array([i + got[i:j].argmax() for i, j in zip(ends - size, ends, strict=True)])
+                r = r[np.arange(len(rows)), pose[at]][:, None]  # steps stay in the pose of the best
+                best, b, step = np.stack([got[at], fit[at], rmse[at]], 1), b[at], np.full(len(rows), s.span / 4)
                 for _ in range(s.evaluations // (2 * max(k, 1))):
-                    if step < 1e-3:
+                    live = np.flatnonzero(step >= 1e-3)
+                    if not len(live):
                         break
-                    near = np.clip(best[3] + np.concatenate([np.eye(k), -np.eye(k)]) * step, -s.span, s.span)
-                    got, fit, rmse, _ = score(p, r, near, s.points)
-                    at = int(got.argmax())
-                    if got[at] > best[0]:
-                        best = (got[at], fit[at], rmse[at], near[at])
-                    else:
-                        step /= 2
-                out.append((row.specimen_id, *best[:3], best[3].tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=["specimen_id", "score", "fit", "rmse", "b"])
-
+                    near = np.clip(b[live][:, None] + np.concatenate([np.eye(k), -np.eye(k)]) * step[live][:, None, None], -s.span, s.span)
+                    new = np.stack(score([ps[n] for n in live], np.repeat(np.arange(len(live)), 2 * k), r[live], near.reshape(-1, k), s.points)[:3], 1).reshape(len(live), 2 * k, 3)
+                    at = new[:, :, 0].argmax(1)
+                    new, near = new[np.arange(len(live)), at], near[np.arange(len(live)), at]
+                    better = new[:, 0] > best[live, 0]
+                    best[live[better]], b[live[better]] = new[better], near[better]
+                    step[live[~better]] /= 2
+                yield pd.DataFrame({"specimen_id": [row.specimen_id for row in rows], "score": best[:, 0], "fit": best[:, 1], "rmse": best[:, 2], "b": list(b)})
+
+    # By a hash, as a shuffle by the key that a join has used is left out of the plan, whose few bytes then are few tasks.
+    deal = lambda df, *by: df.repartition(tasks(points), F.xxhash64("specimen_id", *by))
     cloud = shapes(points.repartition(tasks(points), "specimen_id"))
     start = cloud.mapInPandas(first, "specimen_id long, r array<double>, best double, fit double, rmse double, sound boolean").persist()
     good = (F.col("fit") >= s.good_fit) & (F.col("rmse") <= s.good_rmse)
@@ -203,8 +220,8 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
     asked = worth_scoring(poor.select("specimen_id").crossJoin(F.broadcast(rows)), poor.select("specimen_id", "best"), s.w_rmse, s.margin)  # at most ``beam`` rows a specimen
     block = lambda df, *by: df.groupBy("specimen_id", *by).agg(F.array_sort(F.collect_list("candidate")).alias("own"))
     carried = cloud.join(poor.select("specimen_id", "r"), "specimen_id")
-    scored = carried.join(block(asked, (F.col("candidate") % 4).alias("part")), "specimen_id").mapInPandas(rough, "specimen_id long, candidate int, score double")
-    found = carried.join(block(beam(scored, s.keep)), "specimen_id").mapInPandas(fine, "specimen_id long, score double, fit double, rmse double, b array<double>")
+    scored = deal(carried.join(block(asked, (F.col("candidate") % 4).alias("part")), "specimen_id"), "part").mapInPandas(rough, "specimen_id long, candidate int, score double")
+    found = deal(carried.join(block(beam(scored, s.keep)), "specimen_id")).mapInPandas(fine, "specimen_id long, score double, fit double, rmse double, b array<double>")
     found = found.select("specimen_id", F.struct("score", "fit", "rmse", "b").alias("new"))
     both = start.join(found, "specimen_id", "left")
     better = F.col("new.score") > F.col("best")

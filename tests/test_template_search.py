@@ -155,3 +155,29 @@ def test_stores_of_labels_meshes_diagnostics_and_removal(spark, tmp_path):
     assert store.remove_model(spark, path, "one") and not store.remove_model(spark, path, "one")
     with pytest.raises(ValueError):
         store.remove_model(spark, path, "../elsewhere")
+
+
+def test_few_bytes_are_searched_in_many_tasks(spark):
+    p, move, eig = model()
+    far = [(p + np.tensordot(np.array(b) * np.sqrt(eig), move, 1)) for b in ((1.8, -1.5), (-2.0, 1.0), (2.0, 2.0))]
+    s = template_search.SearchSettings(modes=2, hypotheses=10, finalists=2, limit=0.04, evaluations=8)
+    found = template_search.search(frame(spark, far), *tables(spark, p, move, eig), s)
+    assert found.where("decision = 'searched'").count() > 0
+    found.collect()
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()  # the final plan comes first
+    for step in ("fine(", "rough("):  # what was joined is dealt out before it is worked on, whatever the joins have become
+        at = next(n for n, line in enumerate(lines) if f"MapInPandas {step}" in line)
+        dealt = next(line for line in lines[at:] if "Exchange" in line or "Join" in line)
+        assert "8), REPARTITION_BY_NUM" in dealt
+
+
+def test_results_do_not_change_with_the_specimens_worked_on_together(spark, monkeypatch):
+    p, move, eig = model()
+    shapes = [(p + np.tensordot(np.array(b) * np.sqrt(eig), move, 1)) @ r.T for b, r in zip(((0, 0), (1.8, -1.5), (-2.0, 1.0)), rotations(3, 5), strict=True)]
+    shapes.append(shapes[1][:25])
+    s = template_search.SearchSettings(modes=2, hypotheses=20, finalists=4, limit=0.04, coarse=30)
+    found = lambda: [r.asDict() for r in template_search.search(frame(spark, shapes).repartition(1), *tables(spark, p, move, eig), s).orderBy("specimen_id").collect()]
+    together = found()
+    monkeypatch.setattr(template_search, "TOGETHER", 1)
+    for a, b in zip(together, found(), strict=True):
+        assert a["decision"] == b["decision"] and a["b"] == pytest.approx(b["b"], abs=1e-6) and a["score"] == pytest.approx(b["score"], abs=1e-6)
