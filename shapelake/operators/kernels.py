@@ -203,6 +203,15 @@ def rigid_fits(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return best_turns(np.swapaxes(target - target.mean(1, keepdims=True), 1, 2) @ (source - source.mean(1, keepdims=True)))
 
 
+def similarity_poses(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`similarity_fit` of one shape (m x 3) to many targets (g x m x 3): scales, rotations and shifts."""
+    a, b = source.mean(0), target.mean(1, keepdims=True)
+    h, spread = np.swapaxes(target - b, 1, 2) @ (source - a), ((source - a) ** 2).sum()
+    r = best_turns(h)
+    s = (r * h).sum((1, 2)) / spread if spread > 0 else np.ones(len(target))
+    return s, r, b[:, 0] - s[:, None] * (r @ a)
+
+
 def similarity_fits(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Many shapes (h x m x 3) after their least-squares similarity fits to one target."""
     a, b = source.mean(1, keepdims=True), target.mean(0)
@@ -466,7 +475,7 @@ def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.concatenate([_solved(a[k : k + 1], b[k : k + 1]) for k in range(len(a))])
 
 
-def _posed(points: np.ndarray, s: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
+def posed(points: np.ndarray, s: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Many shapes scaled, turned and shifted, each its own way."""
     return s[:, None, None] * (points @ np.swapaxes(r, 1, 2)) + t[:, None]
 
@@ -513,7 +522,7 @@ def cpd_rigid_many(source: np.ndarray, target: np.ndarray, outliers: float = 0.1
                 break
             if not open_.all():
                 live, y, x, extra, sigma2, size, turn, shift = (a[open_] for a in (live, y, x, extra, sigma2, size, turn, shift))
-            d2 = _apart(x, _posed(y, size, turn, shift))
+            d2 = _apart(x, posed(y, size, turn, shift))
     return s, r, t
 
 
@@ -560,14 +569,14 @@ def ssm_drift_many(mean: np.ndarray, modes: np.ndarray, eigenvalues: np.ndarray,
                 systems = (weight[:, :, 0] @ products).reshape(-1, k, k) + (sigma2 / size**2)[:, None, None] * stiff
                 b[live] = own_b = _solved(systems, ((weight * back).reshape(len(live), -1) @ flat.T)[:, :, None])[:, :, 0]
                 shape = mean + (own_b @ flat).reshape(-1, m, 3)
-            d2 = _apart(x, _posed(shape, size, turn, shift))
+            d2 = _apart(x, posed(shape, size, turn, shift))
             before, sigma2 = sigma2, np.maximum((p * d2).sum((1, 2)) / (3 * total), 1e-12)
             open_ = np.abs(before - sigma2) >= tolerance * before
             if not open_.any():
                 break
             if not open_.all():
                 live, x, extra, shape, d2, sigma2 = (v[open_] for v in (live, x, extra, shape, d2, sigma2))
-    return _posed(mean + (b @ flat).reshape(g, m, 3), s, r, t), b, s, r, t
+    return posed(mean + (b @ flat).reshape(g, m, 3), s, r, t), b, s, r, t
 
 
 def fine_drift(source: np.ndarray, target: np.ndarray, **how) -> np.ndarray:

@@ -38,13 +38,39 @@ def per_specimen(points: DataFrame, work: Callable[[np.ndarray, np.ndarray], dic
 
     Specimens are dealt out to all cores, however few bytes they have; results leave a
     task after ``many`` specimens, or sooner after as many rows as fill a block."""
+    return _dealt(points, lambda rows: (work(np.asarray(row.i), np.stack([row.x, row.y, row.z], 1)) for row in rows), schema, many)
+
+
+#: Products of sizes of the specimens that :func:`per_group` works on together.
+TOGETHER = 1 << 17
+
+
+def per_group(points: DataFrame, work: Callable[[np.ndarray], list[dict]], schema: str, landmarks: int, many: int = 256) -> DataFrame:
+    """:func:`per_specimen` for ``work`` on the positions (specimens x n x 3) of several specimens of equal size: as many as
+    share arrays of about ``TOGETHER`` distances from ``landmarks`` points, one at a time if they are large."""
+
+    def run(rows: list) -> Iterator[dict]:
+        sizes = np.array([len(row.x) for row in rows])
+        out: list = [None] * len(rows)
+        for n in np.unique(sizes):
+            own, step = np.flatnonzero(sizes == n), max(1, TOGETHER // max(1, int(n) * landmarks))
+            for at in range(0, len(own), step):
+                some = own[at : at + step]
+                p = np.stack([np.stack([rows[k].x, rows[k].y, rows[k].z], 1) for k in some])
+                for k, got in zip(some, work(p), strict=True):
+                    out[k] = got
+        return iter(out)
+
+    return _dealt(points, run, schema, many)
+
+
+def _dealt(points: DataFrame, work: Callable[[list], Iterator[dict]], schema: str, many: int) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts, rows = [], 0
-            for row in batch.itertuples(index=False):
-                got = work(np.asarray(row.i), np.stack([row.x, row.y, row.z], 1))
+            parts, rows, every = [], 0, list(batch.itertuples(index=False))
+            for row, got in zip(every, work(every), strict=True):
                 parts.append((row.specimen_id, got))
                 rows += len(got[names[1]])
                 if len(parts) >= many or rows >= 1 << 17:
@@ -350,10 +376,10 @@ def fit_model(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues:
     values, table = _modes(modes, eigenvalues, len(mi))
     k = min(most, kernels.mode_count(values, share))
 
-    def work(index, p):
-        return _placed(mi, kernels.ssm_drift(mp, table[:k], values[:k], p)[0])
+    def work(p):
+        return [_placed(mi, kernels.sound(x)) for x in kernels.ssm_drift_many(mp, table[:k], values[:k], p)[0]]
 
-    return per_specimen(points, work, POINTS)
+    return per_group(points, work, POINTS, len(mi))
 
 
 def dense_correspondence(points: DataFrame, landmarks: list[int], base: DataFrame) -> DataFrame:

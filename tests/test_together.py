@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from shapelake.operators import kernels
+from shapelake.operators import kernels, registration, shape_model
 from shapelake.operators.registration import rotations
 
 
@@ -44,3 +44,56 @@ def test_positions_on_several_shapes_end_where_each_ends_alone():
     got = kernels.icp_shapes(starts, of, targets, 30)
     for start, k, end in zip(starts, of, got, strict=True):
         assert end == pytest.approx(icp_in_a_loop(start, targets[k], 30), abs=1e-9)
+
+
+def soft_matches(target, moved, sigma2, outliers=0.1):
+    box = max(np.prod(np.ptp(target, axis=0)), 1e-12)
+    p = np.exp(-((target[:, None] - moved[None]) ** 2).sum(-1) / (2 * sigma2))
+    return p / np.maximum(p.sum(1, keepdims=True) + (2 * np.pi * sigma2) ** 1.5 * outliers / (1 - outliers) * len(moved) / box, 1e-300)
+
+
+def bent_drift_in_a_loop(mean, modes, values, target, rounds=250):
+    shape, s, r, t = mean, 1.0, np.eye(3), target.mean(0) - mean.mean(0)
+    sigma2 = ((target[:, None] - (mean + t)[None]) ** 2).sum() / (3 * len(mean) * len(target))
+    for _ in range(rounds):
+        p = soft_matches(target, s * shape @ r.T + t, sigma2)
+        weight = np.maximum(p.sum(0), 1e-12)
+        expected = (p.T @ target) / weight[:, None]
+        a, c = (weight @ shape) / weight.sum(), (weight @ expected) / weight.sum()
+        h = (expected - c).T @ ((shape - a) * weight[:, None])
+        r = turn_by_singular_values(h[None])[0]
+        s = (r * h).sum() / (weight * ((shape - a) ** 2).sum(1)).sum()
+        t = c - s * r @ a
+        flat, w3 = modes.reshape(len(modes), -1), np.repeat(weight, 3)
+        b = np.linalg.solve((flat * w3) @ flat.T + 0.01 * sigma2 / s**2 * np.diag(1 / values), (flat * w3) @ ((expected - t) @ r / s - mean).ravel())
+        shape = mean + np.tensordot(b, modes, 1)
+        before, sigma2 = sigma2, max((p * ((target[:, None] - (s * shape @ r.T + t)[None]) ** 2).sum(-1)).sum() / (3 * p.sum()), 1e-12)
+        if abs(before - sigma2) < 1e-6 * before:
+            break
+    return s * shape @ r.T + t
+
+
+def test_models_bent_onto_many_specimens_are_those_of_each_alone():
+    rng = np.random.default_rng(4)
+    mean, values = rng.normal(size=(14, 3)), np.array([0.4, 0.2])
+    modes = np.linalg.qr(rng.normal(size=(42, 2)))[0].T.reshape(2, 14, 3)
+    targets = np.stack([1.3 * (mean + np.tensordot(rng.normal(size=2) * np.sqrt(values), modes, 1))[rng.permutation(14)] + 4 for _ in range(9)])
+    targets[3] = np.nan
+    got, b, s, _, _ = kernels.ssm_drift_many(mean, modes, values, targets)
+    assert np.isnan(got[3]).all() and b.shape == (9, 2) and len(s) == 9
+    for k in set(range(9)) - {3}:  # they settle after different rounds
+        assert got[k] == pytest.approx(bent_drift_in_a_loop(mean, modes, values, targets[k]), abs=1e-6)
+    with pytest.raises(np.linalg.LinAlgError):
+        kernels.ssm_drift(mean, modes, values, targets[3])
+
+
+def test_fits_of_specimens_of_several_sizes_do_not_change_with_their_company(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base, move = rng.normal(size=(12, 3)), rng.normal(size=(12, 3)) * 0.3
+    rows = lambda shapes: spark.createDataFrame([(n, k, *map(float, p)) for n, s in shapes.items() for k, p in enumerate(s)], "specimen_id long, pidx int, x double, y double, z double").repartition(1)
+    model = shape_model.build(rows({n: base + b * move for n, b in enumerate(rng.normal(size=30))}))
+    specimens = rows({n: (base + b * move)[: 12 - 3 * (n % 3)] + 0.3 for n, b in enumerate(rng.normal(size=12))})
+    found = lambda: np.array(sorted(map(tuple, registration.fit_model(specimens, *model).collect())))
+    together = found()
+    monkeypatch.setattr(registration, "TOGETHER", 1)
+    assert together == pytest.approx(found(), abs=1e-6) and len(together) == 12 * 12
