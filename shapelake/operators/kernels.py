@@ -171,7 +171,7 @@ _FORMS = np.stack([
 def best_turns(h: np.ndarray) -> np.ndarray:
     """Rotations R with the largest sums of R * h (g x 3 x 3): unit quaternions, the leading eigenvectors of
     4 x 4 matrices (Horn 1987) by Newton's method on their characteristic polynomials; by singular values
-    where these are not exact. What is not finite has no rotation (NaN)."""
+    where these are not exact. Of equally good ones it is one that turns little. What is not finite has no rotation (NaN)."""
     with np.errstate(all="ignore"):
         unit = h / np.sqrt((h * h).sum((1, 2), keepdims=True))
         minors = np.cross(unit[:, [1, 2, 0]], unit[:, [2, 0, 1]])
@@ -186,12 +186,12 @@ def best_turns(h: np.ndarray) -> np.ndarray:
         at = np.abs(np.diagonal(q, axis1=1, axis2=2)).argmax(1)
         q = q @ q[np.arange(len(q)), :, at][:, :, None]
         q = q / np.sqrt((q * q).sum(1, keepdims=True))
-        off = np.abs(n @ q - top[:, None, None] * q).max((1, 2))
+        off, alone = np.abs(n @ q - top[:, None, None] * q).max((1, 2)), 4 * (top * top - 1) * top - d
     r = ((q @ np.swapaxes(q, 1, 2)).reshape(-1, 16) @ _FORMS.T).reshape(-1, 3, 3)
-    poor = np.flatnonzero(~(off <= 1e-12))
+    poor = np.flatnonzero(~((off <= 1e-12) & (alone > 1e-9)))
     if len(poor):
         known = poor[np.isfinite(h[poor]).all((1, 2))]
-        u, _, vt = np.linalg.svd(h[known])
+        u, _, vt = np.linalg.svd(h[known] + 1e-12 * np.abs(h[known]).max((1, 2), initial=0, keepdims=True) * np.eye(3))
         u[:, :, 2] *= np.where(np.linalg.det(u @ vt) < 0, -1.0, 1.0)[:, None]
         r[poor] = np.nan
         r[known] = u @ vt
@@ -423,7 +423,7 @@ def icp_shapes(starts: np.ndarray, of: np.ndarray, targets: list[np.ndarray], ro
         last[live] = rms[goes]
         if not len(live):
             break
-        r = best_turns(np.swapaxes(to, 1, 2) @ own[live])
+        r = best_turns(np.swapaxes(to - to[:, :1], 1, 2) @ own[live])  # all zero where one target is nearest to all
         placed[live] = own[live] @ np.swapaxes(r, 1, 2) + middle @ to
     return placed + lift
 

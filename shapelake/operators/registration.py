@@ -190,56 +190,59 @@ def vertex_constraints(landmarks: DataFrame, vertices: DataFrame) -> DataFrame:
 POSE = "specimen_id long, scale double, r00 double, r01 double, r02 double, r10 double, r11 double, r12 double, r20 double, r21 double, r22 double, tx double, ty double, tz double, rmse double, error string"
 
 
-def _pose(p: np.ndarray, tp: np.ndarray, method: str) -> tuple[float, np.ndarray, np.ndarray]:
-    """Template onto one specimen without using which point is which."""
-    if not np.isfinite(p).all():
-        raise ValueError("points are not finite")
-    if method == "cpd":
-        return kernels.cpd_rigid(tp, p)
-    if method == "icp":
-        return kernels.icp(tp - tp.mean(0) + p.mean(0), p)[:3]
-    raise ValueError(f"unknown method {method!r}")
-
-
 def register(points: DataFrame, template: DataFrame, method: str = "icp") -> DataFrame:
-    """Pose of the template on each specimen, by iterated closest points or coherent point drift."""
+    """Pose of the template on each specimen without using which point is which, by iterated closest points or coherent point drift."""
     if method not in ("icp", "cpd"):
         raise ValueError(f"unknown method {method!r}")
     _, tp = template_arrays(template)
 
-    def work(index, p):
-        try:
-            s, r, t = _pose(p, tp, method)
-            base = tp - tp.mean(0) + p.mean(0) if method == "icp" else tp
-            rmse = float(np.sqrt(kernels.nearest(s * base @ r.T + t, p, 1)[1].mean()))
-            values = [s, *r.ravel(), *t, rmse, None]
-        except (ValueError, np.linalg.LinAlgError) as e:
-            values = [*[None] * 14, str(e)]
-        return {f.split()[0]: [v] for f, v in zip(POSE.split(", ")[1:], values, strict=True)}
+    def work(p):
+        known = np.isfinite(p).all((1, 2))
+        out = [[*[None] * 14, "points are not finite"] for _ in p]
+        if method == "cpd" and known.any():
+            found = zip(*kernels.cpd_rigid_many(np.broadcast_to(tp, (int(known.sum()), *tp.shape)), p[known]), strict=True)
+        for k in np.flatnonzero(known):
+            try:
+                base = tp - tp.mean(0) + p[k].mean(0) if method == "icp" else tp
+                s, r, t = kernels.icp(base, p[k])[:3] if method == "icp" else next(found)
+                rmse = float(np.sqrt(kernels.nearest(s * base @ kernels.sound(r).T + t, p[k], 1)[1].mean()))
+                out[k] = [s, *r.ravel(), *t, rmse, None]
+            except (ValueError, np.linalg.LinAlgError) as e:
+                out[k][-1] = str(e)
+        return [{f.split()[0]: [v] for f, v in zip(POSE.split(", ")[1:], values, strict=True)} for values in out]
 
-    return per_specimen(points, work, POSE)
+    return per_group(points, work, POSE, len(tp))
 
 
-def _global_pose(tp: np.ndarray, p: np.ndarray, turns: np.ndarray, rounds: int = 30, coarse: int = 400, finalists: int = 12) -> np.ndarray:
-    """The template where it lies best on one specimen, whatever way that is turned.
+#: Points of all starting positions of all specimens that are refined together.
+REFINED = 1 << 16
+
+
+def _global_poses(tp: np.ndarray, p: np.ndarray, turns: np.ndarray, rounds: int = 30, coarse: int = 400, finalists: int = 12) -> np.ndarray:
+    """The template where it lies best on each specimen (g x n x 3), whatever way that is turned.
 
     Scaled to the specimen's diagonal, it is refined from every rotation on subsets
     of ``coarse`` points, the best ``finalists`` on all points, and the best of
     those by coherent point drift where that brings it nearer.
     """
-    if not np.isfinite(p).all():
-        raise ValueError("points are not finite")
-    scale = np.linalg.norm(np.ptp(p, axis=0)) / max(np.linalg.norm(np.ptp(tp, axis=0)), 1e-300)
-    few, some = kernels.farthest_points(tp, coarse), p[kernels.farthest_points(p, coarse)]
-    starts = scale * (tp - tp.mean(0)) @ np.swapaxes(turns, 1, 2) + p.mean(0)
-    placed = kernels.icp_many(starts[:, few], some, rounds)
-    best = np.argsort(-kernels.pose_scores(placed, some), kind="stable")[:finalists]
-    fits = [(starts[h], kernels.similarity_fit(starts[h][few], placed[h], False)) for h in best]
-    placed = kernels.icp_many(np.stack([s * q @ r.T + t for q, (s, r, t) in fits]), p, rounds)
-    first = placed[kernels.pose_scores(placed, p).argmax()]
-    s, r, t = kernels.cpd_rigid(first, p)
-    both = np.stack([first, s * first @ r.T + t])
-    return both[kernels.pose_scores(both, p).argmax()]
+    few, first = kernels.farthest_points(tp, coarse), np.empty((len(p), *tp.shape))
+    turned = (tp - tp.mean(0)) @ np.swapaxes(turns, 1, 2)
+    step = max(1, REFINED // max(1, len(turns) * len(few)))
+    for at in range(0, len(p), step):
+        own = p[at : at + step]
+        g, each = len(own), np.arange(len(own))
+        scale = np.linalg.norm(np.ptp(own, axis=1), axis=1) / max(np.linalg.norm(np.ptp(tp, axis=0)), 1e-300)
+        some = np.take_along_axis(own, kernels.farthest_many(own, coarse)[:, :, None], 1)
+        starts = (scale[:, None, None, None] * turned[:, few] + own.mean(1)[:, None, None]).reshape(-1, len(few), 3)
+        placed = kernels.icp_shapes(starts, np.repeat(each, len(turns)), list(some), rounds).reshape(g, len(turns), len(few), 3)
+        best = np.stack([np.argsort(-kernels.pose_scores(x, q), kind="stable")[:finalists] for x, q in zip(placed, some, strict=True)])
+        begun, ended = (np.take_along_axis(x.reshape(placed.shape), best[:, :, None, None], 1).reshape(-1, len(few), 3) for x in (starts, placed))
+        whole = (scale[:, None, None, None] * turned[best]).reshape(-1, *tp.shape) + np.repeat(own.mean(1), best.shape[1], 0)[:, None]
+        whole = (whole - begun.mean(1, keepdims=True)) @ np.swapaxes(kernels.rigid_fits(begun, ended), 1, 2) + ended.mean(1, keepdims=True)
+        placed = kernels.icp_shapes(whole, np.repeat(each, best.shape[1]), list(own), rounds).reshape(g, -1, *tp.shape)
+        first[at : at + step] = [x[kernels.pose_scores(x, q).argmax()] for x, q in zip(placed, own, strict=True)]
+    both = np.stack([first, kernels.posed(first, *kernels.cpd_rigid_many(first, p))], 1)
+    return np.stack([x[kernels.pose_scores(x, q).argmax()] for x, q in zip(both, p, strict=True)])
 
 
 def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap: bool = True, *, fine: bool = True, model: tuple[DataFrame, DataFrame] | None = None, share: float = 0.95, most: int = 10, hypotheses: int = 193, seed: int = 0) -> DataFrame:
@@ -255,21 +258,30 @@ def transfer(points: DataFrame, template: DataFrame, landmarks: DataFrame, snap:
     values, table = (np.zeros(0), np.zeros((0, len(tp), 3))) if model is None else _modes(*model, len(tp))
     k = min(most, kernels.mode_count(values, share))
 
-    def work(index, p):
-        try:
-            posed = _global_pose(tp, p, turns)
-            s, r, t = kernels.similarity_fit(tp, posed)
-            bent = posed if not k else s * kernels.ssm_drift(tp, table[:k], values[:k], (p - t) @ r / s)[0] @ r.T + t
-            near, _ = kernels.nearest(kernels.fine_drift(bent, p) if fine else bent, p, 1)
-            w, a = kernels.tps_fit(posed, p[near[:, 0]], smooth=1e-3)
-            marks = kernels.tps_apply(s * lp @ r.T + t, posed, w, a)
-            if snap:
-                marks = p[kernels.nearest(marks, p, 1)[0][:, 0]]
-            return {**_placed(li, marks), "error": [None] * len(li)}
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return {"pidx": [None], "x": [None], "y": [None], "z": [None], "error": [str(e)]}
+    def ends(p: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the template is posed on specimens of equal size, how, and where it drifts to."""
+        placed = _global_poses(tp, p, turns)
+        s, r, t = kernels.similarity_poses(tp, placed)
+        bent = placed if not k else kernels.posed(kernels.ssm_drift_many(tp, table[:k], values[:k], (p - t[:, None]) @ r / s[:, None, None])[0], s, r, t)
+        return placed, kernels.posed(lp[None], s, r, t), kernels.fine_drift_many(bent, p) if fine else bent
 
-    return per_specimen(points, work, f"{POINTS}, error string")
+    def marks(p: np.ndarray, placed: np.ndarray, predicted: np.ndarray, drifted: np.ndarray) -> dict:
+        near, _ = kernels.nearest(kernels.sound(drifted), p, 1)
+        w, a = kernels.tps_fit(placed, p[near[:, 0]], smooth=1e-3)
+        found = kernels.tps_apply(predicted, placed, w, a)
+        return _placed(li, p[kernels.nearest(found, p, 1)[0][:, 0]] if snap else found)
+
+    def work(p):
+        known = np.isfinite(p).all((1, 2))
+        out = [{"pidx": [None], "x": [None], "y": [None], "z": [None], "error": ["points are not finite"]} for _ in p]
+        for n, found in zip(np.flatnonzero(known), zip(*ends(p[known]), strict=True) if known.any() else (), strict=True):
+            try:
+                out[n] = {**marks(p[n], *found), "error": [None] * len(li)}
+            except (ValueError, np.linalg.LinAlgError) as e:
+                out[n]["error"] = [str(e)]
+        return out
+
+    return per_group(points, work, f"{POINTS}, error string", len(tp))
 
 
 def register_by_features(points: DataFrame, template: DataFrame, limit: float, *, k: int = 12, iterations: int = 4_000, fitness: float = 0.99, retries: int = 20, seed: int = 42) -> DataFrame:
@@ -339,18 +351,16 @@ def pose_search(points: DataFrame, template: DataFrame, *, hypotheses: int = 193
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                p = np.stack([row.x, row.y, row.z], 1)
-                h = np.arange(row.part * row.wide, min((row.part + 1) * row.wide, hypotheses))
-                starts = (tp - tp.mean(0)) @ np.swapaxes(turns[h], 1, 2) + p.mean(0)
-                scores = kernels.pose_scores(kernels.icp_many(starts, p, rounds), p) / spread
-                out.append((row.specimen_id, row.part, scores))
-                if len(out) >= 256:
-                    yield pd.DataFrame(out, columns=["specimen_id", "part", "scores"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["specimen_id", "part", "scores"])
+            rows = list(batch.itertuples(index=False))
+            many = max(1, REFINED // max(1, max((row.wide for row in rows), default=1) * len(tp)))
+            for some in (rows[at : at + many] for at in range(0, len(rows), many)):
+                shapes_ = [np.stack([row.x, row.y, row.z], 1) for row in some]
+                parts = [np.arange(row.part * row.wide, min((row.part + 1) * row.wide, hypotheses)) for row in some]
+                starts = np.concatenate([(tp - tp.mean(0)) @ np.swapaxes(turns[h], 1, 2) + p.mean(0) for h, p in zip(parts, shapes_, strict=True)])
+                placed = kernels.icp_shapes(starts, np.repeat(np.arange(len(some)), [len(h) for h in parts]), shapes_, rounds)
+                ends = np.cumsum([len(h) for h in parts])
+                scores = [kernels.pose_scores(placed[i:j], p) / spread for i, j, p in zip(ends - [len(h) for h in parts], ends, shapes_, strict=True)]
+                yield pd.DataFrame({"specimen_id": [row.specimen_id for row in some], "part": [row.part for row in some], "scores": scores})
 
     wide = F.when(F.size("i") <= small, hypotheses).otherwise(block)
     rows = shapes(points).withColumn("wide", wide).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((hypotheses - 1) / F.col("wide")).cast("int"))))

@@ -97,3 +97,69 @@ def test_fits_of_specimens_of_several_sizes_do_not_change_with_their_company(spa
     together = found()
     monkeypatch.setattr(registration, "TOGETHER", 1)
     assert together == pytest.approx(found(), abs=1e-6) and len(together) == 12 * 12
+
+
+def drift_in_a_loop(source, target, rounds=250):
+    s, r, t = 1.0, np.eye(3), np.zeros(3)
+    sigma2 = ((target[:, None] - source[None]) ** 2).sum() / (3 * len(source) * len(target))
+    for _ in range(rounds):
+        p = soft_matches(target, s * source @ r.T + t, sigma2)
+        total, px, py = p.sum(), p.sum(1), p.sum(0)
+        mx, my = px @ target / total, py @ source / total
+        x, y = target - mx, source - my
+        h = x.T @ p @ y
+        r = turn_by_singular_values(h[None])[0]
+        s = (r * h).sum() / (py @ (y * y).sum(1))
+        t = mx - s * r @ my
+        before, sigma2 = sigma2, max((px @ (x * x).sum(1) - s * (r * h).sum()) / (3 * total), 1e-12)
+        if abs(before - sigma2) < 1e-6 * before:
+            break
+    return s * source @ r.T + t
+
+
+def free_drift_in_a_loop(source, target, rounds=250):
+    scale = 20.0 / np.linalg.norm(np.ptp(target, axis=0))
+    y, x = source * scale, target * scale
+    kernel = np.exp(-((y[:, None] - y[None]) ** 2).sum(-1) / 8)
+    moved, sigma2 = y, ((x[:, None] - y[None]) ** 2).sum() / (3 * len(x) * len(y))
+    for _ in range(rounds):
+        p = soft_matches(x, moved, sigma2)
+        weight = p.sum(0)
+        moved = y + kernel @ np.linalg.solve(weight[:, None] * kernel + 2 * sigma2 * np.eye(len(y)), p.T @ x - weight[:, None] * y)
+        before, sigma2 = sigma2, max((p * ((x[:, None] - moved[None]) ** 2).sum(-1)).sum() / (3 * p.sum()), 1e-12)
+        if abs(before - sigma2) < 1e-6 * before:
+            break
+    return moved / scale
+
+
+def test_many_drifts_are_those_of_each_alone():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 3)) * (3, 2, 1)
+    targets = np.stack([base @ turn.T * 1.2 + rng.normal(size=(12, 3)) * 0.1 for turn in rotations(7, 8)])
+    targets[2] = np.nan
+    s, r, t = kernels.cpd_rigid_many(np.broadcast_to(base, targets.shape), targets)
+    rigid, free = kernels.posed(base[None], s, r, t), kernels.fine_drift_many(np.broadcast_to(base, targets.shape), targets)
+    assert np.isnan(rigid[2]).all() and np.isnan(free[2]).all()
+    for k in set(range(7)) - {2}:
+        assert rigid[k] == pytest.approx(drift_in_a_loop(base, targets[k]), abs=1e-6)
+        assert free[k] == pytest.approx(free_drift_in_a_loop(base, targets[k]), abs=1e-4)
+
+
+def test_transfer_of_specimens_of_several_sizes_does_not_change_with_their_company(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 3)) * (3, 2, 1)
+    shapes = {n: (base @ turn.T * 2 + rng.normal(size=(12, 3)) * 0.05)[: 12 - n % 3] for n, turn in enumerate(rotations(7, 8))}
+    shapes[7] = np.full((12, 3), np.nan)
+    rows = lambda shapes: spark.createDataFrame([(n, k, *map(float, p)) for n, s in shapes.items() for k, p in enumerate(s)], "specimen_id long, pidx int, x double, y double, z double").repartition(1)
+    mean = rows({0: base}).drop("specimen_id")
+    found = lambda: sorted((r.specimen_id, r.pidx, r.x, r.y, r.z) for r in registration.transfer(rows(shapes), mean, mean.where("pidx < 4"), hypotheses=20).where("error IS NULL").collect())
+    together = found()
+    monkeypatch.setattr(registration, "TOGETHER", 1)
+    monkeypatch.setattr(registration, "REFINED", 1)
+    assert len(together) == 28 and np.array(together) == pytest.approx(np.array(found()), abs=1e-9)
+
+
+def test_a_shape_that_meets_one_target_alone_is_not_turned():
+    start = np.random.default_rng(7).normal(size=(9, 3)) * 0.01
+    target = np.array([[0.1, 0.2, 0.3], [50.0, 0, 0], [0, 50.0, 0]])
+    assert kernels.icp_many(start[None], target, 30)[0] == pytest.approx(start - start.mean(0) + target[0], abs=1e-12)
