@@ -115,3 +115,22 @@ def test_gram_models_of_more_specimens_than_the_driver_takes(spark):
     assert shape_model.residuals(p, modes, values).where("residual > 1e-9 OR abs(norm - 1) > 1e-9").count() == 0
     with pytest.raises(ValueError):
         shape_model._by_gram(p, 11)
+
+
+def test_tiles_are_not_written_once_more_for_each_pair(spark):
+    rng = np.random.default_rng(8)
+    shapes = {k: rng.normal(size=(3, 3)) for k in range(11)}
+    got = shape_model.gram(frame(spark, shapes), specimens=5, landmarks=2)
+    x = np.stack([s.ravel() for s in shapes.values()])
+    product = (x - x.mean(0)) @ (x - x.mean(0)).T
+    assert {(r.si, r.sj): r.v for r in got.collect()} == pytest.approx({(i, j): product[i, j] for i in range(11) for j in range(i, 11)})
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()  # the final plan comes first
+    shuffled = [line for line in lines if "Exchange" in line]
+    paired = next(n for n, line in enumerate(lines) if "CartesianProduct" in line)
+    assert not any(line in shuffled for line in lines[:paired]) and "rangepartitioning" in shuffled[0]
+
+
+def test_products_of_one_specimen_and_of_none(spark):
+    one = shape_model.gram(frame(spark, {4: np.eye(3)})).collect()
+    assert [(r.si, r.sj, r.v) for r in one] == [(4, 4, 0.0)]
+    assert shape_model.gram(frame(spark, {4: np.eye(3)}).where("false")).count() == 0
