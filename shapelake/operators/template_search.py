@@ -1,7 +1,7 @@
 """Which shape of a model is the best template for each specimen.
 
 Candidates are coefficients of the model in standard deviations: few, the same for
-every specimen, and sent to the tasks. A specimen's candidates are dealt out in
+every specimen, and sent to the tasks. A large specimen's candidates are dealt out in
 blocks, so that a hard specimen is no long task; only scores are shuffled.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .neighbors import shapes, tasks
+from .neighbors import FEW, shapes, tasks
 from .registration import _modes, rotations, template_arrays
 
 
@@ -218,9 +218,12 @@ def search(points: DataFrame, mean: DataFrame, modes: DataFrame, eigenvalues: Da
     rows = points.sparkSession.createDataFrame([(n, float(v)) for n, v in enumerate(penalty)], "candidate int, penalty double")
     poor = start.where("sound").where(~good)
     asked = worth_scoring(poor.select("specimen_id").crossJoin(F.broadcast(rows)), poor.select("specimen_id", "best"), s.w_rmse, s.margin)  # at most ``beam`` rows a specimen
-    block = lambda df, *by: df.groupBy("specimen_id", *by).agg(F.array_sort(F.collect_list("candidate")).alias("own"))
+    block = lambda df: df.groupBy("specimen_id").agg(F.array_sort(F.collect_list("candidate")).alias("own"))
     carried = cloud.join(poor.select("specimen_id", "r"), "specimen_id")
-    scored = deal(carried.join(block(asked, (F.col("candidate") % 4).alias("part")), "specimen_id"), "part").mapInPandas(rough, "specimen_id long, candidate int, score double")
+    # four rows of a large specimen; of small ones, whose arrays would only be sent more often, one
+    parts = F.when(F.size("i") > FEW, F.array(*(F.expr(f"filter(own, c -> c % 4 = {k})") for k in range(4)))).otherwise(F.array("own"))
+    dealt = deal(carried.join(block(asked), "specimen_id").withColumn("own", F.explode(parts)).where(F.size("own") > 0), "own")
+    scored = dealt.mapInPandas(rough, "specimen_id long, candidate int, score double")
     found = deal(carried.join(block(beam(scored, s.keep)), "specimen_id")).mapInPandas(fine, "specimen_id long, score double, fit double, rmse double, b array<double>")
     found = found.select("specimen_id", F.struct("score", "fit", "rmse", "b").alias("new"))
     both = start.join(found, "specimen_id", "left")

@@ -179,5 +179,6 @@ def test_results_do_not_change_with_the_specimens_worked_on_together(spark, monk
     found = lambda: [r.asDict() for r in template_search.search(frame(spark, shapes).repartition(1), *tables(spark, p, move, eig), s).orderBy("specimen_id").collect()]
     together = found()
     monkeypatch.setattr(template_search, "TOGETHER", 1)
+    monkeypatch.setattr(template_search, "FEW", 1)  # candidates in four rows
     for a, b in zip(together, found(), strict=True):
         assert a["decision"] == b["decision"] and a["b"] == pytest.approx(b["b"], abs=1e-6) and a["score"] == pytest.approx(b["score"], abs=1e-6)
